@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabsieve.functions.values import col, present
 from tabsieve.operators.schema import is_integral, require_column
+from tabsieve.plans.tall import tall
 
 
 def value_type(field: T.StructField) -> T.DataType:
@@ -43,16 +44,17 @@ def typed_frequencies(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
     for f in fields:
         types.setdefault(value_type(f).simpleString(), value_type(f))
     slots = {name: f"v{i}" for i, name in enumerate(types)}
-    args: list[Column] = []
-    for i, f in enumerate(fields):
-        own = value_type(f).simpleString()
-        args.append(F.lit(i))
-        for name, t in types.items():
-            args.append(present(df, f.name).cast(t) if name == own else F.lit(None).cast(t))
+    rows = [
+        [
+            present(df, f.name).cast(t) if name == value_type(f).simpleString() else F.lit(None).cast(t)
+            for name, t in types.items()
+        ]
+        for f in fields
+    ]
     names = list(slots.values())
-    long = df.select(F.stack(F.lit(len(fields)), *args).alias("idx", *names))
     table = (
-        long.where(_any_present(names))
+        tall(df, rows, names)
+        .where(_any_present(names))
         .groupBy("idx", *names)
         .agg(F.count(F.lit(1)).alias("n"))
     )

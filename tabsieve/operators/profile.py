@@ -20,6 +20,7 @@ from tabsieve.operators.schema import (
     require_column,
     require_numeric,
 )
+from tabsieve.plans.tall import tall
 
 STATISTICS = (
     "count",
@@ -71,13 +72,13 @@ def _moments(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = _MOM
     own reducer; integers keep a slot of their own so that their range is exact.
     """
     makers = {"mean": F.avg, "variance": F.var_samp, "skewness": sample_skewness, "kurtosis": sample_kurtosis}
-    args: list[Column] = []
-    for i, c in enumerate(columns):
-        whole = is_integral(require_numeric(df, c))
-        args += [F.lit(i), number(df, c), col(c).cast("long") if whole else F.lit(None).cast("long")]
+    none = F.lit(None).cast("long")
+    values = [
+        (number(df, c), col(c).cast("long") if is_integral(require_numeric(df, c)) else none) for c in columns
+    ]
     v = F.col("v")
     found = (
-        df.select(F.stack(F.lit(len(columns)), *args).alias("idx", "v", "w"))
+        tall(df, values, ("v", "w"))
         .groupBy("idx")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -113,9 +114,12 @@ def _as_float(value: object) -> float | None:
     return None if value is None else float(value)
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+def describe(df: DataFrame, columns: Sequence[str], modes: bool = True) -> dict[str, dict]:
     """All fifteen statistics, unrounded, per column.
 
+    Without ``modes`` the distinct count and the mode, the only statistics that
+    shuffle values, are left out.
+
     Three kinds of job whatever the number of columns: one aggregate for the
     moments, one frequency table for distinct counts and modes, and the
     narrowing passes for the quartiles.
@@ -123,12 +127,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     for c in columns:
         require_numeric(df, c)
     stats = _moments(df, columns)
-    counted = distinct_and_mode(df, columns)
+    counted = distinct_and_mode(df, columns) if modes else {}
     known = {c: Extent(s["count"], s["low"], s["high"]) for c, s in stats.items()}
     quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, known)
     for c, s in stats.items():
         p25, median, p75 = (quartiles[c][q] for q in QUARTILES)
-        unique, mode = counted[c]
+        unique, mode = counted.get(c, (None, None))
         s.update(
             unique=unique,
             mode=mode,

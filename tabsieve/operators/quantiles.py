@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.values import col, number
 from tabsieve.operators.schema import require_numeric
+from tabsieve.plans.tall import tall
 
 CELLS = 1024
 # An interval with at most this many rows is fetched value by value.
@@ -53,13 +54,15 @@ class _Interval:
 
 def extents(df: DataFrame, columns: Sequence[str]) -> dict[str, Extent]:
     """Count, minimum and maximum of every named column in one aggregate."""
-    exprs = []
-    for i, c in enumerate(columns):
+    for c in columns:
         require_numeric(df, c)
-        v = number(df, c)
-        exprs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*exprs).first()
-    return {c: Extent(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    found = (
+        tall(df, [[number(df, c)] for c in columns], ["v"])
+        .groupBy("idx")
+        .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    rows = {r["idx"]: Extent(r["n"], r["low"], r["high"]) for r in found.collect()}
+    return {c: rows.get(i, Extent(0, None, None)) for i, c in enumerate(columns)}
 
 
 def _log_position(value: Column) -> Column:
@@ -86,30 +89,24 @@ def _cell(value: Column, part: _Interval) -> Column:
 
 def _count_cells(df: DataFrame, parts: Sequence[_Interval]) -> None:
     """One pass: fill ``cells`` of every interval with (count, min, max) in order."""
-    args: list[Column] = []
-    for i, p in enumerate(parts):
-        v = number(df, p.column)
-        inside = v.between(F.lit(p.low), F.lit(p.high))
-        few = p.count <= FETCH_ROWS
-        args += [
-            F.lit(i),
-            F.when(inside, v),
-            F.lit(None).cast("long") if few else F.when(inside, _cell(v, p)),
-            F.when(inside, v) if few else F.lit(None).cast("double"),
-        ]
     # The disjunction on bare columns prunes row groups at the scan.
     near = [col(p.column).between(F.lit(p.low), F.lit(p.high)) for p in parts]
+    no_cell, no_value = F.lit(None).cast("long"), F.lit(None).cast("double")
+    rows: list[tuple[Column, Column, Column]] = []
+    for p in parts:
+        v = number(df, p.column)
+        x = F.when(v.between(F.lit(p.low), F.lit(p.high)), v)
+        rows.append((x, no_cell, x) if p.count <= FETCH_ROWS else (x, _cell(x, p), no_value))
     counted = (
-        df.where(reduce(lambda a, b: a | b, near))
-        .select(F.stack(F.lit(len(parts)), *args).alias("part", "x", "cell", "own"))
+        tall(df.where(reduce(lambda a, b: a | b, near)), rows, ("x", "cell", "own"))
         .where(F.col("x").isNotNull())
-        .groupBy("part", "cell", "own")
+        .groupBy("idx", "cell", "own")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )
     for p in parts:
         p.cells = []
     for r in counted.collect():  # at most CELLS (or FETCH_ROWS) rows per interval
-        parts[r["part"]].cells.append((r["low"], r["high"], r["n"]))
+        parts[r["idx"]].cells.append((r["low"], r["high"], r["n"]))
     for p in parts:
         p.cells.sort()
 

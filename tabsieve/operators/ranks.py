@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.values import number
 from tabsieve.operators.schema import require_numeric
+from tabsieve.plans.tall import tall
 
 BUCKET_VALUES = 500_000
 MAX_BUCKETS = 4096
@@ -25,14 +26,12 @@ _SAMPLE_PER_BUCKET = 64
 
 def count_values(df: DataFrame, columns: Sequence[str], partners: Sequence[str] = ()) -> DataFrame:
     """(idx, value, n, n0, n1, ...): rows per value, in all and where partner j is present."""
-    args: list[Column] = []
-    for i, c in enumerate(columns):
+    for c in columns:
         require_numeric(df, c)
-        args += [F.lit(i), number(df, c)]
-        args += [number(df, p).isNotNull().cast("int") for p in partners]
+    seen = [number(df, p).isNotNull().cast("int") for p in partners]
     flags = [f"p{j}" for j in range(len(partners))]
     return (
-        df.select(F.stack(F.lit(len(columns)), *args).alias("idx", "value", *flags))
+        tall(df, [[number(df, c), *seen] for c in columns], ["value", *flags])
         .where(F.col("value").isNotNull())
         .groupBy("idx", "value")
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"n{j}") for j, f in enumerate(flags)])
