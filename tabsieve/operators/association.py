@@ -20,6 +20,12 @@ from tabsieve.plans.tall import tall
 METHODS = ("pearson", "spearman")
 # Pairs per aggregate; more pairs take further scans of the table.
 PAIRS_PER_SCAN = 256
+# The sentence that explains a fit and its error, and the grades of R2.
+FIT_SENTENCE = (
+    "For each unit increase in '%s', '%s' %s by %.4f. The model explains %.1f%% of variance (%s fit)."
+)
+TOO_FEW_ROWS = "Need at least 2 non-null rows to fit a regression model."
+STRONG_FIT, MODERATE_FIT = 0.7, 0.4
 DIGITS, P_DIGITS = 4, 6
 
 Pair = tuple[str, str]
@@ -168,7 +174,7 @@ def linear_regression(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     slope = F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0))
     explained = F.coalesce(F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0))
     fit = sums.select(
-        F.when(F.col("n") < 2, F.raise_error(F.lit("Need at least 2 non-null rows to fit a regression model.")))
+        F.when(F.col("n") < 2, F.raise_error(F.lit(TOO_FEW_ROWS)))
         .otherwise(F.col("n"))
         .alias("n"),
         slope.alias("coefficient"),
@@ -184,9 +190,9 @@ def regression_report(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     fit = linear_regression(df, x_col, y_col)
     slope, r2 = F.col("coefficient"), F.col("r2_score")
     trend = F.when(slope > 0, "increases").otherwise("decreases")
-    grade = F.when(r2 > 0.7, "strong").when(r2 > 0.4, "moderate").otherwise("weak")
+    grade = F.when(r2 > STRONG_FIT, "strong").when(r2 > MODERATE_FIT, "moderate").otherwise("weak")
     text = F.format_string(
-        "For each unit increase in '%s', '%s' %s by %.4f. The model explains %.1f%% of variance (%s fit).",
+        FIT_SENTENCE,
         F.lit(x_col),
         F.lit(y_col),
         trend,

@@ -28,6 +28,13 @@ TYPES = ("remove_duplicates", "fill_nulls", "remove_outliers", "normalize", "fix
 METHODS = ("mean", "median", "zero", "mode", "drop", "minmax", "zscore")
 DTYPES = ("numeric", "datetime", "category", "text")
 
+# The texts of the warnings and of the empty-result error.
+FILL_SKIPPED = "Fill nulls ({method}) skipped on '{column}' — column is not numeric."
+OUTLIERS_SKIPPED = "Remove outliers skipped on '{column}' — column is not numeric."
+NORMALIZE_SKIPPED = "Normalize skipped on '{column}' — column is not numeric."
+VALUES_LOST = "Cast '{column}' to number: {lost} value(s) couldn't be parsed as numbers and were set to null."
+NOTHING_LEFT = "Cleaning would remove all rows. Relax your settings and try again."
+
 # Mappings up to this size are literals of the plan, larger ones are joined.
 LITERAL_MAPPING = 500
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -121,16 +128,16 @@ def _admit(df: DataFrame, op: Mapping, warnings: list[str]) -> bool:
     numeric = is_numeric(field_)
     if kind == "fill_nulls":
         if method in ("mean", "median", "zero") and not numeric:
-            warnings.append(f"Fill nulls ({method}) skipped on '{column}' — column is not numeric.")
+            warnings.append(FILL_SKIPPED.format(method=method, column=column))
             return False
         return method in ("mean", "median", "zero", "mode", "drop")
     if kind == "remove_outliers":
         if not numeric:
-            warnings.append(f"Remove outliers skipped on '{column}' — column is not numeric.")
+            warnings.append(OUTLIERS_SKIPPED.format(column=column))
         return numeric
     if kind == "normalize":
         if not numeric:
-            warnings.append(f"Normalize skipped on '{column}' — column is not numeric.")
+            warnings.append(NORMALIZE_SKIPPED.format(column=column))
         return numeric and method in ("minmax", "zscore")
     if kind == "fix_text":
         mapping = op.get("mapping")
@@ -213,9 +220,7 @@ def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list
     if kind == "fix_text":
         return _fit_mapping(df, c, op["mapping"])
     if got.get("lost"):
-        warnings.append(
-            f"Cast '{c}' to number: {got['lost']} value(s) couldn't be parsed as numbers and were set to null."
-        )
+        warnings.append(VALUES_LOST.format(column=c, lost=got["lost"]))
     return Step(f"cast_{op['dtype']}", c, {"formats": op.get("formats")})
 
 
@@ -346,7 +351,7 @@ def apply_cleaning(df: DataFrame, operations: Sequence[Mapping]) -> tuple[DataFr
 def require_rows(df: DataFrame) -> DataFrame:
     """The table itself, or ValueError when cleaning left nothing."""
     if df.isEmpty():
-        raise ValueError("Cleaning would remove all rows. Relax your settings and try again.")
+        raise ValueError(NOTHING_LEFT)
     return df
 
 

@@ -93,9 +93,13 @@ def distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[
     """Exact distinct count and mode (smallest of the ties) per column."""
     table, slots = typed_frequencies(df, columns)
     used = list(dict.fromkeys(slots.values()))
-    best = table.groupBy("idx").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.min_by(F.struct(*used), F.struct((-F.col("n")).alias("rare"), *used)).alias("mode"),
+    # Few different counts exist, so grouping by count first leaves little to
+    # compare; its buffers are plain numbers, which hash aggregation needs.
+    by_count = table.groupBy("idx", "n").agg(
+        F.count(F.lit(1)).alias("values"), *[F.min(s).alias(s) for s in used]
+    )
+    best = by_count.groupBy("idx").agg(
+        F.sum("values").alias("distinct"), F.max_by(F.struct(*used), F.col("n")).alias("mode")
     )
     found = {r["idx"]: (r["distinct"], r["mode"]) for r in best.collect()}
     out: dict[str, tuple[int, object]] = {}

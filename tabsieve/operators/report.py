@@ -19,29 +19,49 @@ TIME_NAMES = ("timestamp", "date", "Date", "time")
 MOST_PROPOSALS = 5
 NAMED_COLUMNS = 3
 
+# The texts of the proposals ({some}: first numeric names as a list).
+HISTOGRAM = "Histogram — distribution of {some}"
+SCATTER = "Scatter Plot — {a} vs {b}"
+LINE = "Line Plot — {some} over time"
+BOX = "Box Plot — outliers in {some}"
+HEATMAP = "Heatmap — correlation matrix"
+BAR = "Bar Chart — frequency of '{text}'"
+PIE = "Pie Chart — proportion of '{text}'"
+REGRESSION = "Linear Regression — {a} vs {b}"
+SUMMARY = "Statistical Summary — {some}"
+COUNTS = "Value Counts — '{text}'"
+
+# The lines of the profile text.
+HEAD_LINES = ("Dataset: {rows:,} rows × {columns} columns.", "Columns: {names}.", "")
+EMPTY_LINE = "- '{column}' (numeric): all values are null."
+NUMERIC_LINE = "- '{column}' (numeric): min={min}, max={max}, mean={mean}, median={median}, std={std}, nulls={nulls}"
+CATEGORY_LINE = "- '{column}' (categorical): {unique} unique values, sample={sample}, nulls={nulls}"
+OMITTED_LINE = "\n(+{omitted} more columns not detailed here — ask about a specific one by name.)"
+
 
 def recommendations(df: DataFrame) -> DataFrame:
     """(kind, rank, text): charts and analyses that suit the schema."""
     numbers, texts = numeric_columns(df), text_columns(df, with_category=True)
-    some = numbers[:NAMED_COLUMNS]
+    names = {
+        "some": numbers[:NAMED_COLUMNS],
+        "a": numbers[0] if numbers else None,
+        "b": numbers[1] if len(numbers) > 1 else None,
+        "text": texts[0] if texts else None,
+    }
     several, timed = len(numbers) > 1, any(c in TIME_NAMES for c in df.columns)
-    charts = [
-        (numbers, lambda: f"Histogram — distribution of {some}"),
-        (several, lambda: f"Scatter Plot — {numbers[0]} vs {numbers[1]}"),
-        (numbers and timed, lambda: f"Line Plot — {some} over time"),
-        (numbers, lambda: f"Box Plot — outliers in {some}"),
-        (several, lambda: "Heatmap — correlation matrix"),
-        (texts, lambda: f"Bar Chart — frequency of '{texts[0]}'"),
-        (texts, lambda: f"Pie Chart — proportion of '{texts[0]}'"),
-    ]
-    analyses = [
-        (several, lambda: f"Linear Regression — {numbers[0]} vs {numbers[1]}"),
-        (numbers, lambda: f"Statistical Summary — {some}"),
-        (texts, lambda: f"Value Counts — '{texts[0]}'"),
-    ]
+    charts = (
+        (HISTOGRAM, numbers),
+        (SCATTER, several),
+        (LINE, numbers and timed),
+        (BOX, numbers),
+        (HEATMAP, several),
+        (BAR, texts),
+        (PIE, texts),
+    )
+    analyses = ((REGRESSION, several), (SUMMARY, numbers), (COUNTS, texts))
     rows = []
     for kind, proposals in (("visualization", charts), ("analysis", analyses)):
-        fitting = [text() for applies, text in proposals if applies][:MOST_PROPOSALS]
+        fitting = [text.format(**names) for text, applies in proposals if applies][:MOST_PROPOSALS]
         rows += [(kind, i, text) for i, text in enumerate(fitting, 1)]
     return df.sparkSession.createDataFrame(rows, "kind string, rank int, text string")
 
@@ -83,22 +103,20 @@ def profile_text(df: DataFrame, order_by: Sequence[str]) -> str:
     """The profile as text; formats the at most 40 detailed rows on the driver."""
     rows = dataset_profile(df, order_by).orderBy("position").collect()
     total = df.count()
-    names = ", ".join(df.columns)
-    lines = [f"Dataset: {total:,} rows × {len(rows)} columns.", f"Columns: {names}.", ""]
+    head = {"rows": total, "columns": len(rows), "names": ", ".join(df.columns)}
+    lines = [line.format(**head) for line in HEAD_LINES]
     for r in rows:
+        figures = {k: _general(r[k]) for k in ("min", "max", "mean", "median", "std")}
         if r["kind"] == "numeric" and r["min"] is None:
-            lines.append(f"- '{r['column']}' (numeric): all values are null.")
+            lines.append(EMPTY_LINE.format(column=r["column"]))
         elif r["kind"] == "numeric":
-            parts = [f"{k}={_general(r[k])}" for k in ("min", "max", "mean", "median", "std")]
-            lines.append(f"- '{r['column']}' (numeric): {', '.join(parts)}, nulls={r['nulls']}")
+            lines.append(NUMERIC_LINE.format(column=r["column"], nulls=r["nulls"], **figures))
         elif r["kind"] == "categorical":
-            lines.append(
-                f"- '{r['column']}' (categorical): {r['unique']} unique values, "
-                f"sample={list(r['sample'])}, nulls={r['nulls']}"
-            )
+            found = {"unique": r["unique"], "sample": list(r["sample"]), "nulls": r["nulls"]}
+            lines.append(CATEGORY_LINE.format(column=r["column"], **found))
     omitted = sum(r["kind"] == "omitted" for r in rows)
     if omitted:
-        lines.append(f"\n(+{omitted} more columns not detailed here — ask about a specific one by name.)")
+        lines.append(OMITTED_LINE.format(omitted=omitted))
     return "\n".join(lines)
 
 
