@@ -14,8 +14,13 @@ def _with(view: str, body: str) -> str:
     return f"{start}, {body[5:]}" if body.startswith("WITH ") else f"{start} {body}"
 
 
+def _near(x: str, digits: int = 4) -> str:
+    """Rounded a little above the tie, where the last bits of a sum do not matter."""
+    return f"round(({x}) + 1e-9, {digits})"
+
+
 def _big(x: str, digits: int = 4) -> str:
-    return f"CASE WHEN abs({x}) >= 1e6 THEN round({x}, 0) ELSE round({x}, {digits}) END"
+    return f"CASE WHEN abs({x}) >= 1e6 THEN round(({x}) + 1e-4, 0) ELSE {_near(x, digits)} END"
 
 
 def _skewness(c: str) -> str:
@@ -247,7 +252,7 @@ _KEEP = "l_orderkey, l_linenumber"
 def _filled(value: str) -> str:
     return _with(
         "nulls",
-        f"SELECT {_KEEP}, round(coalesce(qty, {value}), 4) AS qty, round(price, 4) AS price, flag FROM nulls",
+        f"SELECT {_KEEP}, round(coalesce(qty, {value}) + 1e-9, 4) AS qty, round(price, 4) AS price, flag FROM nulls",
     )
 
 
@@ -276,7 +281,7 @@ ORACLE["normalize_minmax"] = _with(
     "nulls",
     f"""
     SELECT {_KEEP}, qty, flag,
-           round((price - (SELECT min(price) FROM nulls))
+           round(1e-9 + (price - (SELECT min(price) FROM nulls))
                  / ((SELECT max(price) FROM nulls) - (SELECT min(price) FROM nulls)), 6) AS price
     FROM nulls""",
 )
@@ -284,7 +289,7 @@ ORACLE["normalize_zscore"] = _with(
     "nulls",
     f"""
     SELECT {_KEEP}, price, flag,
-           round((qty - (SELECT avg(qty) FROM nulls)) / (SELECT stddev_samp(qty) FROM nulls), 6) AS qty
+           round(1e-9 + (qty - (SELECT avg(qty) FROM nulls)) / (SELECT stddev_samp(qty) FROM nulls), 6) AS qty
     FROM nulls""",
 )
 ORACLE["fix_text"] = _with(
@@ -334,7 +339,7 @@ ORACLE["clean_chain"] = _with(
     "messy",
     f"""{_CHAIN.strip()}
     SELECT l_orderkey,
-           round((qty - (SELECT min(qty) FROM near))
+           round(1e-9 + (qty - (SELECT min(qty) FROM near))
                  / ((SELECT max(qty) FROM near) - (SELECT min(qty) FROM near)), 6) AS qty,
            CASE flag WHEN 'a' THEN 'A' WHEN 'A ' THEN 'A' WHEN 'n' THEN 'N' WHEN 'N ' THEN 'N' ELSE flag END AS flag
     FROM near""",
@@ -410,11 +415,11 @@ ORACLE["corr_matrix"] = _with(
     ),
 )
 _FIT = """
-    regr_count({y}, {x}) AS n, round(regr_r2({y}, {x}), 4) AS r2_score, round(regr_slope({y}, {x}), 4) AS coefficient,
+    CAST(regr_count({y}, {x}) AS BIGINT) AS n, round(regr_r2({y}, {x}), 4) AS r2_score, round(regr_slope({y}, {x}), 4) AS coefficient,
     round(regr_intercept({y}, {x}), 4) AS intercept,
     round(sqrt((regr_syy({y}, {x}) - regr_sxy({y}, {x}) ** 2 / regr_sxx({y}, {x})) / regr_count({y}, {x})), 4) AS rmse"""
 ORACLE["linear_regression"] = _with(
-    "nulls", f"SELECT {_FIT.format(y='price', x='qty')} FROM nulls"
+    "nulls", f"SELECT {_FIT.format(y='price', x='qty').replace(', 4)', ' + 1e-9, 4)')} FROM nulls"
 )
 ORACLE["regression_report"] = f"""
     SELECT *, 'For each unit increase in ''l_quantity'', ''l_extendedprice'' '
@@ -436,8 +441,8 @@ def _series(y: str, cells: int) -> str:
     WITH p AS (SELECT CAST(event_id AS DOUBLE) AS x, {y} AS y FROM gaps WHERE {y} IS NOT NULL),
          s AS (SELECT min(x) AS lo, max(x) AS hi FROM p)
     SELECT CAST(least(floor((x - lo) / (hi - lo) * {cells}), {cells - 1}) AS INTEGER) AS bucket,
-           round(min(x), 4) AS x_min, round(max(x), 4) AS x_max, count(*) AS n,
-           round(min(y), 4) AS min, round(avg(y), 4) AS avg, round(max(y), 4) AS max
+           round(min(x) + 1e-9, 4) AS x_min, round(max(x), 4) AS x_max, count(*) AS n,
+           round(min(y), 4) AS min, round(avg(y) + 1e-9, 4) AS avg, round(max(y) + 1e-9, 4) AS max
     FROM p, s GROUP BY bucket"""
 
 
@@ -447,7 +452,7 @@ ORACLE["line_series_time"] = """
     WITH p AS (SELECT CAST(epoch_us(ts) AS DOUBLE) AS x, value AS y FROM events),
          s AS (SELECT min(x) AS lo, max(x) AS hi FROM p)
     SELECT CAST(least(floor((x - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bucket, count(*) AS n,
-           round(avg(y), 4) AS avg, round(max(y), 4) AS max
+           round(avg(y) + 1e-9, 4) AS avg, round(max(y) + 1e-9, 4) AS max
     FROM p, s GROUP BY bucket"""
 
 
@@ -605,5 +610,5 @@ ORACLE["stream_cleaned"] = f"""
     WITH kept AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'click' ELSE event_type END AS event_type, value
                   FROM events, ({_FENCES.format(c='value', t='events')}) WHERE value >= lo AND value <= hi)
     SELECT event_id, event_type,
-           round((value - (SELECT min(value) FROM kept)) / ((SELECT max(value) FROM kept) - (SELECT min(value) FROM kept)), 6) AS value
+           round(1e-9 + (value - (SELECT min(value) FROM kept)) / ((SELECT max(value) FROM kept) - (SELECT min(value) FROM kept)), 6) AS value
     FROM kept"""

@@ -27,9 +27,9 @@ def query(f: Query) -> Query:
 
 def comparable(value: Column | str, digits: int = 4) -> Column:
     """Digits that do not depend on the order of summation: 4 decimals below a
-    million, whole numbers above."""
+    million, whole numbers above, both a little off the tie between two results."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(F.abs(value) >= 1e6, F.round(value, 0)).otherwise(F.round(value, digits))
+    return F.when(F.abs(value) >= 1e6, F.round(value + 1e-4, 0)).otherwise(F.round(value + 1e-9, digits))
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -435,7 +435,7 @@ def line_series(spark, folder):
 @query
 def line_series_time(spark, folder):
     found = chartdata.line_series(table(spark, folder, "events"), "value", "ts", 50)
-    return found.select("bucket", "n", F.round("avg", 4).alias("avg"), F.round("max", 4).alias("max"))
+    return found.select("bucket", "n", comparable("avg").alias("avg"), comparable("max").alias("max"))
 
 
 @query
@@ -511,7 +511,7 @@ def violin_curve(spark, folder):
 def recommendations(spark, folder):
     """Proposals from the schema, next to the size of the table they are for."""
     documents = table(spark, folder, "documents")
-    return report.recommendations(documents).withColumn("n_rows", F.lit(documents.count()))
+    return report.recommendations(documents).withColumn("n_rows", F.lit(documents.count()).cast("long"))
 
 
 @query
