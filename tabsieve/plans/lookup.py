@@ -48,7 +48,9 @@ def lookup(
     out = out.withColumn("__salt", F.when(F.col("__k").isNull(), spread).otherwise(F.lit(0)).cast("long"))
     side = right.select(
         F.col(right_key).alias("__rk"),
-        F.lit(0).cast("long").alias("__rsalt"),
+        # Always 0, but not a literal: a constant would be taken out of the join
+        # keys and the rows without a key would meet in one partition.
+        F.pmod(F.xxhash64(right_key), F.lit(1)).cast("long").alias("__rsalt"),
         *[F.col(c).alias(f"__cold_{c}") for c in names],
     )
     # The salt column sends rows without a key to many different partitions.

@@ -7,7 +7,6 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsieve.functions.values import (
     INTEGER_PATTERN,
@@ -137,6 +136,4 @@ def read_json(spark: SparkSession, path: str, records_array: bool = False) -> Da
     df = spark.read.option("multiLine", records_array).json(path)
     if "_corrupt_record" in df.columns and len(df.columns) == 1:
         raise ValueError(f"Could not parse {path} as JSON records.")
-    blank = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
-    df = df.select(*[col(c).cast("double").alias(c) if c in blank else col(c) for c in df.columns])
     return distinct_names(finite_columns(df))
