@@ -122,11 +122,11 @@ def auto_bins(f: Fences, integral: bool) -> tuple[float, float, int]:
     return f.low, f.high, math.ceil(spread / width)
 
 
-def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int | None = None, known: Fences | None = None) -> DataFrame:
     """(bin, lo, hi, n) with equal bins, empty ones included, last one closed."""
     field = require_numeric(df, column)
-    found = fences(df, [column])[column]
-    low, high, auto = auto_bins(found, is_integral(field))
+    known = known or fences(df, [column])[column]
+    low, high, auto = auto_bins(known, is_integral(field))
     bins = auto if bins is None else bins
     value = number(df, column)
     step = F.lit((high - low) / bins)
@@ -308,10 +308,12 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
     return _density(df, column, k, k.low, k.high, points)
 
 
-def histogram_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> DataFrame:
+def histogram_curve(
+    df: DataFrame, column: str, points: int = CURVE_POINTS, known: Fences | None = None
+) -> DataFrame:
     """(point, x, density, height): the density scaled to the histogram's counts."""
     field = require_numeric(df, column)
-    f = fences(df, [column])[column]
+    f = known or fences(df, [column])[column]
     low, high, bins = auto_bins(f, is_integral(field))
     area = f.n * (high - low) / bins
     return density_curve(df, column, points).withColumn("height", F.col("density") * F.lit(area))
@@ -348,7 +350,9 @@ def chart_data(
         return {"cells": correlation_matrix(df)}
     require_column(df, column)
     if chart_type == "Histogram":
-        return {"bins": histogram(df, column), "curve": histogram_curve(df, column)}
+        require_numeric(df, column)
+        known = fences(df, [column])[column]
+        return {"bins": histogram(df, column, known=known), "curve": histogram_curve(df, column, known=known)}
     if chart_type == "Bar Chart":
         return {"bars": bar_counts(df, column)}
     if chart_type == "Pie Chart":

@@ -21,6 +21,7 @@ from tabsieve.operators.schema import (
     require_numeric,
 )
 from tabsieve.plans.tall import tall
+from tabsieve.plans.together import together
 
 STATISTICS = (
     "count",
@@ -126,10 +127,15 @@ def describe(df: DataFrame, columns: Sequence[str], modes: bool = True) -> dict[
     """
     for c in columns:
         require_numeric(df, c)
-    stats = _moments(df, columns)
-    counted = distinct_and_mode(df, columns) if modes else {}
-    known = {c: Extent(s["count"], s["low"], s["high"]) for c, s in stats.items()}
-    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, known)
+
+    def ordered():
+        stats = _moments(df, columns)
+        known = {c: Extent(s["count"], s["low"], s["high"]) for c, s in stats.items()}
+        return stats, exact_quantiles(df, {c: QUARTILES for c in columns}, known)
+
+    (stats, quartiles), counted = together(
+        df.sparkSession, ordered, lambda: distinct_and_mode(df, columns) if modes else {}
+    )
     for c, s in stats.items():
         p25, median, p75 = (quartiles[c][q] for q in QUARTILES)
         unique, mode = counted.get(c, (None, None))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,12 @@ from tabsieve.operators.schema import (
     text_columns,
 )
 from tabsieve.plans.held import hold
-from tabsieve.plans.lookup import HOT_SHARE, lookup
+from tabsieve.plans.lookup import BROADCAST_ROWS, HOT_SHARE, lookup
+from tabsieve.plans.together import together
 
 SAMPLE_ROWS = 6
+# Rows at least this wide are hashed before they are compared in full.
+WIDE_ROW_BYTES = 64
 DIGITS = 4
 
 
@@ -37,20 +40,47 @@ def _no_maps(df: DataFrame) -> None:
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every row that occurs more than once, with its number of occurrences.
 
-    One shuffle of rows already combined within each task, so a row that fills
-    a third of the table crosses the network once per task.
+    Rows are combined within each task before they are shuffled, so a row that
+    fills a third of the table crosses the network once per task. Wide tables
+    first shuffle an 8-byte hash per row: only rows that share their hash with
+    another row can be duplicates. If such hashes are few they are broadcast
+    and only their rows are shuffled and compared in full.
     """
     _no_maps(df)
-    counted = finite_columns(df).groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    rows = finite_columns(df)
+    if _row_bytes(rows) >= WIDE_ROW_BYTES:
+        hashed = _row_hash(rows)
+        shared = rows.select(hashed.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+        shared = shared.where(F.col("__n") > 1).select("__h").limit(BROADCAST_ROWS + 1)
+        few = [r[0] for r in shared.collect()]
+        if len(few) <= BROADCAST_ROWS:
+            side = df.sparkSession.createDataFrame([(h,) for h in few], "__h bigint")
+            rows = rows.withColumn("__h", hashed).join(F.broadcast(side), "__h", "left_semi").drop("__h")
+    counted = rows.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     return counted.where(F.col("__n") > 1)
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def _row_bytes(df: DataFrame) -> int:
+    """Typical width of a row by its types."""
+    sizes = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "string": 20}
+    return sum(sizes.get(t, 8 if "<" not in t else 100) for _, t in df.dtypes)
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """Equal rows have equal hashes; adding zero makes -0.0 the zero it equals."""
+    floats = ("float", "double")
+    return F.xxhash64(*[col(c) + 0.0 if t in floats else col(c) for c, t in df.dtypes])
+
+
+def duplicate_count(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row: rows beyond the first of each group of identical rows."""
-    return duplicate_groups(df).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
+    groups = duplicate_groups(df) if groups is None else groups
+    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def duplicate_sample(df: DataFrame, order_by: Sequence[str], k: int = SAMPLE_ROWS) -> DataFrame:
+def duplicate_sample(
+    df: DataFrame, order_by: Sequence[str], k: int = SAMPLE_ROWS, groups: DataFrame | None = None
+) -> DataFrame:
     """The first k rows, in row order, among all members of duplicate groups.
 
     The first k groups hold the first k rows, and no more than k copies of any
@@ -60,7 +90,8 @@ def duplicate_sample(df: DataFrame, order_by: Sequence[str], k: int = SAMPLE_ROW
         require_column(df, c)
     rest = [col(f.name) for f in df.schema.fields if f.name not in order_by]
     keys = [col(c) for c in order_by] + rest
-    first = duplicate_groups(df).orderBy(*keys).limit(k)
+    groups = duplicate_groups(df) if groups is None else groups
+    first = groups.orderBy(*keys).limit(k)
     copies = F.sequence(F.lit(1), F.least(F.col("__n"), F.lit(k)).cast("int"))
     return (
         first.withColumn("__copy", F.explode(copies))
@@ -96,13 +127,19 @@ def null_report(df: DataFrame) -> DataFrame:
         if f.name in missing and not is_numeric(f) and not is_nested(f) and missing[f.name] < rows
     ]
     means, medians, modes = {}, {}, {}
-    if numeric:
-        got = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-        means = {c: got[f"m{i}"] for i, c in enumerate(numeric)}
-        found = exact_quantiles(df, {c: (0.5,) for c in numeric})
-        medians = {c: found[c][0.5] for c in numeric}
-    if other:
-        modes = {c: m for c, (_, m) in distinct_and_mode(df, other).items()}
+
+    def for_numbers():
+        if numeric:
+            got = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
+            means.update({c: got[f"m{i}"] for i, c in enumerate(numeric)})
+            found = exact_quantiles(df, {c: (0.5,) for c in numeric})
+            medians.update({c: found[c][0.5] for c in numeric})
+
+    def for_others():
+        if other:
+            modes.update({c: m for c, (_, m) in distinct_and_mode(df, other).items()})
+
+    together(df.sparkSession, for_numbers, for_others)
     out = [
         (
             f.name,
@@ -216,6 +253,10 @@ def _variant_keys(values: DataFrame) -> DataFrame:
     )
 
 
+VARIANTS = "column string, key string, variant string, n bigint"
+AFFECTED = "column string, groups bigint, total_affected bigint"
+
+
 def text_variants(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, key, variant, n) for keys with more than one spelling.
 
@@ -224,8 +265,12 @@ def text_variants(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, key string, variant string, n bigint")
-    values = hold(text_values(df, columns), "spellings")
+        return df.sparkSession.createDataFrame([], VARIANTS)
+    return _several(hold(text_values(df, columns), "spellings"))
+
+
+def _several(values: DataFrame) -> DataFrame:
+    """The spellings of keys that have more than one, from a held ``text_values``."""
     keys = _variant_keys(values).select(F.struct("column", "key").alias("id"), "variants")
     size = keys.agg(F.count(F.lit(1)).alias("n"), F.sum("variants").alias("rows")).first()
     # At most HOT_SHARE keys can own 1/HOT_SHARE of the spellings.
@@ -238,24 +283,40 @@ def text_affected(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """(column, groups, total_affected): rows that hold one of several spellings."""
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, groups bigint, total_affected bigint")
+        return df.sparkSession.createDataFrame([], AFFECTED)
+    return _affected(text_values(df, columns))
+
+
+def _affected(values: DataFrame) -> DataFrame:
     return (
-        _variant_keys(text_values(df, columns))
+        _variant_keys(values)
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("groups"), F.sum("affected").alias("total_affected"))
     )
 
 
 def detect_issues(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
-    """All detectors of one table, each result a DataFrame."""
+    """All detectors of one table, each result a DataFrame.
+
+    Duplicate groups and spellings are counted once, held, and read by both of
+    their detectors; the detectors' jobs run side by side.
+    """
+    spark, texts = df.sparkSession, text_columns(df)
+    groups, values, nulls, outliers = together(
+        spark,
+        lambda: hold(duplicate_groups(df), "duplicates"),
+        lambda: hold(text_values(df, texts), "spellings") if texts else None,
+        lambda: null_report(df),
+        lambda: outlier_report(df),
+    )
     return {
         "column_types": column_types(df),
-        "duplicates": duplicate_count(df),
-        "duplicate_sample": duplicate_sample(df, order_by),
-        "nulls": null_report(df),
-        "outliers": outlier_report(df),
-        "text_affected": text_affected(df),
-        "text_variants": text_variants(df),
+        "duplicates": duplicate_count(df, groups),
+        "duplicate_sample": duplicate_sample(df, order_by, groups=groups),
+        "nulls": nulls,
+        "outliers": outliers,
+        "text_affected": _affected(values) if texts else spark.createDataFrame([], AFFECTED),
+        "text_variants": _several(values) if texts else spark.createDataFrame([], VARIANTS),
     }
 
 

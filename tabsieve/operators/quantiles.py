@@ -80,27 +80,26 @@ def _cell(value: Column, part: _Interval) -> Column:
         low, high = _log_position_of(part.low), _log_position_of(part.high)
         value = _log_position(value)
         if high <= low:
-            return F.lit(0).cast("long")
+            return F.lit(0.0)
     else:
         low, high = part.low, part.high
     share = (value - F.lit(low)) / F.lit(high - low)
-    return F.least(F.greatest(F.floor(share * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("long")
+    return F.least(F.greatest(F.floor(share * CELLS), F.lit(0)), F.lit(CELLS - 1)).cast("double")
 
 
 def _count_cells(df: DataFrame, parts: Sequence[_Interval]) -> None:
     """One pass: fill ``cells`` of every interval with (count, min, max) in order."""
     # The disjunction on bare columns prunes row groups at the scan.
     near = [col(p.column).between(F.lit(p.low), F.lit(p.high)) for p in parts]
-    no_cell, no_value = F.lit(None).cast("long"), F.lit(None).cast("double")
-    rows: list[tuple[Column, Column, Column]] = []
+    rows: list[tuple[Column, Column]] = []
     for p in parts:
         v = number(df, p.column)
         x = F.when(v.between(F.lit(p.low), F.lit(p.high)), v)
-        rows.append((x, no_cell, x) if p.count <= FETCH_ROWS else (x, _cell(x, p), no_value))
+        rows.append((x, x if p.count <= FETCH_ROWS else _cell(x, p)))
     counted = (
-        tall(df.where(reduce(lambda a, b: a | b, near)), rows, ("x", "cell", "own"))
+        tall(df.where(reduce(lambda a, b: a | b, near)), rows, ("x", "cell"))
         .where(F.col("x").isNotNull())
-        .groupBy("idx", "cell", "own")
+        .groupBy("idx", "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )
     for p in parts:

@@ -30,7 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tabsieve/{label}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tabsieve/{spark.sparkContext.applicationId}"
 
 
 def hold(df: DataFrame, label: str) -> DataFrame:
@@ -43,15 +47,20 @@ def hold(df: DataFrame, label: str) -> DataFrame:
 
 def drop_held(df: DataFrame) -> None:
     """Delete the files behind a held table once nothing reads it any more."""
-    spark = df.sparkSession
-    root = f"{shared_folder(spark)}/tabsieve/"
-    jvm = spark._jvm
-    hadoop = spark._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
-            path.getFileSystem(hadoop).delete(path, True)
+    root = _session_folder(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"{root.split(':', 1)[-1].lstrip('/')}/" in folder:
+            _delete(df.sparkSession, folder)
+
+
+def release_held(spark: SparkSession) -> None:
+    """Delete every table this session held, including those behind lazy results."""
+    _delete(spark, _session_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

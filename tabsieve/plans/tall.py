@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# More rows per input row than this would outgrow one generated method.
+ROWS_PER_EXPAND = 64
+
 
 def tall(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """(idx, *names): each input row gives one output row per entry of ``rows``.
 
     ``rows[i]`` are the expressions of the output row with idx i; entries of the
-    same position share a type. The plan is one Expand, so nothing is shuffled.
+    same position share a type. The plan is one Expand per ROWS_PER_EXPAND
+    entries, each reading its own columns; nothing is shuffled.
     """
-    wide = [F.lit(i).alias(f"i{i}") for i in range(len(rows))]
-    wide += [c.alias(f"c{i}_{j}") for i, row in enumerate(rows) for j, c in enumerate(row)]
+    starts = range(0, len(rows), ROWS_PER_EXPAND)
+    return reduce(DataFrame.unionAll, [_expand(df, rows, names, s) for s in starts])
+
+
+def _expand(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str], start: int) -> DataFrame:
+    numbers = range(start, min(start + ROWS_PER_EXPAND, len(rows)))
+    wide = [F.lit(i).alias(f"i{i}") for i in numbers]
+    wide += [c.alias(f"c{i}_{j}") for i in numbers for j, c in enumerate(rows[i])]
     parts = [
-        "(" + ", ".join([f"i{i}", *[f"c{i}_{j}" for j in range(len(names))]]) + f") AS `{i}`"
-        for i in range(len(rows))
+        "(" + ", ".join([f"i{i}", *[f"c{i}_{j}" for j in range(len(names))]]) + f") AS `{i}`" for i in numbers
     ]
     shape = ", ".join(["idx", *names])
     return df.sparkSession.sql(
