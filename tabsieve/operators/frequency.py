@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, present
+from tabsieve.functions.values import col, present, text_id
 from tabsieve.operators.schema import is_integral, require_column
 from tabsieve.plans.tall import tall
 
@@ -89,6 +89,19 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), F.asc("value")).limit(k)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact distinct count per column; long texts travel as their ids."""
+    short = df.select(
+        *[
+            text_id(col(c)).alias(c) if isinstance(require_column(df, c).dataType, T.StringType) else col(c)
+            for c in columns
+        ]
+    )
+    table, _ = typed_frequencies(short, columns)
+    found = {r["idx"]: r["d"] for r in table.groupBy("idx").agg(F.count(F.lit(1)).alias("d")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
 def distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, object]]:
     """Exact distinct count and mode (smallest of the ties) per column."""
     table, slots = typed_frequencies(df, columns)

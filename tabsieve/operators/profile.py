@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.values import col, number, present
-from tabsieve.operators.frequency import distinct_and_mode
+from tabsieve.operators.frequency import distinct_and_mode, distinct_counts
 from tabsieve.operators.quantiles import Extent, exact_quantiles
 from tabsieve.operators.schema import (
     is_integral,
@@ -248,11 +248,11 @@ def categorical_summary(
     nulls = df.agg(
         *[F.count_if(present(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
-    counted = distinct_and_mode(df, columns)
+    counted = distinct_counts(df, columns)
     tops = [
         first_values(df, c, order_by, k).select(F.lit(i).alias("i"), "sample")
         for i, c in enumerate(columns)
     ]
     samples = {r["i"]: r["sample"] for r in reduce(DataFrame.unionAll, tops).collect()}
-    rows = [(c, counted[c][0], nulls[f"c{i}"], samples[i]) for i, c in enumerate(columns)]
+    rows = [(c, counted[c], nulls[f"c{i}"], samples[i]) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, schema)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, finite_columns, number, present, text_key
-from tabsieve.operators.frequency import distinct_and_mode, typed_frequencies
+from tabsieve.functions.values import col, finite_columns, number, present, text_id, text_key
+from tabsieve.operators.frequency import distinct_and_mode
 from tabsieve.operators.quantiles import Extent, exact_quantiles, extents
 from tabsieve.operators.schema import (
     column_types,
@@ -23,6 +23,7 @@ from tabsieve.operators.schema import (
 )
 from tabsieve.plans.held import hold
 from tabsieve.plans.lookup import BROADCAST_ROWS, HOT_SHARE, lookup
+from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
 
 SAMPLE_ROWS = 6
@@ -232,22 +233,26 @@ def outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, key, variant, n): frequency of every spelling and its normal form."""
-    table, slots = typed_frequencies(df, columns)
-    names = F.array(*[F.lit(c) for c in columns])
-    value = F.col(next(iter(slots.values())))
-    return table.select(
-        F.element_at(names, F.col("idx") + 1).alias("column"),
-        text_key(value).alias("key"),
-        value.alias("variant"),
-        "n",
-    )
+def _column_name(columns: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("idx") + 1).alias("column")
+
+
+def _spellings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(idx, key_id, variant): the normal form's id and the text of every value."""
+    rows = [(text_id(text_key(col(c))), col(c)) for c in columns]
+    return tall(df, rows, ("key_id", "variant")).where(F.col("variant").isNotNull())
+
 
+def text_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(idx, key_id, variants, affected) of normal forms with more than one spelling.
 
-def _variant_keys(values: DataFrame) -> DataFrame:
+    Two aggregations over ids: first rows per spelling, then spellings per
+    normal form. Long texts are represented by their hash in both.
+    """
+    ids = _spellings(df, columns).select("idx", "key_id", text_id(F.col("variant")).alias("variant_id"))
+    counted = ids.groupBy("idx", "key_id", "variant_id").agg(F.count(F.lit(1)).alias("n"))
     return (
-        values.groupBy("column", "key")
+        counted.groupBy("idx", "key_id")
         .agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("affected"))
         .where(F.col("variants") > 1)
     )
@@ -257,55 +262,57 @@ VARIANTS = "column string, key string, variant string, n bigint"
 AFFECTED = "column string, groups bigint, total_affected bigint"
 
 
-def text_variants(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, key, variant, n) for keys with more than one spelling.
+def text_variants(
+    df: DataFrame, columns: Sequence[str] | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """(column, key, variant, n) for normal forms with more than one spelling.
 
-    One row per spelling, so a key with very many spellings is never gathered
-    in one place; order by (column, key, variant) to read it.
+    One row per spelling, so a normal form with very many spellings is never
+    gathered in one place; order by (column, key, variant) to read it. ``ids``
+    is a held ``text_ids`` table, if the caller has one.
     """
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], VARIANTS)
-    return _several(hold(text_values(df, columns), "spellings"))
-
-
-def _several(values: DataFrame) -> DataFrame:
-    """The spellings of keys that have more than one, from a held ``text_values``."""
-    keys = _variant_keys(values).select(F.struct("column", "key").alias("id"), "variants")
+    keys = (hold(text_ids(df, columns), "variants") if ids is None else ids).select(
+        F.struct("idx", "key_id").alias("id"), "variants"
+    )
     size = keys.agg(F.count(F.lit(1)).alias("n"), F.sum("variants").alias("rows")).first()
-    # At most HOT_SHARE keys can own 1/HOT_SHARE of the spellings.
+    # At most HOT_SHARE normal forms can own 1/HOT_SHARE of the spellings.
     hot = keys.where(F.col("variants") >= F.lit(size["rows"] or 1) / HOT_SHARE)
-    found = lookup(values, F.struct("column", "key"), keys, "id", size["n"], hot)
-    return found.where(F.col("variants").isNotNull()).select("column", "key", "variant", "n")
+    values = _spellings(df, columns).withColumn("n", F.lit(1).cast("long"))
+    if size["n"] > BROADCAST_ROWS:  # the lookup will shuffle: send every spelling once
+        values = values.groupBy("idx", "key_id", "variant").agg(F.sum("n").alias("n"))
+    marked = lookup(values, F.struct("idx", "key_id"), keys, "id", size["n"], hot)
+    found = marked.where(F.col("variants").isNotNull()).groupBy("idx", "variant").agg(F.sum("n").alias("n"))
+    return found.select(_column_name(columns), text_key(F.col("variant")).alias("key"), "variant", "n")
 
 
-def text_affected(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def text_affected(
+    df: DataFrame, columns: Sequence[str] | None = None, ids: DataFrame | None = None
+) -> DataFrame:
     """(column, groups, total_affected): rows that hold one of several spellings."""
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], AFFECTED)
-    return _affected(text_values(df, columns))
-
-
-def _affected(values: DataFrame) -> DataFrame:
-    return (
-        _variant_keys(values)
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("groups"), F.sum("affected").alias("total_affected"))
+    found = text_ids(df, columns) if ids is None else ids
+    sums = found.groupBy("idx").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("affected").alias("total_affected")
     )
+    return sums.select(_column_name(columns), "groups", "total_affected")
 
 
 def detect_issues(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
     """All detectors of one table, each result a DataFrame.
 
-    Duplicate groups and spellings are counted once, held, and read by both of
+    Duplicate groups and normal forms are counted once, held, and read by both of
     their detectors; the detectors' jobs run side by side.
     """
     spark, texts = df.sparkSession, text_columns(df)
-    groups, values, nulls, outliers = together(
+    groups, ids, nulls, outliers = together(
         spark,
         lambda: hold(duplicate_groups(df), "duplicates"),
-        lambda: hold(text_values(df, texts), "spellings") if texts else None,
+        lambda: hold(text_ids(df, texts), "variants") if texts else None,
         lambda: null_report(df),
         lambda: outlier_report(df),
     )
@@ -315,8 +322,8 @@ def detect_issues(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame
         "duplicate_sample": duplicate_sample(df, order_by, groups=groups),
         "nulls": nulls,
         "outliers": outliers,
-        "text_affected": _affected(values) if texts else spark.createDataFrame([], AFFECTED),
-        "text_variants": _several(values) if texts else spark.createDataFrame([], VARIANTS),
+        "text_affected": text_affected(df, texts, ids),
+        "text_variants": text_variants(df, texts, ids),
     }
 
 

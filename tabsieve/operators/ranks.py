@@ -20,7 +20,7 @@ from tabsieve.operators.schema import require_numeric
 from tabsieve.plans.tall import tall
 
 BUCKET_VALUES = 500_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 20_000
 _SAMPLE_PER_BUCKET = 64
 
 

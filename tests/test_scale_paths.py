@@ -21,6 +21,7 @@ def plan(df):
 def small_limits(monkeypatch):
     monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(cleaning, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(quantiles, "FETCH_ROWS", 4)
     monkeypatch.setattr(quantiles, "CELLS", 8)
     monkeypatch.setattr(quantiles, "INTERVALS_PER_PASS", 2)
