@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,15 +13,19 @@ from pyspark.sql import functions as F
 from tabsieve.functions.rounding import half_up
 from tabsieve.functions.student import correlation_p_value
 from tabsieve.functions.values import number
+from tabsieve.operators.profile import moments
 from tabsieve.operators.ranks import average_ranks, count_values, distinct_sizes
 from tabsieve.operators.schema import numeric_columns, require_numeric
 from tabsieve.plans.held import held
 from tabsieve.plans.lookup import HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
+from tabsieve.plans.together import together
 
 METHODS = ("pearson", "spearman")
 # Pairs per aggregate; more pairs take further scans of the table.
 PAIRS_PER_SCAN = 256
+# Plain sums that fit into one method small enough to be compiled.
+PRODUCTS_PER_SCAN = 40
 # The sentence that explains a fit and its error, and the grades of R2.
 FIT_SENTENCE = (
     "For each unit increase in '%s', '%s' %s by %.4f. The model explains %.1f%% of variance (%s fit)."
@@ -57,10 +63,61 @@ def _pair_moments(df: DataFrame, pairs: Sequence[tuple[Column, Column]]) -> list
     return out
 
 
+def _centered_products(
+    df: DataFrame, values: dict[str, Column], pairs: Sequence[Pair]
+) -> dict[Pair, float]:
+    """Sums of products of centred columns that have no missing values.
+
+    Plain sums cost a few nanoseconds per pair and row. A scan carries as many
+    as one compiled method can hold; further pairs are scanned in the same job.
+    """
+    own = {c: f"v{i}" for i, c in enumerate(values)}
+    centred = df.select(*[values[c].alias(v) for c, v in own.items()])
+    scans = []
+    for start in range(0, len(pairs), PRODUCTS_PER_SCAN):
+        part = pairs[start : start + PRODUCTS_PER_SCAN]
+        sums = centred.agg(*[F.sum(F.col(own[a]) * F.col(own[b])).alias(f"s{i}") for i, (a, b) in enumerate(part)])
+        scans.append(sums.select(F.lit(start).alias("start"), F.array(*sums.columns).alias("sums")))
+    out: dict[Pair, float] = {}
+    for r in reduce(DataFrame.unionAll, scans).collect():
+        out.update(zip(pairs[r["start"] :], r["sums"]))
+    return out
+
+
+def _complete_pairs(
+    df: DataFrame, values: dict[str, Column], rows: int, constant: set[str], pairs: Sequence[Pair]
+) -> dict[Pair, tuple[int, float | None]]:
+    """(n, r) of pairs of centred columns without missing values."""
+    if not pairs:
+        return {}
+    used = list(dict.fromkeys(c for p in pairs for c in p if c not in constant))
+    open_pairs = [p for p in pairs if not constant & set(p)]
+    sums = _centered_products(
+        df, {c: values[c] for c in used}, [*dict.fromkeys([*open_pairs, *((c, c) for c in used)])]
+    ) if used else {}
+    out: dict[Pair, tuple[int, float | None]] = {}
+    for a, b in pairs:
+        spread = 0.0 if constant & {a, b} else math.sqrt(sums[(a, a)]) * math.sqrt(sums[(b, b)])
+        r = max(-1.0, min(1.0, sums[(a, b)] / spread)) if spread and rows > 1 else None
+        out[(a, b)] = (rows, r)
+    return out
+
+
 def _pearson(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> list[tuple[int, float | None]]:
-    values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    at = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
-    return _pair_moments(values, [(at[a], at[b]) for a, b in pairs])
+    """Plain centred sums where both columns are complete, pairwise moments elsewhere."""
+    seen = moments(df, columns, ("mean",))
+    complete = {c for c in columns if seen[c]["count"] and not seen[c]["null_count"]}
+    easy = [p for p in pairs if complete.issuperset(p)]
+    hard = [p for p in pairs if not complete.issuperset(p)]
+    centred = {c: number(df, c) - F.lit(seen[c]["mean"]) for c in complete}
+    constant = {c for c in complete if seen[c]["low"] == seen[c]["high"]}
+    found, rest = together(
+        df.sparkSession,
+        lambda: _complete_pairs(df, centred, seen[columns[0]]["rows"], constant, easy),
+        lambda: _pair_moments(df, [(number(df, a), number(df, b)) for a, b in hard]) if hard else [],
+    )
+    found.update(zip(hard, rest))
+    return [found[p] for p in pairs]
 
 
 def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> list[tuple[int, float | None]]:
@@ -101,7 +158,21 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
                 return F.col(f"r{own}") if j is None else F.when(F.col(names[other]).isNotNull(), F.col(f"r{own}_{j}"))
 
             at = {c: i for i, c in enumerate(columns)}
-            return _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in pairs])
+            rows = counts["rows"]
+            complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
+            easy = [p for p in pairs if complete.issuperset(p)]
+            hard = [p for p in pairs if not complete.issuperset(p)]
+            centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
+            constant = {c for c in complete if sizes[at[c]] == 1}
+            found, rest = together(
+                df.sparkSession,
+                lambda: _complete_pairs(out, centred, rows, constant, easy),
+                lambda: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in hard])
+                if hard
+                else [],
+            )
+            found.update(zip(hard, rest))
+            return [found[p] for p in pairs]
 
 
 def _pairs(df: DataFrame, method: str, columns: Sequence[str], pairs: Sequence[Pair]):

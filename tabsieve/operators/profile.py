@@ -66,7 +66,7 @@ def sample_kurtosis(value: Column) -> Column:
 _MOMENTS = ("mean", "variance", "skewness", "kurtosis")
 
 
-def _moments(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = _MOMENTS) -> dict[str, dict]:
+def moments(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = _MOMENTS) -> dict[str, dict]:
     """Order-free statistics of all columns in one scan, one group per column.
 
     The grouped form keeps the generated code small and gives every column its
@@ -96,10 +96,11 @@ def _moments(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = _MOM
     for i, c in enumerate(columns):
         r = by_index.get(i)
         if r is None:  # empty table
-            out[c] = dict.fromkeys(("low", "high", "min", "max", *wanted)) | {"count": 0, "null_count": 0}
+            out[c] = dict.fromkeys(("low", "high", "min", "max", *wanted)) | {"rows": 0, "count": 0, "null_count": 0}
             continue
         exact = r["whole_low"] is not None
         out[c] = {
+            "rows": r["rows"],
             "count": r["count"],
             "null_count": r["rows"] - r["count"],
             "low": r["low"],
@@ -129,7 +130,7 @@ def describe(df: DataFrame, columns: Sequence[str], modes: bool = True) -> dict[
         require_numeric(df, c)
 
     def ordered():
-        stats = _moments(df, columns)
+        stats = moments(df, columns)
         known = {c: Extent(s["count"], s["low"], s["high"]) for c, s in stats.items()}
         return stats, exact_quantiles(df, {c: QUARTILES for c in columns}, known)
 
@@ -202,7 +203,7 @@ def column_statistics(df: DataFrame, column: str) -> DataFrame:
 def numeric_summary(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """(column, mean, std, min, max, nulls) per numeric column from one aggregate."""
     columns = numeric_columns(df)
-    stats = _moments(df, columns, ("mean", "variance")) if columns else {}
+    stats = moments(df, columns, ("mean", "variance")) if columns else {}
     rows = [
         (c, s["mean"], None if s["variance"] is None else s["variance"] ** 0.5, s["low"], s["high"], s["null_count"])
         for c, s in stats.items()
