@@ -33,6 +33,9 @@ MISSING_TOKENS = (
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 
+# Texts of this length and more are represented by a hash of this length.
+ID_LENGTH = 64
+
 _FLOATS = (T.FloatType, T.DoubleType)
 
 
@@ -82,11 +85,11 @@ def text_key(value: Column) -> Column:
 
 
 def text_id(value: Column) -> Column:
-    """Short stand-in that is equal for equal texts only: SHA-256 from 64 characters on.
+    """Short stand-in that is equal for equal texts only: SHA-256 from ID_LENGTH characters on.
 
     Long texts are counted and compared by it, so their bodies need no shuffle.
     """
-    return F.when(F.char_length(value) < 64, value).otherwise(F.sha2(value, 256))
+    return F.when(F.char_length(value) < ID_LENGTH, value).otherwise(F.sha2(value, 256))
 
 
 def plain_number(text: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, present, text_id
+from tabsieve.functions.values import ID_LENGTH, col, present, text_id
 from tabsieve.operators.schema import is_integral, require_column
+from tabsieve.plans.lookup import BROADCAST_ROWS
 from tabsieve.plans.tall import tall
 
 
@@ -89,34 +90,61 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), F.asc("value")).limit(k)
 
 
+def _by_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns with every text replaced by its id."""
+    return df.select(
+        *[text_id(col(c)).alias(c) if _is_string(require_column(df, c)) else col(c) for c in columns]
+    )
+
+
+def _is_string(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Exact distinct count per column; long texts travel as their ids."""
-    short = df.select(
-        *[
-            text_id(col(c)).alias(c) if isinstance(require_column(df, c).dataType, T.StringType) else col(c)
-            for c in columns
-        ]
-    )
-    table, _ = typed_frequencies(short, columns)
+    table, _ = typed_frequencies(_by_ids(df, columns), columns)
     found = {r["idx"]: r["d"] for r in table.groupBy("idx").agg(F.count(F.lit(1)).alias("d")).collect()}
     return {c: found.get(i, 0) for i, c in enumerate(columns)}
 
 
 def distinct_and_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, object]]:
     """Exact distinct count and mode (smallest of the ties) per column."""
-    table, slots = typed_frequencies(df, columns)
+    table, slots = typed_frequencies(_by_ids(df, columns), columns)
     used = list(dict.fromkeys(slots.values()))
+    texts = [slots[c] for c in columns if _is_string(df.schema[c])][:1]
+    hashed = F.max(F.char_length(texts[0]) >= ID_LENGTH) if texts else F.lit(None).cast("boolean")
     # Few different counts exist, so grouping by count first leaves little to
-    # compare; its buffers are plain numbers, which hash aggregation needs.
+    # compare; numeric buffers let it run as a hash aggregation.
     by_count = table.groupBy("idx", "n").agg(
-        F.count(F.lit(1)).alias("values"), *[F.min(s).alias(s) for s in used]
+        F.count(F.lit(1)).alias("values"), hashed.alias("hashed"), *[F.min(s).alias(s) for s in used]
     )
     best = by_count.groupBy("idx").agg(
-        F.sum("values").alias("distinct"), F.max_by(F.struct(*used), F.col("n")).alias("mode")
+        F.sum("values").alias("distinct"), F.max_by(F.struct("n", "hashed", *used), F.col("n")).alias("top")
     )
-    found = {r["idx"]: (r["distinct"], r["mode"]) for r in best.collect()}
+    found = {r["idx"]: (r["distinct"], r["top"]) for r in best.collect()}
     out: dict[str, tuple[int, object]] = {}
     for i, c in enumerate(columns):
-        distinct, mode = found.get(i, (0, None))
-        out[c] = (distinct, mode[slots[c]] if mode is not None else None)
+        distinct, top = found.get(i, (0, None))
+        if top is None:
+            out[c] = (distinct, None)
+        elif top["hashed"]:
+            out[c] = (distinct, _mode_of_long_texts(df, c, top["n"]))
+        else:
+            out[c] = (distinct, top[slots[c]])
     return out
+
+
+def _mode_of_long_texts(df: DataFrame, column: str, n: int) -> str:
+    """The smallest of the texts that occur n times, n being the highest count."""
+    rows = df.select(col(column).alias("value")).where(F.col("value").isNotNull())
+    if n == 1:  # no text occurs twice, so all of them are tied
+        return rows.agg(F.min("value")).first()[0]
+    by_id = rows.withColumn("id", text_id(F.col("value")))
+    tied = by_id.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("id")
+    few = [r["id"] for r in tied.limit(BROADCAST_ROWS + 1).collect()]
+    if len(few) <= BROADCAST_ROWS:
+        side = df.sparkSession.createDataFrame([(x,) for x in few], "id string")
+        return by_id.join(F.broadcast(side), "id", "left_semi").agg(F.min("value")).first()[0]
+    counts = value_counts(df, column)
+    return counts.where(F.col("n") == n).agg(F.min("value")).first()[0]

@@ -17,6 +17,7 @@ from tabsieve.functions.values import (
     strip_text,
 )
 from tabsieve.operators.schema import text_columns
+from tabsieve.plans.tall import tall
 
 FORMATS = {
     ".csv": "csv",
@@ -41,7 +42,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, multi_lin
     if fmt == "csv":
         return read_csv(spark, path, multi_line)
     if fmt in ("json", "jsonl"):
-        return read_json(spark, path, records_array=fmt == "json")
+        return read_json(spark, path, records_array=fmt == "json" and _holds_array(spark, path))
     if fmt in ("parquet", "orc"):
         return distinct_names(finite_columns(spark.read.format(fmt).load(path)))
     raise ValueError(f"Unsupported type '{fmt}'.")
@@ -97,36 +98,42 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if not columns:
         return df
     clean = normalize_missing(df, columns)
-    exprs = []
-    for i, c in enumerate(columns):
-        bare = strip_text(col(c))
-        floats = plain_number(bare).isNotNull() | bare.rlike(_INFINITE)
-        exprs += [
-            F.count(col(c)).alias(f"n{i}"),
-            F.count(_whole(bare)).alias(f"whole{i}"),
-            F.count_if(floats).alias(f"float{i}"),
-            F.count(_truth(col(c))).alias(f"truth{i}"),
-        ]
-    fits = clean.agg(*exprs).first()
+    bare = strip_text(F.col("v"))
+    counts = (
+        tall(clean, [[col(c)] for c in columns], ["v"])
+        .groupBy("idx")
+        .agg(
+            F.count("v").alias("n"),
+            F.count(_whole(bare)).alias("whole"),
+            F.count_if(plain_number(bare).isNotNull() | bare.rlike(_INFINITE)).alias("float"),
+            F.count(_truth(F.col("v"))).alias("truth"),
+        )
+    )
+    fits = {columns[r["idx"]]: r for r in counts.collect()}
     out = []
     for c in clean.columns:
         if c not in columns:
             out.append(col(c))
             continue
-        i = columns.index(c)
-        n = fits[f"n{i}"]
-        bare = strip_text(col(c))
-        if n == 0 or (fits[f"whole{i}"] < n and fits[f"float{i}"] == n):
+        found, bare = fits.get(c), strip_text(col(c))
+        n = found["n"] if found else 0
+        if n == 0 or (found["whole"] < n and found["float"] == n):
             out.append(plain_number(bare).alias(c))
-        elif fits[f"whole{i}"] == n:
+        elif found["whole"] == n:
             out.append(_whole(bare).alias(c))
-        elif fits[f"truth{i}"] == n:
+        elif found["truth"] == n:
             out.append(_truth(col(c)).alias(c))
         else:
             out.append(col(c))
     return clean.select(*out)
 
 
+def _holds_array(spark: SparkSession, path: str) -> bool:
+    """Whether the text starts an array; reading lines as an array would lose rows."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return first is not None and first["value"].lstrip().startswith("[")
+
+
 def read_json(spark: SparkSession, path: str, records_array: bool = False) -> DataFrame:
     """JSON records: one per line, or one array of records per file.
 
@@ -134,6 +141,6 @@ def read_json(spark: SparkSession, path: str, records_array: bool = False) -> Da
     Date-like text stays text until it is cast.
     """
     df = spark.read.option("multiLine", records_array).json(path)
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
+    if "_corrupt_record" in df.columns:
         raise ValueError(f"Could not parse {path} as JSON records.")
     return distinct_names(finite_columns(df))

@@ -181,3 +181,25 @@ def test_density_curve_against_brute_force(spark):
     wide = chartdata.violin_curve(df, "x").orderBy("point").toPandas()
     area = np.trapezoid(wide["density"], wide["x"])
     assert area == pytest.approx(1.0, abs=0.02)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_mode_of_long_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(frequency, "BROADCAST_ROWS", limit)
+    long = [chr(ord("z") - i) * 100 for i in range(6)]
+    once = spark.createDataFrame([(t,) for t in long] + [(None,)], "t string")
+    assert frequency.distinct_and_mode(once, ["t"])["t"] == (6, long[-1])
+    tied = once.union(once.where(F.col("t").isin(long[1], long[3]))).union(spark.createDataFrame([("short",)] * 2, "t string"))
+    assert frequency.distinct_and_mode(tied, ["t"])["t"] == (7, "short")
+    more = tied.union(once.where(F.col("t").isin(long[1], long[3])))
+    assert frequency.distinct_and_mode(more, ["t"])["t"] == (7, long[3])
+    assert frequency.distinct_counts(more, ["t"]) == {"t": 7}
+
+
+def test_mode_of_the_documents(spark):
+    documents = table(spark, FOLDER, "documents")
+    found = profile.column_statistics(documents, "text").first()
+    texts = [r["text"] for r in documents.select("text").collect()]
+    top = max(texts.count(t) for t in texts)
+    assert found["unique"] == len(set(texts))
+    assert found["mode"] == min(t for t in texts if texts.count(t) == top)

@@ -56,6 +56,7 @@ def test_json_arrays_and_lines(spark, tmp_path):
     df = readers.load_table(spark, array)
     assert df.columns == ["a", "b", "n"] and df.count() == 2
     assert readers.load_table(spark, lines).count() == 2
+    assert readers.load_table(spark, put(tmp_path, "l.json", '{"b": 1}\n{"b": 2}\n')).count() == 2
     with pytest.raises(ValueError, match="Could not parse"):
         readers.load_table(spark, put(tmp_path, "bad.jsonl", "not json\n"))
 
