@@ -63,11 +63,23 @@ def present(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
+def is_present(df: DataFrame, name: str) -> Column:
+    """Condition for a value that is not missing, simple enough for the scan."""
+    if isinstance(df.schema[name].dataType, _FLOATS):
+        return F.abs(col(name)) < F.lit(float("inf"))
+    return col(name).isNotNull()
+
+
+def double(df: DataFrame, name: str) -> Column:
+    """The column as double, for rows already known to be finite."""
+    return col(name) if isinstance(df.schema[name].dataType, T.DoubleType) else col(name).cast("double")
+
+
 def number(df: DataFrame, name: str) -> Column:
     """The column as a finite double."""
-    if isinstance(df.schema[name].dataType, T.DoubleType):
-        return finite(col(name))
-    return present(df, name).cast("double")
+    if isinstance(df.schema[name].dataType, _FLOATS):
+        return finite(double(df, name))
+    return double(df, name)
 
 
 def missing_to_null(value: Column) -> Column:

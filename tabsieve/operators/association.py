@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.rounding import half_up
 from tabsieve.functions.student import correlation_p_value
-from tabsieve.functions.values import number
+from tabsieve.functions.values import double, number
 from tabsieve.operators.profile import moments
 from tabsieve.operators.ranks import average_ranks, count_values, distinct_sizes
-from tabsieve.operators.schema import numeric_columns, require_numeric
+from tabsieve.operators.schema import complete_rows, numeric_columns, require_numeric
 from tabsieve.plans.held import held
 from tabsieve.plans.lookup import HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
@@ -146,8 +146,9 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
                 mine = ranked.where(F.col("idx") == i)
                 # No more than HOT_SHARE values can hold 1/HOT_SHARE of the rows.
                 heavy = mine.where(F.col("n") >= F.lit(counts["rows"]) / HOT_SHARE)
+                width = 16 * (len(used) + 1)
                 out = lookup(
-                    out, F.col(name), mine.select("value", *used), "value", sizes[i], heavy.select("value", *used)
+                    out, F.col(name), mine.select("value", *used), "value", sizes[i] * width, heavy.select("value", *used)
                 )
             index = {p: j for j, p in enumerate(partners)}
 
@@ -232,8 +233,8 @@ def linear_regression(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
     require_numeric(df, x_col)
     require_numeric(df, y_col)
     x, y = F.col("x"), F.col("y")
-    both = df.select(number(df, x_col).alias("x"), number(df, y_col).alias("y"))
-    both = both.where(x.isNotNull() & y.isNotNull())
+    complete = complete_rows(df, x_col, y_col)
+    both = complete.select(double(df, x_col).alias("x"), double(df, y_col).alias("y"))
     sums = both.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("x").alias("mx"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, number
+from tabsieve.functions.values import col, double, is_present, number
 from tabsieve.operators.association import correlation_matrix
 from tabsieve.operators.frequency import top_values
 from tabsieve.operators.quality import Fences, fences
@@ -128,7 +128,7 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, known: Fences
     known = known or fences(df, [column])[column]
     low, high, auto = auto_bins(known, is_integral(field))
     bins = auto if bins is None else bins
-    value = number(df, column)
+    value = double(df, column)
     step = F.lit((high - low) / bins)
     # The edges as shown decide: a value rounded across one goes back.
     near = _equal_cell(value, low, high, bins).cast("long")
@@ -138,8 +138,8 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, known: Fences
         .otherwise(F.lit(0))
     )
     counts = (
-        df.select(value.alias("v"), near.alias("near"))
-        .where(F.col("v").isNotNull())
+        df.where(is_present(df, column))
+        .select(value.alias("v"), near.alias("near"))
         .groupBy((F.col("near") + shift).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -275,10 +275,10 @@ def _density(df: DataFrame, column: str, k: _Kernel, start: float, stop: float,
     then adds to the grid points within the kernel's reach only, and the sums
     are combined within the tasks before ``points`` groups are shuffled.
     """
-    v = number(df, column)
+    v = double(df, column)
     cell = F.floor((v - F.lit(k.low)) / F.lit(k.bandwidth / CELLS_PER_BANDWIDTH))
     cells = (
-        df.where(v.isNotNull())
+        df.where(is_present(df, column))
         .groupBy(cell.alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("at"))
     )

@@ -21,7 +21,7 @@ from tabsieve.operators.quality import _no_maps
 from tabsieve.operators.quantiles import Extent, exact_quantiles
 from tabsieve.operators.schema import CATEGORY, is_numeric, within
 from tabsieve.plans.held import hold
-from tabsieve.plans.lookup import BROADCAST_ROWS, HOT_SHARE, lookup
+from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup, measured_bytes
 
 # The accepted operation types, methods and target types.
 TYPES = ("remove_duplicates", "fill_nulls", "remove_outliers", "normalize", "fix_text", "cast_type")
@@ -231,15 +231,15 @@ def _fit_mapping(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> St
             return Step("replace", column, {"mapping": dict(pairs)})
         mapping = df.sparkSession.createDataFrame(pairs, "value string, replacement string")
     table = mapping.groupBy("value").agg(F.min("replacement").alias("replacement"))
-    rows = table.count()
-    hot = None
-    if rows > BROADCAST_ROWS:
+    size, hot = measured_bytes(table), None
+    if size > BROADCAST_BYTES:
         counts = value_counts(df, column)
         total = counts.agg(F.sum("n")).first()[0] or 1
         # No more than HOT_SHARE values can hold 1/HOT_SHARE of the rows.
         heavy = counts.where(F.col("n") >= F.lit(total) / HOT_SHARE).select("value")
-        hot = table.join(F.broadcast(heavy), "value", "left_semi")
-    return Step("replace_joined", column, {"mapping": table, "rows": rows, "hot": hot})
+        hot = hold(table.join(heavy, "value", "left_semi"), "hot-values")
+        hot = hot if measured_bytes(hot) <= BROADCAST_BYTES else None
+    return Step("replace_joined", column, {"mapping": table, "bytes": size, "hot": hot})
 
 
 def _replace_column(df: DataFrame, name: str, value: Column, metadata: dict | None = None) -> DataFrame:
@@ -281,7 +281,7 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         return df.where(col(c).isNotNull())
     if kind == "keep_range":
         # A NULL is not inside the range, so rows without a value go as well.
-        return df.where(within(number(df, c), v["low"], v["high"]))
+        return df.where(within(col(c), v["low"], v["high"]))
     if kind == "fill":
         return _replace_column(df, c, F.coalesce(col(c), F.lit(v["value"]).cast(df.schema[c].dataType)))
     if kind == "fill_double":
@@ -301,7 +301,7 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         hot = v["hot"].withColumn("__hit", F.lit(True)) if v["hot"] is not None else None
         renamed = marked.withColumnRenamed("replacement", "__new")
         hot = hot.withColumnRenamed("replacement", "__new") if hot is not None else None
-        joined = lookup(df, col(c), renamed, "value", v["rows"], hot)
+        joined = lookup(df, col(c), renamed, "value", v["bytes"], hot)
         new = F.when(F.col("__hit"), F.col("__new")).otherwise(col(c))
         keep = df.schema[c].metadata
         return joined.select(*[new.alias(c, metadata=keep) if n == c else col(n) for n in df.columns])

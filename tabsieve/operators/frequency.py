@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import ID_LENGTH, col, present, text_id
+from tabsieve.functions.values import ID_LENGTH, col, is_present, present, text_id
 from tabsieve.operators.schema import is_integral, require_column
 from tabsieve.plans.lookup import BROADCAST_ROWS
 from tabsieve.plans.tall import tall
@@ -78,8 +78,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n) of one column with its own type; missing values excluded."""
     require_column(df, column)
     return (
-        df.select(present(df, column).alias("value"))
-        .where(F.col("value").isNotNull())
+        df.where(is_present(df, column))
+        .select(col(column).alias("value"))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

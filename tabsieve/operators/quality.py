@@ -22,7 +22,7 @@ from tabsieve.operators.schema import (
     text_columns,
 )
 from tabsieve.plans.held import hold
-from tabsieve.plans.lookup import BROADCAST_ROWS, HOT_SHARE, lookup
+from tabsieve.plans.lookup import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
 
@@ -277,13 +277,16 @@ def text_variants(
     keys = (hold(text_ids(df, columns), "variants") if ids is None else ids).select(
         F.struct("idx", "key_id").alias("id"), "variants"
     )
-    size = keys.agg(F.count(F.lit(1)).alias("n"), F.sum("variants").alias("rows")).first()
+    size = keys.agg(
+        F.sum("variants").alias("rows"),
+        F.coalesce(F.sum(F.octet_length("id.key_id") + 64), F.lit(0)).alias("bytes"),
+    ).first()
     # At most HOT_SHARE normal forms can own 1/HOT_SHARE of the spellings.
     hot = keys.where(F.col("variants") >= F.lit(size["rows"] or 1) / HOT_SHARE)
     values = _spellings(df, columns).withColumn("n", F.lit(1).cast("long"))
-    if size["n"] > BROADCAST_ROWS:  # the lookup will shuffle: send every spelling once
+    if size["bytes"] > BROADCAST_BYTES:  # the lookup will shuffle: send every spelling once
         values = values.groupBy("idx", "key_id", "variant").agg(F.sum("n").alias("n"))
-    marked = lookup(values, F.struct("idx", "key_id"), keys, "id", size["n"], hot)
+    marked = lookup(values, F.struct("idx", "key_id"), keys, "id", size["bytes"], hot)
     found = marked.where(F.col("variants").isNotNull()).groupBy("idx", "variant").agg(F.sum("n").alias("n"))
     return found.select(_column_name(columns), text_key(F.col("variant")).alias("key"), "variant", "n")
 

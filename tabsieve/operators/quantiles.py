@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.values import col, number
+from tabsieve.functions.values import col, double, number
 from tabsieve.operators.schema import require_numeric
 from tabsieve.plans.tall import tall
 
@@ -93,9 +93,9 @@ def _count_cells(df: DataFrame, parts: Sequence[_Interval]) -> None:
     near = [col(p.column).between(F.lit(p.low), F.lit(p.high)) for p in parts]
     rows: list[tuple[Column, Column]] = []
     for p in parts:
-        v = number(df, p.column)
+        v = double(df, p.column)  # NaN and infinities are outside any interval
         x = F.when(v.between(F.lit(p.low), F.lit(p.high)), v)
-        rows.append((x, x if p.count <= FETCH_ROWS else _cell(x, p)))
+        rows.append((x, x if p.count <= FETCH_ROWS else _cell(v, p)))
     counted = (
         tall(df.where(reduce(lambda a, b: a | b, near)), rows, ("x", "cell"))
         .where(F.col("x").isNotNull())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, present
+from tabsieve.functions.values import col, is_present, present
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMERIC = _INTEGRAL + (T.FloatType, T.DoubleType, T.DecimalType)
@@ -78,10 +80,9 @@ def complete_rows(df: DataFrame, *names: str) -> DataFrame:
     """Rows where none of the named columns is missing."""
     for name in names:
         require_column(df, name)
-    keep = F.lit(True)
     for name in names:
-        keep = keep & present(df, name).isNotNull()
-    return df.where(keep)
+        df = df.where(is_present(df, name))
+    return df
 
 
 def within(value: Column, low: float, high: float) -> Column:
@@ -93,10 +94,13 @@ def outside(value: Column, low: float, high: float) -> Column:
 
 
 def range_filter(df: DataFrame, name: str, low: float, high: float, inside: bool = True) -> DataFrame:
-    """Rows inside (or strictly outside) the bounds; a NULL is in neither."""
+    """Rows inside (or strictly outside) the bounds; a missing value is in neither."""
     require_numeric(df, name)
-    value = present(df, name)
-    return df.where(within(value, low, high) if inside else outside(value, low, high))
+    if not inside:
+        return df.where(outside(present(df, name), low, high))
+    if math.isinf(low) or math.isinf(high):
+        return df.where(within(present(df, name), low, high))
+    return df.where(within(col(name), low, high))
 
 
 def dataset_overview(df: DataFrame) -> DataFrame:

@@ -11,29 +11,40 @@ from tabsieve.operators.schema import is_nested
 # A key is hot when it holds at least 1/HOT_SHARE of the weight, so there are
 # at most HOT_SHARE hot keys whatever the size of the tables.
 HOT_SHARE = 1000
-# Sides up to this many rows are broadcast whole.
+# Sides of at most this size, as measured by the caller, are broadcast whole.
+BROADCAST_BYTES = 64 << 20
+# Lists of short keys are broadcast up to this length.
 BROADCAST_ROWS = 200_000
 _SPREAD = 1024
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table of texts and numbers, by one aggregate over it."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        size = F.coalesce(F.octet_length(col(name)), F.lit(0)) if kind == "string" else F.lit(0)
+        width = width + size + 16
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
 def lookup(
     left: DataFrame,
     key: Column,
     right: DataFrame,
     right_key: str,
-    right_rows: int,
+    right_bytes: int,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left outer join of ``left`` with the columns of ``right`` on ``key``.
 
-    ``right`` has one row per ``right_key`` and ``right_rows`` rows, a number
-    its caller has counted. A small right side is broadcast. Otherwise the rows
+    ``right`` has one row per ``right_key``; its caller has counted its rows and
+    knows its size. A small right side is broadcast. Otherwise the rows
     of ``hot`` (the at most HOT_SHARE heaviest keys of ``right``) are broadcast
     and everything else goes through a shuffle join; rows that were served by
     the broadcast, or have no key, are spread over all partitions.
     """
     names = [c for c in right.columns if c != right_key]
-    if right_rows <= BROADCAST_ROWS:
+    if right_bytes <= BROADCAST_BYTES:
         side = F.broadcast(right.withColumnRenamed(right_key, "__key"))
         return left.join(side, key == F.col("__key"), "left").drop("__key")
 

@@ -66,7 +66,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     reader = reader.option("emptyValue", "").option("encoding", "UTF-8")
-    return infer_types(distinct_names(reader.csv(path)))
+    df = reader.csv(path)
+    if not df.columns:
+        raise ValueError(f"Could not parse {path} as CSV: it has no header.")
+    return infer_types(distinct_names(df))
 
 
 def normalize_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from tabsieve.functions.values import finite_columns
 from tabsieve.operators.cleaning import Step, apply_step
+from tabsieve.plans.lookup import BROADCAST_BYTES
 
 
 def clean_stream(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -20,7 +21,7 @@ def clean_stream(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:
     for step in steps:
         if step.kind == "remove_duplicates":
             raise ValueError("remove_duplicates cannot run on a stream.")
-        if step.kind == "replace_joined" and step.values["hot"] is not None:
+        if step.kind == "replace_joined" and step.values["bytes"] > BROADCAST_BYTES:
             raise ValueError("A mapping on a stream must be small enough to broadcast.")
     out = finite_columns(stream)
     for step in steps:

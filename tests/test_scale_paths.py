@@ -19,9 +19,10 @@ def plan(df):
 
 @pytest.fixture
 def small_limits(monkeypatch):
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(cleaning, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    for module in (lookups, quality):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    # Only the mapping counts as large; its few hot values still fit.
+    monkeypatch.setattr(cleaning, "BROADCAST_BYTES", 1000)
     monkeypatch.setattr(quantiles, "FETCH_ROWS", 4)
     monkeypatch.setattr(quantiles, "CELLS", 8)
     monkeypatch.setattr(quantiles, "INTERVALS_PER_PASS", 2)
@@ -95,7 +96,7 @@ def test_large_mapping_with_hot_values(spark, small_limits):
 
 
 def test_lookup_spreads_rows_without_key(spark, monkeypatch):
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
     left = spark.range(0, 8000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

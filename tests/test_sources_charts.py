@@ -37,6 +37,11 @@ def test_csv_inference_rules(spark, tmp_path):
     assert [r["c"] for r in rows] == ["x", "1", None] and {r["e"] for r in rows} == {None}
 
 
+def test_empty_files_are_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="Could not parse"):
+        readers.load_table(spark, put(tmp_path, "t.csv", ""))
+
+
 def test_infinite_text_is_missing_number(spark):
     df = readers.infer_types(spark.createDataFrame([("1.5",), ("inf",), ("-Infinity",)], "x string"))
     assert [r["x"] for r in df.collect()] == [1.5, None, None]
