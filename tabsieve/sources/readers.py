@@ -101,17 +101,17 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if not columns:
         return df
     clean = normalize_missing(df, columns)
-    bare = strip_text(F.col("v"))
-    counts = (
-        tall(clean, [[col(c)] for c in columns], ["v"])
-        .groupBy("idx")
-        .agg(
-            F.count("v").alias("n"),
-            F.count(_whole(bare)).alias("whole"),
-            F.count_if(plain_number(bare).isNotNull() | bare.rlike(_INFINITE)).alias("float"),
-            F.count(_truth(F.col("v"))).alias("truth"),
+    tests = [
+        (
+            col(c).isNotNull(),
+            _whole(strip_text(col(c))).isNotNull(),
+            plain_number(strip_text(col(c))).isNotNull() | strip_text(col(c)).rlike(_INFINITE),
+            _truth(col(c)).isNotNull(),
         )
-    )
+        for c in columns
+    ]
+    names = ("n", "whole", "float", "truth")
+    counts = tall(clean, tests, names).groupBy("idx").agg(*[F.count_if(n).alias(n) for n in names])
     fits = {columns[r["idx"]]: r for r in counts.collect()}
     out = []
     for c in clean.columns:
