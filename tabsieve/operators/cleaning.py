@@ -36,7 +36,7 @@ VALUES_LOST = "Cast '{column}' to number: {lost} value(s) couldn't be parsed as
 NOTHING_LEFT = "Cleaning would remove all rows. Relax your settings and try again."
 
 # Mappings up to this size are literals of the plan, larger ones are joined.
-LITERAL_MAPPING = 500
+LITERAL_MAPPING = 32
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 

@@ -17,18 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _FOLDER = "spark.checkpoint.dir"
+# Temporary folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(_FOLDER, None) or spark.sparkContext.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for local masters."""
-    named = spark.conf.get(_FOLDER, None)
+    named = _named_folder(spark)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_FOLDER} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tabsieve-")
-    spark.conf.set(_FOLDER, folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tabsieve-")
+    return _LOCAL[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import FOLDER
 from tabsieve.checks.views import table, view
 from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, quantiles, ranks
+from tabsieve.plans import held
 from tabsieve.plans import lookup as lookups
 
 
@@ -204,3 +205,18 @@ def test_mode_of_the_documents(spark):
     top = max(texts.count(t) for t in texts)
     assert found["unique"] == len(set(texts))
     assert found["mode"] == min(t for t in texts if texts.count(t) == top)
+
+
+def test_held_tables_live_in_the_named_folder(spark, monkeypatch):
+    df = spark.range(5).select("id", F.lit(None).alias("nothing"))
+    table_ = held.hold(df, "check")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert all(folder in f for f in table_.inputFiles()) and table_.columns == ["id", "nothing"]
+    assert table_.count() == 5
+    held.drop_held(table_)
+    with pytest.raises(Exception):
+        spark.read.parquet(table_.inputFiles()[0]).count()
+    monkeypatch.setattr(held, "_named_folder", lambda session: None)
+    with held.held(df, "check") as other:
+        assert other.count() == 5 and folder not in other.inputFiles()[0]
+    held.release_held(spark)
