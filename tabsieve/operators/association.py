@@ -135,6 +135,8 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
     with held(count_values(values, names, partners), "counts") as table:
         sizes = distinct_sizes(table)
         ranks = average_ranks(table, sizes, len(partners))
+        # The window left the rows sorted by column index: a lookup's filter on it
+        # skips the row groups of other columns.
         with held(ranks, "ranks") as ranked:
             out = values
             for i, name in enumerate(names):

@@ -61,9 +61,10 @@ def hold(df: DataFrame, label: str) -> DataFrame:
 def drop_held(df: DataFrame) -> None:
     """Delete the files behind a held table once nothing reads it any more."""
     root = _session_folder(df.sparkSession)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{root.split(':', 1)[-1].lstrip('/')}/" in folder:
-            _delete(df.sparkSession, folder)
+    mark = f"/tabsieve/{df.sparkSession.sparkContext.applicationId}/"
+    tables = {f.split(mark, 1)[1].split("/", 1)[0] for f in df.inputFiles() if mark in f}
+    for table in tables:
+        _delete(df.sparkSession, f"{root}/{table}")
 
 
 def release_held(spark: SparkSession) -> None:
