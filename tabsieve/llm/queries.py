@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import entropy, minimax, perfect_hash
+from tabsieve.llm import chosen_path, entropy, minimax, perfect_hash
 from tabsieve.llm.tables import read_table
 
 
@@ -20,6 +20,10 @@ def op6_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return minimax.balanced_shards(read_table(spark, folder, "documents"), 16).select(
         "doc_id",
@@ -32,4 +36,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_perfect_hash_dedup, op6_entropy_balanced_mix, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
