@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import chosen_path, entropy, minimax, perfect_hash
+from tabsieve.llm import bpe, chosen_path, entropy, minimax, perfect_hash
 from tabsieve.llm.tables import read_table
 
+#: Where the public tokenizer files lie; the driver reads them.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    made = bpe.encode(read_table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
 
 def op5_perfect_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = perfect_hash.exact_duplicates(read_table(spark, folder, "documents"))
@@ -36,4 +50,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsieve.plans.held import hold
+from tabsieve.plans.held import hold, new_folder
 
 #: The six characters of [\x20\x09-\x0D]. Fixed values.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,3 +58,16 @@ def join_with_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     return left.join(other, same, how).drop(*[f"__{k}" for k in keys])
+
+
+def publish(spark: SparkSession, label: str, data: bytes) -> str:
+    """Writes a file of bounded size to the shared folder and hands it to all
+    executors, later ones too; tasks find it by its name with ``SparkFiles.get``."""
+    folder = new_folder(spark, label)
+    name = folder.rsplit("/", 1)[1]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(data))
+    stream.close()
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
