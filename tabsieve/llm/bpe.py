@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +182,7 @@ class Merger:
 
 def word_counts(docs: DataFrame, model: Model) -> DataFrame:
     """``(word, n)`` over all whole texts; words of up to LEXICON_BYTES bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(model)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(shared.value), Counter()
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     model = Model(tokenizer)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(SimpleNamespace(**vars(model)))
     file = publish(spark, "lexicon", build_lexicon(docs, model))
     kept = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
     taken = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text().alias("text"))
