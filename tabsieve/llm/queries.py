@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chosen_path, entropy, minimax, perfect_hash
+from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, perfect_hash
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
@@ -23,6 +23,17 @@ def op2_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = compression.fit(docs, read_table(spark, folder, "labels"))
+    return compression.score(docs, model).select(
+        "doc_id",
+        compression.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_perfect_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = perfect_hash.exact_duplicates(read_table(spark, folder, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -50,4 +61,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
