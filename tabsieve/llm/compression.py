@@ -38,7 +38,7 @@ ORDINARY_WORDS = 200_000
 #: Beginnings of words, of these lengths, that mark text as toxic when they are in
 #: clearly more toxic texts, and the words with them that a dictionary holds.
 STEMS = (4, 5, 6, 7)
-STEM_DEVIATIONS = 4.0
+STEM_DEVIATIONS = 4.2
 STEM_LOG_RATIO = 1.5
 STEM_TEXTS = 3
 TOXIC_WORDS = 80
@@ -84,13 +84,24 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     for stem, n in here.items():
         if n >= STEM_TEXTS:
             ratio = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((there[stem] + 0.5) / (len(ordinary) + 1))
-            spread = math.sqrt(1 / (n + 0.5) + 1 / (there[stem] + 0.5))
-            if ratio > STEM_LOG_RATIO and ratio / spread > STEM_DEVIATIONS:
+            if ratio > STEM_LOG_RATIO and _deviations(n, there[stem], len(toxic), len(ordinary)) > STEM_DEVIATIONS:
                 marked.add(stem)
     found = Counter(regex.sub(r"\W+$", "", w) for t in toxic for w in t.lower().split() if any(w[:k] in marked for k in STEMS))
     return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:TOXIC_WORDS]]
 
 
+def _deviations(n: int, m: int, texts: int, others: int) -> float:
+    """Root of the likelihood ratio that n of the texts and m of the others have
+    something independently of the kind."""
+    def part(x: int, of: int, expected: float) -> float:
+        return x * math.log(x / (of * expected)) + (of - x) * math.log((of - x) / (of * (1 - expected)) if x < of else 1) if x else of * math.log(1 / (1 - expected))
+
+    expected = (n + m) / (texts + others)
+    if expected == 1:
+        return 0.0
+    return math.sqrt(2 * max(0.0, part(n, texts, expected) + part(m, others, expected)))
+
+
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """``(ordinary, toxic)`` dictionaries."""
     plain = [w for t in ordinary for w in t.lower().split()]
