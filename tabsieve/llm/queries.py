@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, perfect_hash
+from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
@@ -34,6 +34,10 @@ def op3_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_multi_index_links(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.link_vectors(read_table(spark, folder, "embeddings"))
+
+
 def op5_perfect_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = perfect_hash.exact_duplicates(read_table(spark, folder, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -61,4 +65,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
