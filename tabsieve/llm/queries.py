@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash
+from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, sanitise
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
@@ -49,6 +49,20 @@ def op6_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_disclosure_sanitiser(spark: SparkSession, folder: str) -> DataFrame:
+    found = sanitise.protect(read_table(spark, folder, "documents").select("doc_id", "text"))
+    kinds = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(sanitise.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *kinds,
+        F.sha2(sanitise.span_text("spans"), 256).alias("base_sha256"),
+        sanitise.span_text("spans", "terms").alias("spans"),
+    )
+
+
 def op9_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(read_table(spark, folder, "documents"))
 
@@ -65,4 +79,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op8_disclosure_sanitiser, op9_chosen_path_join, op10_minimax_shards)}
