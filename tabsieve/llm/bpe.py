@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabsieve.llm.tables import publish, whole_text
+from tabsieve.llm.tables import most_frequent, publish, whole_text
 from tabsieve.llm.transducer import Transducer, compile_words
 from tabsieve.plans.held import hold
 
@@ -204,29 +204,11 @@ def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
 
-def frequent_words(counts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The words of the highest counts, as many whole steps of the count as fit
-    into the limit: at most ``limit`` words come to the driver."""
-    # Counts in steps of an eighth of their highest power of two: some 500 rows.
-    power = F.pow(2.0, F.floor(F.log2(F.col("n").cast("double"))))
-    step = F.floor(F.floor(F.col("n") / power * 8) * power / 8).cast("long")
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.col("step").desc()).collect()
-    least, total = None, 0
-    for row in steps:
-        total += row.words
-        if total > limit:
-            break
-        least = row.step
-    if least is None:
-        return []
-    return [bytes(r.word) for r in counts.where(F.col("n") >= least).select("word").collect()]
-
-
 def build_lexicon(docs: DataFrame, model: Model) -> bytes:
     """The compiled lexicon of the documents' frequent words."""
     counts = hold(word_counts(docs, model).where("n > 1"), "words")
     merger = Merger(model)
-    return compile_words((w, tuple(merger.ids(w))) for w in frequent_words(counts))
+    return compile_words((bytes(w), tuple(merger.ids(w))) for w in most_frequent(counts, LEXICON_WORDS))
 
 
 class Encoder:

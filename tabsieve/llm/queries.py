@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, sanitise
+from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, pseudo, sanitise
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
@@ -49,6 +49,10 @@ def op6_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo.score(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_disclosure_sanitiser(spark: SparkSession, folder: str) -> DataFrame:
     found = sanitise.protect(read_table(spark, folder, "documents").select("doc_id", "text"))
     kinds = [
@@ -79,4 +83,4 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op8_disclosure_sanitiser, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op7_pseudo_likelihood, op8_disclosure_sanitiser, op9_chosen_path_join, op10_minimax_shards)}

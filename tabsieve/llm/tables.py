@@ -71,3 +71,21 @@ def publish(spark: SparkSession, label: str, data: bytes) -> str:
     stream.close()
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
+
+
+def most_frequent(counts: DataFrame, limit: int) -> list:
+    """The words of the highest counts in ``(word, n)``, as many whole steps of the count as fit
+    into the limit: at most ``limit`` words come to the driver."""
+    # Counts in steps of an eighth of their highest power of two: some 500 rows.
+    power = F.pow(2.0, F.floor(F.log2(F.col("n").cast("double"))))
+    step = F.floor(F.floor(F.col("n") / power * 8) * power / 8).cast("long")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.col("step").desc()).collect()
+    least, total = None, 0
+    for row in steps:
+        total += row.words
+        if total > limit:
+            break
+        least = row.step
+    if least is None:
+        return []
+    return [r.word for r in counts.where(F.col("n") >= least).select("word").collect()]
