@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, pseudo, sanitise
+from tabsieve.llm import bpe, chat, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, pseudo, sanitise
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_preference_chat(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = chat.mismatched_replies(read_table(spark, folder, "conversations"))
+    return chat.format_preferences(pairs).select(
+        "conv_id",
+        "other_id",
+        "n_prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        chat.mask_text("chosen_mask").alias("chosen_mask"),
+        chat.mask_text("rejected_mask").alias("rejected_mask"),
+    )
+
+
 def op2_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
     made = bpe.encode(read_table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
     return made.select(
@@ -83,4 +97,18 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_transducer_bpe, op3_compression_toxicity, op4_multi_index_links, op5_perfect_hash_dedup, op6_entropy_balanced_mix, op7_pseudo_likelihood, op8_disclosure_sanitiser, op9_chosen_path_join, op10_minimax_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_preference_chat,
+        op2_transducer_bpe,
+        op3_compression_toxicity,
+        op4_multi_index_links,
+        op5_perfect_hash_dedup,
+        op6_entropy_balanced_mix,
+        op7_pseudo_likelihood,
+        op8_disclosure_sanitiser,
+        op9_chosen_path_join,
+        op10_minimax_shards,
+    )
+}

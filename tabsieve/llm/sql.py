@@ -1,6 +1,56 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE = {
+    "op1_preference_chat": """
+WITH turns AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
+    FROM conversations
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turns
+), reply AS (
+    SELECT conv_id, max(pos) AS reply_at FROM placed WHERE role = 'assistant' GROUP BY conv_id
+), replies AS (
+    SELECT r.conv_id, r.reply_at, p.role, p.text,
+           row_number() OVER (ORDER BY r.conv_id NULLS FIRST) AS place, count(*) OVER () AS total
+    FROM reply r JOIN placed p ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.pos = r.reply_at
+), pairs AS (
+    SELECT a.conv_id, b.conv_id AS other_id, a.reply_at, b.role, b.text
+    FROM replies a JOIN replies b ON b.place = a.place % a.total + 1
+), sides AS (
+    SELECT q.conv_id, 'chosen' AS side, p.pos, p.role, p.text
+    FROM pairs q JOIN placed p ON p.conv_id IS NOT DISTINCT FROM q.conv_id
+    UNION ALL
+    SELECT q.conv_id, 'rejected', p.pos, p.role, p.text
+    FROM pairs q JOIN placed p ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND p.pos < q.reply_at
+    UNION ALL
+    SELECT conv_id, 'rejected', reply_at, role, text FROM pairs
+), met AS (
+    SELECT conv_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
+    FROM sides GROUP BY conv_id, pos
+), shared AS (
+    SELECT conv_id, coalesce(min(pos) FILTER (WHERE NOT same) - 1, max(pos)) AS n FROM met GROUP BY conv_id
+), drawn AS (
+    SELECT s.*, h.n, '<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) AS shown
+    FROM sides s JOIN shared h ON h.conv_id IS NOT DISTINCT FROM s.conv_id
+), ends AS (
+    SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side ORDER BY pos) AS upto FROM drawn WHERE pos > n
+), ready AS (
+    SELECT conv_id, side, string_agg(shown, '' ORDER BY pos) AS body,
+           string_agg((upto - length(text) - 11)::BIGINT || ':' || (upto - 1)::BIGINT, ',' ORDER BY pos)
+               FILTER (WHERE role = 'assistant') AS mask
+    FROM ends GROUP BY conv_id, side
+), prompts AS (
+    SELECT conv_id, string_agg(shown, '' ORDER BY pos) AS prompt FROM drawn WHERE side = 'chosen' AND pos <= n GROUP BY conv_id
+)
+SELECT q.conv_id, q.other_id, h.n::INTEGER AS n_prompt_turns, coalesce(p.prompt, '') AS prompt,
+       coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected,
+       coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM pairs q
+JOIN shared h ON h.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN prompts p ON p.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN ready c ON c.conv_id IS NOT DISTINCT FROM q.conv_id AND c.side = 'chosen'
+LEFT JOIN ready r ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND r.side = 'rejected'
+""",
     "op5_perfect_hash_dedup": r"""
 WITH rows AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars,
