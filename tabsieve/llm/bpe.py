@@ -22,6 +22,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tabsieve.llm.tables import most_frequent, publish, whole_text
@@ -284,8 +285,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             if ids:
                 yield _encoded(batch.slice(begin), kept, ids, texts)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields if f.name in kept)
-    return taken.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    fields = [f for f in taken.schema.fields if f.name in kept]
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return taken.mapInArrow(run, T.StructType([*fields, *made]))
 
 
 def _encoded(batch: pa.RecordBatch, kept: list[str], ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:

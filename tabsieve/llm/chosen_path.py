@@ -338,28 +338,29 @@ def _verified(rows: list) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, class_id, n_links, kept)`` for each row of ``docs``.
+    """``(doc_id, text_hash, class_id, n_links, kept)`` for each row of ``docs``.
 
     Two documents are linked if the shingle sets of their texts have a Jaccard
     similarity of 0.8 or more; words are longest runs without blanks. A class is
     a connected component, named by its smallest doc_id; ``kept`` marks that
-    document. Equal sets are one node with a weight, so copies are never
-    paired with each other. A text without words is linked with nothing; one of
-    fewer than five words is one shingle. A missing id takes part, but never names
-    a class that has another. Rows that repeat an id and a text share ``kept``.
+    document, among rows with that id the one with the smallest text_hash. Equal
+    sets are one node with a weight, so copies are never paired with each other.
+    A text without words is linked with nothing; one of fewer than five words is
+    one shingle. A missing id takes part, but names a class only if no member
+    has one. Rows that repeat an id and a text share ``kept``. An empty table gives none.
     """
     rows = hold(describe(docs), "described")
-    name = F.min(F.struct("doc_id", "text_hash")).alias("r")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     # Equal sets have equal sketches.
-    sets = rows.where("shingles > 0").groupBy("set").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), name)
-    sets = hold(sets.select("set", "sketch", "copies", "first_id", "r.doc_id", "r.text_hash"), "sets")
+    sets = rows.where("shingles > 0").groupBy("set").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), first)
+    sets = hold(sets.select("set", "sketch", "copies", "first.*"), "sets")
 
     pieces = in_block_pairs(buckets(sets).join(sets.select("set", "sketch"), "set"), F.col("members"), F.col("set"), SKETCH_BLOCK)
     pieces = sorted_groups(pieces.select("path", "left", "right", "set", "sketch"), ["path", "left", "right"])
     parts = hold(connected_components(hold(pieces.mapInArrow(_alike, "a binary, b binary").distinct(), "alike"), "parts"), "parts")
 
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    candidates = parts.join(sizes, "component").join(sets.drop("sketch", "first_id").withColumnRenamed("set", "node"), "node")
+    candidates = parts.join(sizes, "component").join(sets.drop("sketch", "none").withColumnRenamed("set", "node"), "node")
     candidates = candidates.select(F.col("node").alias("set"), "copies", "doc_id", "text_hash", "members", F.col("component").alias("part"))
     text = whole_text()
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -370,13 +371,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     classes = connected_components(verified.where("b IS NOT NULL").select("a", "b"), "classes")
     links = verified.where("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
-    known = sets.select("set", "copies", "first_id").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left")
-    known = known.select("set", "copies", "first_id", F.coalesce("component", "set").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = sets.drop("sketch").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left")
+    known = known.select("set", "copies", F.struct("none", "doc_id", "text_hash").alias("first"), F.coalesce("component", "set").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     known = hold(known, "known")
-    smallest = known.groupBy("class").agg(F.min("first_id").alias("class_id"))
-    known = known.join(smallest, "class").select("set", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "set", "shingles").join(known, "set", "left")
-    class_id = F.when(F.col("shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("class_id"))
+    keepers = known.groupBy("class").agg(F.min("first").alias("keep"))
+    known = known.join(keepers, "class").select("set", "keep", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("doc_id", "text_hash", "set", "shingles").join(known, "set", "left")
+    lone = F.col("shingles") == 0
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
+    return out.select(
+        "doc_id",
+        "text_hash",
+        F.when(lone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (lone | same).alias("kept"),
     )

@@ -19,6 +19,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsieve.llm.tables import whole_text
 
@@ -205,13 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"ordinary": plain, "toxic": other, "weights": fit_logistic(x, y, weight).tolist(), "part": part}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """The columns of ``docs``, then ``score``: 0 to 1 for every whole text.
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """The columns of ``docs``, then the score: 0 to 1 for every whole text.
 
-    A missing text is empty. A column named like the score is replaced. Only the
+    A missing text is empty. A column of the score's name is replaced. Only the
     text is read by the score.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
     taken = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text().alias("__whole"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 else:
                     z = float(features(windows.gains(text.as_py())) @ weights)
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields if f.name in kept)
-    return taken.mapInArrow(run, f"{fields}{', ' if fields else ''}score double")
+    fields = [f for f in taken.schema.fields if f.name in kept]
+    return taken.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))

@@ -121,7 +121,8 @@ def _stepped(found: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken, rate)`` for each row.
+    """``(doc_id, text_hash, source, size, source_size, target, copies, taken, rate)``
+    for each row.
 
     Rates are summed along each source in order of size; a document group gets
     as many copies as whole numbers lie in its stretch of the sum, so
@@ -129,9 +130,15 @@ def mix(docs: DataFrame) -> DataFrame:
     has no tokens; a missing source is a source, the last. Rows that are alike in
     id, source and size are interchangeable. An empty table gives none.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("mixed", F.xxhash64("doc_id"))
-    numbered = hold(running_totals(rows, ["source", "size", "mixed", "doc_id"], {"place": F.lit(1).cast("long")}, "sizes"), "places")
+    text = whole_text()
+    rows = docs.select(
+        "doc_id",
+        F.xxhash64(text).alias("text_hash"),
+        F.col("source").cast("string").alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+    )
+    rows = hold(rows.withColumn("mixed", F.xxhash64("doc_id", "text_hash")), "rows")
+    numbered = hold(running_totals(rows, ["source", "size", "mixed", "doc_id", "text_hash"], {"place": F.lit(1).cast("long")}, "sizes"), "places")
     counted = hold(numbered.groupBy("source", "size").agg(F.count("*").alias("n"), F.min("place").alias("first")), "counted")
     targets = hold(source_targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
     tilts = fit_tilts(counted, targets)
@@ -155,7 +162,7 @@ def mix(docs: DataFrame) -> DataFrame:
     out = join_with_nulls(numbered, known, ["source", "size"])
     copies = F.expr("(place - first + 1) * `all` DIV n - (place - first) * `all` DIV n")
     return out.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), (F.col("rate") / UNIT).alias("rate")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), (F.col("rate") / UNIT).alias("rate")
     )
 
 

@@ -23,24 +23,29 @@ BUCKET_KEYS = 20_000
 #: Keys for each pilot value.
 PILOT_KEYS = 4
 _NO_ID = (1 << 63) - 1
-_INDEX = "bucket int, salt int, pilots binary, digests binary, chars binary, ids binary, copies binary"
-_FOUND = "digest binary, chars long, id long, copies long, member boolean"
+_INDEX = "bucket int, salt int, pilots binary, digests binary, chars binary, ids binary, texts binary, copies binary"
+_FOUND = "digest binary, chars long, id long, text long, copies long, member boolean"
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, chars)``: SHA-256 of the text without blanks, and the
-    code points of the whole text. A missing text is empty."""
+    """``(doc_id, text_hash, digest, chars)``: SHA-256 of the text without blanks, and
+    the code points of the whole text. A missing text is empty."""
     plain = whole_text()
     for blank in BLANKS:
         plain = F.replace(plain, F.lit(blank), F.lit(""))
-    return docs.select("doc_id", F.unhex(F.sha2(plain, 256)).alias("digest"), F.length(whole_text()).cast("long").alias("chars"))
+    return docs.select(
+        "doc_id",
+        F.xxhash64(whole_text()).alias("text_hash"),
+        F.unhex(F.sha2(plain, 256)).alias("digest"),
+        F.length(whole_text()).cast("long").alias("chars"),
+    )
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """One row for each digest: best ``(chars, id)`` and number of copies."""
-    best = F.min(F.struct((-F.col("chars")).alias("c"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("i")))
+    """One row for each digest: best ``(chars, id, text)`` and number of copies."""
+    best = F.min(F.struct((-F.col("chars")).alias("c"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("i"), F.col("text_hash").alias("t")))
     return rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("copies")).select(
-        "digest", (-F.col("b.c")).alias("chars"), F.col("b.i").alias("id"), "copies"
+        "digest", (-F.col("b.c")).alias("chars"), F.col("b.i").alias("id"), F.col("b.t").alias("text"), "copies"
     )
 
 
@@ -122,11 +127,9 @@ def _pack(bucket: pd.DataFrame) -> pd.DataFrame:
     digests = _matrix(bucket["digest"])
     salt, pilots, slots = build_perfect_hash(digests)
     at = np.argsort(slots)
-    column = {c: bucket[c].to_numpy(np.int64)[at].tobytes() for c in ("chars", "id", "copies")}
-    return pd.DataFrame(
-        [(int(bucket["bucket"].iloc[0]), salt, pilots.tobytes(), digests[at].tobytes(), column["chars"], column["id"], column["copies"])],
-        columns=["bucket", "salt", "pilots", "digests", "chars", "ids", "copies"],
-    )
+    packed = [bucket[c].to_numpy(np.int64)[at].tobytes() for c in ("chars", "id", "text", "copies")]
+    row = (int(bucket["bucket"].iloc[0]), salt, pilots.tobytes(), digests[at].tobytes(), *packed)
+    return pd.DataFrame([row], columns=["bucket", "salt", "pilots", "digests", "chars", "ids", "texts", "copies"])
 
 
 def build_index(rows: DataFrame, buckets: int) -> DataFrame:
@@ -137,45 +140,46 @@ def build_index(rows: DataFrame, buckets: int) -> DataFrame:
 def _look_up(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """Members get the better winner and both counts; index entries that nothing
     asked for, and digests that are not members, pass as they are."""
-    out = [pd.DataFrame({"digest": incoming["digest"], "chars": incoming["chars"], "id": incoming["id"], "copies": incoming["copies"], "member": False})]
+    mine, out = incoming.drop(columns="bucket").assign(member=False), []
     for entry in index.itertuples(index=False):
         held = np.frombuffer(entry.digests, np.uint8).reshape(-1, 32)
-        chars, ids, copies = (np.frombuffer(x, np.int64).copy() for x in (entry.chars, entry.ids, entry.copies))
-        mine = out[0]
+        chars, ids, texts, copies = (np.frombuffer(x, np.int64).copy() for x in (entry.chars, entry.ids, entry.texts, entry.copies))
         if len(mine):
             asked = _matrix(mine["digest"])
             slots = perfect_slots(asked, entry.salt, np.frombuffer(entry.pilots, np.int64), len(held))
             same = (held[slots] == asked).all(axis=1)
             at, hit = slots[same], mine[same]
-            new_chars, new_ids = hit["chars"].to_numpy(np.int64), hit["id"].to_numpy(np.int64)
-            better = (new_chars > chars[at]) | ((new_chars == chars[at]) & (new_ids < ids[at]))
-            chars[at] = np.where(better, new_chars, chars[at])
-            ids[at] = np.where(better, new_ids, ids[at])
+            new = [hit[c].to_numpy(np.int64) for c in ("chars", "id", "text")]
+            # More code points, then the smaller id, then the smaller hash.
+            better = new[0] > chars[at]
+            better |= (new[0] == chars[at]) & ((new[1] < ids[at]) | ((new[1] == ids[at]) & (new[2] < texts[at])))
+            for column, values in zip((chars, ids, texts), new, strict=True):
+                column[at] = np.where(better, values, column[at])
             copies[at] += hit["copies"].to_numpy(np.int64)
-            out[0] = mine[~same]
-        out.append(pd.DataFrame({"digest": [x.tobytes() for x in held], "chars": chars, "id": ids, "copies": copies, "member": True}))
-    return pd.concat(out)
+            mine = mine[~same]
+        out.append(pd.DataFrame({"digest": [x.tobytes() for x in held], "chars": chars, "id": ids, "text": texts, "copies": copies, "member": True}))
+    return pd.concat([mine, *out])[["digest", "chars", "id", "text", "copies", "member"]]
 
 
 def deduplicate(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Winners of the texts of two ``(doc_id, digest, chars)`` tables:
-    ``(digest, keep_id, group_size, member)``, one row for each distinct digest;
-    ``member`` tells those that the index holds.
+    """Winners of the texts of two ``(doc_id, text_hash, digest, chars)`` tables:
+    ``(digest, keep_id, keep_text, group_size, member)``, one row for each distinct
+    digest; ``member`` tells those that the index holds.
 
     Copies are summed before anything moves, so a digest with a third of all
     rows counts as one key; buckets are even because digests are. Ties go to
-    the smallest id; a missing id comes last.
+    the smallest id, then the smallest hash of the text; a missing id comes last.
     """
     buckets = max(1, -(-history.count() // BUCKET_KEYS))
     index = build_index(history, buckets)
     asked = _grouped(incoming).withColumn("bucket", _bucket(buckets))
     found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_look_up, _FOUND)
     keep = F.when(F.col("id") != _NO_ID, F.col("id"))
-    return found.select("digest", keep.alias("keep_id"), F.col("copies").alias("group_size"), "member")
+    return found.select("digest", keep.alias("keep_id"), F.col("text").alias("keep_text"), F.col("copies").alias("group_size"), "member")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, keep_id, group_size, kept)`` for each row of ``docs``.
+    """``(doc_id, text_hash, digest, keep_id, group_size, kept)`` for each row of ``docs``.
 
     A half of the rows, by a hash of the id, plays the store that was indexed
     earlier and the other half the new delivery; the result is the same for
@@ -185,6 +189,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = hold(text_digests(docs), "digests")
     earlier = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     winners = deduplicate(rows.where(earlier), rows.where(~earlier))
-    return rows.join(winners, "digest").select(
-        "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    )
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_text"))
+    return rows.join(winners, "digest").select("doc_id", "text_hash", "digest", "keep_id", "group_size", kept.alias("kept"))

@@ -82,7 +82,7 @@ def op8_disclosure_sanitiser(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
-    return chosen_path.near_duplicates(read_table(spark, folder, "documents"))
+    return chosen_path.near_duplicates(read_table(spark, folder, "documents")).drop("text_hash")
 
 
 def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,8 +69,8 @@ def test_dedup_odd_rows(odd, none):
 
 def test_members_and_others_are_grouped(spark):
     def rows(values):
-        made = [(i, bytearray(hashlib.sha256(t.encode()).digest()), n) for i, t, n in values]
-        return spark.createDataFrame(made, "doc_id long, digest binary, chars long")
+        made = [(i, i, bytearray(hashlib.sha256(t.encode()).digest()), n) for i, t, n in values]
+        return spark.createDataFrame(made, "doc_id long, text_hash long, digest binary, chars long")
 
     history = rows([(1, "a", 5), (2, "b", 5), (9, "a", 5)])
     incoming = rows([(3, "a", 6), (4, "c", 1), (5, "c", 1), (0, "b", 5)])
