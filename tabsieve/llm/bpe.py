@@ -18,6 +18,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -34,13 +35,15 @@ LEXICON_WORDS = 65_536
 #: Longer words are never compiled.
 LEXICON_BYTES = 64
 #: Words that a task remembers, and partial counts that it holds.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 COUNTED = 200_000
-#: Words of a text that are encoded at a time, and output of a task in bytes.
+#: Words of a long text, and bytes of short ones, that are encoded at a time.
 WORDS_AT_A_TIME = 1 << 18
-OUTPUT_BYTES = 1 << 22
-#: Symbols up to which a word is merged by repeated scans.
-SHORT = 48
+TEXT_BYTES = 1 << 22
+#: Words of up to so many bytes are looked up and merged side by side, those of
+#: similar length together; NONE is the rank of a pair that never merges.
+WIDTHS = (8, 16, 32, 64)
+NONE = np.iinfo(np.int32).max
 
 # The contractions and classes by which the library cuts words.
 _WORDS = r"'(?:[stmd]|re|ve|ll)| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
@@ -122,7 +125,7 @@ class Words:
             if part in self.special:
                 yield [part]
                 continue
-            pattern = self.exact if self.is_late and not part.isascii() and self.is_late.search(part) else self.usual
+            pattern = self.exact if self.is_late and not _is_latin(part) and self.is_late.search(part) else self.usual
             if len(part) <= WORDS_AT_A_TIME:
                 yield pattern.findall(part)
                 continue
@@ -131,32 +134,67 @@ class Words:
                 yield block
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merger:
     """Merges the bytes of a word by rank, the leftmost first among equals."""
 
     def __init__(self, model: Model):
-        self.bytes_ids = model.bytes_ids
+        self.bytes_ids = np.array(model.bytes_ids, np.int64)
         self.ranks = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(model.merges)}
+        pairs = np.array(model.merges, np.int64).reshape(-1, 3)
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), pairs[:, 2]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.rank[at], NONE)
+
+    def ids_of_all(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)`` of words that are rows of bytes with the given sizes.
+
+        Each round merges the best pair of every word that still has one.
+        """
+        places = np.arange(words.shape[1])
+        ids = np.where(places < sizes[:, None], self.bytes_ids[words], -1)
+        ranks = np.full(ids.shape, NONE, np.int32)
+        ranks[:, :-1] = self._rank_of(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(ids))
+        while len(live):
+            now = ranks[live]
+            at = now.argmin(axis=1)
+            best = now[np.arange(len(live)), at]
+            going = best < NONE
+            live, at, best, now = live[going], at[going], best[going], now[going]
+            if not len(live):
+                break
+            rows = np.arange(len(live))
+            moved = np.minimum(places + (places > at[:, None]), places[-1])
+            own, now = np.take_along_axis(ids[live], moved, axis=1), np.take_along_axis(now, moved, axis=1)
+            own[:, -1], now[:, -1] = -1, NONE
+            own[rows, at] = self.made[best]
+            after = own[rows, np.minimum(at + 1, places[-1])]
+            now[rows, at] = np.where(at < places[-1], self._rank_of(own[rows, at], after), NONE)
+            inner = np.flatnonzero(at > 0)
+            now[inner, at[inner] - 1] = self._rank_of(own[inner, at[inner] - 1], own[inner, at[inner]])
+            ids[live], ranks[live] = own, now
+        return ids[ids >= 0].astype("<i4"), (ids >= 0).sum(axis=1)
 
     def ids(self, word: bytes) -> list[int]:
-        ids = [self.bytes_ids[b] for b in word]
-        return self._scanned(ids) if len(ids) <= SHORT else self._queued(ids)
-
-    def _scanned(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, at, new = None, 0, 0
-            for k, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = ranks.get(pair)
-                if found and (best is None or found[0] < best):
-                    (best, new), at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [new]
-        return ids
+        return self._queued(self.bytes_ids[np.frombuffer(word, np.uint8)].tolist())
 
     def _queued(self, ids: list[int]) -> list[int]:
-        """The same with a queue and a linked list, for long words."""
+        """With a queue and a linked list, for words of any length."""
         n, ranks = len(ids), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(*ranks[pair], k, pair) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in ranks]
@@ -186,21 +224,29 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(model)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(shared.value), Counter()
+        words, pieces = Words(shared.value), Counter()
         for batch in batches:
             for text in batch.column(0):
-                for block in words.blocks(text.as_py()):
-                    seen.update(block)
-                if len(seen) > COUNTED:
-                    yield _counts(seen)
-                    seen = Counter()
-        yield _counts(seen)
+                # A word begins with its blank: what lies between blanks is cut once.
+                pieces.update(text.as_py().split(" "))
+                if len(pieces) > COUNTED:
+                    yield _counts(pieces, words)
+                    pieces = Counter()
+        yield _counts(pieces, words)
 
     counted = docs.select(whole_text().alias("text")).mapInArrow(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counts(seen: Counter) -> pa.RecordBatch:
+def _counts(pieces: Counter, words: Words) -> pa.RecordBatch:
+    seen: Counter = Counter()
+    for piece, n in pieces.items():
+        if piece.isalpha():  # one word, with its blank
+            seen[" " + piece] += n
+            continue
+        for block in words.blocks(" " + piece):
+            for word in block:
+                seen[word] += n
     kept = [(w, n) for word, n in seen.items() if len(w := word.encode()) <= LEXICON_BYTES]
     return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
@@ -208,8 +254,29 @@ def _counts(seen: Counter) -> pa.RecordBatch:
 def build_lexicon(docs: DataFrame, model: Model) -> bytes:
     """The compiled lexicon of the documents' frequent words."""
     counts = hold(word_counts(docs, model).where("n > 1"), "words")
-    merger = Merger(model)
-    return compile_words((bytes(w), tuple(merger.ids(w))) for w in most_frequent(counts, LEXICON_WORDS))
+    words = [bytes(w) for w in most_frequent(counts, LEXICON_WORDS)]
+    return compile_words((w, tuple(ids.tolist())) for w, ids in _merged(words, Merger(model)))
+
+
+def _by_width(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Words of similar length as rows of bytes, with their sizes."""
+    low = -1
+    for width in WIDTHS:
+        own = [w for w in words if low < len(w) <= width]
+        if own:
+            rows = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in own), np.uint8).reshape(-1, width)
+            yield own, rows, np.array([len(w) for w in own])
+        low = width
+
+
+def _cut(flat: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    ends = np.cumsum(counts)
+    return (flat[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
+
+
+def _merged(words: list[bytes], merger: Merger) -> Iterator[tuple[bytes, np.ndarray]]:
+    for own, rows, sizes in _by_width(words):
+        yield from zip(own, _cut(*merger.ids_of_all(rows, sizes)), strict=True)
 
 
 class Encoder:
@@ -220,24 +287,35 @@ class Encoder:
         self.special = {s: np.array([i], "<i4").tobytes() for s, i in model.special.items()}
         self.known = dict(self.special)
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(self._block(block) for block in self.words.blocks(text))
-
-    def _block(self, block: list[str]) -> bytes:
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new words of short texts are learned together."""
+        if len(texts) == 1:
+            return [b"".join(self._ids([block])[0] for block in self.words.blocks(texts[0]))]
+        return self._ids([[w for block in self.words.blocks(t) for w in block] for t in texts])
+
+    def _ids(self, blocks: list[list[str]]) -> list[bytes]:
+        new = set().union(*blocks).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = dict(self.special)
+            new = set().union(*blocks).difference(self.known)
+        spelled = {w.encode(): w for w in new}
+        for data, ids in self._found(list(spelled)):
+            self.known[spelled[data]] = ids.tobytes()
         known = self.known
-        try:
-            return b"".join([known[w] for w in block])
-        except KeyError:
-            pass
-        new = set(block).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = dict(self.special)
-            new = set(block).difference(known)
-        for word in new:
-            data = word.encode()
-            ids = self.lexicon.get(data)
-            known[word] = np.array(self.merger.ids(data) if ids is None else ids, "<i4").tobytes()
-        return b"".join([known[w] for w in block])
+        return [b"".join([known[w] for w in block]) for block in blocks]
+
+    def _found(self, words: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Ids from the lexicon, or merged if it does not hold the word."""
+        for own, rows, sizes in _by_width(words):
+            held, flat, counts = self.lexicon.get_all(rows, sizes)
+            yield from zip((w for w, here in zip(own, held, strict=True) if here), _cut(flat, counts), strict=True)
+            other = ~held
+            if other.any():
+                merged = _cut(*self.merger.ids_of_all(rows[other], sizes[other]))
+                yield from zip((w for w, here in zip(own, held, strict=True) if not here), merged, strict=True)
+        for word in words:
+            if len(word) > WIDTHS[-1]:
+                yield word, np.array(self.merger.ids(word), "<i4")
 
 
 class Decoder:
@@ -273,23 +351,30 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value, SparkFiles.get(file)), Decoder(shared.value)
         for batch in batches:
-            begin, size, ids, texts = 0, 0, [], []
-            for k, text in enumerate(batch.column("text")):
-                found = np.frombuffer(encoder.ids(text.as_py()), "<i4")
-                ids.append(found)
-                texts.append(decoder.text(found))
-                size += 4 * len(found)
-                if size > OUTPUT_BYTES:
-                    yield _encoded(batch.slice(begin, k + 1 - begin), kept, ids, texts)
-                    begin, size, ids, texts = k + 1, 0, [], []
-            if ids:
-                yield _encoded(batch.slice(begin), kept, ids, texts)
+            begin = 0
+            for end in _pieces(batch.column("text")):
+                part = batch.slice(begin, end - begin)
+                ids = [np.frombuffer(x, "<i4") for x in encoder.ids_of(part.column("text").to_pylist())]
+                yield _encoded(part, kept, ids, [decoder.text(x) for x in ids])
+                begin = end
 
     fields = [f for f in taken.schema.fields if f.name in kept]
     made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return taken.mapInArrow(run, T.StructType([*fields, *made]))
 
 
+def _pieces(texts: pa.Array) -> Iterator[int]:
+    """Ends of runs of texts of about TEXT_BYTES; a longer one is alone."""
+    size = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > TEXT_BYTES:
+            yield k
+            size = 0
+        size += n
+    if len(texts):
+        yield len(texts)
+
+
 def _encoded(batch: pa.RecordBatch, kept: list[str], ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))

@@ -136,6 +136,10 @@ class Transducer:
         )
         self.outs = parts["outs"][1].cast("i")
         self.states, self.arcs = len(self.final), len(self.target)
+        self.of = {p: np.frombuffer(v, "u1" if p == "labels" else "<i4" if p == "outs" else "<u4") for p, (_, v) in parts.items()}
+        # Arcs are in order of state and label.
+        owner = np.repeat(np.arange(self.states, dtype=np.int64), np.diff(self.of["first"].astype(np.int64)))
+        self.keys = owner << 8 | self.of["labels"]
 
     def get(self, word: bytes) -> list[int] | None:
         """The numbers of a word, or None if it is not in the lexicon."""
@@ -151,3 +155,28 @@ class Transducer:
         if not last:
             return None
         return found + self.outs[self.out_first[last - 1] : self.out_first[last]].tolist()
+
+    def get_all(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(found, numbers, counts)`` for words that are rows of bytes with the given
+        sizes: which are in the lexicon, and for those their numbers in one array
+        and how many each one has."""
+        rows, width = words.shape
+        state, found = np.full(rows, self.root, np.int64), np.ones(rows, bool)
+        outs = np.zeros((rows, width + 1), np.int64)
+        for k in range(width if self.arcs else 0):
+            inside = found & (k < sizes)
+            key = state << 8 | words[:, k]
+            arc = np.minimum(np.searchsorted(self.keys, key), self.arcs - 1)
+            step = inside & (self.keys[arc] == key)
+            found &= step | (k >= sizes)
+            state = np.where(step, self.of["target"][arc], state)
+            outs[:, k] = np.where(step, self.of["arc_out"][arc], 0)
+        last = self.of["final"][state].astype(np.int64)
+        found &= (last > 0) & ((sizes == 0) | (self.arcs > 0))
+        outs[:, width] = last - 1
+        outs = outs[found]
+        first = self.of["out_first"].astype(np.int64)
+        counts = np.diff(first)[outs]
+        flat = counts.ravel()
+        place = np.repeat(first[outs].ravel() - (np.cumsum(flat) - flat), flat) + np.arange(flat.sum())
+        return found, self.of["outs"][place], counts.sum(axis=1)
