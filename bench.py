@@ -59,6 +59,7 @@ HEADLINE = {
     "issues": issues,
     "pearson": collected("pearson_pairs"),
     "spearman": collected("spearman_pairs"),
+    "pearson_wide": collected("pearson_wide"),
     "clean_chain": chain,
     "histogram": histogram,
     "quantiles": collected("quantiles_distributed"),
@@ -80,6 +81,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(Path(__file__).resolve().parent / "spark-warehouse" / "held"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

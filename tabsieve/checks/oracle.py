@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsieve.checks.views import VIEWS
+from tabsieve.checks.views import VIEWS, WIDE
 
 ORACLE: dict[str, str] = {}
 
@@ -319,6 +319,14 @@ ORACLE["cast_numeric_warning"] = _with(
 _DAYS = "SELECT event_id, try_strptime(day, '%Y-%m-%d') AS day FROM dates"
 ORACLE["cast_datetime"] = _with("dates", _DAYS)
 ORACLE["cast_datetime_iso"] = _with("dates", _DAYS)
+ORACLE["cast_datetime_us"] = _with("us_dates", "SELECT event_id, try_strptime(day, '%m/%d/%Y') AS day FROM us_dates")
+ORACLE["cast_datetime_warning"] = _with(
+    "us_dates",
+    """
+    SELECT 1 AS line, 'Cast ''day'' to datetime: ' || count(*) ||
+           ' value(s) couldn''t be parsed as dates and were set to null.' AS text
+    FROM us_dates WHERE day = 'soon'""",
+)
 ORACLE["cast_text"] = """
     SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice,
            o_orderdate, o_orderpriority FROM orders"""
@@ -404,6 +412,12 @@ ORACLE["p_values"] = f"""
     SELECT CAST(row_number() OVER (ORDER BY abs(round(r, 4)) DESC, pos) AS INTEGER) AS rank, column_a, column_b,
            round(r, 4) AS correlation, round(tail / whole, 6) AS p_value, n
     FROM areas"""
+ORACLE["p_values_spearman"] = ORACLE["p_values"].replace(
+    _pearson("events", ["event_id", "user_id", "value"]), _spearman("events", ["event_id", "user_id", "value"])
+)
+ORACLE["pearson_wide"] = _with("wide", _ranked(_pearson("wide", WIDE), rank=False))
+ORACLE["spearman_wide"] = _with("wide", _ranked(_spearman("wide", WIDE[:14]), rank=False))
+ORACLE["spearman_empty_columns"] = _with("empty_column", _ranked(_spearman("empty_column", ["qty", "price"])))
 ORACLE["corr_matrix"] = _with(
     "wide_gaps",
     " UNION ALL ".join(
@@ -499,6 +513,11 @@ ORACLE["box_outliers"] = _with(
     SELECT value, count(*) AS n FROM gaps, ({_FENCES.format(c='value', t='gaps')})
     WHERE value < lo OR value > hi GROUP BY value""",
 )
+ORACLE["line_points"] = _with(
+    "gaps", "SELECT CAST(event_id AS DOUBLE) AS x, value AS y FROM gaps WHERE value IS NOT NULL"
+)
+ORACLE["area_points"] = _with("gaps", "SELECT CAST(event_id AS DOUBLE) AS x, coalesce(value, 0) AS y FROM gaps")
+ORACLE["scatter_data"] = "SELECT count(*) AS n, CAST(user_id AS DOUBLE) AS x, value AS y FROM events GROUP BY ALL"
 ORACLE["scatter_points"] = """
     SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL"""
 ORACLE["scatter_grid"] = f"""
@@ -511,15 +530,15 @@ ORACLE["scatter_grid"] = f"""
 
 
 def _density(source: str, c: str, extend: int) -> str:
-    """Kernel density over cells of 1/64 bandwidth, as documented for the operator."""
+    """The exact kernel density: every value counts at its own place."""
     return f"""
     WITH v AS (SELECT CAST({c} AS DOUBLE) AS v FROM {source} WHERE {c} IS NOT NULL),
          k AS (SELECT count(*) AS m, min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(count(*), -0.2) AS h FROM v),
-         c AS (SELECT floor((v - lo) / (h / 64)) AS cell, count(*) AS n, avg(v) AS mid FROM v, k GROUP BY cell),
+         c AS (SELECT v, count(*) AS n FROM v GROUP BY v),
          g AS (SELECT CAST(i AS INTEGER) AS point,
                       (lo - {extend} * h) + i * ((hi + {extend} * h - (lo - {extend} * h)) / 199) AS x
                FROM k, range(200) t(i)),
-         f AS (SELECT point, any_value(x) AS x, sum(n * exp(-0.5 * ((x - mid) / h) ** 2)) / any_value(m * h * sqrt(2 * pi())) AS density
+         f AS (SELECT point, any_value(x) AS x, sum(n * exp(-0.5 * ((x - v) / h) ** 2)) / any_value(m * h * sqrt(2 * pi())) AS density
                FROM g, c, k GROUP BY point)"""
 
 
@@ -604,6 +623,39 @@ ORACLE["profile_text"] = """
     )
 )
 
+ORACLE["profile_wide"] = _with(
+    "wide",
+    " UNION ALL ".join(
+        f"""SELECT {k} AS position, '{c}' AS "column", 'numeric' AS kind, min({v}) AS min, max({v}) AS max, 0 AS nulls FROM wide"""
+        for k, (c, v) in enumerate([*((c, c) for c in WIDE), *((f"m{c}", f"-{c}") for c in WIDE)])
+    ),
+)
+ORACLE["profile_text_nested"] = """
+    SELECT '- ''embedding'' (array): nested, nulls=' || count(*) FILTER (vec_id % 5 = 0) AS text FROM embeddings"""
+ORACLE["report_overview"] = "SELECT count(*) AS n_rows, 4 AS n_columns FROM supplier"
+ORACLE["report_markdown"] = """
+    SELECT unnest(['# Analysis report', '## Dataset overview', '- Rows: ' || format('{:,}', count(*)), '## Data profile',
+                   '## Numeric column summary']) AS text FROM supplier"""
+ORACLE["errors"] = """
+    SELECT call, text, (SELECT count(*) FROM supplier) AS n_rows FROM (VALUES
+        ('chart', 'Unknown chart type: Sankey'),
+        ('column', 'Column ''s_none'' not found.'),
+        ('empty', 'Cleaning would remove all rows. Relax your settings and try again.'),
+        ('heat map', 'Need at least 2 numeric columns for a heat map.'),
+        ('operation', 'Unknown operation type ''shuffle''.'),
+        ('text', 'Column ''s_name'' is not numeric.')) t(call, text)"""
+ORACLE["csv_line_breaks"] = _with("broken_lines", "SELECT c_custkey, note FROM broken_lines")
+ORACLE["csv_rejected"] = """
+    SELECT count(*) || ' row(s) have more than 2 cells.' AS text FROM supplier WHERE s_suppkey % 5 = 0"""
+ORACLE["csv_nested"] = """
+    SELECT s_suppkey, '[' || s_nationkey || ',' || s_suppkey || ']' AS keys, '{"nation":' || s_nationkey || '}' AS place
+    FROM supplier"""
+ORACLE["json_array"] = "SELECT s_suppkey, s_name FROM supplier"
+ORACLE["json_mixed"] = """
+    SELECT s_suppkey, s_name, CAST(NULL AS INTEGER) AS s_nationkey FROM supplier
+    UNION ALL SELECT s_suppkey + 1000000, NULL, s_nationkey FROM supplier"""
+ORACLE["orc_round_trip"] = _with("gaps", "SELECT * FROM gaps")
+
 # -- Streaming -----------------------------------------------------------------------
 
 ORACLE["stream_cleaned"] = f"""

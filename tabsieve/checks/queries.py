@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.checks.views import table, view
+from tabsieve.checks.views import WIDE, table, view
 from tabsieve.functions.values import finite_columns
 from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, report, schema
 from tabsieve.operators.quantiles import quantile_table
@@ -66,6 +66,69 @@ def json_round_trip(spark, folder):
     return readers.load_table(spark, path, "jsonl")
 
 
+@query
+def csv_line_breaks(spark, folder):
+    """Line breaks, commas and quotes inside cells survive CSV."""
+    path = new_folder(spark, "csv")
+    writers.write_csv(view(spark, folder, "broken_lines"), path)
+    return readers.load_table(spark, path, "csv")
+
+
+@query
+def csv_rejected(spark, folder):
+    """What is said of a table whose rows are longer than its header."""
+    path = new_folder(spark, "csv")
+    rows = table(spark, folder, "supplier").selectExpr("s_suppkey", "concat('y', IF(s_suppkey % 5 = 0, ',x', '')) AS b")
+    # Written without quotes, some rows have a cell too many.
+    rows.write.option("header", True).option("quote", "").csv(path)
+    try:
+        readers.load_table(spark, path, "csv")
+    except ValueError as error:
+        return spark.createDataFrame([(str(error).split(": ", 1)[1],)], "text string")
+
+
+@query
+def csv_nested(spark, folder):
+    """Arrays and structs come back as JSON text."""
+    path = new_folder(spark, "csv")
+    nested = table(spark, folder, "supplier").selectExpr(
+        "s_suppkey", "array(s_nationkey, s_suppkey) AS keys", "named_struct('nation', s_nationkey) AS place"
+    )
+    writers.write_csv(nested, path)
+    return readers.load_table(spark, path, "csv")
+
+
+def _json_arrays(spark, folder, path):
+    """Arrays of records, one to a file."""
+    parts = table(spark, folder, "supplier").groupBy((F.col("s_suppkey") % 4).alias("part"))
+    records = F.to_json(F.collect_list(F.struct("s_suppkey", "s_name")))
+    parts.agg(records.alias("value")).write.partitionBy("part").text(path)
+
+
+@query
+def json_array(spark, folder):
+    path = new_folder(spark, "json")
+    _json_arrays(spark, folder, path)
+    return readers.load_table(spark, path, "json").select("s_suppkey", "s_name")
+
+
+@query
+def json_mixed(spark, folder):
+    """A folder of arrays and of lines loses neither."""
+    path = new_folder(spark, "json")
+    _json_arrays(spark, folder, path)
+    lines = table(spark, folder, "supplier").selectExpr("s_suppkey + 1000000 AS s_suppkey", "s_nationkey")
+    lines.write.json(f"{path}/part=9")
+    return readers.load_table(spark, path, "json").select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query
+def orc_round_trip(spark, folder):
+    path = new_folder(spark, "orc")
+    view(spark, folder, "gaps").write.orc(path)
+    return readers.load_table(spark, path, "orc")
+
+
 @query
 def missing_tokens(spark, folder):
     return readers.normalize_missing(view(spark, folder, "tokens"))
@@ -326,6 +389,18 @@ def cast_numeric(spark, folder):
     return _cleaned(spark, folder, "money", _cast("amount", "numeric"))
 
 
+@query
+def cast_datetime_us(spark, folder):
+    """The format that fits the most values is found."""
+    return _cleaned(spark, folder, "us_dates", _cast("day", "datetime"))
+
+
+@query
+def cast_datetime_warning(spark, folder):
+    lines = cleaning.apply_cleaning(view(spark, folder, "us_dates"), [_cast("day", "datetime")])[1]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(lines, 1)], "line int, text string")
+
+
 @query
 def cast_numeric_warning(spark, folder):
     lines = cleaning.apply_cleaning(
@@ -403,6 +478,28 @@ def spearman_gaps(spark, folder):
     return association.correlations(view(spark, folder, "wide_gaps"), "spearman").drop("p_value")
 
 
+@query
+def pearson_wide(spark, folder):
+    """Thirty columns, 435 pairs."""
+    return association.correlations(view(spark, folder, "wide")).drop("p_value", "rank")
+
+
+@query
+def spearman_wide(spark, folder):
+    """Fourteen columns, 91 pairs."""
+    return association.correlations(view(spark, folder, "wide"), "spearman", WIDE[:14]).drop("p_value", "rank")
+
+
+@query
+def spearman_empty_columns(spark, folder):
+    return association.correlations(view(spark, folder, "empty_column"), "spearman").drop("p_value")
+
+
+@query
+def p_values_spearman(spark, folder):
+    return association.correlations(table(spark, folder, "events"), "spearman")
+
+
 @query
 def p_values(spark, folder):
     return association.correlations(table(spark, folder, "events"))
@@ -427,6 +524,21 @@ def regression_report(spark, folder):
 # -- Chart data ----------------------------------------------------------------------
 
 
+@query
+def line_points(spark, folder):
+    return chartdata.line_points(view(spark, folder, "gaps"), "value", "event_id")
+
+
+@query
+def area_points(spark, folder):
+    return chartdata.area_points(view(spark, folder, "gaps"), "value", "event_id")
+
+
+@query
+def scatter_data(spark, folder):
+    return chartdata.scatter_data(table(spark, folder, "events"), "value", "user_id")
+
+
 @query
 def line_series(spark, folder):
     return _rounded(chartdata.line_series(view(spark, folder, "gaps"), "value", "event_id", 100))
@@ -520,6 +632,56 @@ def dataset_profile(spark, folder):
     return _rounded(found.withColumn("sample", F.concat_ws("|", "sample")))
 
 
+@query
+def profile_wide(spark, folder):
+    """More columns than a text would detail."""
+    df = view(spark, folder, "wide").selectExpr("*", *[f"-{c} AS m{c}" for c in WIDE])
+    return report.dataset_profile(df, [WIDE[0]]).select("position", "column", "kind", "min", "max", "nulls")
+
+
+@query
+def profile_text_nested(spark, folder):
+    df = table(spark, folder, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 5 > 0 THEN embedding END AS embedding")
+    lines = report.profile_text(df, ["vec_id"]).split("\n")
+    return spark.createDataFrame([(lines[-1],)], "text string")
+
+
+@query
+def report_overview(spark, folder):
+    path = new_folder(spark, "report")
+    writers.write_report(table(spark, folder, "supplier"), path, ["s_suppkey"], "json")
+    return spark.read.json(f"{path}/overview").selectExpr("n_rows", "CAST(n_columns AS INT) AS n_columns")
+
+
+@query
+def report_markdown(spark, folder):
+    path = new_folder(spark, "report")
+    writers.write_report(table(spark, folder, "supplier"), path, ["s_suppkey"], "markdown")
+    lines = spark.read.text(path).withColumnRenamed("value", "text")
+    return lines.where("text LIKE '#%' OR text LIKE '- Rows%'")
+
+
+@query
+def errors(spark, folder):
+    """What is said of calls that are refused, next to the rows of the table."""
+    df = table(spark, folder, "supplier")
+    calls = {
+        "chart": lambda: chartdata.chart_data(df, "Sankey", "s_name"),
+        "column": lambda: chartdata.histogram(df, "s_none"),
+        "empty": lambda: cleaning.require_rows(df.where("s_suppkey < 0")),
+        "heat map": lambda: association.correlation_matrix(df, ["s_suppkey"]),
+        "operation": lambda: cleaning.clean(df, [{"type": "shuffle"}]),
+        "text": lambda: chartdata.histogram(df, "s_name"),
+    }
+    rows, n_rows = [], df.count()
+    for name, call in calls.items():
+        try:
+            call()
+        except ValueError as error:
+            rows.append((name, str(error), n_rows))
+    return spark.createDataFrame(rows, "call string, text string, n_rows bigint")
+
+
 @query
 def profile_text(spark, folder):
     lines = report.profile_text(table(spark, folder, "customer"), ["c_custkey"]).split("\n")

@@ -40,6 +40,16 @@ VIEWS = {
                CASE WHEN event_id % 10 = 0 THEN 'not-a-date'
                     ELSE CAST(CAST(ts AS DATE) AS STRING) END AS day
         FROM events""",
+    "us_dates": """
+        SELECT event_id,
+               CASE WHEN event_id % 10 = 0 THEN 'soon'
+                    ELSE concat(CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/', CAST(year(ts) AS STRING)) END AS day
+        FROM events""",
+    "broken_lines": """
+        SELECT c_custkey, concat(c_name, CASE c_custkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ', "' ELSE '' END, c_mktsegment) AS note
+        FROM customer""",
+    "empty_column": """
+        SELECT l_quantity AS qty, l_extendedprice AS price, CAST(NULL AS DOUBLE) AS none FROM lineitem""",
     "gaps": """
         SELECT event_id, ts, event_type,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
@@ -77,6 +87,17 @@ VIEWS = {
         FROM events""",
 }
 
+# Thirty numeric columns.
+WIDE = [f"c{k:02d}" for k in range(30)]
+VIEWS["wide"] = (
+    "SELECT "
+    + ", ".join(
+        f"CAST((l_orderkey * {2 * k + 3} + l_partkey * {k + 1} + l_linenumber) % {89 + k} AS DOUBLE) AS {c}"
+        for k, c in enumerate(WIDE)
+    )
+    + " FROM lineitem"
+)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from tabsieve.functions.values import double, number
 from tabsieve.operators.profile import moments
 from tabsieve.operators.ranks import average_ranks, count_values, distinct_sizes
 from tabsieve.operators.schema import complete_rows, numeric_columns, require_numeric
-from tabsieve.plans.held import held
+from tabsieve.plans.held import hold, released
 from tabsieve.plans.lookup import HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
@@ -24,7 +25,7 @@ from tabsieve.plans.together import together
 METHODS = ("pearson", "spearman")
 # Pairs per aggregate; more pairs take further scans of the table.
 PAIRS_PER_SCAN = 256
-# Plain sums that fit into one method small enough to be compiled.
+# Plain sums that fit into one method small enough to be compiled, in one scan.
 PRODUCTS_PER_SCAN = 40
 # The sentence that explains a fit and its error, and the grades of R2.
 FIT_SENTENCE = (
@@ -68,38 +69,45 @@ def _centered_products(
 ) -> dict[Pair, float]:
     """Sums of products of centred columns that have no missing values.
 
-    Plain sums cost a few nanoseconds per pair and row. A scan carries as many
-    as one compiled method can hold; further pairs are scanned in the same job.
+    Plain sums cost a few nanoseconds per pair and row; there are at most as
+    many as one compiled method can hold.
     """
     own = {c: f"v{i}" for i, c in enumerate(values)}
     centred = df.select(*[values[c].alias(v) for c, v in own.items()])
-    scans = []
-    for start in range(0, len(pairs), PRODUCTS_PER_SCAN):
-        part = pairs[start : start + PRODUCTS_PER_SCAN]
-        sums = centred.agg(*[F.sum(F.col(own[a]) * F.col(own[b])).alias(f"s{i}") for i, (a, b) in enumerate(part)])
-        scans.append(sums.select(F.lit(start).alias("start"), F.array(*sums.columns).alias("sums")))
-    out: dict[Pair, float] = {}
-    for r in reduce(DataFrame.unionAll, scans).collect():
-        out.update(zip(pairs[r["start"] :], r["sums"]))
-    return out
+    sums = centred.agg(*[F.sum(F.col(own[a]) * F.col(own[b])).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    return dict(zip(pairs, sums.first()))
 
 
 def _complete_pairs(
     df: DataFrame, values: dict[str, Column], rows: int, constant: set[str], pairs: Sequence[Pair]
 ) -> dict[Pair, tuple[int, float | None]]:
-    """(n, r) of pairs of centred columns without missing values."""
+    """(n, r) of pairs of centred columns without missing values.
+
+    Few pairs are plain sums of one scan. Many are one matrix that the built-in
+    correlation adds up block by block, in a number of scans that does not grow with the columns.
+    """
     if not pairs:
         return {}
-    used = list(dict.fromkeys(c for p in pairs for c in p if c not in constant))
     open_pairs = [p for p in pairs if not constant & set(p)]
-    sums = _centered_products(
-        df, {c: values[c] for c in used}, [*dict.fromkeys([*open_pairs, *((c, c) for c in used)])]
-    ) if used else {}
+    used = list(dict.fromkeys(c for p in open_pairs for c in p))
+    wanted = list(dict.fromkeys([*open_pairs, *((c, c) for c in used)]))
+    found: dict[Pair, float] = {}
+    if len(wanted) > PRODUCTS_PER_SCAN and rows > 1:
+        names = {c: f"v{i}" for i, c in enumerate(used)}
+        plain = df.select(*[values[c].alias(v) for c, v in names.items()])
+        vectors = VectorAssembler(inputCols=list(names.values()), outputCol="v").transform(plain)
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        at = {c: i for i, c in enumerate(used)}
+        found = {(a, b): float(matrix[at[a], at[b]]) for a, b in open_pairs}
+    elif wanted and rows > 1:
+        sums = _centered_products(df, {c: values[c] for c in used}, wanted)
+        for a, b in open_pairs:
+            spread = math.sqrt(sums[(a, a)]) * math.sqrt(sums[(b, b)])
+            found[(a, b)] = sums[(a, b)] / spread if spread else math.nan
     out: dict[Pair, tuple[int, float | None]] = {}
-    for a, b in pairs:
-        spread = 0.0 if constant & {a, b} else math.sqrt(sums[(a, a)]) * math.sqrt(sums[(b, b)])
-        r = max(-1.0, min(1.0, sums[(a, b)] / spread)) if spread and rows > 1 else None
-        out[(a, b)] = (rows, r)
+    for p in pairs:
+        r = found.get(p, math.nan)
+        out[p] = (rows, None if math.isnan(r) else max(-1.0, min(1.0, r)))
     return out
 
 
@@ -125,57 +133,55 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
 
     One counting shuffle serves all columns. A column without missing values
     leaves its partners' ranks unchanged, so each column has one rank per
-    partner *with* missing values plus one for all others. Ranks come back to
-    the rows through one skew-safe lookup per column.
+    partner *with* missing values plus one for all others. Values meet their ranks
+    as narrow (row, column, value) rows in one skew-safe lookup, and one shuffle by
+    row brings them back; the ranks are then held for all sums.
     """
-    values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    names = values.columns
-    counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
-    partners = [c for c in names if counts[c] < counts["rows"]]
-    with held(count_values(values, names, partners), "counts") as table:
+    numbers = [number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
+    with released(df.sparkSession):
+        values = hold(df.select(F.monotonically_increasing_id().alias("row"), *numbers), "values")
+        names = values.columns[1:]
+        counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
+        rows = counts["rows"]
+        partners = [c for c in names if counts[c] < rows]
+        table = hold(count_values(values, names, partners), "counts")
         sizes = distinct_sizes(table)
-        ranks = average_ranks(table, sizes, len(partners))
-        # The window left the rows sorted by column index: a lookup's filter on it
-        # skips the row groups of other columns.
-        with held(ranks, "ranks") as ranked:
-            out = values
-            for i, name in enumerate(names):
-                if i not in sizes:  # nothing but missing values
-                    out = out.withColumn(f"r{i}", F.lit(None).cast("double"))
-                    continue
-                others = [j for j, p in enumerate(partners) if p != name]
-                used = [F.col("rank").alias(f"r{i}"), *[F.col(f"rank{j}").alias(f"r{i}_{j}") for j in others]]
-                mine = ranked.where(F.col("idx") == i)
-                # No more than HOT_SHARE values can hold 1/HOT_SHARE of the rows.
-                heavy = mine.where(F.col("n") >= F.lit(counts["rows"]) / HOT_SHARE)
-                width = 16 * (len(used) + 1)
-                out = lookup(
-                    out, F.col(name), mine.select("value", *used), "value", sizes[i] * width, heavy.select("value", *used)
-                )
-            index = {p: j for j, p in enumerate(partners)}
-
-            def rank(own: int, other: int) -> Column:
-                if own not in sizes:
-                    return F.col(f"r{own}")
-                j = index.get(names[other])
-                return F.col(f"r{own}") if j is None else F.when(F.col(names[other]).isNotNull(), F.col(f"r{own}_{j}"))
-
-            at = {c: i for i, c in enumerate(columns)}
-            rows = counts["rows"]
-            complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
-            easy = [p for p in pairs if complete.issuperset(p)]
-            hard = [p for p in pairs if not complete.issuperset(p)]
-            centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
-            constant = {c for c in complete if sizes[at[c]] == 1}
-            found, rest = together(
-                df.sparkSession,
-                lambda: _complete_pairs(out, centred, rows, constant, easy),
-                lambda: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in hard])
-                if hard
-                else [],
-            )
-            found.update(zip(hard, rest))
-            return [found[p] for p in pairs]
+        ranked = hold(average_ranks(table, sizes, len(partners)), "ranks")
+        kinds = ["rank", *[f"rank{j}" for j in range(len(partners))]]
+        keyed = ranked.select(F.struct("idx", "value").alias("key"), "n", *kinds)
+        # No more than HOT_SHARE values of a column can hold 1/HOT_SHARE of the rows.
+        heavy = keyed.where(F.col("n") >= F.lit(max(rows, 1)) / HOT_SHARE).select("key")
+        narrow = tall(values, [[F.col("row"), F.col(c)] for c in names], ["row", "value"]).where(F.col("value").isNotNull())
+        width = 24 + 8 * len(kinds)
+        met = lookup(narrow, F.struct("idx", "value"), keyed.drop("n"), "key", sum(sizes.values()) * width, heavy)
+        own = [
+            F.max(F.when(F.col("idx") == i, F.col(k))).alias(f"r{i}{k[4:] and '_' + k[4:]}")
+            for i in range(len(names))
+            for k in kinds
+        ]
+        out = hold(met.groupBy("row").agg(*own), "row-ranks")
+        index = {p: j for j, p in enumerate(partners)}
+
+        def rank(of: int, other: int) -> Column:
+            j = index.get(names[other])
+            # Where the partner is missing, it has no rank either.
+            return F.col(f"r{of}") if j is None else F.when(F.col(f"r{other}").isNotNull(), F.col(f"r{of}_{j}"))
+
+        at = {c: i for i, c in enumerate(columns)}
+        complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
+        easy = [p for p in pairs if complete.issuperset(p)]
+        hard = [p for p in pairs if not complete.issuperset(p)]
+        centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
+        constant = {c for c in complete if sizes[at[c]] == 1}
+        found, rest = together(
+            df.sparkSession,
+            lambda: _complete_pairs(out, centred, rows, constant, easy),
+            lambda: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in hard])
+            if hard
+            else [],
+        )
+        found.update(zip(hard, rest))
+        return [found[p] for p in pairs]
 
 
 def _pairs(df: DataFrame, method: str, columns: Sequence[str], pairs: Sequence[Pair]):

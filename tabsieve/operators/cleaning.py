@@ -33,10 +33,28 @@ FILL_SKIPPED = "Fill nulls ({method}) skipped on '{column}' — column is not nu
 OUTLIERS_SKIPPED = "Remove outliers skipped on '{column}' — column is not numeric."
 NORMALIZE_SKIPPED = "Normalize skipped on '{column}' — column is not numeric."
 VALUES_LOST = "Cast '{column}' to number: {lost} value(s) couldn't be parsed as numbers and were set to null."
+DATES_LOST = "Cast '{column}' to datetime: {lost} value(s) couldn't be parsed as dates and were set to null."
 NOTHING_LEFT = "Cleaning would remove all rows. Relax your settings and try again."
 
 # Mappings up to this size are literals of the plan, larger ones are joined.
 LITERAL_MAPPING = 32
+# Date formats that are tried on a whole column, None being ISO; the one that fits
+# the most values is taken, the first one among equals.
+DATE_FORMATS = (
+    None,
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "yyyy/M/d",
+    "d.M.yyyy",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "d/M/yyyy H:mm[:ss]",
+    "d.M.yyyy H:mm[:ss]",
+    "MMM d, yyyy",
+    "d MMM yyyy",
+    "yyyyMMdd",
+)
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -83,7 +101,7 @@ def _needs(op: Mapping) -> set[str]:
     if kind == "remove_outliers":
         return {"quartiles"}
     if kind == "cast_type":
-        return {"lost"} if op.get("dtype") == "numeric" else set()
+        return {"numeric": {"lost"}, "datetime": {"format"}}.get(op.get("dtype"), set())
     if kind in ("fill_nulls", "normalize"):
         wanted = {
             "mean": {"fill_nulls": "mean"},
@@ -165,6 +183,10 @@ def _figures(df: DataFrame, ops: Sequence[Mapping]) -> dict[str, dict]:
         if "lost" in needs and isinstance(df.schema[c].dataType, T.StringType):
             lost = F.count_if(col(c).isNotNull() & lenient_number(col(c)).isNull())
             exprs.append(lost.alias(f"lost{i}"))
+        if "format" in needs and isinstance(df.schema[c].dataType, T.StringType):
+            exprs.append(F.count(col(c)).alias(f"texts{i}"))
+            for name, formats in _tries(ops, c).items():
+                exprs.append(F.count(parse_timestamp(col(c), formats)).alias(f"{name}{i}"))
     if not exprs:
         return {}
     row = df.agg(*exprs).first().asDict()
@@ -187,7 +209,16 @@ def _figures(df: DataFrame, ops: Sequence[Mapping]) -> dict[str, dict]:
     return out
 
 
-_FIGURES = ("nulls", "n", "low", "high", "mean", "std", "lost")
+_FITS = tuple(f"fits_{k}_" for k in range(len(DATE_FORMATS)))
+_FIGURES = ("nulls", "n", "low", "high", "mean", "std", "lost", "texts", *_FITS)
+
+
+def _tries(ops: Sequence[Mapping], column: str) -> dict[str, Sequence[str] | None]:
+    """The formats of a datetime cast by the names of their figures."""
+    for op in ops:
+        if op.get("column") == column and op.get("dtype") == "datetime" and op.get("formats"):
+            return {_FITS[0]: op["formats"]}
+    return {name: f and [f] for name, f in zip(_FITS, DATE_FORMATS)}
 
 
 def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list[str]) -> Step | None:
@@ -221,7 +252,14 @@ def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list
         return _fit_mapping(df, c, op["mapping"])
     if got.get("lost"):
         warnings.append(VALUES_LOST.format(column=c, lost=got["lost"]))
-    return Step(f"cast_{op['dtype']}", c, {"formats": op.get("formats")})
+    formats = op.get("formats")
+    if got.get("texts"):
+        tries = _tries([op], c)
+        best = max(tries, key=lambda name: got[name])
+        formats = tries[best]
+        if got["texts"] > got[best]:
+            warnings.append(DATES_LOST.format(column=c, lost=got["texts"] - got[best]))
+    return Step(f"cast_{op['dtype']}", c, {"formats": formats})
 
 
 def _fit_mapping(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> Step:
@@ -237,8 +275,7 @@ def _fit_mapping(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> St
         total = counts.agg(F.sum("n")).first()[0] or 1
         # No more than HOT_SHARE values can hold 1/HOT_SHARE of the rows.
         heavy = counts.where(F.col("n") >= F.lit(total) / HOT_SHARE).select("value")
-        hot = hold(table.join(heavy, "value", "left_semi"), "hot-values")
-        hot = hot if measured_bytes(hot) <= BROADCAST_BYTES else None
+        hot = hold(heavy, "hot-values")
     return Step("replace_joined", column, {"mapping": table, "bytes": size, "hot": hot})
 
 
@@ -257,7 +294,8 @@ def _to_number(df: DataFrame, name: str) -> Column | None:
         return col(name).cast("double")
     if isinstance(field_.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         stamp = col(name).cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), stamp).cast("double") * 1000
+        # Whole nanoseconds: a double has no room for all their digits.
+        return (F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), stamp) * 1000).cast("double")
     return None
 
 
@@ -297,11 +335,8 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
             df, c, F.when(F.map_contains_key(table, col(c)), F.element_at(table, col(c))).otherwise(col(c))
         )
     if kind == "replace_joined":
-        marked = v["mapping"].withColumn("__hit", F.lit(True))
-        hot = v["hot"].withColumn("__hit", F.lit(True)) if v["hot"] is not None else None
-        renamed = marked.withColumnRenamed("replacement", "__new")
-        hot = hot.withColumnRenamed("replacement", "__new") if hot is not None else None
-        joined = lookup(df, col(c), renamed, "value", v["bytes"], hot)
+        renamed = v["mapping"].withColumn("__hit", F.lit(True)).withColumnRenamed("replacement", "__new")
+        joined = lookup(df, col(c), renamed, "value", v["bytes"], v["hot"])
         new = F.when(F.col("__hit"), F.col("__new")).otherwise(col(c))
         keep = df.schema[c].metadata
         return joined.select(*[new.alias(c, metadata=keep) if n == c else col(n) for n in df.columns])

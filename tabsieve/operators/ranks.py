@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.values import number
 from tabsieve.operators.schema import require_numeric
+from tabsieve.plans.held import hold
 from tabsieve.plans.tall import tall
 
 BUCKET_VALUES = 500_000
-MAX_BUCKETS = 20_000
 _SAMPLE_PER_BUCKET = 64
 
 
@@ -43,7 +43,7 @@ def _splits(values: DataFrame, distinct: int, bucket_values: int) -> list[float]
 
     They steer the balance of the work only; any cut points give the same ranks.
     """
-    buckets = min(MAX_BUCKETS, -(-distinct // bucket_values))
+    buckets = -(-distinct // bucket_values)
     if buckets < 2:
         return []
     every = max(1, distinct // (buckets * _SAMPLE_PER_BUCKET))
@@ -59,8 +59,11 @@ def average_ranks(
     """(idx, value, n, rank, rank0, ...) from a held ``count_values`` table.
 
     ``rank`` is the average 1-based rank over all rows of the column, ``rankJ``
-    the one among the rows where partner j is present.
+    the one among the rows where partner j is present. No values, no ranks.
     """
+    if not distinct:
+        none = F.lit(None).cast("double")
+        return counts.select("idx", "value", "n", *[none.alias(f"rank{j}") for j in ("", *range(n_partners))])
     weights = ["n"] + [f"n{j}" for j in range(n_partners)]
     small = [i for i, d in distinct.items() if d <= bucket_values]
     pieces = []
@@ -84,13 +87,13 @@ def average_ranks(
         "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"before_{w}") for w in weights]
     )
     if len(small) < len(distinct):
-        # One row per bucket: at most MAX_BUCKETS per column, hence broadcast.
         earlier = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         totals = cells.groupBy("idx", "bucket").agg(*[F.sum(w).alias(w) for w in weights])
         offsets = totals.select(
             "idx", "bucket", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"offset_{w}") for w in weights]
         )
-        ranked = ranked.join(F.broadcast(offsets), ["idx", "bucket"])
+        # The windows left the rows by (idx, bucket): only the few offsets move.
+        ranked = ranked.join(offsets, ["idx", "bucket"])
     else:
         ranked = ranked.select("*", *[F.lit(0).cast("long").alias(f"offset_{w}") for w in weights])
 
@@ -110,8 +113,5 @@ def distinct_sizes(counts: DataFrame) -> dict[int, int]:
 
 def rank_table(df: DataFrame, column: str, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """(value, n, rank): average rank of every distinct value of one column."""
-    counts = count_values(df, [column])
-    sizes = distinct_sizes(counts)
-    if not sizes:
-        return counts.select("value", "n", F.lit(None).cast("double").alias("rank"))
-    return average_ranks(counts, sizes, 0, bucket_values).select("value", "n", "rank")
+    counts = hold(count_values(df, [column]), "counts")
+    return average_ranks(counts, distinct_sizes(counts), 0, bucket_values).select("value", "n", "rank")

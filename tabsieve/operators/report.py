@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tabsieve.functions.values import col
 from tabsieve.operators.profile import (
     DETAILED_COLUMNS,
     categorical_summary,
@@ -36,6 +38,7 @@ HEAD_LINES = ("Dataset: {rows:,} rows × {columns} columns.", "Columns: {names}.
 EMPTY_LINE = "- '{column}' (numeric): all values are null."
 NUMERIC_LINE = "- '{column}' (numeric): min={min}, max={max}, mean={mean}, median={median}, std={std}, nulls={nulls}"
 CATEGORY_LINE = "- '{column}' (categorical): {unique} unique values, sample={sample}, nulls={nulls}"
+NESTED_LINE = "- '{column}' ({type}): nested, nulls={nulls}"
 OMITTED_LINE = "\n(+{omitted} more columns not detailed here — ask about a specific one by name.)"
 
 
@@ -72,17 +75,20 @@ PROFILE = (
 )
 
 
-def dataset_profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """One row per column in schema order, detailed for the first 40 columns.
+def dataset_profile(df: DataFrame, order_by: Sequence[str], columns: int | None = None) -> DataFrame:
+    """One row per column in schema order, with details of all or of the first ``columns``.
 
     Numeric columns have range, mean, median and spread, others their distinct
-    count and first values; columns beyond the limit have their name only.
+    count and first values, nested ones their missing values.
     """
-    detailed = df.schema.fields[:DETAILED_COLUMNS]
+    detailed = df.schema.fields[:columns]
     numbers = [f.name for f in detailed if is_numeric(f)]
     others = [f.name for f in detailed if not is_numeric(f) and not is_nested(f)]
     stats = describe(df, numbers, modes=False) if numbers else {}
     rest = categorical_summary(df, order_by, others).collect() if others else []
+    nested = [f.name for f in detailed if is_nested(f)]
+    missing = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(nested)]).first() if nested else ()
+    gaps = dict(zip(nested, missing))
     categories = {r["column"]: r for r in rest}
     rows = []
     for i, f in enumerate(df.schema.fields):
@@ -94,14 +100,14 @@ def dataset_profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
         elif c is not None:
             rows.append((i, f.name, "categorical", *[None] * 5, c["unique"], c["sample"], c["nulls"]))
         else:
-            kind = "nested" if is_nested(f) and f in detailed else "omitted"
-            rows.append((i, f.name, kind, *[None] * 8))
+            kind = "nested" if f.name in gaps else "omitted"
+            rows.append((i, f.name, kind, *[None] * 7, gaps.get(f.name)))
     return df.sparkSession.createDataFrame(rows, PROFILE)
 
 
-def profile_text(df: DataFrame, order_by: Sequence[str]) -> str:
-    """The profile as text; formats the at most 40 detailed rows on the driver."""
-    rows = dataset_profile(df, order_by).orderBy("position").collect()
+def profile_text(df: DataFrame, order_by: Sequence[str], columns: int = DETAILED_COLUMNS) -> str:
+    """The profile as text, with a line for each of the first ``columns`` columns."""
+    rows = dataset_profile(df, order_by, columns).orderBy("position").collect()
     total = df.count()
     head = {"rows": total, "columns": len(rows), "names": ", ".join(df.columns)}
     lines = [line.format(**head) for line in HEAD_LINES]
@@ -114,6 +120,8 @@ def profile_text(df: DataFrame, order_by: Sequence[str]) -> str:
         elif r["kind"] == "categorical":
             found = {"unique": r["unique"], "sample": list(r["sample"]), "nulls": r["nulls"]}
             lines.append(CATEGORY_LINE.format(column=r["column"], **found))
+        elif r["kind"] == "nested":
+            lines.append(NESTED_LINE.format(column=r["column"], type=df.schema[r["column"]].dataType.typeName(), nulls=r["nulls"]))
     omitted = sum(r["kind"] == "omitted" for r in rows)
     if omitted:
         lines.append(OMITTED_LINE.format(omitted=omitted))

@@ -1,14 +1,13 @@
 """Tables written once and read many times.
 
 An operator that needs an intermediate result in several jobs writes it as
-Parquet into the shared folder named by ``spark.checkpoint.dir``. Losing an
-executor then costs nothing, lineage ends there, and later jobs read only the
-columns they name.
+Parquet into the shared folder named by ``spark.checkpoint.dir``, or below the
+warehouse where none is named. Losing an executor then costs nothing, lineage
+ends there, and later jobs read only the columns they name.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -16,9 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FOLDER = "spark.checkpoint.dir"
-# Temporary folders of local sessions that name none, by application.
-_LOCAL: dict[str, str] = {}
+_FOLDER, _WAREHOUSE = "spark.checkpoint.dir", "spark.sql.warehouse.dir"
 
 
 def _named_folder(spark: SparkSession) -> str | None:
@@ -26,16 +23,8 @@ def _named_folder(spark: SparkSession) -> str | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for local masters."""
-    named = _named_folder(spark)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {_FOLDER} to a folder that all executors share")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tabsieve-")
-    return _LOCAL[context.applicationId]
+    """The cluster's shared folder: the one named, else the warehouse."""
+    return (_named_folder(spark) or f"{spark.conf.get(_WAREHOUSE).rstrip('/')}/held").rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -67,6 +56,23 @@ def drop_held(df: DataFrame) -> None:
         _delete(df.sparkSession, f"{root}/{table}")
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, at the end of the block, what was held in it and is still there."""
+    before = _tables(spark)
+    try:
+        yield
+    finally:
+        for table in _tables(spark) - before:
+            _delete(spark, f"{_session_folder(spark)}/{table}")
+
+
+def _tables(spark: SparkSession) -> set[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+
+
 def release_held(spark: SparkSession) -> None:
     """Delete every table this session held, including those behind lazy results."""
     _delete(spark, _session_folder(spark))

@@ -16,6 +16,8 @@ BROADCAST_BYTES = 64 << 20
 # Lists of short keys are broadcast up to this length.
 BROADCAST_ROWS = 200_000
 _SPREAD = 1024
+# Pieces of a hot key.
+_HOT_SALTS = 64
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -38,10 +40,10 @@ def lookup(
     """Left outer join of ``left`` with the columns of ``right`` on ``key``.
 
     ``right`` has one row per ``right_key``; its caller has counted its rows and
-    knows its size. A small right side is broadcast. Otherwise the rows
-    of ``hot`` (the at most HOT_SHARE heaviest keys of ``right``) are broadcast
-    and everything else goes through a shuffle join; rows that were served by
-    the broadcast, or have no key, are spread over all partitions.
+    knows its size. A small right side is broadcast. Otherwise both go through a
+    shuffle join: rows of the keys in ``hot`` (the at most HOT_SHARE heaviest
+    ones of ``right``) are spread by a salt, and so are rows without a key. Of
+    the hot keys, only an 8-byte hash is broadcast.
     """
     names = [c for c in right.columns if c != right_key]
     if right_bytes <= BROADCAST_BYTES:
@@ -49,25 +51,25 @@ def lookup(
         return left.join(side, key == F.col("__key"), "left").drop("__key")
 
     out = left.withColumn("__k", key)
+    side = right.select(F.col(right_key).alias("__rk"), *[F.col(c).alias(f"__new_{c}") for c in names])
+    out, side = out.withColumn("__h", F.xxhash64("__k")), side.withColumn("__h", F.xxhash64("__rk"))
     if hot is not None:
-        side = hot.select(F.col(right_key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in names])
-        out = out.join(F.broadcast(side), F.col("__k") == F.col("__hot"), "left")
-        out = out.withColumn("__k", F.when(F.col("__hot").isNull(), F.col("__k")))
+        # A key that shares its hash with a hot one is split as well: no harm.
+        marked = F.broadcast(hot.select(F.xxhash64(right_key).alias("__h")).distinct().withColumn("__hot", F.lit(True)))
+        out, side = out.join(marked, "__h", "left"), side.join(marked, "__h", "left")
+    else:
+        out, side = out.withColumn("__hot", F.lit(False)), side.withColumn("__hot", F.lit(False))
     # Same row, same partition: same salt, so a retried task sends rows the same way.
     plain = [col(f.name) for f in left.schema.fields if not is_nested(f)]
-    spread = 1 + F.pmod(F.xxhash64(*plain) % _SPREAD + F.spark_partition_id(), F.lit(_SPREAD))
-    out = out.withColumn("__salt", F.when(F.col("__k").isNull(), spread).otherwise(F.lit(0)).cast("long"))
-    side = right.select(
-        F.col(right_key).alias("__rk"),
-        # Always 0, but not a literal: a constant would be taken out of the join
-        # keys and the rows without a key would meet in one partition.
-        F.pmod(F.xxhash64(right_key), F.lit(1)).cast("long").alias("__rsalt"),
-        *[F.col(c).alias(f"__cold_{c}") for c in names],
-    )
-    # The salt column sends rows without a key to many different partitions.
+    row = F.xxhash64(*plain)
+    lone = 1 + F.pmod(row % _SPREAD + F.spark_partition_id(), F.lit(_SPREAD))
+    hot_salt = F.pmod(row + F.spark_partition_id(), F.lit(_HOT_SALTS))
+    salt = F.when(F.col("__k").isNull(), lone).when(F.col("__hot"), hot_salt).otherwise(F.lit(0))
+    out = out.withColumn("__salt", salt.cast("long"))
+    # A constant would be taken out of the join keys, and rows without a key would
+    # meet in one partition.
+    zero = F.pmod(F.col("__h"), F.lit(1)).cast("long")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(_HOT_SALTS - 1)).cast("array<bigint>")).otherwise(F.array(zero))
+    side = side.withColumn("__rsalt", F.explode(salts)).drop("__h", "__hot")
     out = out.join(side, (F.col("__k") == F.col("__rk")) & (F.col("__salt") == F.col("__rsalt")), "left")
-    picked = [
-        (F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")) if hot is not None else F.col(f"__cold_{c}")).alias(c)
-        for c in names
-    ]
-    return out.select(*[col(c) for c in left.columns], *picked)
+    return out.select(*[col(c) for c in left.columns], *[F.col(f"__new_{c}").alias(c) for c in names])

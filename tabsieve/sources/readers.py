@@ -7,6 +7,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsieve.functions.values import (
     INTEGER_PATTERN,
@@ -42,7 +43,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, multi_lin
     if fmt == "csv":
         return read_csv(spark, path, multi_line)
     if fmt in ("json", "jsonl"):
-        return read_json(spark, path, records_array=fmt == "json" and _holds_array(spark, path))
+        return read_json(spark, path, records_array=None if fmt == "json" else False)
     if fmt in ("parquet", "orc"):
         return distinct_names(finite_columns(spark.read.format(fmt).load(path)))
     raise ValueError(f"Unsupported type '{fmt}'.")
@@ -57,19 +58,56 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return df
 
 
+_BROKEN = "__unparsed"
+# A quoted cell with all its quotes, and one that its line leaves open.
+_CLOSED_CELL = r'(^|,)"([^"]|"")*"(?=,|$)'
+_OPEN_CELL = r'(^|,)"'
+
+
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    return reader.option("emptyValue", "").option("encoding", "UTF-8")
+
+
+def _first_lines(spark: SparkSession, path: str, found: Column) -> list:
+    """``(line, found)`` for each file: its first line that is not blank, and whether
+    ``found`` holds for any. A block of a file is read by one task, from its start."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    lines = lines.select("_metadata.file_path", "_metadata.file_block_start", "value", found.alias("found"))
+    blocks = lines.groupBy("file_path", "file_block_start").agg(F.first("value").alias("line"), F.bool_or("found").alias("found"))
+    return blocks.groupBy("file_path").agg(
+        F.min_by("line", "file_block_start").alias("line"), F.bool_or("found").alias("found")
+    ).collect()
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header; missing tokens become NULL before types are inferred.
 
     Outer blanks of text are kept and doubled quotes are one quote. ISO dates
-    stay text until they are cast. Set ``multi_line`` only for files whose
-    fields hold line breaks: such a file is read by a single task.
+    stay text until they are cast. Rows with too few cells end in NULLs. Rows with
+    too many, and files whose headers differ, are a ValueError. Files with line
+    breaks in quoted cells, found by a first look or named by ``multi_line``, are
+    read whole by one task for each file.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("emptyValue", "").option("encoding", "UTF-8")
-    df = reader.csv(path)
-    if not df.columns:
+    if not _csv_reader(spark, multi_line).csv(path).columns:
         raise ValueError(f"Could not parse {path} as CSV: it has no header.")
-    return infer_types(distinct_names(df))
+    # Whether a quoted cell goes on after the end of its line.
+    opens = F.regexp_replace(F.col("value"), _CLOSED_CELL, "$1").rlike(_OPEN_CELL)
+    files = _first_lines(spark, path, opens)
+    if len({f["line"].strip() for f in files}) > 1:
+        raise ValueError(f"Could not parse {path} as CSV: its files have different headers.")
+    multi_line = multi_line or any(f["found"] for f in files)
+    names = _csv_reader(spark, multi_line).csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*names, _BROKEN]]
+    reader = _csv_reader(spark, multi_line).schema(T.StructType(fields))
+    df = reader.option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    cells = F.length(F.regexp_replace(F.regexp_replace(_BROKEN, '"([^"]|"")*"', ""), "[^,]", "")) + 1
+    # A row is parsed in full, and found to be too long, only if all its cells are asked for.
+    every = F.hash(*[col(c) for c in names])
+    long = df.agg(F.count_if(cells > len(names)).alias("long"), F.max(every)).first()["long"]
+    if long:
+        raise ValueError(f"Could not parse {path} as CSV: {long} row(s) have more than {len(names)} cells.")
+    return infer_types(distinct_names(df.drop(_BROKEN)))
 
 
 def normalize_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -131,19 +169,28 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return clean.select(*out)
 
 
-def _holds_array(spark: SparkSession, path: str) -> bool:
-    """Whether the text starts an array; reading lines as an array would lose rows."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    return first is not None and first["value"].lstrip().startswith("[")
+def _json(spark: SparkSession, path: str | list[str], whole: bool) -> DataFrame:
+    df = spark.read.option("multiLine", whole).json(path)
+    if "_corrupt_record" in df.columns:
+        raise ValueError(f"Could not parse {path} as JSON records.")
+    return df
 
 
-def read_json(spark: SparkSession, path: str, records_array: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, records_array: bool | None = None) -> DataFrame:
     """JSON records: one per line, or one array of records per file.
 
-    JSON lines are split among tasks, an array is read by one task per file.
-    Date-like text stays text until it is cast.
+    Unless ``records_array`` says which, it is decided for each file: a folder may
+    hold both. Lines are split among tasks, an array is read by one task per
+    file. Date-like text stays text until it is cast.
     """
-    df = spark.read.option("multiLine", records_array).json(path)
-    if "_corrupt_record" in df.columns:
-        raise ValueError(f"Could not parse {path} as JSON records.")
-    return distinct_names(finite_columns(df))
+    if records_array is None:
+        arrays = {f["file_path"]: f["line"].lstrip().startswith("[") for f in _first_lines(spark, path, F.lit(True))}
+        parts = [_json(spark, [f for f, a in arrays.items() if a == whole], whole) for whole in (False, True) if whole in arrays.values()]
+    else:
+        parts = [_json(spark, path, records_array)]
+    if not parts:
+        return _json(spark, path, False)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return distinct_names(finite_columns(out))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.values import col, finite_columns
 from tabsieve.operators.report import report_markdown, report_tables
-from tabsieve.operators.schema import require_column
+from tabsieve.operators.schema import is_nested, require_column
 
 PREVIEW_ROWS = 8
 REPORT_FORMATS = ("parquet", "csv", "json")
@@ -23,9 +23,15 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """UTF-8 CSV with a header and no index; one file per task."""
-    writer = finite_columns(df).write.mode(mode).option("header", True).option("escape", '"')
-    # Blanks are data and an empty text is not a missing one.
+    """UTF-8 CSV with a header and no index; one file per task.
+
+    Arrays, structs and maps are written as JSON. An empty text and a missing one
+    are both written as nothing, and read back as missing.
+    """
+    nested = [f.name for f in df.schema.fields if is_nested(f)]
+    flat = finite_columns(df).withColumns({c: F.to_json(col(c)) for c in nested})
+    writer = flat.write.mode(mode).option("header", True).option("escape", '"')
+    # Blanks are data.
     writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("emptyValue", "").option("encoding", "UTF-8").csv(path)
 
@@ -42,9 +48,6 @@ def write_report(df: DataFrame, path: str, order_by: Sequence[str], fmt: str = "
         raise ValueError(f"Unknown report format {fmt!r}.")
     for name, table in report_tables(df, order_by).items():
         if fmt == "csv":
-            arrays = [c for c, t in table.dtypes if t.startswith("array")]
-            table = table.withColumns({c: F.to_json(c) for c in arrays})
-            table = table.coalesce(1)
-            write_csv(table, f"{path}/{name}")
+            write_csv(table.coalesce(1), f"{path}/{name}")
         else:
             table.write.format(fmt).save(f"{path}/{name}")

@@ -1,8 +1,8 @@
 """Fitted cleaning steps on a stream.
 
 Means, bounds and mappings are fixed by a batch; the stream then applies the
-same row-wise steps. Whole-row deduplication has no end on an unbounded stream
-and is refused.
+same row-wise steps; a mapping of any size is a table that each micro-batch is
+joined with. Whole-row deduplication has no end on an unbounded stream and is refused.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 
 from tabsieve.functions.values import finite_columns
 from tabsieve.operators.cleaning import Step, apply_step
-from tabsieve.plans.lookup import BROADCAST_BYTES
 
 
 def clean_stream(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -21,8 +20,6 @@ def clean_stream(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:
     for step in steps:
         if step.kind == "remove_duplicates":
             raise ValueError("remove_duplicates cannot run on a stream.")
-        if step.kind == "replace_joined" and step.values["bytes"] > BROADCAST_BYTES:
-            raise ValueError("A mapping on a stream must be small enough to broadcast.")
     out = finite_columns(stream)
     for step in steps:
         out = apply_step(out, step)

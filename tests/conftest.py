@@ -31,6 +31,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def people(spark):
-    """One duplicate row, one missing price, several spellings of one name."""
-    rows = [(" Alice ", 1, 1.5), ("alice", 2, None), ("ALICE", 3, 2.5), (" Alice ", 1, 1.5), ("Bob", 4, 9.0)]
+    """Towns: one duplicate row, one missing price, several spellings of one name."""
+    rows = [("OSLO", 16, 5.0), ("Rome", 21, 18.0), (" Oslo ", 6, 3.0), ("oslo", 11, None), (" Oslo ", 6, 3.0)]
     return spark.createDataFrame(rows, "name string, score bigint, price double")

@@ -220,3 +220,31 @@ def test_held_tables_live_in_the_named_folder(spark, monkeypatch):
     with held.held(df, "check") as other:
         assert other.count() == 5 and folder not in other.inputFiles()[0]
     held.release_held(spark)
+
+
+def test_spearman_without_values(spark):
+    none = spark.createDataFrame([(None, None, "a")], "x double, y int, t string")
+    assert association.correlations(none, "spearman").count() == 0
+    assert association.correlations(none.limit(0), "spearman").count() == 0
+    assert association.correlations(none).count() == 0
+
+
+def test_nothing_is_left_behind(spark):
+    before = held._tables(spark)
+    df = spark.range(50).selectExpr("id AS a", "id % 7 AS b", "IF(id % 3 = 0, NULL, id) AS c")
+    association.correlations(df, "spearman").collect()
+    assert held._tables(spark) == before
+    with held.released(spark):
+        held.hold(df, "x")
+        assert len(held._tables(spark)) == len(before) + 1
+    assert held._tables(spark) == before
+
+
+def test_hot_keys_are_split_in_shuffled_lookups(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    left = spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', IF(id % 3 = 1, NULL, CAST(id AS STRING))) AS k", "id")
+    right = spark.createDataFrame([("hot", "H"), ("2", "two"), ("none", "N")], "key string, new string")
+    hot = spark.createDataFrame([("hot",)], "key string")
+    got = lookups.lookup(left, F.col("k"), right, "key", 1, hot)
+    counts = {r["new"]: r["count"] for r in got.groupBy("new").count().collect()}
+    assert got.columns == ["k", "id", "new"] and counts == {"H": 1000, "two": 1, None: 1999}
