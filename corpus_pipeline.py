@@ -20,7 +20,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``dropped(doc_id, text_hash)``, and with one of
     the rows that repeat an id and a text."""
     keys = ["doc_id", "text_hash"]
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("text_hash"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("text_hash"))
     repeats = marked.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():
         marked = marked.dropDuplicates(keys)
@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it."""
     taken = entropy.mix(docs).groupBy("doc_id", "text_hash", "source").agg(F.max("copies").alias("copies"))
     marked = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("text_hash"), F.col("source").cast("string").alias("source")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("text_hash"), F.col("source").cast("string").alias("source")
     )
     both = join_with_nulls(marked, taken.where("copies > 0"), ["doc_id", "text_hash", "source"])
     return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

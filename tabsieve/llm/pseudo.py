@@ -40,7 +40,7 @@ CHUNK = 1 << 14
 #: Longer words stand for themselves by a hash.
 LONGEST = 64
 COUNTED = 200_000
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Numbers of weights that are averaged as one row.
 SLICE = 1 << 14
 
@@ -87,22 +87,32 @@ def vocabulary(docs: DataFrame) -> dict:
     return {"words": words, "n": n, "kinds": kinds}
 
 
+class _Known(dict):
+    """Numbers of words; one that is asked for the first time gets its bucket's."""
+
+    def __missing__(self, word: str) -> int:
+        number = self.first_bucket + zlib.crc32(_short(word).encode("utf-8", "replace")) % BUCKETS
+        self[word] = number
+        return number
+
+
 class Ids:
     """Numbers of words: their place by count, or that of their bucket."""
 
     def __init__(self, words: list[str]):
         self.own = {w: i for i, w in enumerate(words)}
-        self.known = dict(self.own)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Known(self.own)
+        self.known.first_bucket = len(self.own)
 
     def of(self, text: str) -> np.ndarray:
-        words, known = words_of(text), self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = dict(self.own)
-            new = set(words).difference(known)
-        for w in new:
-            known[w] = len(self.own) + zlib.crc32(_short(w).encode("utf-8", "replace")) % BUCKETS
-        return np.array([known[w] for w in words], np.int32)
+        words = words_of(text)
+        found = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        return found
 
 
 class Network:
@@ -210,11 +220,38 @@ def _padded(ids: np.ndarray, outside: int) -> np.ndarray:
     return np.concatenate((edge, ids, edge))
 
 
-def _trainer(vocab: dict, flat: np.ndarray, turn: int):
-    words, n = vocab["words"], vocab["n"]
+def number_words(docs: DataFrame, vocab: dict) -> DataFrame:
+    """``(doc_id, ids)``: every whole text as numbers, written once for all passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab["words"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(shared.value)
+        for batch in batches:
+            found, begin, size = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                found.append(ids.of(text.as_py()))
+                size += len(found[-1])
+                if size > 1 << 20 or k + 1 == batch.num_rows:
+                    yield _numbered(batch.column("doc_id").slice(begin, k + 1 - begin), found)
+                    found, begin, size = [], k + 1, 0
+
+    return hold(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>"), "ids")
 
+
+def _numbered(names: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "ids"])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _trainer(n: np.ndarray, flat: np.ndarray, turn: int):
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, network = Ids(words), Network(n, flat)
+        network = Network(n, flat)
         trainer, held, seen, waiting = Trainer(network), [], 0, 0
 
         def learn() -> None:
@@ -224,8 +261,7 @@ def _trainer(vocab: dict, flat: np.ndarray, turn: int):
                 trainer.step(list(part[:-1]), part[-1])
 
         for batch in batches:
-            for text in batch.column(0):
-                found = ids.of(text.as_py())
+            for found in _lists(batch.column(0)):
                 if not len(found):
                     continue
                 at = np.arange((len(found) + 5 * turn) % min(STRIDE, len(found)), len(found), STRIDE)
@@ -263,16 +299,17 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in values], pa.int32()), pa.array([v[1] for v in values], pa.binary())], ["part", "weights"])
 
 
-def train(docs: DataFrame, vocab: dict) -> np.ndarray:
-    """The averaged weights; 2.6 MB whatever the size of the corpus."""
-    flat, texts = Network(vocab["n"]).flat, docs.select(whole_text().alias("text"))
+def train(numbers: DataFrame, n: np.ndarray) -> np.ndarray:
+    """The averaged weights; 2.6 MB whatever the size of the corpus. ``numbers`` is
+    that of ``number_words``, ``n`` the counts of the vocabulary."""
+    flat = Network(n).flat
     for turn in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
+        shared = numbers.sparkSession.sparkContext.broadcast((n, flat))
 
         def run(batches, shared=shared, turn=turn):
             return _trainer(*shared.value, turn)(batches)
 
-        made = texts.mapInArrow(run, "part int, seen double, weights binary").repartition("part").mapInArrow(_average, "part int, weights binary")
+        made = numbers.select("ids").mapInArrow(run, "part int, seen double, weights binary").repartition("part").mapInArrow(_average, "part int, weights binary")
         rows = sorted(made.collect())
         if not rows:
             break
@@ -281,22 +318,25 @@ def train(docs: DataFrame, vocab: dict) -> np.ndarray:
     return flat
 
 
-def score_texts(texts: list[str], ids: Ids, network: Network, rare: np.ndarray) -> list[tuple[int, float]]:
-    """``(words, log-probability)`` of each text. ``rare`` is subtracted for a word
+def score_ids(found: list[np.ndarray], network: Network, rare: np.ndarray) -> np.ndarray:
+    """The log-probability of each list of numbers. ``rare`` is subtracted for a word
     that is one of the many of its bucket."""
-    found = [ids.of(t) for t in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
     edge = np.full(2, network.outside, np.int32)
-    row = np.concatenate([edge, *(x for ids_ in found for x in (ids_, edge))])
-    ends = np.cumsum([len(x) + 2 for x in found])
-    starts = ends - np.array([len(x) for x in found])
-    place = np.concatenate([np.arange(s, s + len(x)) for s, x in zip(starts, found, strict=True)]) if found else np.zeros(0, int)
+    row = np.concatenate([edge, *(x for own in found for x in (own, edge))])
+    inner = np.cumsum(sizes) - sizes
+    place = np.repeat(2 * np.arange(1, len(found) + 1), sizes) + np.arange(sizes.sum())
     value = np.zeros(len(place))
     for k in range(0, len(place), CHUNK):
         here = place[k : k + CHUNK]
         value[k : k + CHUNK] = network.log_probabilities([row[here + p] for p in PLACES], row[here]) - rare[row[here]]
     sums = np.concatenate(([0.0], np.cumsum(value)))
-    cuts = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-    return [(len(x), float(sums[b] - sums[a])) for x, a, b in zip(found, cuts[:-1], cuts[1:], strict=True)]
+    return sums[inner + sizes] - sums[inner]
+
+
+def rare_shares(vocab: dict) -> np.ndarray:
+    """What the log-probability of a bucket has more than that of one of its words."""
+    return np.concatenate((np.zeros(len(vocab["words"])), np.log(vocab["kinds"])))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -304,28 +344,25 @@ def score(docs: DataFrame) -> DataFrame:
 
     Fitted on the same documents. ``per_word`` is the mean log-probability; it
     is NULL for a text without words, whose sum is 0. A missing text is empty.
-    Logarithms are natural.
+    Logarithms are natural. An empty table gives none.
     """
     vocab = vocabulary(docs)
-    weights = train(docs, vocab)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+    numbers = number_words(docs, vocab)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab["n"], train(numbers, vocab["n"]), rare_shares(vocab)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = shared.value
-        ids, network = Ids(known["words"]), Network(known["n"], flat)
-        rare = np.concatenate((np.zeros(len(known["words"])), np.log(known["kinds"])))
+        n, flat, rare = shared.value
+        network = Network(n, flat)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out, group, size = [], [], 0
-            for text in texts:
-                group.append(text)
-                size += len(text)
-                if size > 1 << 20:
-                    out += score_texts(group, ids, network, rare)
-                    group, size = [], 0
-            if group:
-                out += score_texts(group, ids, network, rare)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in out], pa.int64()), pa.array([v for _, v in out], pa.float64())], ["doc_id", "n_words", "log_likelihood"])
-
-    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+            found, values, begin, size = _lists(batch.column("ids")), [], 0, 0
+            for k, own in enumerate(found):
+                size += len(own)
+                if size > 1 << 18 or k + 1 == len(found):
+                    values.append(score_ids(found[begin : k + 1], network, rare))
+                    begin, size = k + 1, 0
+            if values:
+                columns = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(np.concatenate(values))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_likelihood"])
+
+    made = numbers.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
     return made.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -69,10 +69,7 @@ def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_disclosure_sanitiser(spark: SparkSession, folder: str) -> DataFrame:
     found = sanitise.protect(read_table(spark, folder, "documents").select("doc_id", "text"))
-    kinds = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(sanitise.KINDS)
-    ]
+    kinds = [sanitise.span_count("spans", k).alias(f"n_{k}") for k in sanitise.KINDS]
     return found.select(
         "doc_id",
         *kinds,

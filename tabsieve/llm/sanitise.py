@@ -216,6 +216,11 @@ def span_text(spans: str, terms: str | None = None) -> Column:
     return F.array_join(texts, ",")
 
 
+def span_count(spans: str, kind: str) -> Column:
+    number = KINDS.index(kind)
+    return F.size(F.filter(F.col(spans), lambda s: s["kind"] == number)).cast("long")
+
+
 def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
