@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from tabsieve.functions.values import col, finite_columns, lenient_number, number, parse_timestamp, present
 from tabsieve.operators.frequency import distinct_and_mode, value_counts
-from tabsieve.operators.quality import _no_maps
+from tabsieve.operators.quality import _no_maps, distinct_rows, repeated_hashes
 from tabsieve.operators.quantiles import Extent, exact_quantiles
 from tabsieve.operators.schema import CATEGORY, is_numeric, within
-from tabsieve.plans.held import hold
+from tabsieve.plans.held import drop_held, hold
 from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup, measured_bytes
 
 # The accepted operation types, methods and target types.
@@ -82,6 +82,13 @@ class Cleaned:
     table: DataFrame
     warnings: list[str]
     steps: list[Step]
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Deletes the tables written for this result, once nobody reads it any more."""
+        for table in self.held:
+            drop_held(table)
+        self.held.clear()
 
 
 def validate_operations(operations: Sequence[Mapping]) -> None:
@@ -225,7 +232,7 @@ def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list
     kind, c, method = op["type"], op.get("column"), op.get("method")
     got = figures.get(c, {})
     if kind == "remove_duplicates":
-        return Step(kind)
+        return Step(kind, values={"repeated": repeated_hashes(df)})
     if kind == "fill_nulls":
         if method == "drop":
             return Step("drop", c)
@@ -268,7 +275,7 @@ def _fit_mapping(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> St
         if len(pairs) <= LITERAL_MAPPING:
             return Step("replace", column, {"mapping": dict(pairs)})
         mapping = df.sparkSession.createDataFrame(pairs, "value string, replacement string")
-    table = mapping.groupBy("value").agg(F.min("replacement").alias("replacement"))
+    table = hold(mapping.groupBy("value").agg(F.min("replacement").alias("replacement")), "mapping")
     size, hot = measured_bytes(table), None
     if size > BROADCAST_BYTES:
         counts = value_counts(df, column)
@@ -314,7 +321,7 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     """The table after one fitted step, still lazy."""
     kind, c, v = step.kind, step.column, step.values
     if kind == "remove_duplicates":
-        return df.dropDuplicates()
+        return distinct_rows(df, v.get("repeated"))
     if kind == "drop":
         return df.where(col(c).isNotNull())
     if kind == "keep_range":
@@ -354,7 +361,7 @@ def clean(df: DataFrame, operations: Sequence[Mapping]) -> Cleaned:
     out = finite_columns(df)
     warnings: list[str] = []
     steps: list[Step] = []
-    shuffled = False
+    shuffled, kept = False, []
     for batch in _batches(operations):
         # Notes keep the order of the operations although fitting comes first.
         notes: list[list[str]] = [[] for _ in batch]
@@ -364,6 +371,7 @@ def clean(df: DataFrame, operations: Sequence[Mapping]) -> Cleaned:
             # Figures of this batch and all later jobs read the held table
             # instead of repeating the shuffles before it.
             out, shuffled = hold(out, "cleaning"), False
+            kept.append(out)
         figures = _figures(out, wanted)
         fitted = [
             _fit(out, op, figures, note) if op is not None else None for op, note in zip(admitted, notes)
@@ -374,7 +382,8 @@ def clean(df: DataFrame, operations: Sequence[Mapping]) -> Cleaned:
                 out = apply_step(out, step)
                 shuffled = shuffled or step.shuffles
                 steps.append(step)
-    return Cleaned(out, warnings, steps)
+                kept += [step.values[k] for k in ("repeated", "mapping", "hot") if isinstance(step.values.get(k), DataFrame)]
+    return Cleaned(out, warnings, steps, kept)
 
 
 def apply_cleaning(df: DataFrame, operations: Sequence[Mapping]) -> tuple[DataFrame, list[str]]:

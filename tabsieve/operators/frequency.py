@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabsieve.functions.values import ID_LENGTH, col, is_present, present, text_id
 from tabsieve.operators.schema import is_integral, require_column
+from tabsieve.plans.held import held
 from tabsieve.plans.lookup import BROADCAST_ROWS
 from tabsieve.plans.tall import tall
 
@@ -142,9 +143,8 @@ def _mode_of_long_texts(df: DataFrame, column: str, n: int) -> str:
         return rows.agg(F.min("value")).first()[0]
     by_id = rows.withColumn("id", text_id(F.col("value")))
     tied = by_id.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("id")
-    few = [r["id"] for r in tied.limit(BROADCAST_ROWS + 1).collect()]
-    if len(few) <= BROADCAST_ROWS:
-        side = df.sparkSession.createDataFrame([(x,) for x in few], "id string")
-        return by_id.join(F.broadcast(side), "id", "left_semi").agg(F.min("value")).first()[0]
+    with held(tied, "tied") as few:
+        if few.count() <= BROADCAST_ROWS:
+            return by_id.join(F.broadcast(few), "id", "left_semi").agg(F.min("value")).first()[0]
     counts = value_counts(df, column)
     return counts.where(F.col("n") == n).agg(F.min("value")).first()[0]

@@ -21,7 +21,7 @@ from tabsieve.operators.schema import (
     require_numeric,
     text_columns,
 )
-from tabsieve.plans.held import hold
+from tabsieve.plans.held import drop_held, hold
 from tabsieve.plans.lookup import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
@@ -49,18 +49,36 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     """
     _no_maps(df)
     rows = finite_columns(df)
-    if _row_bytes(rows) >= WIDE_ROW_BYTES:
-        hashed = _row_hash(rows)
-        shared = rows.select(hashed.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-        shared = shared.where(F.col("__n") > 1).select("__h").limit(BROADCAST_ROWS + 1)
-        few = [r[0] for r in shared.collect()]
-        if len(few) <= BROADCAST_ROWS:
-            side = df.sparkSession.createDataFrame([(h,) for h in few], "__h bigint")
-            rows = rows.withColumn("__h", hashed).join(F.broadcast(side), "__h", "left_semi").drop("__h")
+    repeated = repeated_hashes(rows)
+    if repeated is not None:
+        rows = rows.withColumn("__h", _row_hash(rows)).join(F.broadcast(repeated), "__h", "left_semi").drop("__h")
     counted = rows.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     return counted.where(F.col("__n") > 1)
 
 
+def repeated_hashes(rows: DataFrame) -> DataFrame | None:
+    """A held table of the row hashes that occur more than once, if rows are wide
+    and these hashes are few enough to be broadcast."""
+    if _row_bytes(rows) < WIDE_ROW_BYTES:
+        return None
+    counted = rows.select(_row_hash(rows).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = hold(counted.where(F.col("__n") > 1).select("__h"), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        return repeated
+    drop_held(repeated)
+    return None
+
+
+def distinct_rows(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """The rows without their copies; only rows with a repeated hash are shuffled."""
+    if repeated is None:
+        return rows.dropDuplicates()
+    side = F.broadcast(repeated.withColumn("__again", F.lit(True)))
+    marked = rows.withColumn("__h", _row_hash(rows)).join(side, "__h", "left").drop("__h")
+    once = marked.where(F.col("__again").isNull()).drop("__again")
+    return once.unionAll(marked.where(F.col("__again")).drop("__again").dropDuplicates())
+
+
 def _row_bytes(df: DataFrame) -> int:
     """Typical width of a row by its types."""
     sizes = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "string": 20}
@@ -356,14 +374,16 @@ def suggest_operations(
             ops.append({"type": "fill_nulls", "column": r["column"], "method": method})
     flagged = {r["column"] for r in outlier_report(df).select("column").collect()} if outliers else set()
     ops += [{"type": "remove_outliers", "column": c} for c in outliers if c in flagged]
-    if fix_text:
-        bad = {r["column"] for r in text_affected(df).select("column").collect()}
-        for c in text_columns(df):
+    texts = text_columns(df)
+    if fix_text and texts:
+        # Normal forms and spellings of all columns are found once.
+        ids = hold(text_ids(df, texts), "variants")
+        bad = {r["column"] for r in text_affected(df, texts, ids).select("column").collect()}
+        spelled = hold(text_variants(df, texts, ids).where(F.col("variant") != F.col("key")), "spellings") if bad else None
+        drop_held(ids)
+        for c in texts:
             if c in bad:
-                mapping = (
-                    text_variants(df, [c])
-                    .where(F.col("variant") != F.col("key"))
-                    .select(F.col("variant").alias("value"), F.col("key").alias("replacement"))
-                )
+                mine = spelled.where(F.col("column") == c)
+                mapping = mine.select(F.col("variant").alias("value"), F.col("key").alias("replacement"))
                 ops.append({"type": "fix_text", "column": c, "mapping": mapping})
     return ops

@@ -248,3 +248,20 @@ def test_hot_keys_are_split_in_shuffled_lookups(spark, monkeypatch):
     got = lookups.lookup(left, F.col("k"), right, "key", 1, hot)
     counts = {r["new"]: r["count"] for r in got.groupBy("new").count().collect()}
     assert got.columns == ["k", "id", "new"] and counts == {"H": 1000, "two": 1, None: 1999}
+
+
+def test_cleaning_deletes_what_it_wrote(spark):
+    df = spark.range(40).selectExpr("id % 20 AS a", "IF(id % 4 = 0, NULL, id % 20) AS b", "repeat('wide ', 40) AS t")
+    ops = [{"type": "remove_duplicates"}, {"type": "fill_nulls", "column": "b", "method": "mean"}]
+    before = held._tables(spark)
+    result = cleaning.clean(df, ops)
+    assert result.table.count() == 20 and held._tables(spark) > before
+    result.release()
+    assert held._tables(spark) == before
+
+
+def test_wide_copies_are_removed(spark):
+    rows = [(i % 7 if i < 30 else i, *["x" * 90] * 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, t string, u string, v string, w string")
+    assert quality.repeated_hashes(df) is not None
+    assert sorted(cleaning.clean(df, [{"type": "remove_duplicates"}]).table.collect()) == sorted(set(rows))
