@@ -3,9 +3,10 @@
 Every text becomes a set of hashed shingles and a sketch of minimum hashes. In
 each run the sets are split recursively on sampled tokens of their sketches: a
 bucket is a path of shared tokens. Small buckets, and buckets that a further
-split would leave together, are compared by brute force. Runs are repeated until
-a pair at the threshold is missed with a probability of about
-(1 - 0.53) ** RUNS. What the sketches put together is then verified on the
+split would leave together, are compared by brute force. The runs sample some
+RUNS / SIMILARITY tokens; a pair right at the threshold misses all of their
+buckets with a probability of 0.2 ** 12 after one split and of about 0.001
+after DEPTH splits. What the sketches put together is then verified on the
 whole texts, exactly and pair by pair, in blocks.
 """
 
@@ -374,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = sets.drop("sketch").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left")
     known = known.select("set", "copies", F.struct("none", "doc_id", "text_hash").alias("first"), F.coalesce("component", "set").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     known = hold(known, "known")
-    keepers = known.groupBy("class").agg(F.min("first").alias("keep"))
+    keepers = hold(known.groupBy("class").agg(F.min("first").alias("keep")), "keepers")
     known = known.join(keepers, "class").select("set", "keep", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "text_hash", "set", "shingles").join(known, "set", "left")
     lone = F.col("shingles") == 0

@@ -22,8 +22,11 @@ def connected_components(links: DataFrame, label: str) -> DataFrame:
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     current, state = _round(pairs, label)
     while state[0]:
-        made, new_state = _round(_small_star(_large_star(current)), label)
-        drop_held(current)
+        wide, *used = _large_star(current, label)
+        narrow, *more = _small_star(wide, label)
+        made, new_state = _round(narrow, label)
+        for table in (current, wide, *used, *more):
+            drop_held(table)
         current = made
         if new_state == state:
             break
@@ -39,13 +42,18 @@ def _round(pairs: DataFrame, label: str):
     return table, (row[0], row[1])
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+# The smallest neighbours are written before they are joined: both sides then come
+# from exchanges of their own, and the rows of a hub can be split.
+
+
+def _large_star(pairs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = hold(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), label)
+    made = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hold(made.distinct(), label), least
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(pairs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    least = hold(pairs.groupBy("u").agg(F.min("v").alias("m")), label)
     moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"), least

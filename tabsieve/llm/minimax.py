@@ -76,7 +76,8 @@ def balanced_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     empty when groups are few; an empty table gives none.
     """
     rows = hold(text_rows(docs), "texts")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    # Written, so that the join can split a text with very many copies.
+    first = hold(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "groups")
     rows = rows.join(first, "digest")
     numbered = hold(
         running_totals(

@@ -208,7 +208,7 @@ def link_vectors(vectors: DataFrame, column: str = "embedding", similarity: floa
     links = verified.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", "first_id").join(parts, "node", "left").join(links, "node", "left")
     known = hold(known.withColumn("component", F.coalesce("component", "node")), "known")
-    names = known.groupBy("component").agg(F.min("first_id").alias("name"))
+    names = hold(known.groupBy("component").agg(F.min("first_id").alias("name")), "names")
     known = known.join(names, "component").select("node", "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.join(known, "node", "left").select(
         "vec_id",
