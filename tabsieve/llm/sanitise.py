@@ -10,7 +10,6 @@ to a beginning that reveals less, or removed if that reveals as much.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,17 +37,18 @@ _MARKS = ".,;:!?\"'()[]{}<>*#$%&|/\\-_…«»“”„"
 #: Terms up to this many words and characters from an entity are near it.
 NEAR_WORDS = 8
 NEAR_CHARS = 200
-#: A term reveals an entity if it tells this part of the entity's information and
-#: stands with it in at least so many different surroundings.
+#: A term reveals an entity if it tells this part of the entity's information.
 DISCLOSURE = 0.95
-SURROUNDINGS = 3
+#: A term's documents count as so many more, in which the entity is as frequent as
+#: anywhere: what few documents say is shrunk towards no information.
+SHRINK = 0.25
 #: Letters that stay of a generalised term.
 GENERAL = 3
 #: Partial counts that a task holds.
 COUNTED = 200_000
 
 _SPANS = "array<struct<kind: int, start: int, end: int>>"
-_NEAR = "array<struct<entity: string, term: string, start: int, end: int, around: long>>"
+_NEAR = "array<struct<entity: string, term: string, start: int, end: int>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -101,8 +101,8 @@ def _trimmed(word: str, start: int) -> tuple[str, int, int]:
     return inner.lower(), start, start + len(inner)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """``(entity, term, start, end, surroundings)`` around each span; no part of a
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
+    """``(entity, term, start, end)`` around each span; no part of a
     span is a term, nor a word that the edge of the reach cuts."""
     out = []
     taken = sorted((a, b) for _, a, b in spans)
@@ -112,22 +112,21 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
         after = [m for m in _SPACED.finditer(text, end, high) if m.end() < high or high == len(text) or text[high].isspace()][:NEAR_WORDS]
         terms = [t for m in before + after if (t := _trimmed(m[0], m.start()))[0]]
         terms = [t for t in terms if not any(a < t[2] and t[1] < b for a, b in taken)]
-        around = int.from_bytes(hashlib.blake2b(" ".join(t[0] for t in terms).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         entity = _entity(kind, text[start:end])
-        out += [(entity, *t, around) for t in terms]
+        out += [(entity, *t) for t in terms]
     return out
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
+    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         spans, terms = [], []
         for text in batch.column("text"):
             text = text.as_py()
             found = base_spans(text)
             spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-            terms.append([dict(zip(("entity", "term", "start", "end", "around"), t, strict=True)) for t in near_terms(text, found)])
+            terms.append([dict(zip(("entity", "term", "start", "end"), t, strict=True)) for t in near_terms(text, found)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(spans, span), pa.array(terms, near)], ["doc_id", "text_hash", "spans", "near"]
         )
@@ -169,19 +168,23 @@ def term_documents(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def reveals(total: int) -> Column:
+    """Whether ``together`` of a term's ``n`` documents tell enough of an entity that is
+    in ``documents`` of all. One that is in all has no information to tell."""
+    part = F.col("documents") / F.lit(float(total))
+    given = (F.col("together") + SHRINK * part) / (F.col("n") + SHRINK)
+    return (F.log2(given / part) >= -DISCLOSURE * F.log2(part)) & (part < 1)
+
+
 def revealing_terms(found: DataFrame, documents: DataFrame, total: int) -> DataFrame:
     """``(entity, term, action)``: what reveals an entity, and whether its
     beginning reveals as much and it is removed, or it is generalised."""
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.around")
+    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term")
     general = F.concat(F.substring("term", 1, GENERAL), F.lit("*"))
     both = near.unionByName(near.withColumn("term", general))
     mentions = both.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    around = both.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("surroundings"))
-    common = mentions.join(around.where(F.col("surroundings") >= SURROUNDINGS), ["entity", "term"])
     own = near.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("documents"))
-    rated = common.join(own, "entity").join(documents, "term")
-    told = F.log2(F.col("together") * F.lit(float(total)) / (F.col("documents") * F.col("n")))
-    rated = rated.where(told >= DISCLOSURE * F.log2(F.lit(float(total)) / F.col("documents"))).select("entity", "term")
+    rated = mentions.join(own, "entity").join(documents, "term").where(reveals(total)).select("entity", "term")
     rated = hold(rated, "revealing")
     terms = rated.where(~F.col("term").endswith("*")).withColumn("begin", general)
     removed = rated.withColumnRenamed("term", "begin").withColumn("all", F.lit(True))

@@ -338,3 +338,12 @@ def test_terms_that_reveal(spark):
     assert clean[None] == "call [phone]" and clean[100] == ""
     assert sanitise.protect(docs).count() == len(rows) + 4
     assert sanitise.protect(docs.limit(0)).count() == 0 and sanitise.sanitise(docs.limit(0)).count() == 0
+
+
+def test_terms_of_rare_entities(spark):
+    rows = [(k, f"some people write letters on day {k % 50}") for k in range(200)]
+    rows += [(300, "write Quixano at rare@a.example on day 3"), (301, "some Dulcinea twice@a.example on day 4"), (302, "letters of Dulcinea to twice@a.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
+    assert "Quixano" not in clean[300] and "Dulcinea" not in clean[301] + clean[302]
+    assert clean[300].startswith("write ") and clean[300].endswith("[email] on day 3") and clean[5] == rows[5][1]
