@@ -1,18 +1,19 @@
-"""Personal data by pattern, and terms near them that give them away.
+"""Personal data by pattern, and terms of the same documents that give them away.
 
 Patterns find e-mail addresses, network addresses, card and phone numbers. Each
-value found is a protected entity. How often a term stands near an entity,
-against how often both occur in the corpus, is their pointwise mutual
-information; a term that tells nearly all of what the entity's own rarity
-tells reveals it. In the documents of that entity, such terms are generalised
-to a beginning that reveals less, or removed if that reveals as much.
+value found is a protected entity. In how many documents a term and the entity
+stand together, against how often both occur in the corpus, is their pointwise
+mutual information; a term that tells nearly all of what the entity's own rarity
+tells reveals it. Wherever they stand in the documents of that entity, such
+terms are generalised to a beginning that reveals less, or removed if that
+reveals as much.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,6 @@ _DIGIT = re.compile("[0-9]")
 _SPACED = re.compile(r"\S+")
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|/\\-_…«»“”„"
 
-#: Terms up to this many words and characters from an entity are near it.
-NEAR_WORDS = 8
-NEAR_CHARS = 200
 #: A term reveals an entity if it tells this part of the entity's information.
 DISCLOSURE = 0.95
 #: A term's documents count as so many more, in which the entity is as frequent as
@@ -48,7 +46,8 @@ GENERAL = 3
 COUNTED = 200_000
 
 _SPANS = "array<struct<kind: int, start: int, end: int>>"
-_NEAR = "array<struct<entity: string, term: string, start: int, end: int>>"
+_MARKED = "array<struct<start: int, end: int, action: string>>"
+_KEY = ["doc_id", "text_hash"]
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -101,35 +100,49 @@ def _trimmed(word: str, start: int) -> tuple[str, int, int]:
     return inner.lower(), start, start + len(inner)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """``(entity, term, start, end)`` around each span; no part of a
-    span is a term, nor a word that the edge of the reach cuts."""
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, start, end in spans:
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        before = [m for m in _SPACED.finditer(text, low, start) if m.start() > low or not low or text[low - 1].isspace()][-NEAR_WORDS:]
-        after = [m for m in _SPACED.finditer(text, end, high) if m.end() < high or high == len(text) or text[high].isspace()][:NEAR_WORDS]
-        terms = [t for m in before + after if (t := _trimmed(m[0], m.start()))[0]]
-        terms = [t for t in terms if not any(a < t[2] and t[1] < b for a, b in taken)]
-        entity = _entity(kind, text[start:end])
-        out += [(entity, *t) for t in terms]
+def terms_of(text: str) -> set[str]:
+    """The terms of a text, and their beginnings*."""
+    terms = {w.strip(_MARKS) for w in set(text.lower().split())}
+    terms.discard("")
+    return terms | {_general(t) for t in terms}
+
+
+def _general(term: str) -> str:
+    return term[:GENERAL] + "*"
+
+
+def places_of(text: str, spans: list[tuple[int, int, int]], terms: Container[str]) -> list[tuple[int, int, str]]:
+    """``(start, end, term)`` of each word of the whole text that is one of the terms;
+    no part of a span is."""
+    taken: list[list[int]] = []
+    for start, end in sorted((a, b) for _, a, b in spans):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    out, k = [], 0
+    for m in _SPACED.finditer(text):
+        term, start, end = _trimmed(m[0], m.start())
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if term in terms and not (k < len(taken) and taken[k][0] < end):
+            out.append((start, end, term))
     return out
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans, terms = [], []
+        spans, entities, terms, texts = [], [], [], []
         for text in batch.column("text"):
             text = text.as_py()
             found = base_spans(text)
             spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-            terms.append([dict(zip(("entity", "term", "start", "end"), t, strict=True)) for t in near_terms(text, found)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(spans, span), pa.array(terms, near)], ["doc_id", "text_hash", "spans", "near"]
-        )
+            entities.append(sorted({_entity(k, text[a:b]) for k, a, b in found}))
+            terms.append(sorted(terms_of(text)) if found else None)
+            texts.append(text if found else None)
+        more = [pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(spans, span), *more], [*_KEY, "spans", "entities", "terms", "text"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,34 +151,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, spans, near)`` for each row of ``docs``."""
-    return _keyed(docs).mapInArrow(_find, f"doc_id long, text_hash long, spans {_SPANS}, near {_NEAR}")
+    """``(doc_id, text_hash, spans, entities, terms, text)`` for each row of ``docs``;
+    terms and text are NULL where there is no span."""
+    return _keyed(docs).mapInArrow(_find, f"doc_id long, text_hash long, spans {_SPANS}, entities array<string>, terms array<string>, text string")
 
 
 def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0):
-            terms = {w.strip(_MARKS) for w in set(text.as_py().lower().split())}
-            seen.update(terms | {_general(t) for t in terms})
+        for text, times in zip(batch.column("text"), batch.column("times").to_pylist(), strict=True):
+            if times == 1:
+                seen.update(terms_of(text.as_py()))
+            else:
+                seen.update(dict.fromkeys(terms_of(text.as_py()), times))
             if len(seen) > COUNTED:
                 yield _counts(seen)
                 seen = Counter()
     yield _counts(seen)
 
 
-def _general(term: str) -> str:
-    return term[:GENERAL] + "*"
-
-
 def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
 
-def term_documents(docs: DataFrame) -> DataFrame:
-    """``(term, n)``: in how many documents a term, or a beginning*, occurs."""
-    counted = docs.select(whole_text().alias("text")).mapInArrow(_count_terms, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+def term_documents(docs: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``(term, n)``: in how many documents a term, or a beginning*, occurs.
+    ``repeats`` are ``(doc_id, text_hash, more)``: rows beyond the first of a document."""
+    counted = docs.select(whole_text().alias("text"), F.lit(1).cast("long").alias("times"))
+    if not repeats.isEmpty():
+        again = join_with_nulls(_keyed(docs), repeats, _KEY).dropDuplicates(_KEY)
+        counted = counted.unionByName(again.select("text", (-F.col("more")).alias("times")))
+    return counted.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def reveals(total: int) -> Column:
@@ -176,37 +192,65 @@ def reveals(total: int) -> Column:
     return (F.log2(given / part) >= -DISCLOSURE * F.log2(part)) & (part < 1)
 
 
-def revealing_terms(found: DataFrame, documents: DataFrame, total: int) -> DataFrame:
-    """``(entity, term, action)``: what reveals an entity, and whether its
-    beginning reveals as much and it is removed, or it is generalised."""
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term")
-    general = F.concat(F.substring("term", 1, GENERAL), F.lit("*"))
-    both = near.unionByName(near.withColumn("term", general))
-    mentions = both.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    own = near.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("documents"))
-    rated = mentions.join(own, "entity").join(documents, "term").where(reveals(total)).select("entity", "term")
-    rated = hold(rated, "revealing")
-    terms = rated.where(~F.col("term").endswith("*")).withColumn("begin", general)
+def private_documents(found: DataFrame) -> DataFrame:
+    """Each document with spans once, with the ``(profile, documents)`` of its entities.
+    Entities of the same documents share a profile, as all their terms do."""
+    own = found.select(*_KEY, F.explode("entities").alias("entity")).distinct()
+    where = own.groupBy("entity").agg(
+        F.count("*").alias("documents"), F.bit_xor(F.xxhash64(*_KEY)).alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), *_KEY)).alias("b")
+    )
+    profile = F.struct(F.xxhash64("documents", "a", "b").alias("profile"), "documents")
+    profiles = own.join(where, "entity").groupBy(*_KEY).agg(F.collect_set(profile).alias("profiles"))
+    return join_with_nulls(found.where(F.size("spans") > 0).drop("entities").dropDuplicates(_KEY), profiles, _KEY)
+
+
+def revealing_terms(private: DataFrame, documents: DataFrame, total: int) -> DataFrame:
+    """``(profile, term, action)``: what reveals the entities of a profile, and whether
+    its beginning reveals as much and it is removed, or it is generalised."""
+    together = _pairs(private).groupBy("profile", "term").agg(F.count("*").alias("together"), F.max("documents").alias("documents"))
+    rated = hold(together.join(documents, "term").where(reveals(total)).select("profile", "term"), "revealing")
+    terms = rated.where(~F.col("term").endswith("*")).withColumn("begin", F.concat(F.substring("term", 1, GENERAL), F.lit("*")))
     removed = rated.withColumnRenamed("term", "begin").withColumn("all", F.lit(True))
     action = F.when(F.col("all"), "remove").otherwise("generalise")
-    return terms.join(removed, ["entity", "begin"], "left").select("entity", "term", action.alias("action"))
+    return terms.join(removed, ["profile", "begin"], "left").select("profile", "term", action.alias("action"))
+
+
+def _pairs(private: DataFrame) -> DataFrame:
+    each = private.select(*_KEY, "terms", F.explode("profiles").alias("p"))
+    return each.select(*_KEY, "p.profile", "p.documents", F.explode("terms").alias("term"))
+
+
+def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("action", pa.string())]))
+    for batch in batches:
+        marked = []
+        for text, spans, revealing in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "revealing")), strict=True):
+            # "remove" sorts last and wins where entities disagree.
+            action = dict(sorted((r["term"], r["action"]) for r in revealing))
+            places = places_of(text, [(s["kind"], s["start"], s["end"]) for s in spans], action)
+            marked.append([{"start": a, "end": b, "action": action[t]} for a, b, t in places] or None)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(marked, kind)], [*_KEY, "terms"])
 
 
 def protect(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, spans, terms)`` for each row of ``docs``: spans of the
-    patterns, and ``(start, end, action)`` of the terms that reveal one of them.
+    patterns, and ``(start, end, action)`` of the terms that reveal one of them,
+    wherever they stand in the text.
 
     Places count code points, ends are exclusive. A missing text is empty. Rows
-    that repeat an id and a text have the same spans and count as one document
-    for what stands together. Tables without entities have no terms.
+    that repeat an id and a text have the same spans and count as one document.
+    Tables without entities have no terms.
     """
     found = hold(find_spans(docs), "found")
-    revealing = revealing_terms(found, term_documents(docs), found.count())
-    places = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.start", "x.end")
-    # "remove" sorts last and wins where entities disagree.
-    added = places.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("action").alias("action"))
-    added = added.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    return join_with_nulls(found.select("doc_id", "text_hash", "spans"), added, ["doc_id", "text_hash"], "left")
+    repeats = hold(found.groupBy(*_KEY).agg((F.count("*") - 1).alias("more")).where("more > 0"), "repeats")
+    private = hold(private_documents(found), "private")
+    total = found.count() - repeats.agg(F.coalesce(F.sum("more"), F.lit(0))).first()[0]
+    revealing = revealing_terms(private, term_documents(docs, repeats), total)
+    mine = _pairs(private).join(revealing, ["profile", "term"])
+    mine = mine.groupBy(*_KEY).agg(F.collect_set(F.struct("term", "action")).alias("revealing"))
+    marked = join_with_nulls(private.select(*_KEY, "text", "spans"), mine, _KEY)
+    marked = marked.select(*_KEY, "text", "spans", "revealing").mapInArrow(_mark, f"doc_id long, text_hash long, terms {_MARKED}")
+    return join_with_nulls(found.select(*_KEY, "spans"), marked, _KEY, "left")
 
 
 def span_text(spans: str, terms: str | None = None) -> Column:

@@ -347,3 +347,17 @@ def test_terms_of_rare_entities(spark):
     clean = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
     assert "Quixano" not in clean[300] and "Dulcinea" not in clean[301] + clean[302]
     assert clean[300].startswith("write ") and clean[300].endswith("[email] on day 3") and clean[5] == rows[5][1]
+
+
+def test_terms_far_from_the_value(spark):
+    far = " ".join(f"day {k}" for k in range(50))
+    rows = [(k, f"some people write letters of love to {far}") for k in range(200)]
+    rows += [(300, f"Quixano write to rare@a.example {far}\n\nletters of (Quixano), {far} Rocinante"), (301, f"Sancho, {far} both@a.example"), (302, f"both@a.example {far} sancho")]
+    rows += [(303, "once more"), (303, "once more"), (304, "Dorotea once@a.example"), (304, "Dorotea once@a.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [dict(rows)[r.doc_id][t.start : t.end] for t in r.terms or []] for r in sanitise.protect(docs).collect()}
+    assert found[300] == ["Quixano", "Quixano", "Rocinante"]
+    assert found[301] == ["Sancho"] and found[302] == ["sancho"] and found[303] == []
+    assert found[304] == ["Dorotea"] and sanitise.protect(docs).count() == len(rows)
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
+    assert "uixano" not in clean[300] and "ancho" not in clean[301] + clean[302]
