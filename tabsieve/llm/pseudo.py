@@ -2,8 +2,9 @@
 
 A network of a window predicts every word from the two words before and the two
 after it. Output is in two steps, the class of a word and the word in its class.
-Rare words share buckets by a hash, and within a bucket all its words are
-alike. The network is trained in numpy on every document: tasks start from
+Rare words share buckets by a hash: the network predicts the bucket, and the word
+in it has its frequency in the corpus, joined from the counts of all words. The
+network is trained in numpy on every document: tasks start from
 common weights, and their weights are averaged after each round. A document's
 score is the sum of the conditional log-probabilities of its words.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.tables import most_frequent, whole_text
+from tabsieve.llm.tables import whole_text
 from tabsieve.plans.held import hold
 
 #: Frequent words with outputs of their own, and buckets of the others.
@@ -69,22 +70,22 @@ def _counts(seen: Counter) -> pa.RecordBatch:
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """Words by falling count, the outputs' counts, and the sizes of the buckets,
-    all from counts over every document."""
+    """Words by falling count, then by the word, the outputs' counts, the sizes of the
+    buckets, and the table ``(word, n)`` of every document that they are from."""
     counted = docs.select(whole_text().alias("text")).mapInArrow(_count, "word string, n long")
     counts = hold(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     spark = docs.sparkSession
     # At most WORDS words.
-    chosen = spark.createDataFrame([(w,) for w in most_frequent(counts, WORDS)], "word string")
-    frequent = {r.word: r.n for r in counts.join(F.broadcast(chosen), "word").collect()}
-    words = sorted(frequent, key=lambda w: (-frequent[w], w))
+    frequent = {r.word: r.n for r in counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()}
+    words = list(frequent)
+    chosen = spark.createDataFrame([(w,) for w in words], "word string")
     bucket = F.pmod(F.crc32("word"), F.lit(BUCKETS))
     rare = counts.join(F.broadcast(chosen), "word", "left_anti").groupBy(bucket.alias("b")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
     kinds, total = np.ones(BUCKETS), np.zeros(BUCKETS)
     for r in rare.collect():
         kinds[r.b], total[r.b] = r.kinds, r.n
     n = np.concatenate(([frequent[w] for w in words], total)).astype(np.float64)
-    return {"words": words, "n": n, "kinds": kinds}
+    return {"words": words, "n": n, "kinds": kinds, "counts": counts}
 
 
 class _Known(dict):
@@ -108,7 +109,9 @@ class Ids:
         self.known.first_bucket = len(self.own)
 
     def of(self, text: str) -> np.ndarray:
-        words = words_of(text)
+        return self.numbers(words_of(text))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         if len(self.known) > REMEMBERED:
             self._forget()
@@ -221,26 +224,40 @@ def _padded(ids: np.ndarray, outside: int) -> np.ndarray:
 
 
 def number_words(docs: DataFrame, vocab: dict) -> DataFrame:
-    """``(doc_id, ids)``: every whole text as numbers, written once for all passes."""
+    """``(doc_id, row, ids, rare, times)``: every whole text as numbers, and how often it
+    has each word of a bucket, written once for all passes. ``row`` names a row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab["words"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(shared.value)
+        first = len(shared.value)
         for batch in batches:
-            found, begin, size = [], 0, 0
+            found, rare, begin, size = [], [], 0, 0
             for k, text in enumerate(batch.column("text")):
-                found.append(ids.of(text.as_py()))
+                words = words_of(text.as_py())
+                found.append(ids.numbers(words))
+                rare.append(Counter([words[i] for i in np.flatnonzero(found[-1] >= first).tolist()]))
                 size += len(found[-1])
                 if size > 1 << 20 or k + 1 == batch.num_rows:
-                    yield _numbered(batch.column("doc_id").slice(begin, k + 1 - begin), found)
-                    found, begin, size = [], k + 1, 0
+                    yield _numbered([batch.column(c).slice(begin, k + 1 - begin) for c in ("doc_id", "row")], found, rare)
+                    found, rare, begin, size = [], [], k + 1, 0
+
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
+    return hold(rows.mapInArrow(run, "doc_id long, row long, ids array<int>, rare array<string>, times array<int>"), "ids")
+
 
-    return hold(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>"), "ids")
+def _numbered(names: list[pa.Array], found: list[np.ndarray], rare: list[Counter]) -> pa.RecordBatch:
+    words = [[_short(w) for w in r] for r in rare]
+    columns = [
+        pa.ListArray.from_arrays(_ends(found), pa.array(np.concatenate(found))),
+        pa.array(words, pa.list_(pa.string())),
+        pa.ListArray.from_arrays(_ends(rare), pa.array([n for r in rare for n in r.values()], pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays([*names, *columns], ["doc_id", "row", "ids", "rare", "times"])
 
 
-def _numbered(names: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["doc_id", "ids"])
+def _ends(lists: list) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -335,8 +352,18 @@ def score_ids(found: list[np.ndarray], network: Network, rare: np.ndarray) -> np
 
 
 def rare_shares(vocab: dict) -> np.ndarray:
-    """What the log-probability of a bucket has more than that of one of its words."""
-    return np.concatenate((np.zeros(len(vocab["words"])), np.log(vocab["kinds"])))
+    """What the log-probability of a bucket has more than that of its word, but for the
+    logarithm of the word's own count."""
+    own = len(vocab["words"])
+    return np.concatenate((np.zeros(own), np.log(np.maximum(vocab["n"][own:], 1))))
+
+
+def rare_counts(numbers: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(row, told)``: the sum of the logarithms of the counts of a row's words of buckets.
+    Words of one occurrence add nothing."""
+    rare = numbers.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
+    told = F.sum(F.col("times") * F.log(F.col("n").cast("double")))
+    return rare.join(counts.where("n > 1"), "word").groupBy("row").agg(told.alias("told"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -361,8 +388,10 @@ def score(docs: DataFrame) -> DataFrame:
                     values.append(score_ids(found[begin : k + 1], network, rare))
                     begin, size = k + 1, 0
             if values:
-                columns = [batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(np.concatenate(values))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_likelihood"])
+                columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(x) for x in found], pa.int64()), pa.array(np.concatenate(values))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_words", "outputs"])
 
-    made = numbers.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+    made = numbers.select("doc_id", "row", "ids").mapInArrow(run, "doc_id long, row long, n_words long, outputs double")
+    made = made.join(rare_counts(numbers, vocab["counts"]), "row", "left")
+    made = made.select("doc_id", "n_words", (F.col("outputs") + F.coalesce("told", F.lit(0.0))).alias("log_likelihood"))
     return made.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

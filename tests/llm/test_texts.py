@@ -361,3 +361,14 @@ def test_terms_far_from_the_value(spark):
     assert found[304] == ["Dorotea"] and sanitise.protect(docs).count() == len(rows)
     clean = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
     assert "uixano" not in clean[300] and "ancho" not in clean[301] + clean[302]
+
+
+def test_words_of_a_bucket_have_their_own_counts(spark):
+    bucket = lambda w: zlib.crc32(w.encode()) % pseudo.BUCKETS
+    other = next(w for w in (f"once{k}" for k in range(10_000)) if bucket(w) == bucket("often"))
+    rows = [(k, "often") for k in range(10)] + [(10, other), (11, " ".join(f"f{k}" for k in range(4_000)) + " ")]
+    docs = spark.createDataFrame([(k, t * 20 if k == 11 else t) for k, t in rows], "doc_id long, text string")
+    words = pseudo.vocabulary(docs)["words"]
+    assert words == sorted(f"f{k}" for k in range(4_000))[: pseudo.WORDS]
+    got = {r.doc_id: r.log_likelihood for r in pseudo.score(docs).collect()}
+    assert len(got) == 12 and got[0] - got[10] == pytest.approx(np.log(10), abs=1e-4)
