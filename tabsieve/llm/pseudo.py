@@ -31,9 +31,9 @@ BUCKETS = 128
 CLASS = 64
 WIDTH = 32
 PLACES = (-2, -1, 1, 2)
-#: In each round, a document is trained on one in STRIDE of its words.
+#: Each round trains on every ROUNDS-th word of a document, one further on than the
+#: round before: together on every word once.
 ROUNDS = 2
-STRIDE = 16
 BATCH = 4_096
 RATE = 0.05
 #: Words scored at a time.
@@ -266,6 +266,11 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def positions(words: int, turn: int) -> np.ndarray:
+    """The words of a document that a round trains on."""
+    return np.arange(turn, words, ROUNDS)
+
+
 def _trainer(n: np.ndarray, flat: np.ndarray, turn: int):
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(n, flat)
@@ -279,9 +284,9 @@ def _trainer(n: np.ndarray, flat: np.ndarray, turn: int):
 
         for batch in batches:
             for found in _lists(batch.column(0)):
-                if not len(found):
+                at = positions(len(found), turn)
+                if not len(at):
                     continue
-                at = np.arange((len(found) + 5 * turn) % min(STRIDE, len(found)), len(found), STRIDE)
                 row = _padded(found, network.outside)
                 held.append(np.stack([*(row[at + 2 + p] for p in PLACES), found[at]]))
                 waiting += len(at)

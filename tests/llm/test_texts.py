@@ -8,6 +8,7 @@ from collections import Counter
 import compare
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import FOLDER
 from pyspark.sql import functions as F
@@ -372,3 +373,14 @@ def test_words_of_a_bucket_have_their_own_counts(spark):
     assert words == sorted(f"f{k}" for k in range(4_000))[: pseudo.WORDS]
     got = {r.doc_id: r.log_likelihood for r in pseudo.score(docs).collect()}
     assert len(got) == 12 and got[0] - got[10] == pytest.approx(np.log(10), abs=1e-4)
+
+
+def test_every_word_is_trained_on(monkeypatch):
+    for size in (0, 1, 2, 5, 37):
+        data, outside = np.arange(size, dtype=np.int32), 256
+        seen = []
+        monkeypatch.setattr(pseudo.Trainer, "step", lambda self, around, target: seen.extend(target.tolist()))
+        for turn in range(pseudo.ROUNDS):
+            ids = pa.array([data.tolist()], pa.list_(pa.int32()))
+            list(pseudo._trainer(np.ones(outside), pseudo.Network(np.ones(outside)).flat, turn)([pa.RecordBatch.from_arrays([ids], ["ids"])]))
+        assert sorted(seen) == list(range(size))
