@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on the
-toxic text that ordinary text does not explain, put before the ordinary one.
+One zstandard dictionary is trained on ordinary text. The toxic one is not trained:
+it is the list of all words whose beginnings mark toxic texts, put before it.
 Every window of a text, a word wide, is compressed with both. A window that gets
 shorter with the toxic dictionary resembles toxic text; how many windows gain
 how many bytes is turned into a probability by a calibrated logistic function.
@@ -37,12 +37,11 @@ LEVEL = 6
 ORDINARY_BYTES = 1_024
 ORDINARY_WORDS = 200_000
 #: Beginnings of words, of these lengths, that mark text as toxic when they are in
-#: clearly more toxic texts, and the words with them that a dictionary holds.
+#: clearly more toxic texts.
 STEMS = (4, 5, 6, 7)
 STEM_DEVIATIONS = 4.2
 STEM_LOG_RATIO = 1.5
 STEM_TEXTS = 3
-TOXIC_WORDS = 80
 #: Gains in bytes from -LIMIT to LIMIT are told apart.
 LIMIT = 32
 #: Words whose gains a task remembers.
@@ -88,7 +87,7 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
             if ratio > STEM_LOG_RATIO and _deviations(n, there[stem], len(toxic), len(ordinary)) > STEM_DEVIATIONS:
                 marked.add(stem)
     found = Counter(regex.sub(r"\W+$", "", w) for t in toxic for w in t.lower().split() if any(w[:k] in marked for k in STEMS))
-    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:TOXIC_WORDS]]
+    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
 
 def _deviations(n: int, m: int, texts: int, others: int) -> float:

@@ -384,3 +384,11 @@ def test_every_word_is_trained_on(monkeypatch):
             ids = pa.array([data.tolist()], pa.list_(pa.int32()))
             list(pseudo._trainer(np.ones(outside), pseudo.Network(np.ones(outside)).flat, turn)([pa.RecordBatch.from_arrays([ids], ["ids"])]))
         assert sorted(seen) == list(range(size))
+
+
+def test_no_toxic_word_is_cut():
+    words = [f"{a}{b}{c}{d}rk" for a in "bd" for b in "aeiou" for c in "gklmn" for d in "oi"]
+    toxic, ordinary = [" ".join(words + [str(k)]) for k in range(40)], [f"a mild person went home on day {k}" for k in range(40)]
+    assert len(words) == 100 and set(words) <= set(compression.toxic_words(toxic, ordinary))
+    windows = compression.Windows(*compression.train_dictionaries(toxic, ordinary))
+    assert all(windows.gains(w)[compression.LIMIT + 1 :].sum() == 1 for w in words)
