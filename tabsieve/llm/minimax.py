@@ -35,12 +35,13 @@ def _fill(ends: DataFrame, largest: int, capacities: list[int], shards: int) ->
     only that stretch of the table, which is stored in order of the ends.
     """
     cuts: list[list[int]] = [[0] for _ in capacities]
+    total = ends.agg(F.max("end")).first()[0] or 0
     for _ in range(shards):
-        limits = [c[-1] + size for c, size in zip(cuts, capacities, strict=True)]
+        limits = [min(c[-1] + size, total) for c, size in zip(cuts, capacities, strict=True)]
         near = ends.where((F.col("end") > min(limits) - largest - 1) & (F.col("end") <= max(limits)))
         row = near.agg(*[F.max(F.when(F.col("end") <= x, F.col("end"))).alias(f"c{k}") for k, x in enumerate(limits)]).first()
         for k, cut in enumerate(cuts):
-            # No group ends in between: the last cut was the end of the table.
+            # No group ends in between: it is larger than the capacity.
             cut.append(max(cut[-1], row[k] or 0))
     return [c[1:] for c in cuts]
 

@@ -197,3 +197,9 @@ def test_shards_odd_rows(spark, shards):
 def test_shards_of_missing_ids_and_nothing(odd, none):
     assert minimax.balanced_shards(odd, 4).count() == len(TEXTS)
     assert minimax.balanced_shards(none, 4).count() == 0
+
+
+def test_last_shard_smaller_than_capacity_less_the_largest(spark):
+    sizes = [10, 10, 1]
+    ends = spark.createDataFrame([(sum(sizes[: k + 1]), n) for k, n in enumerate(sizes)], "end long, size long")
+    assert minimax._fill(ends, 10, [20], 2) == [[20, 21]]
