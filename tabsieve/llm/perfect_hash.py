@@ -170,7 +170,7 @@ def deduplicate(history: DataFrame, incoming: DataFrame) -> DataFrame:
     rows counts as one key; buckets are even because digests are. Ties go to
     the smallest id, then the smallest hash of the text; a missing id comes last.
     """
-    buckets = max(1, -(-history.count() // BUCKET_KEYS))
+    buckets = max(1, -(-max(history.count(), incoming.count()) // BUCKET_KEYS))
     index = build_index(history, buckets)
     asked = _grouped(incoming).withColumn("bucket", _bucket(buckets))
     found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_look_up, _FOUND)

@@ -203,3 +203,12 @@ def test_last_shard_smaller_than_capacity_less_the_largest(spark):
     sizes = [10, 10, 1]
     ends = spark.createDataFrame([(sum(sizes[: k + 1]), n) for k, n in enumerate(sizes)], "end long, size long")
     assert minimax._fill(ends, 10, [20], 2) == [[20, 21]]
+
+
+def test_large_delivery_to_an_empty_store_is_split(spark, monkeypatch):
+    monkeypatch.setattr(perfect_hash, "BUCKET_KEYS", 10)
+    dealt, bucket = [], perfect_hash._bucket
+    monkeypatch.setattr(perfect_hash, "_bucket", lambda n: dealt.append(n) or bucket(n))
+    rows = perfect_hash.text_digests(spark.createDataFrame([(k, f"text {k}") for k in range(95)], "doc_id long, text string"))
+    assert perfect_hash.deduplicate(rows.limit(0), rows).count() == 95
+    assert set(dealt) == {10}
