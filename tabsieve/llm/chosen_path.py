@@ -6,7 +6,8 @@ bucket is a path of shared tokens. Small buckets, and buckets that a further
 split would leave together, are compared by brute force. The runs sample some
 RUNS / SIMILARITY tokens; a pair right at the threshold misses all of their
 buckets with a probability of 0.2 ** 12 after one split and of about 0.001
-after DEPTH splits. What the sketches put together is then verified on the
+after DEPTH splits. Sketches, the same in all runs, tell it apart with a probability
+of 4.2e-6: together 4.2e-6 after one split, about 0.001 after DEPTH. What the sketches put together is then verified on the
 whole texts, exactly and pair by pair, in blocks.
 """
 
@@ -28,9 +29,10 @@ from tabsieve.plans.held import hold
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RUNS = 10
-#: Minimum hashes of a sketch; 0.6 is four deviations below 0.8.
+#: Minimum hashes of a sketch; a pair at 0.8 has fewer than 36 alike with a
+#: probability of 4.2e-6.
 SKETCH = 64
-SKETCH_SIMILARITY = 0.6
+SKETCH_SIMILARITY = 36 / 64
 #: Buckets of up to this size are not split further, and none after DEPTH splits.
 SMALL_BUCKET = 64
 DEPTH = 4

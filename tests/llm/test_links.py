@@ -221,3 +221,13 @@ def test_pipeline_of_repeated_and_missing_rows(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
         if name == "exact dedup":
             assert sorted(r.doc_id or 0 for r in made.collect()) == [0, 1]
+
+
+def test_sketches_of_a_pair_at_the_threshold():
+    import math
+
+    for alike, linked in ((36, True), (35, False)):
+        sketch = np.zeros((2, chosen_path.SKETCH), np.int64)
+        sketch[1, alike:] = 1
+        assert (chosen_path._sketch_roots(sketch)[1] == 0) == linked
+    assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(36)) < 5e-6
