@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, chat, chosen_path, compression, entropy, minimax, multi_index, perfect_hash, pseudo, sanitise
+from tabsieve.llm import box_tree, bpe, chat, chosen_path, compression, entropy, host_paths, minimax, multi_index, perfect_hash, pseudo, repair, sanitise
 from tabsieve.llm.tables import read_table
 
 #: Where the public tokenizer files lie; the driver reads them.
@@ -94,6 +94,22 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_host_path_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages").select("page_id", "url", "html")
+    return host_paths.main_text(pages, text="text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_box_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors, width = box_tree.whole_vectors(rows.withColumn("label", moved))
+    return box_tree.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"), width)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(read_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,5 +123,8 @@ QUERIES = {
         op8_disclosure_sanitiser,
         op9_chosen_path_join,
         op10_minimax_shards,
+        op11_host_path_text,
+        op12_box_tree_negatives,
+        op13_conversation_repair,
     )
 }
