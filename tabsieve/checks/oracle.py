@@ -327,6 +327,25 @@ ORACLE["cast_datetime_warning"] = _with(
            ' value(s) couldn''t be parsed as dates and were set to null.' AS text
     FROM us_dates WHERE day = 'soon'""",
 )
+ORACLE["cast_datetime_shapes"] = """
+    SELECT event_id, date_trunc('minute', ts) AS us_clock, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS spoken,
+           date_trunc('minute', ts) + to_milliseconds(30000 + event_id % 900 + 100) AS fraction,
+           CAST(CAST(ts AS DATE) AS TIMESTAMP) AS packed,
+           CASE WHEN event_id % 10 <> 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS days_first
+    FROM events"""
+ORACLE["cast_datetime_offsets"] = """
+    SELECT event_id,
+           date_trunc('second', ts) - CASE event_id % 5 WHEN 1 THEN INTERVAL 2 HOUR WHEN 2 THEN INTERVAL '-330' MINUTE
+                                                        WHEN 3 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END AS at,
+           date_trunc('second', ts) - CASE event_id % 3 WHEN 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS mixed
+    FROM events"""
+ORACLE["cast_datetime_lost"] = """
+    SELECT 1 AS line, 'Cast ''days_first'' to datetime: ' || count(*) ||
+           ' value(s) couldn''t be parsed as dates and were set to null.' AS text
+    FROM events WHERE event_id % 10 = 0
+    UNION ALL
+    SELECT 2, 'Cast ''mixed'' to datetime: ' || count(*) || ' value(s) name no time zone and were taken as UTC like the others.'
+    FROM events WHERE event_id % 3 <> 0"""
 ORACLE["cast_text"] = """
     SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice,
            o_orderdate, o_orderpriority FROM orders"""

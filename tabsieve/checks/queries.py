@@ -420,6 +420,27 @@ def cast_datetime_iso(spark, folder):
     return _cleaned(spark, folder, "dates", _cast("day", "datetime"))
 
 
+@query
+def cast_datetime_shapes(spark, folder):
+    """Formats follow from the shapes: half days, names, fractions, two-digit years, order of day and month."""
+    columns = ("us_clock", "spoken", "fraction", "packed", "days_first")
+    return _cleaned(spark, folder, "shaped_dates", *[_cast(c, "datetime") for c in columns])
+
+
+@query
+def cast_datetime_offsets(spark, folder):
+    """Texts with offsets are moved to UTC."""
+    return _cleaned(spark, folder, "offset_dates", _cast("at", "datetime"), _cast("mixed", "datetime"))
+
+
+@query
+def cast_datetime_lost(spark, folder):
+    """What could not be read, and times without a zone among others, are warned of."""
+    done = cleaning.apply_cleaning(view(spark, folder, "shaped_dates"), [_cast("days_first", "datetime")])[1]
+    done += cleaning.apply_cleaning(view(spark, folder, "offset_dates"), [_cast("at", "datetime"), _cast("mixed", "datetime")])[1]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(done, 1)], "line int, text string")
+
+
 @query
 def cast_text(spark, folder):
     return cleaning.apply_cleaning(table(spark, folder, "orders"), [_cast("o_custkey", "text")])[0]

@@ -45,6 +45,28 @@ VIEWS = {
                CASE WHEN event_id % 10 = 0 THEN 'soon'
                     ELSE concat(CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/', CAST(year(ts) AS STRING)) END AS day
         FROM events""",
+    "shaped_dates": """
+        SELECT event_id,
+               concat(CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/', substr(CAST(year(ts) AS STRING), 3, 2), ' ',
+                      CAST((hour(ts) + 11) % 12 + 1 AS STRING), ':', lpad(CAST(minute(ts) AS STRING), 2, '0'),
+                      CASE WHEN hour(ts) < 12 THEN ' AM' ELSE ' pm' END) AS us_clock,
+               concat(CASE event_id % 2 WHEN 0 THEN 'Monday, ' ELSE '' END,
+                      CASE month(ts) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
+                                     WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August'
+                                     WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END,
+                      ' ', CAST(day(ts) AS STRING), CASE WHEN day(ts) IN (1, 21, 31) THEN 'st' ELSE '' END, ', ', CAST(year(ts) AS STRING)) AS spoken,
+               concat(CAST(day(ts) AS STRING), '.', CAST(month(ts) AS STRING), '.', CAST(year(ts) AS STRING), ' ',
+                      CAST(hour(ts) AS STRING), ':', lpad(CAST(minute(ts) AS STRING), 2, '0'), ':30.', CAST(event_id % 900 + 100 AS STRING)) AS fraction,
+               concat(CAST(year(ts) AS STRING), lpad(CAST(month(ts) AS STRING), 2, '0'), lpad(CAST(day(ts) AS STRING), 2, '0')) AS packed,
+               CASE WHEN event_id % 10 = 0 THEN '31/02/' ELSE concat(CAST(day(ts) AS STRING), '/', CAST(month(ts) AS STRING), '/') END
+                   || CAST(year(ts) AS STRING) AS days_first
+        FROM events""",
+    "offset_dates": """
+        SELECT event_id,
+               concat(substr(CAST(ts AS STRING), 1, 10), 'T', substr(CAST(ts AS STRING), 12, 8),
+                      CASE event_id % 5 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN '-0530' WHEN 3 THEN ' +09' ELSE ' UTC' END) AS at,
+               concat(substr(CAST(ts AS STRING), 1, 19), CASE event_id % 3 WHEN 0 THEN '+01:00' ELSE '' END) AS mixed
+        FROM events""",
     "broken_lines": """
         SELECT c_custkey, concat(c_name, CASE c_custkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ', "' ELSE '' END, c_mktsegment) AS note
         FROM customer""",

@@ -116,13 +116,5 @@ def lenient_number(text: Column) -> Column:
     return plain_number(strip_text(signed))
 
 
-def parse_timestamp(text: Column, formats: tuple[str, ...] | list[str] | None = None) -> Column:
-    """First format that fits wins; without formats, ISO dates and times."""
-    if not formats:
-        return text.try_cast("timestamp_ntz")
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries)
-
-
 def half_up(value: Column, digits: int) -> Column:
     return F.round(value, digits)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.values import col, finite_columns, lenient_number, number, parse_timestamp, present
+from tabsieve.functions.dates import format_of, has_zone, parse_timestamp, prepared, shape_counts
+from tabsieve.functions.values import col, finite_columns, lenient_number, number, present
 from tabsieve.operators.frequency import distinct_and_mode, value_counts
 from tabsieve.operators.quality import _no_maps, distinct_rows, repeated_hashes
 from tabsieve.operators.quantiles import Extent, exact_quantiles
@@ -34,27 +35,12 @@ OUTLIERS_SKIPPED = "Remove outliers skipped on '{column}' — column is not nume
 NORMALIZE_SKIPPED = "Normalize skipped on '{column}' — column is not numeric."
 VALUES_LOST = "Cast '{column}' to number: {lost} value(s) couldn't be parsed as numbers and were set to null."
 DATES_LOST = "Cast '{column}' to datetime: {lost} value(s) couldn't be parsed as dates and were set to null."
+# Texts of our own.
+ZONES_MIXED = "Cast '{column}' to datetime: {naive} value(s) name no time zone and were taken as UTC like the others."
 NOTHING_LEFT = "Cleaning would remove all rows. Relax your settings and try again."
 
 # Mappings up to this size are literals of the plan, larger ones are joined.
 LITERAL_MAPPING = 32
-# Date formats that are tried on a whole column, None being ISO; the one that fits
-# the most values is taken, the first one among equals.
-DATE_FORMATS = (
-    None,
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy/M/d",
-    "d.M.yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "M/d/yyyy H:mm[:ss]",
-    "d/M/yyyy H:mm[:ss]",
-    "d.M.yyyy H:mm[:ss]",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyyMMdd",
-)
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -192,8 +178,6 @@ def _figures(df: DataFrame, ops: Sequence[Mapping]) -> dict[str, dict]:
             exprs.append(lost.alias(f"lost{i}"))
         if "format" in needs and isinstance(df.schema[c].dataType, T.StringType):
             exprs.append(F.count(col(c)).alias(f"texts{i}"))
-            for name, formats in _tries(ops, c).items():
-                exprs.append(F.count(parse_timestamp(col(c), formats)).alias(f"{name}{i}"))
     if not exprs:
         return {}
     row = df.agg(*exprs).first().asDict()
@@ -209,6 +193,9 @@ def _figures(df: DataFrame, ops: Sequence[Mapping]) -> dict[str, dict]:
         known = {c: Extent(out[c]["n"], out[c]["low"], out[c]["high"]) for c in shares}
         for c, q in exact_quantiles(df, shares, known).items():
             out[c].update(p25=q[0.25], median=q[0.5], p75=q[0.75])
+    dates = [c for c in wanted if out[c].get("texts")]
+    if dates:
+        _date_figures(df, ops, dates, out)
     modes = [c for c, needs in wanted.items() if "mode" in needs and out[c]["nulls"]]
     if modes:
         for c, (_, mode) in distinct_and_mode(df, modes).items():
@@ -216,16 +203,28 @@ def _figures(df: DataFrame, ops: Sequence[Mapping]) -> dict[str, dict]:
     return out
 
 
-_FITS = tuple(f"fits_{k}_" for k in range(len(DATE_FORMATS)))
-_FIGURES = ("nulls", "n", "low", "high", "mean", "std", "lost", "texts", *_FITS)
+_FIGURES = ("nulls", "n", "low", "high", "mean", "std", "lost", "texts")
 
 
-def _tries(ops: Sequence[Mapping], column: str) -> dict[str, Sequence[str] | None]:
-    """The formats of a datetime cast by the names of their figures."""
-    for op in ops:
-        if op.get("column") == column and op.get("dtype") == "datetime" and op.get("formats"):
-            return {_FITS[0]: op["formats"]}
-    return {name: f and [f] for name, f in zip(_FITS, DATE_FORMATS)}
+def _date_figures(df: DataFrame, ops: Sequence[Mapping], columns: Sequence[str], out: dict[str, dict]) -> None:
+    """The formats of text columns: those named, or one for each shape of dates that a
+    column has; then how many texts they can read."""
+    named = {op["column"]: op["formats"] for op in ops if op.get("dtype") == "datetime" and op.get("formats")}
+    shapes = [c for c in columns if c not in named]
+    counted = shape_counts(df, shapes) if shapes else {}
+    for c in columns:
+        found = [(format_of(r), r["n"]) for r in counted.get(c, ())]
+        found = [(f, n) for f, n in found if f is not None]
+        out[c]["formats"] = named.get(c) or [f for f, _ in found]
+        out[c]["inferred"] = c in counted and bool(found)
+        out[c]["naive"] = sum(n for f, n in found if not has_zone(f)) if any(has_zone(f) for f, _ in found) else 0
+    read = [F.count(_date(col(c), out[c])).alias(f"r{i}") for i, c in enumerate(columns)]
+    for c, n in zip(columns, df.agg(*read).first()):
+        out[c]["read"] = n
+
+
+def _date(text: Column, found: Mapping) -> Column:
+    return parse_timestamp(prepared(text) if found.get("inferred") else text, found.get("formats"))
 
 
 def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list[str]) -> Step | None:
@@ -259,14 +258,12 @@ def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list
         return _fit_mapping(df, c, op["mapping"])
     if got.get("lost"):
         warnings.append(VALUES_LOST.format(column=c, lost=got["lost"]))
-    formats = op.get("formats")
     if got.get("texts"):
-        tries = _tries([op], c)
-        best = max(tries, key=lambda name: got[name])
-        formats = tries[best]
-        if got["texts"] > got[best]:
-            warnings.append(DATES_LOST.format(column=c, lost=got["texts"] - got[best]))
-    return Step(f"cast_{op['dtype']}", c, {"formats": formats})
+        if got["texts"] > got["read"]:
+            warnings.append(DATES_LOST.format(column=c, lost=got["texts"] - got["read"]))
+        if got["naive"]:
+            warnings.append(ZONES_MIXED.format(column=c, naive=got["naive"]))
+    return Step(f"cast_{op['dtype']}", c, {k: got.get(k) for k in ("formats", "inferred")})
 
 
 def _fit_mapping(df: DataFrame, column: str, mapping: Mapping | DataFrame) -> Step:
@@ -306,10 +303,10 @@ def _to_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def _to_timestamp(df: DataFrame, name: str, formats: Sequence[str] | None) -> Column | None:
+def _to_timestamp(df: DataFrame, name: str, found: Mapping) -> Column | None:
     field_ = df.schema[name]
     if isinstance(field_.dataType, T.StringType):
-        return parse_timestamp(col(name), formats)
+        return _date(col(name), found)
     if isinstance(field_.dataType, T.DateType):
         return col(name).cast("timestamp_ntz")
     if is_numeric(field_):  # nanoseconds since 1970
@@ -351,7 +348,7 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         return _replace_column(df, c, col(c).cast("string"), CATEGORY)
     if kind == "cast_text":
         return _replace_column(df, c, col(c).cast("string"), {})
-    new = _to_number(df, c) if kind == "cast_numeric" else _to_timestamp(df, c, v.get("formats"))
+    new = _to_number(df, c) if kind == "cast_numeric" else _to_timestamp(df, c, v)
     return df if new is None else _replace_column(df, c, new, {})
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tabsieve.functions.dates import parse_timestamp
 from tabsieve.operators import cleaning, profile, quality, schema
 from tabsieve.operators.cleaning import apply_cleaning, clean
 
@@ -165,6 +166,50 @@ def test_date_formats_are_tried_in_order(spark):
     assert [str(d) for d in values(done, "d")] == ["2024-01-15 00:00:00", "2024-02-01 00:00:00", "None"]
 
 
+def dates_of(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    done, warnings = apply_cleaning(df, [cast("d", "datetime")])
+    return [None if r["d"] is None else str(r["d"]) for r in done.orderBy("i").collect()], warnings
+
+
+@pytest.mark.parametrize(
+    "texts, wanted",
+    [
+        (["3/4/24 1:05 PM", "12/31/99 12:00 am"], ["2024-03-04 13:05:00", "1999-12-31 00:00:00"]),
+        (["13/4/2024", "3/4/2024"], ["2024-04-13 00:00:00", "2024-04-03 00:00:00"]),
+        (["4/13/2024", "3/4/2024"], ["2024-04-13 00:00:00", "2024-03-04 00:00:00"]),
+        (["3.4.2024", "30.4.24"], ["2024-04-03 00:00:00", "2024-04-30 00:00:00"]),
+        (["99-12-31", "01-02-03"], ["1999-12-31 00:00:00", "2001-02-03 00:00:00"]),
+        (["Tuesday, March 5th, 2024", "may 1 2024", "Jun. 2, 2024"], ["2024-03-05 00:00:00", "2024-05-01 00:00:00", "2024-06-02 00:00:00"]),
+        (["5 Mar 2024 07:08", "05-Sept-2024"], ["2024-03-05 07:08:00", "2024-09-05 00:00:00"]),
+        (["2024-03-05T07:08:09.123456789Z", "2024-03-05 07:08:09,5"], ["2024-03-05 07:08:09.123456", "2024-03-05 07:08:09.500000"]),
+        (["20240305", "20240305070809", "20240305T070809"], ["2024-03-05 00:00:00", "2024-03-05 07:08:09", "2024-03-05 07:08:09"]),
+        (["2024-01-05T10:00:00+02:00", "2024-01-05T10:00:00Z", "2024-01-05 10:00 -0800"], ["2024-01-05 08:00:00", "2024-01-05 10:00:00", "2024-01-05 18:00:00"]),
+        (["2024", "2024-07"], ["2024-01-01 00:00:00", "2024-07-01 00:00:00"]),
+        (["2024-02-30", "2024-02-28", "12:30", "x 2024-02-28", ""], [None, "2024-02-28 00:00:00", None, None, None]),
+    ],
+)
+def test_formats_from_shapes(spark, texts, wanted):
+    got, warnings = dates_of(spark, texts)
+    assert got == wanted
+    assert any("couldn't be parsed" in w for w in warnings) == (None in wanted)
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    texts = ["2024-03-10 02:30:00", "2024-11-03 01:30:00", "2024-11-03 01:30:00+00:00"]
+    want = (["2024-03-10 02:30:00", "2024-11-03 01:30:00", "2024-11-03 01:30:00"], dates_of(spark, texts)[1])
+    assert len(want[1]) == 1 and "2 value(s) name no time zone" in want[1][0]
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert dates_of(spark, texts) == want
+        df = spark.createDataFrame([(t,) for t in texts], "d string")
+        for formats in (["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX"], None):
+            done = df.select(parse_timestamp(df.d, formats).alias("d"))
+            assert [str(d) for d in values(done, "d")] == want[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_category_survives_a_held_table(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, None)], "k string, x double")
     done, _ = apply_cleaning(df, [cast("k", "category"), {"type": "remove_duplicates"}, fill("x", "mean"), fill("k", "mode")])
