@@ -436,6 +436,8 @@ ORACLE["p_values_spearman"] = ORACLE["p_values"].replace(
 )
 ORACLE["pearson_wide"] = _with("wide", _ranked(_pearson("wide", WIDE), rank=False))
 ORACLE["spearman_wide"] = _with("wide", _ranked(_spearman("wide", WIDE[:14]), rank=False))
+ORACLE["pearson_gaps_wide"] = _with("wide_holes", _ranked(_pearson("wide_holes", WIDE), rank=False))
+ORACLE["spearman_gaps_wide"] = _with("wide_holes", _ranked(_spearman("wide_holes", WIDE[:20]), rank=False))
 ORACLE["spearman_empty_columns"] = _with("empty_column", _ranked(_spearman("empty_column", ["qty", "price"])))
 ORACLE["corr_matrix"] = _with(
     "wide_gaps",

@@ -505,6 +505,18 @@ def pearson_wide(spark, folder):
     return association.correlations(view(spark, folder, "wide")).drop("p_value", "rank")
 
 
+@query
+def pearson_gaps_wide(spark, folder):
+    """435 pairs of columns with gaps from one matrix."""
+    return association.correlations(view(spark, folder, "wide_holes"), "pearson", WIDE).drop("p_value", "rank")
+
+
+@query
+def spearman_gaps_wide(spark, folder):
+    """190 pairs of columns with gaps."""
+    return association.correlations(view(spark, folder, "wide_holes"), "spearman", WIDE[:20]).drop("p_value", "rank")
+
+
 @query
 def spearman_wide(spark, folder):
     """Fourteen columns, 91 pairs."""

@@ -120,6 +120,17 @@ VIEWS["wide"] = (
     + " FROM lineitem"
 )
 
+# The same columns, each with gaps of its own.
+VIEWS["wide_holes"] = (
+    "SELECT "
+    + ", ".join(
+        f"CASE WHEN (l_orderkey * 7 + l_linenumber * {k + 1} + l_suppkey) % {k + 5} <> 0 THEN"
+        f" CAST((l_orderkey * {2 * k + 3} + l_partkey * {k + 1} + l_linenumber) % {89 + k} AS DOUBLE) END AS {c}"
+        for k, c in enumerate(WIDE)
+    )
+    + " FROM lineitem"
+)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -6,8 +6,10 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from tabsieve.operators.profile import moments
 from tabsieve.operators.ranks import average_ranks, count_values, distinct_sizes
 from tabsieve.operators.schema import complete_rows, numeric_columns, require_numeric
 from tabsieve.plans.held import hold, released
-from tabsieve.plans.lookup import HOT_SHARE, lookup
+from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
 
@@ -27,6 +29,10 @@ METHODS = ("pearson", "spearman")
 PAIRS_PER_SCAN = 256
 # Plain sums that fit into one method small enough to be compiled, in one scan.
 PRODUCTS_PER_SCAN = 40
+# A spread that is a smaller part of its sum of squares is computed anew, pair by pair.
+CANCELLED = 1e-8
+# Columns of a side whose ranks within pairs are brought back to the rows together.
+RANKED_TOGETHER = 4
 # The sentence that explains a fit and its error, and the grades of R2.
 FIT_SENTENCE = (
     "For each unit increase in '%s', '%s' %s by %.4f. The model explains %.1f%% of variance (%s fit)."
@@ -53,11 +59,13 @@ def _pair_moments(df: DataFrame, pairs: Sequence[tuple[Column, Column]]) -> list
             F.covar_pop("x", "y").alias("cov"),
             F.stddev_pop("x").alias("sx"),
             F.stddev_pop("y").alias("sy"),
+            # The spread of a constant may be a little above 0 after it is merged.
+            ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("constant"),
         )
         rows = {r["idx"]: r for r in found.collect()}
         for i in range(len(part)):
             r = rows.get(i)
-            if r is None or r["n"] < 2 or not r["sx"] or not r["sy"]:
+            if r is None or r["n"] < 2 or r["constant"] or not r["sx"] or not r["sy"]:
                 out.append((r["n"] if r else 0, None))
             else:
                 out.append((r["n"], max(-1.0, min(1.0, r["cov"] / (r["sx"] * r["sy"])))))
@@ -83,8 +91,7 @@ def _complete_pairs(
 ) -> dict[Pair, tuple[int, float | None]]:
     """(n, r) of pairs of centred columns without missing values.
 
-    Few pairs are plain sums of one scan. Many are one matrix that the built-in
-    correlation adds up block by block, in a number of scans that does not grow with the columns.
+    Few pairs are plain sums of one scan, many are one Gram matrix of one scan.
     """
     if not pairs:
         return {}
@@ -93,17 +100,15 @@ def _complete_pairs(
     wanted = list(dict.fromkeys([*open_pairs, *((c, c) for c in used)]))
     found: dict[Pair, float] = {}
     if len(wanted) > PRODUCTS_PER_SCAN and rows > 1:
-        names = {c: f"v{i}" for i, c in enumerate(used)}
-        plain = df.select(*[values[c].alias(v) for c, v in names.items()])
-        vectors = VectorAssembler(inputCols=list(names.values()), outputCol="v").transform(plain)
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        matrix = _gram_matrix(df, [values[c] for c in used])
         at = {c: i for i, c in enumerate(used)}
-        found = {(a, b): float(matrix[at[a], at[b]]) for a, b in open_pairs}
+        spread = np.sqrt(np.diag(matrix))
+        found = {(a, b): _share(matrix[at[a], at[b]], spread[at[a]] * spread[at[b]]) for a, b in open_pairs}
     elif wanted and rows > 1:
         sums = _centered_products(df, {c: values[c] for c in used}, wanted)
         for a, b in open_pairs:
             spread = math.sqrt(sums[(a, a)]) * math.sqrt(sums[(b, b)])
-            found[(a, b)] = sums[(a, b)] / spread if spread else math.nan
+            found[(a, b)] = _share(sums[(a, b)], spread)
     out: dict[Pair, tuple[int, float | None]] = {}
     for p in pairs:
         r = found.get(p, math.nan)
@@ -111,79 +116,163 @@ def _complete_pairs(
     return out
 
 
+def _share(part: float, whole: float) -> float:
+    return float(part / whole) if whole and math.isfinite(whole) else math.nan
+
+
+def _gram_matrix(df: DataFrame, values: Sequence[Column]) -> np.ndarray:
+    """Sums of products of all pairs of values, none of which is missing: one scan, in
+    which every task adds up the whole matrix, and only matrices move."""
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*values)).alias("v")), "v")
+    return RowMatrix(rows, 0, len(values)).computeGramianMatrix().toArray()
+
+
+def _gap_pairs(df: DataFrame, values: dict[str, Column], gaps: set[str], pairs: Sequence[Pair]) -> dict[Pair, tuple[int, float | None]]:
+    """(n, r) of pairs of centred columns, over the rows where both are present.
+
+    With x being 0 where it is missing and m telling where it is not, all sums of
+    all pairs are cells of the Gram matrix of x, x squared and m. Pairs that
+    lose their digits in it, such as those with a constant side, are computed anew.
+    """
+    if not pairs:
+        return {}
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    x = [F.coalesce(values[c], F.lit(0.0)) for c in used]
+    marked = [c for c in used if c in gaps]
+    masks = [F.when(values[c].isNotNull(), 1.0).otherwise(0.0) for c in marked]
+    gram = _gram_matrix(df, [*x, *[v * v for v in x], *masks, F.lit(1.0)])
+    cell = lambda i, j: float(gram[i, j])
+    k = len(used)
+    at = {c: i for i, c in enumerate(used)}
+    mask = {c: 2 * k + marked.index(c) if c in gaps else 2 * k + len(marked) for c in used}
+    found: dict[Pair, tuple[int, float | None]] = {}
+    again: list[Pair] = []
+    for p in pairs:
+        (i, j), (mi, mj) = (at[c] for c in p), (mask[c] for c in p)
+        n, si, sj, qi, qj, ij = cell(mi, mj), cell(i, mj), cell(j, mi), cell(k + i, mj), cell(k + j, mi), cell(i, j)
+        if n < 2 or qi == 0 or qj == 0:
+            found[p] = (round(n), None)
+            continue
+        di, dj = qi - si * si / n, qj - sj * sj / n
+        if not (math.isfinite(qi + qj) and di > CANCELLED * qi and dj > CANCELLED * qj):
+            again.append(p)
+            continue
+        found[p] = (round(n), max(-1.0, min(1.0, (ij - si * sj / n) / math.sqrt(di) / math.sqrt(dj))))
+    found.update(zip(again, _pair_moments(df, [(values[a], values[b]) for a, b in again])))
+    return found
+
+
 def _pearson(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> list[tuple[int, float | None]]:
-    """Plain centred sums where both columns are complete, pairwise moments elsewhere."""
+    """Two scans for any number of columns: the means, then centred sums."""
     seen = moments(df, columns, ("mean",))
     complete = {c for c in columns if seen[c]["count"] and not seen[c]["null_count"]}
+    filled = [c for c in columns if seen[c]["count"]]
     easy = [p for p in pairs if complete.issuperset(p)]
-    hard = [p for p in pairs if not complete.issuperset(p)]
-    centred = {c: number(df, c) - F.lit(seen[c]["mean"]) for c in complete}
+    hard = [p for p in pairs if not complete.issuperset(p) and set(filled).issuperset(p)]
+    centred = {c: number(df, c) - F.lit(seen[c]["mean"]) for c in filled}
     constant = {c for c in complete if seen[c]["low"] == seen[c]["high"]}
     found, rest = together(
         df.sparkSession,
         lambda: _complete_pairs(df, centred, seen[columns[0]]["rows"], constant, easy),
-        lambda: _pair_moments(df, [(number(df, a), number(df, b)) for a, b in hard]) if hard else [],
+        lambda: _gap_pairs(df, centred, set(filled) - complete, hard),
     )
-    found.update(zip(hard, rest))
-    return [found[p] for p in pairs]
+    found.update(rest)
+    return [found.get(p, (0, None)) for p in pairs]
 
 
 def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> list[tuple[int, float | None]]:
     """Correlation of average ranks, taken within the complete rows of each pair.
 
     One counting shuffle serves all columns. A column without missing values
-    leaves its partners' ranks unchanged, so each column has one rank per
-    partner *with* missing values plus one for all others. Values meet their ranks
-    as narrow (row, column, value) rows in one skew-safe lookup, and one shuffle by
-    row brings them back; the ranks are then held for all sums.
+    leaves its partners' ranks unchanged, so a value has one rank per
+    partner *with* missing values plus one for all others. Ranks that fit a broadcast,
+    by their counted size, are looked up where the rows are: no row is shuffled or
+    written. Beyond that, values meet their ranks as narrow (row, column, value) rows
+    in a skew-safe lookup, and one shuffle by row brings them back.
     """
     numbers = [number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
     with released(df.sparkSession):
-        values = hold(df.select(F.monotonically_increasing_id().alias("row"), *numbers), "values")
-        names = values.columns[1:]
+        values = df.select(*numbers)
+        names = values.columns
         counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
         rows = counts["rows"]
         partners = [c for c in names if counts[c] < rows]
         table = hold(count_values(values, names, partners), "counts")
         sizes = distinct_sizes(table)
         ranked = hold(average_ranks(table, sizes, len(partners)), "ranks")
-        kinds = ["rank", *[f"rank{j}" for j in range(len(partners))]]
-        keyed = ranked.select(F.struct("idx", "value").alias("key"), "n", *kinds)
-        # No more than HOT_SHARE values of a column can hold 1/HOT_SHARE of the rows.
-        heavy = keyed.where(F.col("n") >= F.lit(max(rows, 1)) / HOT_SHARE).select("key")
-        narrow = tall(values, [[F.col("row"), F.col(c)] for c in names], ["row", "value"]).where(F.col("value").isNotNull())
-        width = 24 + 8 * len(kinds)
-        met = lookup(narrow, F.struct("idx", "value"), keyed.drop("n"), "key", sum(sizes.values()) * width, heavy)
-        own = [
-            F.max(F.when(F.col("idx") == i, F.col(k))).alias(f"r{i}{k[4:] and '_' + k[4:]}")
-            for i in range(len(names))
-            for k in kinds
-        ]
-        out = hold(met.groupBy("row").agg(*own), "row-ranks")
         index = {p: j for j, p in enumerate(partners)}
+        at = {c: i for i, c in enumerate(columns)}
+        complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
+        easy = [p for p in pairs if complete.issuperset(p)]
+        hard = [p for p in pairs if not complete.issuperset(p)]
+        if sum(sizes.values()) * (24 + 8 * len(partners)) <= BROADCAST_BYTES:
+            blocks = [(_ranks_in_place(values, ranked, len(partners)), easy, hard)]
+        else:
+            held_values = hold(values.withColumn("row", F.monotonically_increasing_id()), "values")
+            blocks = _ranks_by_row(held_values, ranked, sizes, rows, index, at, easy, hard)
 
         def rank(of: int, other: int) -> Column:
             j = index.get(names[other])
             # Where the partner is missing, it has no rank either.
             return F.col(f"r{of}") if j is None else F.when(F.col(f"r{other}").isNotNull(), F.col(f"r{of}_{j}"))
 
-        at = {c: i for i, c in enumerate(columns)}
-        complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
-        easy = [p for p in pairs if complete.issuperset(p)]
-        hard = [p for p in pairs if not complete.issuperset(p)]
         centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
         constant = {c for c in complete if sizes[at[c]] == 1}
-        found, rest = together(
-            df.sparkSession,
-            lambda: _complete_pairs(out, centred, rows, constant, easy),
-            lambda: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in hard])
-            if hard
-            else [],
-        )
-        found.update(zip(hard, rest))
+        found: dict[Pair, tuple[int, float | None]] = {}
+        for out, whole, gapped in blocks:
+            plain, rest = together(
+                df.sparkSession,
+                lambda out=out, whole=whole: _complete_pairs(out, centred, rows, constant, whole),
+                lambda out=out, gapped=gapped: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in gapped]),
+            )
+            found.update(plain)
+            found.update(zip(gapped, rest))
         return [found[p] for p in pairs]
 
 
+def _rank_name(of: int, kind: str) -> str:
+    return f"r{of}{kind[4:] and '_' + kind[4:]}"
+
+
+def _ranks_in_place(values: DataFrame, ranked: DataFrame, partners: int) -> DataFrame:
+    """The rows with r0, r0_0, ...: each column looks its ranks up in a broadcast table,
+    which holds those of a value as one array."""
+    out = values
+    for i, name in enumerate(values.columns):
+        own = F.array("rank", *[f"rank{j}" for j in range(partners)])
+        side = ranked.where(F.col("idx") == i).select(F.col("value").alias(f"k{i}"), own.alias(f"a{i}"))
+        out = out.join(F.broadcast(side), F.col(name) == F.col(f"k{i}"), "left").drop(f"k{i}", name)
+    return out.select(
+        *[F.get(f"a{i}", F.lit(j)).alias(_rank_name(i, k)) for i in range(len(values.columns)) for j, k in enumerate(["rank", *[f"rank{j}" for j in range(partners)]])]
+    )
+
+
+def _ranks_by_row(values: DataFrame, ranked: DataFrame, sizes: dict[int, int], rows: int, index: dict[str, int], at: dict[str, int], easy: list[Pair], hard: list[Pair]):
+    """``(rows with ranks, complete pairs, pairs with gaps)``, some pairs at a time: all
+    complete ones, then those between two groups of columns, so that a row is never
+    wider than the ranks of RANKED_TOGETHER columns with each other."""
+    groups = {c: i // RANKED_TOGETHER for c, i in at.items()}
+    tasks: dict[tuple, list[Pair]] = {}
+    for p in hard:
+        tasks.setdefault(tuple(groups[c] for c in p), []).append(p)
+    for whole, gapped in [(easy, []), *(([], part) for part in tasks.values())]:
+        used = sorted({at[c] for p in (*whole, *gapped) for c in p})
+        if not used:
+            continue
+        wanted = {f"v{at[c]}" for p in gapped for c in p} & set(index)
+        kinds = ["rank", *[f"rank{index[c]}" for c in sorted(wanted)]]
+        # No more than HOT_SHARE values of a column can hold 1/HOT_SHARE of the rows.
+        keyed = ranked.where(F.col("idx").isin(used)).select(F.struct("idx", "value").alias("key"), "n", *kinds)
+        heavy = keyed.where(F.col("n") >= F.lit(max(rows, 1)) / HOT_SHARE).select("key")
+        narrow = tall(values, [[F.col("row"), F.lit(i), F.col(f"v{i}")] for i in used], ["row", "of", "value"]).where(F.col("value").isNotNull())
+        narrow = narrow.select("row", F.col("of").alias("idx"), "value")
+        width = sum(sizes.get(i, 0) for i in used) * (24 + 8 * len(kinds))
+        met = lookup(narrow, F.struct("idx", "value"), keyed.drop("n"), "key", width, heavy)
+        own = [F.max(F.when(F.col("idx") == i, F.col(k))).alias(_rank_name(i, k)) for i in used for k in kinds]
+        # Rows of the block of pairs only; a row without any of its values takes no part.
+        yield hold(met.groupBy("row").agg(*own), "row-ranks"), whole, gapped
+
+
 def _pairs(df: DataFrame, method: str, columns: Sequence[str], pairs: Sequence[Pair]):
     if method not in METHODS:
         raise ValueError(f"Unknown correlation method {method!r}.")

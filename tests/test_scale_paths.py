@@ -20,7 +20,7 @@ def plan(df):
 
 @pytest.fixture
 def small_limits(monkeypatch):
-    for module in (lookups, quality):
+    for module in (lookups, quality, association):
         monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     # Only the mapping counts as large; its few hot values still fit.
     monkeypatch.setattr(cleaning, "BROADCAST_BYTES", 1000)
@@ -75,6 +75,44 @@ def test_spearman_with_shuffled_lookups(spark, small_limits):
     assert len(got) == 3
 
 
+def holes(spark, columns, rows=400):
+    """Columns with gaps of their own, one of them constant where another is present."""
+    x = F.col("id")
+    made = [F.when((x * (k + 3)) % (k + 4) != 1, (x * x * (k + 1) + x * 7) % (31 + k) + 1e6 * k).alias(f"c{k}") for k in range(columns)]
+    return spark.range(rows).select(*made, F.when(x % 2 == 0, 5.0).when(x % 3 == 0, 6.0).alias("two"), F.when(x % 2 == 0, x * 1.0).alias("even"))
+
+
+@pytest.mark.parametrize("method", association.METHODS)
+def test_gaps_of_many_columns(spark, method, monkeypatch):
+    df = holes(spark, 7)
+    wanted = df.toPandas()
+    # The ranks fit a broadcast, and then they do not.
+    for limit in (1 << 20, 0) if method == "spearman" else (0,):
+        monkeypatch.setattr(association, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(lookups, "BROADCAST_BYTES", limit)
+        got = {(r["column_a"], r["column_b"]): (r["correlation"], r["n"]) for r in association.correlations(df, method).collect()}
+        assert len(got) == 35 and ("two", "even") not in got  # constant wherever the other one is present
+        for (a, b), (r, n) in got.items():
+            both = wanted[[a, b]].dropna()
+            assert n == len(both) and r == pytest.approx((both.rank() if method == "spearman" else both)[[a, b]].corr().iloc[0, 1], abs=5.1e-5)
+
+
+def test_gap_pairs_come_from_one_matrix(spark, monkeypatch):
+    df, calls = holes(spark, 6).drop("two"), []
+    real = association._gram_matrix
+    monkeypatch.setattr(association, "_gram_matrix", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(association, "_pair_moments", lambda df, pairs: [] if not pairs else pytest.fail("pairs were computed one by one"))
+    assert association.correlations(df).count() == 21 and calls == [1]
+
+
+def test_spearman_in_place_writes_no_rows(spark, monkeypatch):
+    labels = []
+    real = association.hold
+    monkeypatch.setattr(association, "hold", lambda df, label: labels.append(label) or real(df, label))
+    association.correlations(holes(spark, 5), "spearman").collect()
+    assert labels == ["counts", "ranks"]
+
+
 def test_variants_with_one_key_of_many_spellings(spark, small_limits):
     word = F.expr("concat(repeat(' ', int(id % 500)), if(id % 2 = 0, 'Hot', 'hot'))")
     cold = F.format_string("v%d", F.col("id") % 700)
