@@ -155,6 +155,14 @@ ORACLE["quantiles_distributed"] = " UNION ALL ".join(
     for c in ["l_extendedprice", "l_quantity", "l_orderkey"]
     for q in [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 )
+ORACLE["quantiles_wide"] = _with(
+    "wide_holes",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST({q} AS DOUBLE) AS probability, {_big(f"quantile_cont({c}, {q})")} AS value FROM wide_holes"""
+        for c in WIDE
+        for q in [0.05, 0.25, 0.5, 0.75, 0.95]
+    ),
+)
 ORACLE["average_ranks"] = _with(
     "gaps",
     """

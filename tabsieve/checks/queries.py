@@ -253,6 +253,12 @@ def quantiles_distributed(spark, folder):
     return _rounded(found)
 
 
+@query
+def quantiles_wide(spark, folder):
+    """150 ranks of 30 columns from two scans."""
+    return _rounded(quantile_table(view(spark, folder, "wide_holes"), WIDE, [0.05, 0.25, 0.5, 0.75, 0.95]))
+
+
 @query
 def average_ranks(spark, folder):
     return rank_table(view(spark, folder, "gaps"), "value", bucket_values=1000)

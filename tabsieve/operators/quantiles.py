@@ -1,10 +1,13 @@
 """Exact order statistics and quantiles without sorting or shuffling the data.
 
-Every pass counts the rows of a value interval in cells and keeps only the cell
-that holds the wanted rank; its smallest and largest value are the next, much
-narrower interval. A pass is one scan with partial aggregation whose result is
-a bounded number of cells, so nothing grows with the table, a value that fills
-a third of the rows is one cell, and any task can be retried on its own.
+A quantile sketch of every column, from one scan, gives each wanted rank a narrow
+interval of values. One more scan counts what lies below the intervals and the
+distinct values inside them: two scans, whatever the number of columns and ranks.
+
+Should a sketch have missed a rank, that rank is found by narrowing: a pass counts
+the rows of an interval in cells and keeps the cell that holds the rank, whose
+smallest and largest value are the next interval. A value that fills a third of the rows is
+one row or one cell everywhere.
 """
 
 from __future__ import annotations
@@ -18,9 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions.values import col, double, number
+from tabsieve.operators.ranks import average_ranks, distinct_sizes
 from tabsieve.operators.schema import require_numeric
+from tabsieve.plans.held import held
 from tabsieve.plans.tall import tall
 
+# Size of the quantile sketches, and the part of the rows by which a rank that is read from
+# them may be off: half again the published bound of 2.3 / k ** 0.9.
+SKETCH_K = 2048
+SKETCH_ERROR = 3.5 / SKETCH_K**0.9
 CELLS = 1024
 # An interval with at most this many rows is fetched value by value.
 FETCH_ROWS = 4096
@@ -110,11 +119,150 @@ def _count_cells(df: DataFrame, parts: Sequence[_Interval]) -> None:
         p.cells.sort()
 
 
+@dataclass
+class _Part:
+    """An interval of values that should hold some ranks of a column."""
+
+    column: str
+    low: float
+    high: float
+    ranks: set[int]
+
+
+def _sketched(df: DataFrame, ranks: Mapping[str, set[int]], known: Mapping[str, Extent]) -> list[_Part]:
+    """One scan: an interval for each rank, overlapping ones made one."""
+    columns = list(ranks)
+    sketches = df.agg(*[F.kll_sketch_agg_double(number(df, c), F.lit(SKETCH_K)).alias(f"s{i}") for i, c in enumerate(columns)])
+    spots: dict[str, list[tuple[int, float, float]]] = {}
+    for c in columns:
+        n = known[c].n
+        spots[c] = [(r, r / n - SKETCH_ERROR, (r + 1) / n + SKETCH_ERROR) for r in sorted(ranks[c])]
+    shares = [F.array(*[F.lit(min(1.0, max(0.0, p))) for _, a, b in spots[c] for p in (a, b)]) for c in columns]
+    read = [F.kll_sketch_get_quantile_double(f"s{i}", s).alias(f"q{i}") for i, s in enumerate(shares)]
+    parts: list[_Part] = []
+    for c, values in zip(columns, sketches.select(*read).first()):
+        first = len(parts)
+        for k, (r, a, b) in enumerate(spots[c]):
+            low = known[c].low if a <= 0 else values[2 * k]
+            high = known[c].high if b >= 1 else values[2 * k + 1]
+            if len(parts) > first and low <= parts[-1].high:
+                parts[-1].high = max(parts[-1].high, high)
+                parts[-1].ranks.add(r)
+            else:
+                parts.append(_Part(c, low, high, {r}))
+    return parts
+
+
+def _keys(parts: Sequence[_Part]) -> tuple[list[str], int, dict[int, _Part]]:
+    """Columns, the most intervals of a column, and the intervals by number: those of the i-th
+    column begin at i times that most, in the order of their values."""
+    columns = list(dict.fromkeys(p.column for p in parts))
+    own = {c: [p for p in parts if p.column == c] for c in columns}
+    most = max(len(v) for v in own.values())
+    # One number more for what lies above all intervals.
+    return columns, most + 1, {i * (most + 1) + j: p for i, c in enumerate(columns) for j, p in enumerate(own[c])}
+
+
+def _inside(df: DataFrame, parts: Sequence[_Part]) -> DataFrame:
+    """(idx, value, n): how often each value of an interval occurs, idx being the interval's
+    number, and, with a value of NULL, how many values lie between it and the one before.
+
+    One scan and one row per value, whatever the number of intervals; only values
+    inside of intervals keep their own row in the exchange.
+    """
+    columns, width, keys = _keys(parts)
+
+    def bound(j: int, side: str) -> Column:
+        ends = [keys.get(i * width + j) for i in range(len(columns))]
+        return F.get(F.array(*[F.lit(getattr(p, side) if p else math.inf) for p in ends]), F.col("idx"))
+
+    v = F.col("v")
+    values = tall(df, [[number(df, c)] for c in columns], ["v"]).where(v.isNotNull())
+    past = reduce(lambda a, b: a + b, [(v > bound(j, "high")).cast("int") for j in range(width - 1)])
+    inside = reduce(lambda a, b: a | b, [(v >= bound(j, "low")) & (v <= bound(j, "high")) for j in range(width - 1)])
+    found = values.select((F.col("idx") * width + past).alias("idx"), F.when(inside, v).alias("value"))
+    return found.groupBy("idx", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _below(parts: Sequence[_Part], outside: Mapping[int, int], totals: Mapping[int, int]) -> dict[int, int]:
+    """How many values of its column lie below each interval."""
+    columns, width, keys = _keys(parts)
+    out, before = {}, 0
+    for key in range(len(columns) * width):
+        before = 0 if key % width == 0 else before
+        if key in keys:
+            out[key] = before + outside.get(key, 0)
+        before += totals.get(key, 0)
+    return out
+
+
+def _at_ranks(found: DataFrame, parts: Sequence[_Part], fetch: bool) -> dict[tuple[str, int], float]:
+    """The values at the ranks of the parts, where they lie inside of them."""
+    out: dict[tuple[str, int], float] = {}
+    keys = _keys(parts)[2]
+
+    def take(key: int, value: float, first: int, n: int) -> None:
+        out.update({(keys[key].column, r): value for r in keys[key].ranks if first <= r < first + n})
+
+    if fetch:
+        cells: dict[int, list] = {}
+        outside: dict[int, int] = {}
+        for r in found.collect():
+            if r["value"] is None:
+                outside[r["idx"]] = r["n"]
+            else:
+                cells.setdefault(r["idx"], []).append((r["value"], r["n"]))
+        totals = {k: outside.get(k, 0) + sum(n for _, n in cells.get(k, ())) for k in {*cells, *outside}}
+        below = _below(parts, outside, totals)
+        for key, values in cells.items():
+            at = below[key]
+            for value, n in sorted(values):
+                take(key, value, at, n)
+                at += n
+        return out
+    with held(found, "inside") as table:
+        sums = table.groupBy("idx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("outside")).collect()
+        below = _below(parts, {r["idx"]: r["outside"] or 0 for r in sums}, {r["idx"]: r["total"] for r in sums})
+        inside = table.where("value IS NOT NULL")
+        ranked = average_ranks(inside, distinct_sizes(inside))
+        first = (F.col("rank") - (F.col("n") + 1) / F.lit(2.0)).cast("long")
+        # At most one row for each rank.
+        hits = [(F.col("idx") == k) & (first <= r - below[k]) & (first + F.col("n") > r - below[k]) for k, p in keys.items() for r in p.ranks]
+        for r in ranked.select("idx", "value", "n", first.alias("first")).where(reduce(lambda a, b: a | b, hits)).collect():
+            take(r["idx"], r["value"], below[r["idx"]] + r["first"], r["n"])
+    return out
+
+
 def order_statistics(
     df: DataFrame, ranks: Mapping[str, Iterable[int]], known: Mapping[str, Extent]
 ) -> dict[tuple[str, int], float]:
     """The values at the given 0-based ranks of the sorted finite values."""
     found: dict[tuple[str, int], float] = {}
+    small, large = [], {}
+    for c, wanted in ranks.items():
+        wanted, e = set(wanted), known[c]
+        if wanted and e.low == e.high:
+            found.update({(c, r): e.low for r in wanted})
+        elif wanted and e.n <= FETCH_ROWS:
+            small.append(_Part(c, e.low, e.high, wanted))
+        elif wanted:
+            large[c] = wanted
+    parts = small + (_sketched(df, large, known) if large else [])
+    if not parts:
+        return found
+    # Expected rows inside of an interval; more are not fetched but ranked where they are.
+    most = max((known[c].n * 2 * SKETCH_ERROR * len(w) for c, w in large.items()), default=0)
+    found.update(_at_ranks(_inside(df, parts), parts, most <= FETCH_ROWS))
+    missed = {c: {r for r in w if (c, r) not in found} for c, w in large.items()}
+    found.update(_narrowed(df, {c: w for c, w in missed.items() if w}, known))
+    return found
+
+
+def _narrowed(
+    df: DataFrame, ranks: Mapping[str, set[int]], known: Mapping[str, Extent]
+) -> dict[tuple[str, int], float]:
+    """The same by narrowing passes alone."""
+    found: dict[tuple[str, int], float] = {}
     todo: list[_Interval] = []
 
     def place(part: _Interval) -> None:
@@ -124,10 +272,7 @@ def order_statistics(
             todo.append(part)
 
     for c, wanted in ranks.items():
-        wanted = set(wanted)
-        if wanted:
-            e = known[c]
-            place(_Interval(c, e.low, e.high, 0, e.n, wanted))
+        place(_Interval(c, known[c].low, known[c].high, 0, known[c].n, wanted))
 
     while todo:
         batch, todo[:] = todo[:INTERVALS_PER_PASS], todo[INTERVALS_PER_PASS:]

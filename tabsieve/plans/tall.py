@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +15,15 @@ def tall(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str])
     """(idx, *names): each input row gives one output row per entry of ``rows``.
 
     ``rows[i]`` are the expressions of the output row with idx i; entries of the
-    same position share a type. The plan is one Expand per ROWS_PER_EXPAND
-    entries, each reading its own columns; nothing is shuffled.
+    same position share a type. The plan is one scan: an Expand for up to
+    ROWS_PER_EXPAND entries, exploded arrays of them for more; nothing is shuffled.
     """
-    starts = range(0, len(rows), ROWS_PER_EXPAND)
-    return reduce(DataFrame.unionAll, [_expand(df, rows, names, s) for s in starts])
-
-
-def _expand(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str], start: int) -> DataFrame:
-    numbers = range(start, min(start + ROWS_PER_EXPAND, len(rows)))
+    if len(rows) > ROWS_PER_EXPAND:
+        arrays = [F.array(*[r[j] for r in rows]).alias(f"a{j}") for j in range(len(names))]
+        # Constant places, so that no filter repeats the arrays below the explode.
+        part = df.select(*arrays).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("idx"))
+        return part.select("idx", *[F.get(f"a{j}", F.col("idx")).alias(n) for j, n in enumerate(names)])
+    numbers = range(len(rows))
     wide = [F.lit(i).alias(f"i{i}") for i in numbers]
     wide += [c.alias(f"c{i}_{j}") for i in numbers for j, c in enumerate(rows[i])]
     parts = [

@@ -48,6 +48,28 @@ def test_quantiles_match_sorting(spark, small_limits):
         assert list(got[c].values()) == pytest.approx(list(wanted[c]), rel=1e-12)
 
 
+def test_many_quantiles_take_two_scans(spark, monkeypatch):
+    x = F.col("id")
+    df = spark.range(20_000).select(*[F.when(x % (k + 2) != 0, (x * (k + 3) * 7919 % 10_007).cast("double")).alias(f"c{k}") for k in range(40)])
+    shares = [0.01, 0.25, 0.5, 0.75, 0.99]
+    calls, real = [], quantiles._inside
+    monkeypatch.setattr(quantiles, "_inside", lambda *a: calls.append(real(*a)) or calls[-1])
+    monkeypatch.setattr(quantiles, "_count_cells", lambda *a: pytest.fail("a sketch has missed a rank"))
+    got = quantiles.exact_quantiles(df, {c: shares for c in df.columns})
+    wanted = df.toPandas().quantile(shares)
+    assert all(list(got[c].values()) == pytest.approx(list(wanted[c]), rel=1e-12) for c in df.columns)
+    assert len(calls) == 1 and plan(calls[0]).split("Initial Plan")[0].count("Range (") == 1
+
+
+def test_ranks_that_a_sketch_missed_are_found(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ERROR", -0.2)
+    monkeypatch.setattr(quantiles, "FETCH_ROWS", 50)
+    df = skewed(spark)
+    got = quantiles.exact_quantiles(df, {c: [0.1, 0.5, 0.9] for c in df.columns})
+    wanted = df.toPandas().quantile([0.1, 0.5, 0.9])
+    assert all(list(got[c].values()) == pytest.approx(list(wanted[c]), rel=1e-12) for c in df.columns)
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
 def test_order_statistics_of_any_doubles(spark, small_limits, values):
