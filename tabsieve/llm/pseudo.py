@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,23 @@ PLACES = (-2, -1, 1, 2)
 #: Each round trains on every ROUNDS-th word of a document, one further on than the
 #: round before: together on every word once.
 ROUNDS = 2
-BATCH = 4_096
-RATE = 0.05
+BATCH = 16_384
+RATE = 0.1
 #: Words scored at a time.
 CHUNK = 1 << 14
 #: Longer words stand for themselves by a hash.
 LONGEST = 64
+#: The seed of Spark's xxhash64. Fixed value.
+HASH_SEED = 42
 COUNTED = 200_000
 REMEMBERED = 500_000
-#: Numbers of weights that are averaged as one row.
+#: Numbers of weights that are averaged as one row, and weights of tasks that are averaged
+#: in one place before the averages are.
 SLICE = 1 << 14
+LOT = 64
+#: Training tasks for each core: their number, and what they send, is the cluster's and
+#: not the table's.
+TASKS_PER_CORE = 4
 
 
 def words_of(text: str) -> list[str]:
@@ -155,18 +164,23 @@ class Network:
         return np.tanh(z, out=z)
 
     def log_probabilities(self, around: list[np.ndarray], target: np.ndarray, learn: dict | None = None) -> np.ndarray:
-        """Of each target; with ``learn`` the gradients are put there."""
+        """Of each target; with ``learn`` the gradients are put there, for targets that are in
+        order of their classes already."""
+        group, member = (target // CLASS).astype(np.uint8), target % CLASS
+        order = None
+        if learn is None:
+            order = np.argsort(group, kind="stable")
+            around, group, member = [a[order] for a in around], group[order], member[order]
         h = self._state(around)
-        group, member = target // CLASS, target % CLASS
-        scores = h @ self.to_class + self.class_bias
+        scores = h @ self.to_class
+        scores += self.class_bias
         rows = np.arange(len(target))
         scores -= scores.max(axis=1, keepdims=True)
         result = scores[rows, group]
         np.exp(scores, out=scores)
         sums = scores.sum(axis=1)
         result -= np.log(sums)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(self.class_bias) + 1))
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(self.class_bias)))))
         if learn is not None:
             scores /= sums[:, None]
             scores[rows, group] -= 1
@@ -174,26 +188,33 @@ class Network:
             learn["class_bias"] = scores.sum(axis=0)
             back = scores @ self.to_class.T
             learn["to_word"], learn["word_bias"] = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            inner = h[at]
-            inside = inner @ self.to_word[c] + self.word_bias[c]
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            # The rows of a class stand together: all of these are views.
+            a, b = cuts[c], cuts[c + 1]
+            inner, own, k = h[a:b], member[a:b], rows[: b - a]
+            inside = inner @ self.to_word[c]
+            inside += self.word_bias[c]
             inside -= inside.max(axis=1, keepdims=True)
-            k = np.arange(len(at))
-            picked = inside[k, member[at]]
+            picked = inside[k, own]
             np.exp(inside, out=inside)
             total = inside.sum(axis=1)
-            result[at] += picked - np.log(total)
+            result[a:b] += picked - np.log(total)
             if learn is not None:
                 inside /= total[:, None]
-                inside[k, member[at]] -= 1
-                learn["to_word"][c] = inner.T @ inside
+                inside[k, own] -= 1
+                np.matmul(inner.T, inside, out=learn["to_word"][c])
                 learn["word_bias"][c] = inside.sum(axis=0)
-                back[at] += inside @ self.to_word[c].T
+                back[a:b] += inside @ self.to_word[c].T
         if learn is not None:
-            learn["z"] = back * (1 - h * h)
-            learn["bias"] = learn["z"].sum(axis=0)
-        return result
+            h *= h
+            np.subtract(1, h, out=h)
+            back *= h
+            learn["z"] = back
+            learn["bias"] = back.sum(axis=0)
+            return result
+        out = np.empty_like(result)
+        out[order] = result
+        return out
 
 
 class Trainer:
@@ -205,14 +226,19 @@ class Trainer:
         self.rows = np.full(network.shapes["enter"][:2], 1e-3, np.float32)
 
     def step(self, around: list[np.ndarray], target: np.ndarray) -> None:
+        order = np.argsort((target // CLASS).astype(np.uint8), kind="stable")
+        around, target = [a[order] for a in around], target[order]
         learn: dict = {}
         self.network.log_probabilities(around, target, learn)
         for k, total in self.sums.items():
             total += learn[k] ** 2
             getattr(self.network, k)[...] -= RATE * learn[k] / np.sqrt(total)
         for k, words in enumerate(around):
-            order = np.argsort(words, kind="stable")
-            own, first = np.unique(words[order], return_index=True)
+            # Sixteen bits are sorted by their digits.
+            order = np.argsort(words.astype(np.uint16), kind="stable")
+            words = words[order]
+            first = np.concatenate(([0], np.flatnonzero(words[1:] != words[:-1]) + 1))
+            own = words[first]
             slope = np.add.reduceat(learn["z"][order], first, axis=0)
             self.rows[k][own] += (slope**2).mean(axis=1)
             self.network.enter[k][own] -= RATE * slope / np.sqrt(self.rows[k][own])[:, None]
@@ -225,7 +251,8 @@ def _padded(ids: np.ndarray, outside: int) -> np.ndarray:
 
 def number_words(docs: DataFrame, vocab: dict) -> DataFrame:
     """``(doc_id, row, ids, rare, times)``: every whole text as numbers, and how often it
-    has each word of a bucket, written once for all passes. ``row`` names a row."""
+    has each word of a bucket, by the word's 64-bit hash, written once for all passes. ``row``
+    names a row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab["words"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +270,14 @@ def number_words(docs: DataFrame, vocab: dict) -> DataFrame:
                     found, rare, begin, size = [], [], k + 1, 0
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
-    return hold(rows.mapInArrow(run, "doc_id long, row long, ids array<int>, rare array<string>, times array<int>"), "ids")
+    return hold(rows.mapInArrow(run, "doc_id long, row long, ids array<int>, rare array<long>, times array<int>"), "ids")
 
 
 def _numbered(names: list[pa.Array], found: list[np.ndarray], rare: list[Counter]) -> pa.RecordBatch:
-    words = [[_short(w) for w in r] for r in rare]
+    hashes = np.array([xxhash.xxh64_intdigest(_short(w).encode("utf-8", "replace"), HASH_SEED) for r in rare for w in r], np.uint64)
     columns = [
         pa.ListArray.from_arrays(_ends(found), pa.array(np.concatenate(found))),
-        pa.array(words, pa.list_(pa.string())),
+        pa.ListArray.from_arrays(_ends(rare), pa.array(hashes.view(np.int64))),
         pa.ListArray.from_arrays(_ends(rare), pa.array([n for r in rare for n in r.values()], pa.int32())),
     ]
     return pa.RecordBatch.from_arrays([*names, *columns], ["doc_id", "row", "ids", "rare", "times"])
@@ -299,40 +326,46 @@ def _trainer(n: np.ndarray, flat: np.ndarray, turn: int):
         if seen:
             parts = range(0, len(network.flat), SLICE)
             values = [network.flat[k : k + SLICE].tobytes() for k in parts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(values)), pa.int32()), pa.array([float(seen)] * len(values)), pa.array(values, pa.binary())], ["part", "seen", "weights"]
-            )
+            lot = TaskContext.get().partitionId() // LOT
+            yield _slices([(k, lot, float(seen), v) for k, v in enumerate(values)])
 
     return train
 
 
+def _slices(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "lot", "seen", "weights"])
+
+
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of slices, one after the other: a task holds one for each slice."""
-    sums: dict[int, list] = {}
+    """Weighted means of slices by part and lot: a task holds one sum for each."""
+    sums: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for part, seen, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "seen", "weights")), strict=True):
+        for part, lot, seen, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "lot", "seen", "weights")), strict=True):
             own = np.frombuffer(weights, np.float32).astype(np.float64) * seen
-            if part in sums:
-                sums[part][0] += seen
-                sums[part][1] += own
+            if (part, lot) in sums:
+                sums[part, lot][0] += seen
+                sums[part, lot][1] += own
             else:
-                sums[part] = [seen, own]
-    values = [(k, (total / seen).astype(np.float32).tobytes()) for k, (seen, total) in sums.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in values], pa.int32()), pa.array([v[1] for v in values], pa.binary())], ["part", "weights"])
+                sums[part, lot] = [seen, own]
+    yield _slices([(*k, seen, (total / seen).astype(np.float32).tobytes()) for k, (seen, total) in sums.items()])
 
 
 def train(numbers: DataFrame, n: np.ndarray) -> np.ndarray:
     """The averaged weights; 2.6 MB whatever the size of the corpus. ``numbers`` is
     that of ``number_words``, ``n`` the counts of the vocabulary."""
-    flat = Network(n).flat
+    flat, shape = Network(n).flat, "part int, lot int, seen double, weights binary"
+    tasks = TASKS_PER_CORE * numbers.sparkSession.sparkContext.defaultParallelism
     for turn in range(ROUNDS):
         shared = numbers.sparkSession.sparkContext.broadcast((n, flat))
 
         def run(batches, shared=shared, turn=turn):
             return _trainer(*shared.value, turn)(batches)
 
-        made = numbers.select("ids").mapInArrow(run, "part int, seen double, weights binary").repartition("part").mapInArrow(_average, "part int, weights binary")
-        rows = sorted(made.collect())
+        made = numbers.select("ids").coalesce(tasks).mapInArrow(run, shape)
+        # Two steps: no task reads more than the slices of a lot, or those of all lots.
+        lots = made.repartition("part", "lot").mapInArrow(_average, shape).withColumn("lot", F.lit(0))
+        rows = sorted(lots.repartition("part").mapInArrow(_average, shape).collect())
         if not rows:
             break
         flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in rows])
@@ -365,10 +398,10 @@ def rare_shares(vocab: dict) -> np.ndarray:
 
 def rare_counts(numbers: DataFrame, counts: DataFrame) -> DataFrame:
     """``(row, told)``: the sum of the logarithms of the counts of a row's words of buckets.
-    Words of one occurrence add nothing."""
+    Words of one occurrence add nothing. Words are known by 64-bit hashes."""
     rare = numbers.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
-    told = F.sum(F.col("times") * F.log(F.col("n").cast("double")))
-    return rare.join(counts.where("n > 1"), "word").groupBy("row").agg(told.alias("told"))
+    known = counts.where("n > 1").select(F.xxhash64("word").alias("word"), F.log(F.col("n").cast("double")).alias("log_n"))
+    return rare.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("told"))
 
 
 def score(docs: DataFrame) -> DataFrame:
