@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.llm.tables import join_with_nulls, whole_text
 from tabsieve.plans.held import hold
+from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup, measured_bytes
 
 #: Kinds in the order of reports. Fixed values, as are the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -44,6 +45,8 @@ SHRINK = 0.25
 GENERAL = 3
 #: Partial counts that a task holds.
 COUNTED = 200_000
+#: A document with more pairs of a term and a profile is dealt out by its profiles.
+PAIRS_AT_ONCE = 1 << 20
 
 _SPANS = "array<struct<kind: int, start: int, end: int>>"
 _MARKED = "array<struct<start: int, end: int, action: string>>"
@@ -204,20 +207,52 @@ def private_documents(found: DataFrame) -> DataFrame:
     return join_with_nulls(found.where(F.size("spans") > 0).drop("entities").dropDuplicates(_KEY), profiles, _KEY)
 
 
+def most_documents(documents: int, total: int) -> float:
+    """A term in more documents than this reveals no entity of ``documents`` of all ``total``:
+    they cannot have it together in more than the entity's own."""
+    part = documents / total
+    return (documents + SHRINK * part) / part ** (1 - DISCLOSURE) - SHRINK
+
+
+def _frequent(documents: DataFrame, least: float, total: int) -> DataFrame:
+    """The terms in more documents than ``least`` and in the HOT_SHARE-th part of all, or in so much more
+    that they can be broadcast."""
+    share = max(1, total // HOT_SHARE)
+    while True:
+        found = documents.where((F.col("n") > least) & (F.col("n") >= share)).select("term")
+        if measured_bytes(found) <= BROADCAST_BYTES:
+            return found
+        share *= 2
+
+
 def revealing_terms(private: DataFrame, documents: DataFrame, total: int) -> DataFrame:
     """``(profile, term, action)``: what reveals the entities of a profile, and whether
-    its beginning reveals as much and it is removed, or it is generalised."""
-    together = _pairs(private).groupBy("profile", "term").agg(F.count("*").alias("together"), F.max("documents").alias("documents"))
-    rated = hold(together.join(documents, "term").where(reveals(total)).select("profile", "term"), "revealing")
+    its beginning reveals as much and it is removed, or it is generalised.
+
+    ``documents`` is held. Terms that are too frequent to reveal even the entity of the most
+    documents are left out; the frequent ones among them before any row of theirs is shuffled.
+    """
+    most = private.select(F.explode("profiles.documents").alias("d")).agg(F.max("d")).first()[0] or 0
+    least = most_documents(most, total) if most else 0.0
+    pairs = _pairs(private, F.broadcast(_frequent(documents, least, total)))
+    together = pairs.groupBy("profile", "term").agg(F.count("*").alias("together"), F.max("documents").alias("documents"))
+    rare = documents.where(F.col("n") <= least)
+    hot = rare.where(F.col("n") >= max(1, total // HOT_SHARE)).select("term")
+    known = lookup(together, F.col("term"), rare, "term", measured_bytes(rare), hot).where("n IS NOT NULL")
+    rated = hold(known.where(reveals(total)).select("profile", "term"), "revealing")
     terms = rated.where(~F.col("term").endswith("*")).withColumn("begin", F.concat(F.substring("term", 1, GENERAL), F.lit("*")))
     removed = rated.withColumnRenamed("term", "begin").withColumn("all", F.lit(True))
     action = F.when(F.col("all"), "remove").otherwise("generalise")
     return terms.join(removed, ["profile", "begin"], "left").select("profile", "term", action.alias("action"))
 
 
-def _pairs(private: DataFrame) -> DataFrame:
-    each = private.select(*_KEY, "terms", F.explode("profiles").alias("p"))
-    return each.select(*_KEY, "p.profile", "p.documents", F.explode("terms").alias("term"))
+def _pairs(private: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """The terms of each document with each of its profiles."""
+    many = F.size("terms").cast("long") * F.size("profiles") > PAIRS_AT_ONCE
+    each = private.select(*_KEY, "terms", many.alias("many"), F.explode("profiles").alias("p"))
+    each = each.where("NOT many").unionByName(each.where("many").repartition(*_KEY, "p"))
+    out = each.select(*_KEY, "p.profile", "p.documents", F.explode("terms").alias("term"))
+    return out if without is None else out.join(without, "term", "left_anti")
 
 
 def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +280,7 @@ def protect(docs: DataFrame) -> DataFrame:
     repeats = hold(found.groupBy(*_KEY).agg((F.count("*") - 1).alias("more")).where("more > 0"), "repeats")
     private = hold(private_documents(found), "private")
     total = found.count() - repeats.agg(F.coalesce(F.sum("more"), F.lit(0))).first()[0]
-    revealing = revealing_terms(private, term_documents(docs, repeats), total)
+    revealing = revealing_terms(private, hold(term_documents(docs, repeats), "term-documents"), total)
     mine = _pairs(private).join(revealing, ["profile", "term"])
     mine = mine.groupBy(*_KEY).agg(F.collect_set(F.struct("term", "action")).alias("revealing"))
     marked = join_with_nulls(private.select(*_KEY, "text", "spans"), mine, _KEY)

@@ -254,6 +254,49 @@ def test_scores_do_not_depend_on_neighbours():
         assert got == pytest.approx(pseudo.score_ids([text], net, rare)[0], rel=1e-5)
 
 
+def test_pseudo_scores_word_by_word(spark, monkeypatch):
+    """Whole log-likelihoods from the final weights, in plain sums."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("length(text) < 400").limit(40).select("doc_id", "text").cache()
+    monkeypatch.setattr(pseudo, "WORDS", 192)
+    kept, real = [], pseudo.train
+    monkeypatch.setattr(pseudo, "train", lambda numbers, n: kept.append((n, real(numbers, n))) or kept[-1][1])
+    got = {r.doc_id: r.log_likelihood for r in pseudo.score(docs).collect()}
+    net = pseudo.Network(*kept[0])
+    words = pseudo.vocabulary(docs)["words"]
+    texts = {r.doc_id: pseudo.words_of(r.text or "") for r in docs.collect()}
+    count, place = Counter(w for t in texts.values() for w in t), {w: i for i, w in enumerate(words)}
+    bucket = lambda w: len(words) + zlib.crc32(w.encode()) % pseudo.BUCKETS
+    filled = Counter()
+    for w, n in count.items():
+        if w not in place:
+            filled[bucket(w)] += n
+
+    def softmax(x, i):
+        e = np.exp(x - x.max())
+        return np.log(e[i] / e.sum())
+
+    for name, text in texts.items():
+        ids = [place.get(w, bucket(w)) for w in text]
+        total = 0.0
+        for t, (w, i) in enumerate(zip(text, ids, strict=True)):
+            around = [ids[t + p] if 0 <= t + p < len(ids) else net.outside for p in pseudo.PLACES]
+            h = np.tanh(net.bias + sum(net.enter[k][a] for k, a in enumerate(around)).astype(np.float64))
+            total += softmax(h @ net.to_class + net.class_bias, i // pseudo.CLASS)
+            total += softmax(h @ net.to_word[i // pseudo.CLASS] + net.word_bias[i // pseudo.CLASS], i % pseudo.CLASS)
+            if w not in place:
+                total += np.log(count[w] / filled[i])
+        assert got[name] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_pseudo_averages_in_lots(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").repartition(7)
+    vocab = pseudo.vocabulary(docs)
+    numbers = pseudo.number_words(docs, vocab)
+    one = pseudo.train(numbers, vocab["n"])
+    monkeypatch.setattr(pseudo, "LOT", 2)
+    assert pseudo.train(numbers, vocab["n"]) == pytest.approx(one, rel=1e-4, abs=1e-5)
+
+
 def test_pseudo_odd_rows(odd, none):
     got = pseudo.score(odd).collect()
     assert len(got) == len(ODD)
@@ -392,3 +435,26 @@ def test_no_toxic_word_is_cut():
     assert len(words) == 100 and set(words) <= set(compression.toxic_words(toxic, ordinary))
     windows = compression.Windows(*compression.train_dictionaries(toxic, ordinary))
     assert all(windows.gains(w)[compression.LIMIT + 1 :].sum() == 1 for w in words)
+
+
+def test_frequent_terms_are_left_out_without_loss(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    shown = lambda: sorted(docs.sparkSession.createDataFrame(sanitise.protect(docs).select("doc_id", sanitise.span_text("spans", "terms").alias("s")).collect()).collect())
+    got = shown()
+    assert any("term:" in r.s for r in got)
+    # Nothing left out; then every pair dealt out and no table broadcast.
+    monkeypatch.setattr(sanitise, "most_documents", lambda documents, total: 1e18)
+    assert shown() == got
+    monkeypatch.undo()
+    monkeypatch.setattr(sanitise, "PAIRS_AT_ONCE", 0)
+    monkeypatch.setattr("tabsieve.plans.lookup.BROADCAST_BYTES", 0)
+    assert shown() == got
+
+
+def test_bound_of_frequent_terms():
+    for total, documents in ((100, 1), (1000, 3), (10**9, 5), (50, 49)):
+        least = sanitise.most_documents(documents, total)
+        part = documents / total
+        for n in (least * 1.001 + 1e-9, least * 3):
+            given = (documents + sanitise.SHRINK * part) / (n + sanitise.SHRINK)
+            assert np.log2(given / part) < -sanitise.DISCLOSURE * np.log2(part)
