@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from tabsieve.functions.values import (
     strip_text,
 )
 from tabsieve.operators.schema import text_columns
+from tabsieve.sources.records import csv_records, ends_open, text_lines
 from tabsieve.plans.tall import tall
 
 FORMATS = {
@@ -59,11 +61,6 @@ def distinct_names(df: DataFrame) -> DataFrame:
 
 
 _BROKEN = "__unparsed"
-# A quoted cell with all its quotes, and one that its line leaves open.
-_CLOSED_CELL = r'(^|,)"([^"]|"")*"(?=,|$)'
-_OPEN_CELL = r'(^|,)"'
-
-
 def _csv_reader(spark: SparkSession, multi_line: bool):
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return reader.option("emptyValue", "").option("encoding", "UTF-8")
@@ -87,27 +84,38 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     stay text until they are cast. Rows with too few cells end in NULLs. Rows with
     too many, and files whose headers differ, are a ValueError. Files with line
     breaks in quoted cells, found by a first look or named by ``multi_line``, are
-    read whole by one task for each file.
+    cut into records by many tasks as well, at the price of a shuffle of their lines. Two
+    passes come before the first use: that look, and the one that infers types.
     """
     if not _csv_reader(spark, multi_line).csv(path).columns:
         raise ValueError(f"Could not parse {path} as CSV: it has no header.")
     # Whether a quoted cell goes on after the end of its line.
-    opens = F.regexp_replace(F.col("value"), _CLOSED_CELL, "$1").rlike(_OPEN_CELL)
-    files = _first_lines(spark, path, opens)
+    files = _first_lines(spark, path, ends_open(F.col("value")))
     if len({f["line"].strip() for f in files}) > 1:
         raise ValueError(f"Could not parse {path} as CSV: its files have different headers.")
-    multi_line = multi_line or any(f["found"] for f in files)
-    names = _csv_reader(spark, multi_line).csv(path).columns
+    broken = [f["file_path"] for f in files if multi_line or f["found"]]
+    plain = [f["file_path"] for f in files if not (multi_line or f["found"])]
+    names = _csv_reader(spark, bool(broken)).csv(path).columns
     fields = [T.StructField(c, T.StringType()) for c in [*names, _BROKEN]]
-    reader = _csv_reader(spark, multi_line).schema(T.StructType(fields))
-    df = reader.option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    parts = []
+    if plain or not broken:
+        reader = _csv_reader(spark, False).schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _BROKEN)
+        parts.append(reader.csv(plain if broken else path))
+    if broken:
+        shape = ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in fields)
+        options = {"escape": '"', "emptyValue": "", "multiLine": "true", "columnNameOfCorruptRecord": _BROKEN}
+        records = csv_records(text_lines(spark, broken if plain else path))
+        parts.append(records.select(F.from_csv("record", shape, options).alias("cells")).select("cells.*"))
+    df = reduce(DataFrame.unionByName, parts)
     cells = F.length(F.regexp_replace(F.regexp_replace(_BROKEN, '"([^"]|"")*"', ""), "[^,]", "")) + 1
-    # A row is parsed in full, and found to be too long, only if all its cells are asked for.
-    every = F.hash(*[col(c) for c in names])
-    long = df.agg(F.count_if(cells > len(names)).alias("long"), F.max(every)).first()["long"]
-    if long:
-        raise ValueError(f"Could not parse {path} as CSV: {long} row(s) have more than {len(names)} cells.")
-    return infer_types(distinct_names(df.drop(_BROKEN)))
+
+    def refuse(long: int) -> None:
+        if long:
+            raise ValueError(f"Could not parse {path} as CSV: {long} row(s) have more than {len(names)} cells.")
+
+    distinct_names(df)
+    # A row is parsed in full, and found to be too long, as all its cells are asked for.
+    return infer_types(df, names, cells > len(names), refuse).drop(_BROKEN)
 
 
 def normalize_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -129,11 +137,14 @@ def _whole(text: Column) -> Column:
 _INFINITE = r"^[+-]?(?i)(inf|infinity)$"
 
 
-def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def infer_types(
+    df: DataFrame, columns: Sequence[str] | None = None, bad: Column | None = None, refuse: Callable[[int], None] | None = None
+) -> DataFrame:
     """Text columns read as long, double or boolean where every value fits.
 
     One aggregate counts, per column, how many values each type can hold; the
-    casts themselves stay lazy. A column with no value at all becomes double.
+    casts themselves stay lazy. A column with no value at all becomes double. The
+    same aggregate counts ``bad`` rows, and ``refuse`` is called with their number.
     """
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
@@ -145,12 +156,15 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             _whole(strip_text(col(c))).isNotNull(),
             plain_number(strip_text(col(c))).isNotNull() | strip_text(col(c)).rlike(_INFINITE),
             _truth(col(c)).isNotNull(),
+            F.lit(False) if bad is None or i else F.coalesce(bad, F.lit(False)),
         )
-        for c in columns
+        for i, c in enumerate(columns)
     ]
-    names = ("n", "whole", "float", "truth")
+    names = ("n", "whole", "float", "truth", "bad")
     counts = tall(clean, tests, names).groupBy("idx").agg(*[F.count_if(n).alias(n) for n in names])
     fits = {columns[r["idx"]]: r for r in counts.collect()}
+    if refuse is not None:
+        refuse(fits[columns[0]]["bad"] if columns[0] in fits else 0)
     out = []
     for c in clean.columns:
         if c not in columns:

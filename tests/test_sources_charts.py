@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabsieve.operators import chartdata, cleaning
 from tabsieve.sources import readers, writers
+from tabsieve.sources.records import text_lines
 from tabsieve.streaming.cleaning import clean_stream
 
 
@@ -182,3 +185,38 @@ def test_stream_applies_fitted_steps(spark, people, tmp_path):
     assert sorted(got.collect()) == sorted(found.table.collect())
     with pytest.raises(ValueError, match="stream"):
         clean_stream(stream, cleaning.clean(people, [{"type": "remove_duplicates"}]).steps)
+
+
+def pieces_of(folder, texts):
+    folder.mkdir()
+    for i, t in enumerate(texts):
+        (folder / f"part-{i}.csv").write_bytes(t.encode())
+    return str(folder)
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_line_breaks_are_cut_by_many_tasks(spark, tmp_path, size):
+    rng = random.Random(size)
+    cells = ["plain", "a\nb", 'say ""hi""\n', "\n\n", "x,\n,y", '""', "", "long " * 9 + "\nend", "é\n東京"]
+    rows = [(i, rng.choice(cells), rng.choice(cells)) for i in range(200)]
+    lines = ["id,t,u"] + [f'{i},"{t}","{u}"' for i, t, u in rows]
+    path = pieces_of(tmp_path / "csv", ["\n".join(lines) + "\n", "id,t,u\r\n\r\n900,plain,x\r\n901,,\"y\r\nz\"\r\n", "id,t,u\n902,p,q\n"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = readers.read_csv(spark, path)
+        got = sorted((r.id, r.t, r.u) for r in found.collect())
+        if size == 64:
+            assert text_lines(spark, path).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    clean = lambda t: t.replace('""', '"') or None
+    wanted = [(i, clean(t), clean(u)) for i, t, u in rows] + [(900, "plain", "x"), (901, None, "y\r\nz"), (902, "p", "q")]
+    assert got == wanted
+
+
+def test_broken_lines_with_too_many_cells(spark, tmp_path):
+    path = pieces_of(tmp_path / "csv", ['a,b\n1,"x\ny"\n2,"p\nq",3\n'])
+    with pytest.raises(ValueError, match="1 row"):
+        readers.read_csv(spark, path)
