@@ -542,6 +542,29 @@ ORACLE["box_outliers"] = _with(
     SELECT value, count(*) AS n FROM gaps, ({_FENCES.format(c='value', t='gaps')})
     WHERE value < lo OR value > hi GROUP BY value""",
 )
+ORACLE["scatter_sample"] = """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_extendedprice AS y FROM lineitem
+    ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey, x, y LIMIT 500"""
+ORACLE["box_outlier_sample"] = _with(
+    "gaps",
+    f"""
+    SELECT event_id, value FROM gaps, ({_FENCES.format(c='value', t='gaps')})
+    WHERE value < lo OR value > hi ORDER BY md5('3:' || event_id) LIMIT 100""",
+)
+
+
+def _sketched(table: str, numbers: list[str], others: list[str], more: str = "") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS nulls,
+            {f"CAST(min({c}) AS DOUBLE)" if c in numbers else "CAST(NULL AS DOUBLE)"} AS low,
+            {f"CAST(max({c}) AS DOUBLE)" if c in numbers else "CAST(NULL AS DOUBLE)"} AS high,
+            TRUE AS distinct_close, TRUE AS quartiles_close {more} FROM {table}"""
+        for c in numbers + others
+    )
+
+
+ORACLE["approx_profile"] = _sketched("events", ["event_id", "user_id", "value"], ["ts", "event_type", "props"])
+ORACLE["approx_profile_merged"] = _sketched("lineitem", ["l_orderkey", "l_quantity"], ["l_returnflag"], ", TRUE AS each_file_once")
 ORACLE["line_points"] = _with(
     "gaps", "SELECT CAST(event_id AS DOUBLE) AS x, value AS y FROM gaps WHERE value IS NOT NULL"
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.checks.views import WIDE, table, view
 from tabsieve.functions.values import finite_columns
-from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, report, schema
+from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, report, schema, sketches
 from tabsieve.operators.quantiles import quantile_table
 from tabsieve.operators.ranks import rank_table
 from tabsieve.plans.held import new_folder
@@ -573,6 +573,55 @@ def area_points(spark, folder):
     return chartdata.area_points(view(spark, folder, "gaps"), "value", "event_id")
 
 
+@query
+def scatter_sample(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return chartdata.scatter_sample(lines, "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], 500, seed=7)
+
+
+@query
+def box_outlier_sample(spark, folder):
+    return chartdata.box_outlier_sample(view(spark, folder, "gaps"), "value", ["event_id"], 100, seed=3)
+
+
+def _against_exact(df, found):
+    """The exact figures of an approximate profile, and whether the others are within their bounds."""
+    rows = found.collect()
+    exact = frequency.distinct_counts(df, [r["column"] for r in rows])
+    out = []
+    for r in rows:
+        c, marks = r["column"], (r["p25"], r["median"], r["p75"])
+        close = abs(r["distinct"] - exact[c]) <= sketches.DISTINCT_ERROR * exact[c] + 1
+        ranks = df.agg(*[F.avg((F.col(c) < m).cast("int")) for m in marks], *[F.avg((F.col(c) <= m).cast("int")) for m in marks]).first() if marks[0] is not None else None
+        near = ranks is None or all(
+            ranks[i] - sketches.RANK_ERROR <= p <= ranks[i + 3] + sketches.RANK_ERROR for i, p in enumerate(sketches.PROBABILITIES)
+        )
+        out.append((c, r["n"], r["nulls"], r["low"], r["high"], close, near))
+    return df.sparkSession.createDataFrame(out, "column string, n long, nulls long, low double, high double, distinct_close boolean, quartiles_close boolean")
+
+
+@query
+def approx_profile(spark, folder):
+    """Sketches of a file, checked against the exact figures by their error bounds."""
+    events = table(spark, folder, "events")
+    return _against_exact(events, sketches.approx_profile(sketches.sketch_columns(events)))
+
+
+@query
+def approx_profile_merged(spark, folder):
+    """Two deliveries, each scanned once; the merged profile is one over the whole."""
+    data, store = new_folder(spark, "deliveries"), new_folder(spark, "sketches")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    read = []
+    for half in (0, 1):
+        lines.where(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(data)
+        read.append(sketches.update_store(spark, data, store))
+    again = sketches.update_store(spark, data, store)
+    files = len(spark.read.parquet(data).inputFiles())
+    found = _against_exact(spark.read.parquet(data), sketches.approx_profile(sketches.stored(spark, store)))
+    return found.withColumn("each_file_once", F.lit(sum(read) == files and min(read) > 0 and again == 0))
+
+
 @query
 def scatter_data(spark, folder):
     return chartdata.scatter_data(table(spark, folder, "events"), "value", "user_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ CHART_TYPES = (
 )
 
 BAR_VALUES, PIE_VALUES = 20, 10
+# Rows of a seeded sample.
+SAMPLE_POINTS = 1000
 MAX_POINTS = 1000
 GRID_CELLS = 100
 CURVE_POINTS = 200
@@ -222,6 +225,28 @@ def box_outliers(df: DataFrame, column: str) -> DataFrame:
     return df.where(outside).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def seeded_sample(df: DataFrame, key: Sequence[str], k: int, seed: int) -> DataFrame:
+    """The k rows whose keys have the smallest hashes under a seed, with the columns of ``df``.
+
+    Independent of partitions and of the order of rows; every task keeps its own
+    k smallest. Rows of one key come in the order of their other columns.
+    """
+    for c in key:
+        require_column(df, c)
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in key])
+    plain = [col(c) for c, t in df.dtypes if not t.startswith("map")]
+    return df.withColumn("__mark", F.md5(text.cast("binary"))).orderBy("__mark", *plain).limit(k).drop("__mark")
+
+
+def box_outlier_sample(df: DataFrame, column: str, key: Sequence[str], k: int = SAMPLE_POINTS, seed: int = 0) -> DataFrame:
+    """(*key, value) of at most k rows beyond the whiskers; ``box_outliers`` has all of them."""
+    require_numeric(df, column)
+    f = fences(df, [column])[column]
+    value = number(df, column)
+    outside = ~value.between(F.lit(f.lower), F.lit(f.upper)) if f.n else F.lit(False)
+    return seeded_sample(df.where(outside).select(*[col(c) for c in key], value.alias("value")), key, k, seed)
+
+
 # -- Scatter ---------------------------------------------------------------------
 
 
@@ -236,6 +261,13 @@ def scatter_points(df: DataFrame, column: str, x_column: str) -> DataFrame:
     return _scatter_pairs(df, column, x_column).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scatter_sample(df: DataFrame, column: str, x_column: str, key: Sequence[str], k: int = SAMPLE_POINTS, seed: int = 0) -> DataFrame:
+    """(*key, x, y) of at most k points; ``scatter_points`` has all of them."""
+    require_numeric(df, column)
+    points = df.select(*[col(c) for c in key], _position(df, x_column).alias("x"), number(df, column).alias("y"))
+    return seeded_sample(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()), key, k, seed)
+
+
 def scatter_grid(df: DataFrame, column: str, x_column: str, cells: int = GRID_CELLS) -> DataFrame:
     """(x_bin, y_bin, n, x, y): row counts and mean point per cell of a grid."""
     pairs = _scatter_pairs(df, column, x_column)

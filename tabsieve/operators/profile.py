@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,19 +213,22 @@ def numeric_summary(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return table.withColumns({c: F.round(c, digits) for c in ("mean", "std")})
 
 
-def first_values(df: DataFrame, column: str, order_by: Sequence[str], k: int = SAMPLE_VALUES) -> DataFrame:
-    """One row, ``sample``: texts of the first k non-missing values in row order."""
+def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], k: int = SAMPLE_VALUES) -> DataFrame:
+    """(idx, sample): texts of each column's first k non-missing values in row order.
+
+    One scan: every task keeps the first k of its rows for a column, and only those
+    are exchanged. Rows of equal order are in the order of their texts.
+    """
     for c in order_by:
         require_column(df, c)
     keys = [f"k{i}" for i in range(len(order_by))]
-    first = (
-        df.select(*[col(c).alias(k_) for c, k_ in zip(order_by, keys)], present(df, column).alias("value"))
-        .where(F.col("value").isNotNull())
-        .orderBy(*keys)
-        .limit(k)
-    )
-    pairs = F.array_sort(F.collect_list(F.struct(*keys, F.col("value").cast("string").alias("value"))))
-    return first.agg(F.transform(pairs, lambda p: p["value"]).alias("sample"))
+    rows = [[*[col(o) for o in order_by], present(df, c).cast("string")] for c in columns]
+    values = tall(df, rows, [*keys, "value"]).where(F.col("value").isNotNull())
+    order = [*keys, "value"]
+    place = F.row_number().over(Window.partitionBy("idx").orderBy(*order))
+    first = values.withColumn("place", place).where(F.col("place") <= k)
+    pairs = F.sort_array(F.collect_list(F.struct("place", "value")))
+    return first.groupBy("idx").agg(F.transform(pairs, lambda p: p["value"]).alias("sample"))
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -239,8 +241,7 @@ def categorical_summary(
 ) -> DataFrame:
     """(column, unique, nulls, sample): distinct count, missing count, first k values.
 
-    Samples are top-k scans of one column each, united in one job; ``sample`` is
-    an array of at most k texts.
+    The samples of all columns come from one scan; ``sample`` is an array of at most k texts.
     """
     columns = categorical_columns(df) if columns is None else list(columns)
     schema = "column string, unique bigint, nulls bigint, sample array<string>"
@@ -250,10 +251,6 @@ def categorical_summary(
         *[F.count_if(present(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
     counted = distinct_counts(df, columns)
-    tops = [
-        first_values(df, c, order_by, k).select(F.lit(i).alias("i"), "sample")
-        for i, c in enumerate(columns)
-    ]
-    samples = {r["i"]: r["sample"] for r in reduce(DataFrame.unionAll, tops).collect()}
-    rows = [(c, counted[c], nulls[f"c{i}"], samples[i]) for i, c in enumerate(columns)]
+    samples = {r["idx"]: r["sample"] for r in first_values(df, columns, order_by, k).collect()}
+    rows = [(c, counted[c], nulls[f"c{i}"], samples.get(i, [])) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, schema)

@@ -7,9 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import FOLDER
+from conftest import FOLDER, ROOT
 from tabsieve.checks.views import table, view
-from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, quantiles, ranks
+from tabsieve.operators import association, chartdata, cleaning, frequency, profile, quality, quantiles, ranks, sketches
 from tabsieve.plans import held
 from tabsieve.plans import lookup as lookups
 
@@ -325,3 +325,48 @@ def test_wide_copies_are_removed(spark):
     df = spark.createDataFrame(rows, "a int, t string, u string, v string, w string")
     assert quality.repeated_hashes(df) is not None
     assert sorted(cleaning.clean(df, [{"type": "remove_duplicates"}]).table.collect()) == sorted(set(rows))
+
+
+def test_samples_of_all_columns_take_one_scan(spark):
+    df = spark.range(500).select("id", *[F.when(F.col("id") % (k + 2) != 0, F.concat(F.lit(f"{k}-"), F.col("id"))).alias(f"t{k}") for k in range(9)])
+    first = profile.first_values(df, df.columns[1:], ["id"], 3)
+    assert plan(first).split("Initial Plan")[0].count("Range (") == 1 and "WindowGroupLimit" in plan(first)
+    got = {r["column"]: r["sample"] for r in profile.categorical_summary(df, ["id"], k=3).collect()}
+    assert got["t0"] == ["0-1", "0-3", "0-5"] and got["t8"] == ["8-1", "8-2", "8-3"] and len(got) == 9
+    assert profile.categorical_summary(df.limit(0), ["id"]).first()["sample"] == []
+
+
+def test_sketches_are_stored_by_file(spark, tmp_path):
+    data, store = str(tmp_path / "data"), str(tmp_path / "store")
+    rows = spark.range(30_000).selectExpr("id", "id % 1000 AS k", "IF(id % 3 = 0, NULL, CAST(id AS DOUBLE)) AS x", "CAST(id % 7 AS STRING) AS t")
+    assert sketches.stored(spark, store) is None
+    for part in range(2):
+        rows.where(f"id % 2 = {part}").coalesce(1).write.mode("append").parquet(data)
+        assert sketches.update_store(spark, data, store) == 1
+    assert sketches.update_store(spark, data, store) == 0
+    got = {r["column"]: r for r in sketches.approx_profile(sketches.stored(spark, store)).collect()}
+    assert (got["x"]["n"], got["x"]["nulls"], got["x"]["low"], got["x"]["high"]) == (20_000, 10_000, 1.0, 29_999.0)
+    assert abs(got["k"]["distinct"] - 1000) <= 1000 * sketches.DISTINCT_ERROR and got["t"]["distinct"] == 7
+    assert abs(got["id"]["median"] - 15_000) <= 30_000 * sketches.RANK_ERROR + 1 and got["t"]["median"] is None
+    # A file in a newer state counts in that state only.
+    later = sketches.stored(spark, store).limit(4).selectExpr("*").withColumn("modified", F.col("modified") + F.expr("INTERVAL 1 HOUR"))
+    assert sketches.approx_profile(later).count() > 0
+    empty = spark.read.parquet(data).where("id < 0")
+    assert sketches.approx_profile(sketches.sketch_columns(empty)).collect() == []
+
+
+def test_seeded_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(400).selectExpr("id % 300 AS id", "id * 1.0 AS x", "id * 2.0 AS y")
+    one = chartdata.scatter_sample(df.coalesce(1), "y", "x", ["id"], 50, seed=1).collect()
+    assert chartdata.scatter_sample(df.repartition(7), "y", "x", ["id"], 50, seed=1).collect() == one and len(one) == 50
+    assert chartdata.scatter_sample(df, "y", "x", ["id"], 50, seed=2).collect() != one
+    assert chartdata.box_outlier_sample(df, "x", ["id"], 5).collect() == []
+
+
+def test_queries_stay_where_a_library_is_missing(spark):
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), e.LEFT_OUT)"
+    said = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=100).stdout
+    assert int(said.split()[0]) > 100 and "zstandard" in said
