@@ -24,10 +24,12 @@ def conversations(turns: DataFrame) -> DataFrame:
 
     Rows repeated in all four columns count once. Turns of the same number are in
     order of role and text, those without a number come first. Missing
-    roles and texts are empty. Rows without a conversation are one of their own.
+    roles and texts are empty. Beginnings of markers are broken up in both, so that neither can
+    open or close a turn. Rows without a conversation are one of their own.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    row = F.struct(F.col("turn"), text("role").alias("role"), F.replace(text("text"), F.lit(MARK), F.lit(BROKEN)).alias("text"))
+    plain = lambda c: F.replace(text(c), F.lit(MARK), F.lit(BROKEN)).alias(c)
+    row = F.struct(F.col("turn"), plain("role"), plain("text"))
     found = turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(row)).alias("turns"))
     return found.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 

@@ -3,7 +3,7 @@
 ORACLE = {
     "op1_preference_chat": """
 WITH turns AS (
-    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
+    SELECT DISTINCT conv_id, turn, replace(coalesce(role, ''), '<|im_', '< |im_') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
     FROM conversations
 ), placed AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turns
