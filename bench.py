@@ -60,6 +60,8 @@ HEADLINE = {
     "pearson": collected("pearson_pairs"),
     "spearman": collected("spearman_pairs"),
     "pearson_wide": collected("pearson_wide"),
+    "pearson_gaps": collected("pearson_gaps"),
+    "spearman_gaps": collected("spearman_gaps"),
     "clean_chain": chain,
     "histogram": histogram,
     "quantiles": collected("quantiles_distributed"),

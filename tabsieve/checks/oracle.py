@@ -703,6 +703,9 @@ ORACLE["csv_nested"] = """
     SELECT s_suppkey, '[' || s_nationkey || ',' || s_suppkey || ']' AS keys, '{"nation":' || s_nationkey || '}' AS place
     FROM supplier"""
 ORACLE["json_array"] = "SELECT s_suppkey, s_name FROM supplier"
+ORACLE["json_key_order"] = """
+    SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS balance, 's_suppkey,name,balance' AS columns
+    FROM supplier"""
 ORACLE["json_mixed"] = """
     SELECT s_suppkey, s_name, CAST(NULL AS INTEGER) AS s_nationkey FROM supplier
     UNION ALL SELECT s_suppkey + 1000000, NULL, s_nationkey FROM supplier"""

@@ -112,6 +112,16 @@ def json_array(spark, folder):
     return readers.load_table(spark, path, "json").select("s_suppkey", "s_name")
 
 
+@query
+def json_key_order(spark, folder):
+    """Columns come in the order of the keys in the files, not of their names."""
+    path = new_folder(spark, "json")
+    lines = table(spark, folder, "supplier").selectExpr("s_suppkey", "s_name AS name", "IF(s_suppkey % 2 = 0, s_acctbal, NULL) AS balance")
+    lines.orderBy("s_suppkey").coalesce(1).write.json(path)
+    found = readers.load_table(spark, path, "json")
+    return found.selectExpr("s_suppkey", "name", "balance", f"'{','.join(found.columns)}' AS columns")
+
+
 @query
 def json_mixed(spark, folder):
     """A folder of arrays and of lines loses neither."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +16,11 @@ from tabsieve.plans.held import held
 from tabsieve.plans.lookup import BROADCAST_ROWS
 from tabsieve.plans.tall import tall
 
+# Values that a sketch of frequent items tracks in a task, and those that it names.
+TRACKED_VALUES, NAMED_VALUES = 12_000, 1_000
+# Texts are tracked by their ids, which are short.
+SKETCHED_TYPES = ("bigint", "date", "string")
+
 
 def value_type(field: T.StructField) -> T.DataType:
     """Type in which values of a column are compared and counted."""
@@ -86,9 +92,47 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def frequent_values(df: DataFrame, column: str, k: int) -> list | None:
+    """Values, texts by their ids, among which the k most frequent ones certainly are, from one
+    scan with a sketch of frequent items in each task; None where the sketch cannot tell.
+
+    A value that the sketch does not name occurs in no more than twice its error of the rows, or no
+    more often than the last one named.
+    """
+    if value_type(require_column(df, column)).simpleString() not in SKETCHED_TYPES:
+        return None
+    rows = df.where(is_present(df, column)).select(_tracked(df, column).alias("value"))
+    found = rows.agg(F.expr(f"approx_top_k(value, {NAMED_VALUES}, {TRACKED_VALUES})").alias("top"), F.count("value").alias("n")).first()
+    named = sorted((r["count"] for r in found["top"] or ()), reverse=True)
+    if len(named) < k:
+        return None
+    # Fixed by the sketch: its table has the next power of two above 4/3 of the items tracked.
+    error = 3.5 / (1 << math.ceil(math.log2(TRACKED_VALUES * 4 / 3))) * found["n"]
+    unnamed = max(2 * error, named[-1] + error if len(named) == NAMED_VALUES else 0)
+    # Estimates are never more than the error above the counts.
+    return [r["item"] for r in found["top"]] if named[k - 1] - error > unnamed else None
+
+
+def _tracked(df: DataFrame, column: str) -> Column:
+    field = require_column(df, column)
+    return text_id(col(column)) if _is_string(field) else col(column).cast(value_type(field))
+
+
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k most frequent values; equal counts are ordered by value."""
-    return value_counts(df, column).orderBy(F.desc("n"), F.asc("value")).limit(k)
+    """The k most frequent values; equal counts are ordered by value.
+
+    Where a sketch names all values that can be among them, only those are counted and
+    shuffled; else all values are.
+    """
+    named = frequent_values(df, column, k)
+    counts = value_counts(df, column)
+    if named is not None:
+        kind = T.StructType([T.StructField("id", value_type(require_column(df, column)))])
+        # At most NAMED_VALUES rows.
+        few = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in named], kind))
+        rows = df.where(is_present(df, column)).select(col(column).alias("value"), _tracked(df, column).alias("id")).join(few, "id", "left_semi")
+        counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc("value")).limit(k)
 
 
 def _by_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:

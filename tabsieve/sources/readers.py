@@ -19,8 +19,8 @@ from tabsieve.functions.values import (
     strip_text,
 )
 from tabsieve.operators.schema import text_columns
-from tabsieve.sources.records import csv_records, ends_open, text_lines
 from tabsieve.plans.tall import tall
+from tabsieve.sources.records import csv_records, ends_open, text_lines
 
 FORMATS = {
     ".csv": "csv",
@@ -61,6 +61,8 @@ def distinct_names(df: DataFrame) -> DataFrame:
 
 
 _BROKEN = "__unparsed"
+
+
 def _csv_reader(spark: SparkSession, multi_line: bool):
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return reader.option("emptyValue", "").option("encoding", "UTF-8")
@@ -199,12 +201,40 @@ def read_json(spark: SparkSession, path: str, records_array: bool | None = None)
     """
     if records_array is None:
         arrays = {f["file_path"]: f["line"].lstrip().startswith("[") for f in _first_lines(spark, path, F.lit(True))}
-        parts = [_json(spark, [f for f, a in arrays.items() if a == whole], whole) for whole in (False, True) if whole in arrays.values()]
+        kinds = [([f for f, a in arrays.items() if a == whole], whole) for whole in (False, True) if whole in arrays.values()]
     else:
-        parts = [_json(spark, path, records_array)]
-    if not parts:
+        kinds = [(path, records_array)]
+    if not kinds:
         return _json(spark, path, False)
+    parts = [_json(spark, files, whole) for files, whole in kinds]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
-    return distinct_names(finite_columns(out))
+    order = key_order(spark, kinds)
+    # Columns that the folders name come last.
+    names = [c for c in order if c in out.columns] + [c for c in out.columns if c not in order]
+    return distinct_names(finite_columns(out.select(*[col(c) for c in names])))
+
+
+def key_order(spark: SparkSession, kinds: Sequence[tuple[str | list[str], bool]]) -> list[str]:
+    """The keys of JSON records by their first places: file, record, place in the record.
+
+    ``kinds`` are files and whether each is one array. One aggregate in which every task
+    keeps the first place of each key; as many rows as there are keys are fetched.
+    """
+
+    def places(files: str | list[str], whole: bool) -> DataFrame:
+        # Elements of a field are read as texts, those of a bare array are not.
+        field = F.from_json(F.concat(F.lit('{"records":'), F.col("value"), F.lit("}")), "records array<string>")
+        records = field["records"] if whole else F.array("value")
+        rows = spark.read.text(files, wholetext=whole).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+            F.posexplode(records).alias("number", "record"),
+        )
+        return rows.select(F.struct("file", "block", "place", "number").alias("at"), F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
+
+    found = reduce(DataFrame.unionAll, [places(*k) for k in kinds])
+    firsts = found.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first"))
+    return [r["key"] for r in sorted(firsts.collect(), key=lambda r: r["first"])]

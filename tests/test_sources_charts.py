@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsieve.operators import chartdata, cleaning
+from tabsieve.operators import chartdata, cleaning, frequency
 from tabsieve.sources import readers, writers
 from tabsieve.sources.records import text_lines
 from tabsieve.streaming.cleaning import clean_stream
@@ -62,7 +62,7 @@ def test_json_arrays_and_lines(spark, tmp_path):
     array = put(tmp_path, "r.json", '[{"b": 1, "a": "x", "n": null}, {"b": null, "a": "y", "n": null}]')
     lines = put(tmp_path, "r.jsonl", '{"b": 1, "a": "x"}\n{"b": 2, "a": "y"}\n')
     df = readers.load_table(spark, array)
-    assert df.columns == ["a", "b", "n"] and df.count() == 2
+    assert df.columns == ["b", "a", "n"] and df.count() == 2  # as in the file
     assert readers.load_table(spark, lines).count() == 2
     assert readers.load_table(spark, put(tmp_path, "l.json", '{"b": 1}\n{"b": 2}\n')).count() == 2
     with pytest.raises(ValueError, match="Could not parse"):
@@ -220,3 +220,30 @@ def test_broken_lines_with_too_many_cells(spark, tmp_path):
     path = pieces_of(tmp_path / "csv", ['a,b\n1,"x\ny"\n2,"p\nq",3\n'])
     with pytest.raises(ValueError, match="1 row"):
         readers.read_csv(spark, path)
+
+
+def test_json_columns_in_the_order_of_keys(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    put(tmp_path / "j", "1.json", '{"z": 1, "b": {"y": 2, "a": 3}}\n{"c": true, "z": 5}\n')
+    put(tmp_path / "j", "2.json", '[\n  {"q": "x", "z": 3},\n  {"a": [1]}\n]\n')
+    df = readers.load_table(spark, str(tmp_path / "j"), "json")
+    assert df.columns == ["z", "b", "c", "q", "a"] and df.count() == 4
+    lines = readers.load_table(spark, put(tmp_path, "l.jsonl", '{"m": 1, "e": 2}\n'))
+    assert lines.columns == ["m", "e"]
+
+
+def test_most_frequent_values_by_a_sketch(spark, monkeypatch):
+    x = F.col("id")
+    name = F.when(x % 3 == 0, F.lit("hot")).when(x % 3 == 1, F.concat(F.lit("long " * 30), x % 7)).otherwise(F.concat(F.lit("rare "), x))
+    df = spark.range(9_000).select(name.alias("t"), x.alias("id"), (x % 40).alias("k"))
+    assert set(frequency.frequent_values(df, "k", 5)) == set(range(40))
+    got = [(r["value"], r["n"]) for r in frequency.top_values(df, "t", 4).collect()]
+    assert frequency.frequent_values(df, "t", 4) is not None
+    # Every value once: a sketch of few items cannot tell.
+    monkeypatch.setattr(frequency, "TRACKED_VALUES", 48)
+    monkeypatch.setattr(frequency, "NAMED_VALUES", 40)
+    assert frequency.frequent_values(df, "id", 3) is None and frequency.frequent_values(df, "t", 20) is None
+    assert [r["value"] for r in frequency.top_values(df, "id", 3).collect()] == [0, 1, 2]
+    assert [(r["value"], r["n"]) for r in frequency.top_values(df, "t", 4).collect()] == got
+    assert got[0] == ("hot", 3000) and got[1][1] == 429 and len(got) == 4
+    assert frequency.top_values(df.where("id < 0"), "t", 3).collect() == []
