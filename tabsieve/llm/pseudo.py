@@ -164,11 +164,10 @@ class Network:
         return np.tanh(z, out=z)
 
     def log_probabilities(self, around: list[np.ndarray], target: np.ndarray, learn: dict | None = None) -> np.ndarray:
-        """Of each target; with ``learn`` the gradients are put there, for targets that are in
-        order of their classes already."""
+        """Of each target; with ``learn`` the gradients are put there."""
         group, member = (target // CLASS).astype(np.uint8), target % CLASS
         order = None
-        if learn is None:
+        if (group[1:] < group[:-1]).any():
             order = np.argsort(group, kind="stable")
             around, group, member = [a[order] for a in around], group[order], member[order]
         h = self._state(around)
@@ -209,12 +208,9 @@ class Network:
             h *= h
             np.subtract(1, h, out=h)
             back *= h
-            learn["z"] = back
             learn["bias"] = back.sum(axis=0)
-            return result
-        out = np.empty_like(result)
-        out[order] = result
-        return out
+            learn["z"] = back if order is None else back[np.argsort(order)]
+        return result if order is None else result[np.argsort(order)]
 
 
 class Trainer:
