@@ -322,7 +322,8 @@ def _trainer(n: np.ndarray, flat: np.ndarray, turn: int):
         if seen:
             parts = range(0, len(network.flat), SLICE)
             values = [network.flat[k : k + SLICE].tobytes() for k in parts]
-            lot = TaskContext.get().partitionId() // LOT
+            task = TaskContext.get()
+            lot = task.partitionId() // LOT if task else 0
             yield _slices([(k, lot, float(seen), v) for k, v in enumerate(values)])
 
     return train
