@@ -4,7 +4,7 @@ A quantile sketch of every column, from one scan, gives each wanted rank a narro
 interval of values. One more scan counts what lies below the intervals and the
 distinct values inside them: two scans, whatever the number of columns and ranks.
 
-Should a sketch have missed a rank, that rank is found by narrowing: a pass counts
+Few ranks, which fit into one pass, and those that a sketch should have missed are found by narrowing: a pass counts
 the rows of an interval in cells and keeps the cell that holds the rank, whose
 smallest and largest value are the next interval. A value that fills a third of the rows is
 one row or one cell everywhere.
@@ -247,6 +247,10 @@ def order_statistics(
             small.append(_Part(c, e.low, e.high, wanted))
         elif wanted:
             large[c] = wanted
+    if sum(len(w) for w in large.values()) <= INTERVALS_PER_PASS:
+        # Few ranks share each narrowing pass, which is cheaper than sketches.
+        found.update(_narrowed(df, large, known))
+        large = {}
     parts = small + (_sketched(df, large, known) if large else [])
     if not parts:
         return found
