@@ -19,8 +19,9 @@ from tabsieve.functions.values import (
     strip_text,
 )
 from tabsieve.operators.schema import text_columns
+from tabsieve.plans.held import drop_held, new_folder
 from tabsieve.plans.tall import tall
-from tabsieve.sources.records import csv_records, ends_open, text_lines
+from tabsieve.sources.records import csv_records, ends_open, json_records, text_lines
 
 FORMATS = {
     ".csv": "csv",
@@ -68,14 +69,14 @@ def _csv_reader(spark: SparkSession, multi_line: bool):
     return reader.option("emptyValue", "").option("encoding", "UTF-8")
 
 
-def _first_lines(spark: SparkSession, path: str, found: Column) -> list:
-    """``(line, found)`` for each file: its first line that is not blank, and whether
-    ``found`` holds for any. A block of a file is read by one task, from its start."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+def _first_lines(spark: SparkSession, path: str, found: Column, end: str | None = None) -> list:
+    """``(line, found, blocks)`` for each file: its first line that is not blank, whether
+    ``found`` holds for any, and in how many blocks lines begin. A block of a file is read by one task, from its start."""
+    lines = spark.read.text(path, lineSep=end).where("trim(value) <> ''")
     lines = lines.select("_metadata.file_path", "_metadata.file_block_start", "value", found.alias("found"))
     blocks = lines.groupBy("file_path", "file_block_start").agg(F.first("value").alias("line"), F.bool_or("found").alias("found"))
     return blocks.groupBy("file_path").agg(
-        F.min_by("line", "file_block_start").alias("line"), F.bool_or("found").alias("found")
+        F.min_by("line", "file_block_start").alias("line"), F.bool_or("found").alias("found"), F.count("*").alias("blocks")
     ).collect()
 
 
@@ -192,34 +193,57 @@ def _json(spark: SparkSession, path: str | list[str], whole: bool) -> DataFrame:
     return df
 
 
+def _array_lines(spark: SparkSession, files: list[str]) -> str:
+    """A held folder of lines ``{file, block, number, record}``, one for each record of the arrays."""
+    found = json_records(text_lines(spark, files, "}"))
+    head = F.regexp_replace(F.to_json(F.struct("file", "block", "number")), r"\}$", "")
+    # Line ends stand between the tokens of a record, never inside of one.
+    body = F.regexp_replace("record", r"[\r\n]+", " ")
+    folder = new_folder(spark, "records")
+    found.select(F.concat(head, F.lit(',"record":'), body, F.lit("}"))).write.text(folder)
+    drop_held(found)
+    return folder
+
+
 def read_json(spark: SparkSession, path: str, records_array: bool | None = None) -> DataFrame:
     """JSON records: one per line, or one array of records per file.
 
     Unless ``records_array`` says which, it is decided for each file: a folder may
-    hold both. Lines are split among tasks, an array is read by one task per
-    file. Date-like text stays text until it is cast.
+    hold both. Lines are split among tasks. An array that fills several blocks of its file is
+    cut into records by many tasks, and these are held as lines; smaller ones are read
+    whole. Date-like text stays text until it is cast.
     """
+    cut: list[str] = []
     if records_array is None:
-        arrays = {f["file_path"]: f["line"].lstrip().startswith("[") for f in _first_lines(spark, path, F.lit(True))}
-        kinds = [([f for f, a in arrays.items() if a == whole], whole) for whole in (False, True) if whole in arrays.values()]
+        files = _first_lines(spark, path, F.lit(True), "}")
+        arrays = {f["file_path"]: f["line"].lstrip("\ufeff \t\r\n").startswith("[") for f in files}
+        cut = [f["file_path"] for f in files if arrays[f["file_path"]] and f["blocks"] > 1]
+        kinds = [([f for f, a in arrays.items() if a == whole and f not in cut], whole) for whole in (False, True)]
+        kinds = [k for k in kinds if k[0]]
     else:
         kinds = [(path, records_array)]
-    if not kinds:
+    if not kinds and not cut:
         return _json(spark, path, False)
     parts = [_json(spark, files, whole) for files, whole in kinds]
+    lines = _array_lines(spark, cut) if cut else None
+    if lines:
+        records = _json(spark, lines, False)
+        if not isinstance(records.schema["record"].dataType, T.StructType):
+            raise ValueError(f"Could not parse {path} as JSON records.")
+        parts.append(records.select("record.*"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
-    order = key_order(spark, kinds)
+    order = key_order(spark, kinds, lines)
     # Columns that the folders name come last.
     names = [c for c in order if c in out.columns] + [c for c in out.columns if c not in order]
     return distinct_names(finite_columns(out.select(*[col(c) for c in names])))
 
 
-def key_order(spark: SparkSession, kinds: Sequence[tuple[str | list[str], bool]]) -> list[str]:
+def key_order(spark: SparkSession, kinds: Sequence[tuple[str | list[str], bool]], lines: str | None = None) -> list[str]:
     """The keys of JSON records by their first places: file, record, place in the record.
 
-    ``kinds`` are files and whether each is one array. One aggregate in which every task
+    ``kinds`` are files and whether each is one array, ``lines`` those of arrays that were cut. One aggregate in which every task
     keeps the first place of each key; as many rows as there are keys are fetched.
     """
 
@@ -235,6 +259,12 @@ def key_order(spark: SparkSession, kinds: Sequence[tuple[str | list[str], bool]]
         )
         return rows.select(F.struct("file", "block", "place", "number").alias("at"), F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
 
-    found = reduce(DataFrame.unionAll, [places(*k) for k in kinds])
+    tables = [places(*k) for k in kinds]
+    if lines:
+        read = F.from_json("value", "file string, block long, number long, record string").alias("r")
+        rows = spark.read.text(lines).select(read).select("r.file", "r.block", F.lit(0).cast("long").alias("place"), "r.number", "r.record")
+        at = F.struct("file", "block", "place", F.col("number").cast("int").alias("number"))
+        tables.append(rows.select(at.alias("at"), F.posexplode(F.json_object_keys("record")).alias("pos", "key")))
+    found = reduce(DataFrame.unionAll, tables)
     firsts = found.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first"))
     return [r["key"] for r in sorted(firsts.collect(), key=lambda r: r["first"])]

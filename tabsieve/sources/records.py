@@ -5,6 +5,10 @@ decides whether it ends inside of one. Most lines, those without a quote, leave
 the bit alone. The functions of a block's lines are composed in the order of the lines, and
 those of the blocks in the order of the file; then every line knows how it begins. Only
 the lines of records that have several are brought together.
+
+A JSON array goes by pieces that end in a closing brace, so that one on a single line is
+split too. Quotes turn the bit, whatever it is; the depth of brackets is summed up for both
+values of it, and the one that holds is chosen once the blocks before are known.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabsieve.plans.held import hold
+
 # A quoted cell with all its quotes, and one that its line leaves open.
 CLOSED_CELL = r'(^|,)"([^"]|"")*"(?=,|$)'
 OPEN_CELL = r'(^|,)"'
@@ -32,10 +38,10 @@ def stays_open(line: Column) -> Column:
     return F.when(closes, ends_open(F.regexp_replace(line, REST_OF_CELL, ""))).otherwise(True)
 
 
-def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, block, place, line)``: lines by line feeds, in the order of ``place`` within a
+def text_lines(spark: SparkSession, path: str | list[str], end: str = "\n") -> DataFrame:
+    """``(file, block, place, line)``: lines by their ends, in the order of ``place`` within a
     block of a file, which one task reads from its start."""
-    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = spark.read.option("lineSep", end).text(path)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -105,3 +111,65 @@ def csv_records(lines: DataFrame) -> DataFrame:
     joined = parts.groupBy("file", own.alias("record_at")).agg(pieces.alias("pieces"), F.bool_or("head").alias("head")).where("NOT head")
     records = whole.unionByName(joined.select(F.array_join(F.transform("pieces", lambda p: p["line"]), "\n").alias("record")))
     return records.select(F.regexp_replace("record", r"\r\z", "").alias("record"))
+
+
+def json_records(pieces: DataFrame) -> DataFrame:
+    """``(file, block, number, record)``: each element of the arrays, in this order in its file.
+
+    ``pieces`` are ``text_lines`` that end in closing braces, and elements are objects. Pieces
+    move once, by their block. What no element can be, such as an end that is cut
+    off, is a record that no parser takes. The caller drops the held table behind it.
+    """
+    block = Window.partitionBy("file", "block").orderBy("place")
+    upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bare = F.regexp_replace("line", r"(?s)\\.", "")
+    strings = r'"[^"]*("|\z)'
+
+    def change(outside: Column, ends_outside: Column) -> Column:
+        opened = F.regexp_count(outside, F.lit(r"[{\[]")) - F.regexp_count(outside, F.lit(r"\]"))
+        return opened - ends_outside.cast("int")
+
+    rows = pieces.withColumns({"bare": bare, "odd": F.pmod(F.regexp_count(bare, F.lit('"')), F.lit(2))})
+    # What a piece, with the brace after it, does to the depth if it begins outside of a text, and inside.
+    inside = F.regexp_replace(F.regexp_replace("bare", r'\A[^"]*("|\z)', ""), strings, "")
+    rows = rows.withColumn("d0", change(F.regexp_replace("bare", strings, ""), F.col("odd") == 0))
+    rows = rows.withColumn("d1", change(inside, F.col("odd") == 1)).drop("bare")
+    # The same by the bit at the beginning of the block.
+    rows = rows.withColumn("turned", F.sum("odd").over(upto))
+    alike = F.pmod(F.col("turned") - F.col("odd"), F.lit(2)) == 0
+    rows = rows.withColumns({"c0": F.when(alike, F.col("d0")).otherwise(F.col("d1")), "c1": F.when(alike, F.col("d1")).otherwise(F.col("d0"))})
+    rows = rows.withColumns({"run0": F.sum("c0").over(upto), "run1": F.sum("c1").over(upto)})
+
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.sum("odd").alias("odd"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    blocks = blocks.withColumn("bit", F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)))
+    depth = F.sum(F.when(F.col("bit") == 0, F.col("c0")).otherwise(F.col("c1"))).over(before)
+    blocks = blocks.select("file", "block", "bit", F.coalesce(depth, F.lit(0)).alias("depth"))
+
+    known = rows.select("file", "block", "place", "line", "turned", "run0", "run1").join(blocks, ["file", "block"])
+    depth = F.col("depth") + F.when(F.col("bit") == 0, F.col("run0")).otherwise(F.col("run1"))
+    known = known.withColumn("ends", (F.pmod(F.col("bit") + F.col("turned"), F.lit(2)) == 0) & (depth == 1))
+    known = known.withColumn("number", F.sum(F.col("ends").cast("int")).over(upto) - F.col("ends").cast("int"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda p: p["line"])
+    cut = known.groupBy("file", "block", "number").agg(F.array_join(in_order, "}").alias("text"), F.bool_or("ends").alias("ended"))
+    cut = hold(cut, "cut")
+
+    ends = cut.groupBy("file", "block").agg(F.count_if("ended").alias("ends"))
+    ends = ends.select("file", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("earlier"))
+    whole = F.col("ended") & ((F.col("number") > 0) | (F.col("block") == 0))
+    # Only what goes over the end of a block moves again, by its number in the file.
+    parts = cut.where(~whole).join(ends, ["file", "block"]).withColumn("at", F.col("earlier") + F.col("number"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("block", "number", "text"))), lambda p: p["text"])
+    first = F.min(F.struct("block", "number"))
+    joined = parts.groupBy("file", "at").agg(first.alias("first"), F.array_join(in_order, "}").alias("text"), F.bool_or("ended").alias("ended"))
+    found = cut.where(whole).select("file", "block", "number", "text", "ended").unionByName(
+        joined.select("file", "first.block", "first.number", "text", "ended")
+    )
+    endless = found.groupBy("file").agg(F.bool_and("ended").alias("endless")).where("endless")
+    # The end of a file: nothing but the end of the array, which may be empty.
+    found = found.where(F.col("ended") | ~F.col("text").rlike(r"\A\s*(\ufeff?\s*\[\s*)?\]\s*\z"))
+    lead = F.when((F.col("block") == 0) & (F.col("number") == 0), F.lit(r"\A\ufeff?\s*\[")).otherwise(F.lit(r"\A\s*,"))
+    text = F.concat(F.regexp_replace("text", lead, F.lit("")), F.when(F.col("ended"), "}").otherwise(""))
+    proper = F.col("ended") & F.regexp_like("text", lead)
+    found = found.select("file", "block", "number", F.when(proper, text).otherwise(F.concat(F.lit("!"), text)).alias("record"))
+    return found.unionByName(endless.select("file", F.lit(-1).alias("block"), F.lit(0).alias("number"), F.lit("!").alias("record")))

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsieve.operators import chartdata, cleaning, frequency
-from tabsieve.sources import readers, writers
+from tabsieve.sources import readers, records, writers
 from tabsieve.sources.records import text_lines
 from tabsieve.streaming.cleaning import clean_stream
 
@@ -247,3 +248,53 @@ def test_most_frequent_values_by_a_sketch(spark, monkeypatch):
     assert [(r["value"], r["n"]) for r in frequency.top_values(df, "t", 4).collect()] == got
     assert got[0] == ("hot", 3000) and got[1][1] == 429 and len(got) == 4
     assert frequency.top_values(df.where("id < 0"), "t", 3).collect() == []
+
+
+def _blocks_of(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.mark.parametrize("gap", ["", "\n", " \r\n  "])
+@pytest.mark.parametrize("size", [50, 700])
+def test_json_arrays_are_cut_by_many_tasks(spark, tmp_path, gap, size):
+    hard = ["}", "{", '"', '\\', '\\"}', "],[{", "a\nb", "é}ü", "", "x" * 90, '"}, {"', "}}"]
+    rows = [{"z": i, "t": hard[i % len(hard)], "o": {"p": [hard[-1 - i % len(hard)], "q"], "r": [{"s": i}]}} for i in range(60)]
+    body = f",{gap}".join(json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(rows))
+    name = put(tmp_path, "a.json", f"{gap}[{gap}{body}{gap}]{gap}")
+    try:
+        _blocks_of(spark, size)
+        df = readers.load_table(spark, name)
+        assert df.columns == ["z", "t", "o"]
+        assert sorted(df.toJSON().collect()) == sorted(json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in rows)
+        pieces = records.json_records(records.text_lines(spark, name, "}"))
+        order = [json.loads(r["record"])["z"] for r in pieces.orderBy("file", "block", "number").collect()]
+        assert order == list(range(60))
+        assert records.text_lines(spark, name, "}").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_json_arrays_that_are_no_records(spark, tmp_path):
+    body = ", ".join(f'{{"a": {i}}}' for i in range(50))
+    bad = (f"[{body}", f"[{body},]", f"[{body}, 3]", f"[{body} {body}]", f"[null, {body}]", f"[[{body}]]", f"[{body}]]")
+    for name in ("m", "bad"):
+        (tmp_path / name).mkdir()
+    put(tmp_path / "m", "1.json", f"[{body}]")
+    put(tmp_path / "m", "2.json", '[{"b": "x", "a": 7}]')
+    put(tmp_path / "m", "3.json", '{"c": 1}\n{"a": 8}\n')
+    for i, text in enumerate(bad):
+        put(tmp_path / "bad", f"{i}.json", text)
+    try:
+        _blocks_of(spark, 100)
+        with pytest.raises(ValueError, match="as JSON records"):
+            readers.load_table(spark, put(tmp_path, "r.json", bad[1]))
+        df = readers.load_table(spark, str(tmp_path / "m"), "json")
+        assert (df.columns, df.count(), df.where("a >= 0").count()) == (["a", "b", "c"], 53, 52)
+        cut = records.json_records(records.text_lines(spark, str(tmp_path / "bad"), "}"))
+        broken = cut.where(F.json_object_keys("record").isNull()).select("file").distinct().count()
+        assert broken == len(bad)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
