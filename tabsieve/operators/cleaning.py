@@ -377,6 +377,8 @@ def clean(df: DataFrame, operations: Sequence[Mapping]) -> Cleaned:
             warnings += note
             if step is not None:
                 out = apply_step(out, step)
+                if step.kind == "remove_duplicates" and step.values["repeated"] is None:
+                    kept.append(out)
                 shuffled = shuffled or step.shuffles
                 steps.append(step)
                 kept += [step.values[k] for k in ("repeated", "mapping", "hot") if isinstance(step.values.get(k), DataFrame)]

@@ -21,7 +21,7 @@ from tabsieve.operators.schema import (
     require_numeric,
     text_columns,
 )
-from tabsieve.plans.held import drop_held, hold
+from tabsieve.plans.held import drop_held, hold, new_folder
 from tabsieve.plans.lookup import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
 from tabsieve.plans.together import together
@@ -29,6 +29,8 @@ from tabsieve.plans.together import together
 SAMPLE_ROWS = 6
 # Rows at least this wide are hashed before they are compared in full.
 WIDE_ROW_BYTES = 64
+# Rows of a held file whose places are marked: at most 2 MB of bits.
+FILE_ROWS = 1 << 24
 DIGITS = 4
 
 
@@ -45,11 +47,18 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     fills a third of the table crosses the network once per task. Wide tables
     first shuffle an 8-byte hash per row: only rows that share their hash with
     another row can be duplicates. If such hashes are few they are broadcast
-    and only their rows are shuffled and compared in full.
+    and only their rows are shuffled and compared in full; if they are many, rows are told
+    apart by digests and one row of each group is fetched from its place.
     """
     _no_maps(df)
     rows = finite_columns(df)
     repeated = repeated_hashes(rows)
+    if repeated is None and _by_place(rows):
+        stored = _with_digests(rows)
+        counted = hold(_counted(stored).where("__n > 1"), "groups")
+        found = _rows_at(stored, counted)
+        drop_held(stored)
+        return found.join(counted.drop("__at"), "__d").drop("__d")
     if repeated is not None:
         rows = rows.withColumn("__h", _row_hash(rows)).join(F.broadcast(repeated), "__h", "left_semi").drop("__h")
     counted = rows.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
@@ -70,7 +79,13 @@ def repeated_hashes(rows: DataFrame) -> DataFrame | None:
 
 
 def distinct_rows(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
-    """The rows without their copies; only rows with a repeated hash are shuffled."""
+    """The rows without their copies; only rows with a repeated hash are shuffled, and
+    of wide rows with many such hashes none: those that stay are held."""
+    if repeated is None and _by_place(rows):
+        stored = _with_digests(rows)
+        found = _rows_at(stored, _counted(stored))
+        drop_held(stored)
+        return found.drop("__d")
     if repeated is None:
         return rows.dropDuplicates()
     side = F.broadcast(repeated.withColumn("__again", F.lit(True)))
@@ -79,6 +94,66 @@ def distinct_rows(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
     return once.unionAll(marked.where(F.col("__again")).drop("__again").dropDuplicates())
 
 
+def _by_place(rows: DataFrame) -> bool:
+    """Whether rows are shuffled as digests with their places, never whole."""
+    return _row_bytes(rows) >= WIDE_ROW_BYTES and not any(is_nested(f) for f in rows.schema.fields)
+
+
+def _with_digests(rows: DataFrame) -> DataFrame:
+    """The held rows with a 256-bit digest ``__d``, in files of at most FILE_ROWS rows.
+
+    Each value is written behind its length, so that only equal rows are written alike.
+    """
+    texts = []
+    for f in rows.schema.fields:
+        value = col(f.name)
+        if isinstance(f.dataType, T.BinaryType):
+            value = F.hex(value)
+        elif isinstance(f.dataType, T.TimestampType):  # an hour comes twice a year
+            value = F.unix_micros(value)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            value = value + 0.0
+        value = value.cast("string")
+        texts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return hold(rows.withColumn("__d", F.unhex(F.sha2(F.concat(*texts), 256))), "rows", FILE_ROWS)
+
+
+def _places(stored: DataFrame) -> DataFrame:
+    """Adds ``__f`` and ``__r``, hash of the file and number of the row in it."""
+    return stored.select("*", F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+
+
+def _counted(stored: DataFrame) -> DataFrame:
+    """``(__d, __n, __at)``: rows of each digest, and the place of one of them. Only
+    digests are read and shuffled, a hot one once for each task."""
+    at = F.min(F.struct("__f", "__r")).alias("__at")
+    return _places(stored).select("__d", "__f", "__r").groupBy("__d").agg(F.count(F.lit(1)).alias("__n"), at)
+
+
+def _rows_at(stored: DataFrame, counted: DataFrame) -> DataFrame:
+    """A held table of the rows of ``stored`` that stand at ``__at``.
+
+    Places are bitmaps, one bit for each row. Files are dealt to as many slices as
+    keep the bitmaps of one within BROADCAST_BYTES; a slice reads its own files, so that every
+    row is read once and none is shuffled.
+    """
+    spark = stored.sparkSession
+    spots = counted.select("__at.__f", "__at.__r").withColumn("__b", F.bitmap_bucket_number("__r"))
+    marks = hold(spots.groupBy("__f", "__b").agg(F.bitmap_construct_agg(F.bitmap_bit_position("__r")).alias("__bits")), "marks")
+    size = marks.agg(F.coalesce(F.sum(F.octet_length("__bits") + 64), F.lit(0))).first()[0]
+    slices = F.lit(-(-size // BROADCAST_BYTES) or 1)
+    path = new_folder(spark, "kept")
+    place = F.bitmap_bit_position("__r").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    for k in range(-(-size // BROADCAST_BYTES) or 1):
+        rows = _places(stored.where(F.pmod(F.xxhash64("_metadata.file_path"), slices) == k)).withColumn("__b", F.bitmap_bucket_number("__r"))
+        side = F.broadcast(marks.where(F.pmod("__f", slices) == k))
+        kept = rows.join(side, ["__f", "__b"]).where(F.getbit(byte, place % 8) == 1)
+        kept.select(*[col(c) for c in stored.columns]).write.mode("append").parquet(path)
+    drop_held(marks)
+    return spark.read.schema(stored.schema).parquet(path)
+
+
 def _row_bytes(df: DataFrame) -> int:
     """Typical width of a row by its types."""
     sizes = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "string": 20}

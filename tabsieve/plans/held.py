@@ -35,14 +35,14 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tabsieve/{spark.sparkContext.applicationId}"
 
 
-def hold(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def hold(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; 0 sets no limit to the rows of a file."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     # Parquet has no type for a column of bare NULLs.
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     stored = df.drop(*void)
-    stored.write.parquet(path)
+    stored.write.option("maxRecordsPerFile", file_rows).parquet(path)
     back = spark.read.schema(stored.schema).parquet(path)
     return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else back
 
@@ -50,20 +50,26 @@ def hold(df: DataFrame, label: str) -> DataFrame:
 def drop_held(df: DataFrame) -> None:
     """Delete the files behind a held table once nothing reads it any more."""
     root = _session_folder(df.sparkSession)
-    mark = f"/tabsieve/{df.sparkSession.sparkContext.applicationId}/"
-    tables = {f.split(mark, 1)[1].split("/", 1)[0] for f in df.inputFiles() if mark in f}
-    for table in tables:
+    for table in _behind(df):
         _delete(df.sparkSession, f"{root}/{table}")
 
 
+def _behind(df: DataFrame) -> set[str]:
+    """Names of the held tables that a table reads."""
+    mark = f"/tabsieve/{df.sparkSession.sparkContext.applicationId}/"
+    return {f.split(mark, 1)[1].split("/", 1)[0] for f in df.inputFiles() if mark in f}
+
+
 @contextmanager
 def released(spark: SparkSession):
-    """Deletes, at the end of the block, what was held in it and is still there."""
-    before = _tables(spark)
+    """Deletes, at the end of the block, what was held in it and is still there, but for
+    what the tables read that the block adds to the list it is given."""
+    before, kept = _tables(spark), []
     try:
-        yield
+        yield kept
     finally:
-        for table in _tables(spark) - before:
+        spared = {name for df in kept for name in _behind(df)}
+        for table in _tables(spark) - before - spared:
             _delete(spark, f"{_session_folder(spark)}/{table}")
 
 

@@ -371,3 +371,42 @@ def test_queries_stay_where_a_library_is_missing(spark):
     code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), e.LEFT_OUT)"
     said = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=100).stdout
     assert int(said.split()[0]) > 100 and "zstandard" in said
+
+
+def test_wide_rows_with_many_copies_are_never_shuffled(spark, monkeypatch):
+    rows = [(i % 40 if i < 120 else i, None if i % 40 == 3 else -0.0 if i % 40 % 2 else 0.0, "1:x" if i % 40 % 3 else "x", "y" * 90) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b double, t string, u string").repartition(5)
+    df = df.withColumns({"z": F.timestamp_micros(F.col("a").cast("long")), "y": F.encode("t", "utf-8")})
+    wanted = {(r.a, r.t) for r in df.collect()}
+    plain = sorted((r.a, r["__n"]) for r in quality.duplicate_groups(df).collect())
+    for broadcast_bytes in (64 << 20, 5_000):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", 3)
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast_bytes)
+        assert quality.repeated_hashes(df) is None
+        before = held._tables(spark)
+        result = cleaning.clean(df, [{"type": "remove_duplicates"}])
+        got = [(r.a, r.t) for r in result.table.collect()]
+        assert len(got) == len(wanted) == 220 and set(got) == wanted
+        assert "Exchange" not in plan(result.table)
+        result.release()
+        assert held._tables(spark) == before
+        assert sorted((r.a, r["__n"]) for r in quality.duplicate_groups(df).collect()) == plain and len(plain) == 40
+        assert quality.duplicate_count(df).first()[0] == 80
+
+
+def test_slices_of_places_read_their_own_files(spark):
+    stored = held.hold(spark.range(4000).repartition(8), "files")
+    for k in range(4):
+        part = stored.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(4)) == k)
+        physical = part._jdf.queryExecution().executedPlan()
+        physical.executeCollect()
+        read = physical.collectLeaves().apply(0).metrics().apply("numFiles").value()
+        assert read == part.select("_metadata.file_path").distinct().count() < 8
+
+
+def test_many_repeated_hashes(spark):
+    df = spark.range(500_000).selectExpr("id % 250000 AS a", "repeat('wide', 20) AS t", "id % 250000 AS b", "'u' AS u", "'v' AS v")
+    with held.released(spark):
+        assert quality.repeated_hashes(df) is None
+        assert quality.duplicate_count(df).first()[0] == 250_000
+        assert cleaning.clean(df, [{"type": "remove_duplicates"}]).table.agg(F.count("*"), F.sum("a")).first()[:] == (250_000, 250_000 * 249_999 // 2)
