@@ -17,20 +17,25 @@ from tabsieve.plans.held import hold
 #: beginning of a marker inside a text is broken up.
 START, END, MARK, BROKEN = "<|im_start|>", "<|im_end|>", "<|im_", "< |im_"
 ASSISTANT = "assistant"
+KEY = ("conv_id", "lone")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turns)`` with the turns in order, each ``(role, text)``.
+    """``(conv_id, lone, turns)`` with the turns in order, each ``(role, text)``.
 
     Rows repeated in all four columns count once. Turns of the same number are in
     order of role and text, those without a number come first. Missing
     roles and texts are empty. Beginnings of markers are broken up in both, so that neither can
-    open or close a turn. Rows without a conversation are one of their own.
+    open or close a turn. Each different row without a conversation is one of its own, named
+    by its hash in ``lone``, so that any number of them never meets.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     plain = lambda c: F.replace(text(c), F.lit(MARK), F.lit(BROKEN)).alias(c)
     row = F.struct(F.col("turn"), plain("role"), plain("text"))
-    found = turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(row)).alias("turns"))
+    number = F.coalesce(F.col("turn").cast("string"), F.lit("-"))
+    name = F.sha2(F.concat(number, F.lit(":"), plain("role"), F.lit(":"), plain("text")), 256)
+    lone = F.when(F.col("conv_id").isNull(), name).alias("lone")
+    found = turns.groupBy("conv_id", lone).agg(F.sort_array(F.collect_set(row)).alias("turns"))
     return found.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
@@ -93,11 +98,11 @@ def mismatched_replies(turns: DataFrame) -> DataFrame:
     back = F.array_position(F.reverse(replies), True)
     found = found.withColumn("at", (F.size("turns") - back + 1).cast("int")).where(back > 0)
     found = hold(found.withColumn("reply", F.element_at("turns", F.col("at"))), "conversations")
-    placed = hold(running_totals(found.select("conv_id"), ["conv_id"], {"place": F.lit(1).cast("long")}, "ids"), "places")
+    placed = hold(running_totals(found.select(*KEY), list(KEY), {"place": F.lit(1).cast("long")}, "ids"), "places")
     total = placed.count()
-    others = placed.select(F.col("conv_id").alias("other_id"), (F.pmod(F.col("place") - 2, F.lit(max(total, 1))) + 1).alias("place"))
-    others = join_with_nulls(others, found.select(F.col("conv_id").alias("other_id"), F.col("reply").alias("other_reply")), ["other_id"])
-    pairs = join_with_nulls(found, placed.join(others, "place"), ["conv_id"])
+    others = placed.select(F.col("conv_id").alias("other_id"), F.col("lone").alias("other_lone"), (F.pmod(F.col("place") - 2, F.lit(max(total, 1))) + 1).alias("place"))
+    others = join_with_nulls(others, found.select(F.col("conv_id").alias("other_id"), F.col("lone").alias("other_lone"), F.col("reply").alias("other_reply")), ["other_id", "other_lone"])
+    pairs = join_with_nulls(found, placed.join(others, "place"), list(KEY))
     rejected = F.concat(F.slice("turns", 1, F.col("at") - 1), F.array("other_reply"))
     return pairs.select("conv_id", "other_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
 

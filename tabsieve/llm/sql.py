@@ -3,15 +3,17 @@
 ORACLE = {
     "op1_preference_chat": """
 WITH turns AS (
-    SELECT DISTINCT conv_id, turn, replace(coalesce(role, ''), '<|im_', '< |im_') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
-    FROM conversations
+    SELECT DISTINCT {'id': conv_id, 'lone': CASE WHEN conv_id IS NULL THEN sha256(coalesce(turn::VARCHAR, '-') || ':' || role || ':' || text) END} AS conv_id,
+           turn, role, text
+    FROM (SELECT conv_id, turn, replace(coalesce(role, ''), '<|im_', '< |im_') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
+          FROM conversations)
 ), placed AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turns
 ), reply AS (
     SELECT conv_id, max(pos) AS reply_at FROM placed WHERE role = 'assistant' GROUP BY conv_id
 ), replies AS (
     SELECT r.conv_id, r.reply_at, p.role, p.text,
-           row_number() OVER (ORDER BY r.conv_id NULLS FIRST) AS place, count(*) OVER () AS total
+           row_number() OVER (ORDER BY r.conv_id.id NULLS FIRST, r.conv_id.lone) AS place, count(*) OVER () AS total
     FROM reply r JOIN placed p ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.pos = r.reply_at
 ), pairs AS (
     SELECT a.conv_id, b.conv_id AS other_id, a.reply_at, b.role, b.text
@@ -42,7 +44,7 @@ WITH turns AS (
 ), prompts AS (
     SELECT conv_id, string_agg(shown, '' ORDER BY pos) AS prompt FROM drawn WHERE side = 'chosen' AND pos <= n GROUP BY conv_id
 )
-SELECT q.conv_id, q.other_id, h.n::INTEGER AS n_prompt_turns, coalesce(p.prompt, '') AS prompt,
+SELECT q.conv_id.id AS conv_id, q.other_id.id AS other_id, h.n::INTEGER AS n_prompt_turns, coalesce(p.prompt, '') AS prompt,
        coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected,
        coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
 FROM pairs q

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import compare
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -467,3 +468,18 @@ def test_roles_cannot_open_turns(spark):
     got = {r.conv_id: r for r in chat.format_preferences(chat.mismatched_replies(turns)).collect()}
     assert got[1].prompt == "<|im_start|>user< |im_end|>\n< |im_start|>assistant\nHi.<|im_end|>\n"
     assert got[1].prompt.count(chat.START) == 1
+
+
+def test_rows_without_a_conversation_never_meet(spark):
+    rows = [(None, k % 5 or None, "assistant", f"t{k % 30}") for k in range(60)] + [(None, 1, "user", "no reply"), (7, 0, "assistant", "own")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.conversations(turns)
+    assert found.where("conv_id IS NULL").count() == 31 and found.agg(F.max(F.size("turns"))).first()[0] == 1
+    got = chat.format_preferences(chat.mismatched_replies(turns)).collect()
+    assert len(got) == 31 and sum(r.conv_id is None for r in got) == 30 and sum(r.other_id is None for r in got) == 30
+    assert all(r.chosen != r.rejected for r in got) and len({r.rejected for r in got}) == 31
+    con = duckdb.connect()
+    con.register("conversations", turns.toArrow())
+    want = con.sql(sql.ORACLE["op1_preference_chat"]).fetchall()
+    shown = [(r.conv_id, r.other_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in got]
+    assert sorted(map(repr, shown)) == sorted(repr(r[:6]) for r in want)
