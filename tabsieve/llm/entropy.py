@@ -160,14 +160,19 @@ def mix(docs: DataFrame) -> DataFrame:
     known = known.select("source", "size", "n", "first", "source_size", "target", "rate", _copies(F.col("offset")).alias("all"))
 
     out = join_with_nulls(numbered, known, ["source", "size"])
-    copies = F.expr("(place - first + 1) * `all` DIV n - (place - first) * `all` DIV n")
+    copies = _dealt("place - first + 1") - _dealt("place - first")
     return out.select(
         "doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), (F.col("rate") / UNIT).alias("rate")
     )
 
 
+def _dealt(rows: str) -> Column:
+    """Copies that the first rows of a group get; the product may pass 64 bits."""
+    return F.expr(f"CAST({rows} AS DECIMAL(19, 0)) * CAST(`all` AS DECIMAL(19, 0)) DIV n")
+
+
 def _copies(offset: Column) -> Column:
     """Whole numbers in the stretch of the running rate, moved by an offset."""
     end, start = F.col("upto") + offset, F.col("upto") + offset - F.col("rate") * F.col("n")
-    whole = lambda x: ((x - F.pmod(x, F.lit(UNIT))) / UNIT).cast("long")
+    whole = lambda x: F.call_function("div", x, F.lit(UNIT))
     return whole(end) - whole(start)

@@ -9,6 +9,7 @@ import compare
 import numpy as np
 import pytest
 from conftest import FOLDER
+from pyspark.sql import functions as F
 
 from tabsieve.llm import entropy, minimax, perfect_hash, queries, sql
 
@@ -212,3 +213,16 @@ def test_large_delivery_to_an_empty_store_is_split(spark, monkeypatch):
     rows = perfect_hash.text_digests(spark.createDataFrame([(k, f"text {k}") for k in range(95)], "doc_id long, text string"))
     assert perfect_hash.deduplicate(rows.limit(0), rows).count() == 95
     assert set(dealt) == {10}
+
+
+def test_shares_of_very_large_groups(spark):
+    n, every, unit = 3 * 10**9 + 7, 5 * 10**9 + 11, entropy.UNIT
+    rows = [(p, 1, n, every, 0, 0) for p in (1, 2, n // 2, n - 1, n)]
+    rows += [(1, 1, n, 0, 10**18 + unit * k + 7, 2 * 10**6 * k) for k in (1, 3, 10**9)]
+    df = spark.createDataFrame(rows, "place long, first long, n long, `all` long, upto long, rate long").withColumn("n", F.when(F.col("rate") > 0, 1).otherwise(F.col("n")))
+    dealt = entropy._dealt("place - first + 1") - entropy._dealt("place - first")
+    for r in df.select("*", dealt.alias("d"), entropy._copies(F.lit(31)).alias("c")).collect():
+        if not r.rate:
+            assert r.d == r.place * every // n - (r.place - 1) * every // n
+        else:
+            assert r.c == (r.upto + 31) // unit - (r.upto + 31 - r.rate) // unit
