@@ -42,6 +42,9 @@ TIGHT = 0.5
 #: are compared in pairs of such blocks.
 SKETCH_BLOCK = 16_384
 TEXT_BLOCK = 1_024
+#: A text counts once more for each so many shingles, so that a block of texts has
+#: 2 * TEXT_BLOCK * TEXT_SHINGLES shingles at most, or one text.
+TEXT_SHINGLES = 8_192
 #: Texts are hashed in pieces of about this many bytes.
 PIECE = 1 << 22
 
@@ -355,14 +358,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = hold(describe(docs), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     # Equal sets have equal sketches.
-    sets = rows.where("shingles > 0").groupBy("set").agg(F.first("sketch").alias("sketch"), F.count("*").alias("copies"), first)
-    sets = hold(sets.select("set", "sketch", "copies", "first.*"), "sets")
+    same = [F.first(c).alias(c) for c in ("sketch", "shingles")]
+    sets = rows.where("shingles > 0").groupBy("set").agg(*same, F.count("*").alias("copies"), first)
+    sets = hold(sets.select("set", "sketch", "shingles", "copies", "first.*"), "sets")
 
     pieces = in_block_pairs(buckets(sets).join(sets.select("set", "sketch"), "set"), F.col("members"), F.col("set"), SKETCH_BLOCK)
     pieces = sorted_groups(pieces.select("path", "left", "right", "set", "sketch"), ["path", "left", "right"])
     parts = hold(connected_components(hold(pieces.mapInArrow(_alike, "a binary, b binary").distinct(), "alike"), "parts"), "parts")
 
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
+    weights = parts.join(sets.select(F.col("set").alias("node"), "shingles"), "node")
+    sizes = weights.groupBy("component").agg(F.sum(1 + F.floor(F.col("shingles") / TEXT_SHINGLES)).alias("members"))
     candidates = parts.join(sizes, "component").join(sets.drop("sketch", "none").withColumnRenamed("set", "node"), "node")
     candidates = candidates.select(F.col("node").alias("set"), "copies", "doc_id", "text_hash", "members", F.col("component").alias("part"))
     text = whole_text()

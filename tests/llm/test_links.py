@@ -88,11 +88,11 @@ def variants(seed, n, words, changes):
     return out
 
 
-@pytest.mark.parametrize("sizes", [None, (4, 60, 25)])
+@pytest.mark.parametrize("sizes", [None, (4, 60, 25), (64, 16_384, 1_024, 1)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, sizes):
-    """Also with small buckets and blocks, so that groups are split and dealt."""
+    """Also with small buckets and blocks, by rows or shingles, so that groups are split and dealt."""
     if sizes:
-        for name, size in zip(("SMALL_BUCKET", "SKETCH_BLOCK", "TEXT_BLOCK"), sizes, strict=True):
+        for name, size in zip(("SMALL_BUCKET", "SKETCH_BLOCK", "TEXT_BLOCK", "TEXT_SHINGLES"), sizes, strict=False):
             monkeypatch.setattr(chosen_path, name, size)
     passage = " ".join(f"p{k}" for k in range(60))
     rng = random.Random(9)
