@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabsieve.llm import bpe, chosen_path, compression, entropy, perfect_hash
 from tabsieve.llm.queries import TOKENIZER
 from tabsieve.llm.tables import join_with_nulls, read_table, whole_text
-from tabsieve.plans.held import hold
+from tabsieve.plans.held import drop_held, hold, released
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -79,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of the tables that stages hold, only the result of the last one
+    but one stays: each stage's own and its input go once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = hold(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released(spark) as kept:
+            kept.append(hold(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        drop_held(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
