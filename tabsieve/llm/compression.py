@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text. The toxic one is not trained:
-it is the list of all words whose beginnings mark toxic texts, put before it.
-Every window of a text, a word wide, is compressed with both. A window that gets
+zstandard trains one dictionary on windows of ordinary text, and one on the windows
+of toxic texts that are too frequent there for chance, in rounds: windows that the
+dictionary so far does not shorten are trained on again, so that none is left out.
+Every window of a text, of each of ``WIDTHS`` words, is compressed with the ordinary
+dictionary and with the toxic one, which the ordinary one follows. A window that gets
 shorter with the toxic dictionary resembles toxic text; how many windows gain
 how many bytes is turned into a probability by a calibrated logistic function.
 """
@@ -29,13 +31,19 @@ TRAIN_ROWS = 3_000
 TRAIN_BYTES = 32_768
 #: Part of them that trains dictionaries; the others calibrate.
 TRAIN_PART = 0.6
-#: A window is one word between these two, which also end every dictionary: a
-#: window is then never stored uncompressed, and its word never lies in the
+#: Windows of these numbers of words are compared, one after the other in a text.
+WIDTHS = (1, 3)
+#: A window stands between these two, which also end every dictionary: a
+#: window is then never stored uncompressed, and its words never lie in the
 #: last bytes of a block, where no match begins.
 LEAD, TAIL = b"~window of a text, with the words that follow~", b"~and so it ends~"
 LEVEL = 6
 ORDINARY_BYTES = 1_024
 ORDINARY_WORDS = 200_000
+#: A toxic dictionary has this many bytes for each byte of its different windows.
+TOXIC_SHARE = 2
+#: zstandard trains no smaller dictionary.
+SMALLEST_BYTES = 256
 #: Beginnings of words, of these lengths, that mark text as toxic when they are in
 #: clearly more toxic texts.
 STEMS = (4, 5, 6, 7)
@@ -46,6 +54,8 @@ STEM_TEXTS = 3
 LIMIT = 32
 #: Words whose gains a task remembers.
 REMEMBERED = 200_000
+#: Wider windows in memory at once.
+WINDOWS_AT_A_TIME = 4_096
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -73,8 +83,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[s
     return pick(1), pick(0), toxic / total if total else 0.0
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of toxic texts whose beginnings are in too many of them for chance."""
+def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """Windows of a word of toxic texts whose beginnings are in too many of those
+    texts for chance, as often as they are there."""
 
     def texts_with(texts: list[str]) -> Counter:
         return Counter(stem for t in texts for stem in {w[:k] for w in t.lower().split() for k in STEMS})
@@ -86,8 +97,12 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
             ratio = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((there[stem] + 0.5) / (len(ordinary) + 1))
             if ratio > STEM_LOG_RATIO and _deviations(n, there[stem], len(toxic), len(ordinary)) > STEM_DEVIATIONS:
                 marked.add(stem)
-    found = Counter(regex.sub(r"\W+$", "", w) for t in toxic for w in t.lower().split() if any(w[:k] in marked for k in STEMS))
-    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    return [regex.sub(r"\W+$", "", w) for t in toxic for w in t.lower().split() if any(w[:k] in marked for k in STEMS)]
+
+
+def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """The different ones of those windows, the most frequent first."""
+    return [w for w, _ in sorted(Counter(toxic_windows(toxic, ordinary)).items(), key=lambda x: (-x[1], x[0]))]
 
 
 def _deviations(n: int, m: int, texts: int, others: int) -> float:
@@ -107,12 +122,36 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     plain = [w for t in ordinary for w in t.lower().split()]
     stride = max(1, len(plain) // ORDINARY_WORDS)
     plain = plain[::stride] if stride == 1 else [w for k in range(0, len(plain), 20 * stride) for w in plain[k : k + 20]]
-    samples = [" ".join(plain[k : k + 20]).encode() for k in range(0, len(plain), 20)]
-    base = b"".join(samples)[-ORDINARY_BYTES:]
+    base = _trained([" ".join(plain[k : k + 20]).encode("utf-8", "replace") for k in range(0, len(plain), 20)], ORDINARY_BYTES)
+    base += LEAD + TAIL
+    found, left = base, [f" {w} ".encode("utf-8", "replace") for w in toxic_windows(toxic, ordinary)]
+    before = _lengths(_compressor(base), left)
+    while left:
+        distinct = b"".join(dict.fromkeys(left))
+        # What is trained first comes last: the nearest matches are the cheapest.
+        found = _trained(left, max(SMALLEST_BYTES, TOXIC_SHARE * len(distinct))) + found
+        after = _lengths(_compressor(found), left)
+        missed = [k for k in range(len(left)) if after[k] >= before[k]]
+        if len(missed) == len(left):
+            # Nothing more can be learned from so few: they are told word by word.
+            found = distinct + found
+            break
+        left, before = [left[k] for k in missed], [before[k] for k in missed]
+    return base, found
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples, or their last bytes if they are too few."""
     if len(samples) > 100:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples, level=3).as_bytes()
-    # The most frequent words last: the nearest matches are the cheapest.
-    return base + LEAD + TAIL, "".join(f" {w} " for w in reversed(toxic_words(toxic, ordinary))).encode() + base + LEAD + TAIL
+        try:
+            return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-size:]
+
+
+def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> list[int]:
+    return [len(compressor.compress(LEAD + w + TAIL)) for w in windows]
 
 
 class Windows:
@@ -122,21 +161,36 @@ class Windows:
         self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic)
         self.known: dict[str, int] = {}
 
-    def gains(self, text: str) -> np.ndarray:
+    def gains(self, text: str, width: int = 1) -> np.ndarray:
+        """How many of the text's windows gain -LIMIT to LIMIT bytes."""
         words = text.lower().split()
         if not words:
             return np.zeros(2 * LIMIT + 1, np.int64)
+        if width > 1:
+            found = np.zeros(2 * LIMIT + 1, np.int64)
+            for k in range(0, len(words), width * WINDOWS_AT_A_TIME):
+                some = words[k : k + width * WINDOWS_AT_A_TIME]
+                found += np.bincount(self._gains([" ".join(some[j : j + width]) for j in range(0, len(some), width)]), minlength=2 * LIMIT + 1)
+            return found
+        # Words come again.
         known = self.known
         new = set(words).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known = self.known = {}
             new = set(words)
-        for word in new:
-            window = LEAD + f" {word} ".encode("utf-8", "replace") + TAIL
-            gain = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-            known[word] = max(0, min(2 * LIMIT, gain + LIMIT))
+        new = list(new)
+        known.update(zip(new, self._gains(new)))
         return np.bincount([known[w] for w in words], minlength=2 * LIMIT + 1)
 
+    def _gains(self, windows: list[str]) -> list[int]:
+        data = [f" {w} ".encode("utf-8", "replace") for w in windows]
+        pairs = zip(_lengths(self.ordinary, data), _lengths(self.toxic, data))
+        return [max(0, min(2 * LIMIT, n - m + LIMIT)) for n, m in pairs]
+
+    def features(self, text: str) -> np.ndarray:
+        """A one, then the features of the gains of each width."""
+        return np.concatenate([[1.0], *(features(self.gains(text, width))[1:] for width in WIDTHS)])
+
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     if not content:
@@ -198,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     plain, other = train_dictionaries(toxic[: cut(toxic)], ordinary[: cut(ordinary)])
     windows = Windows(plain, other)
     held = [(t, 1) for t in toxic[cut(toxic) :]] + [(t, 0) for t in ordinary[cut(ordinary) :]]
-    x = np.array([features(windows.gains(t)) for t, _ in held])
+    x = np.array([windows.features(t) for t, _ in held])
     y = np.array([k for _, k in held], np.float64)
     # Classes were drawn apart; weights bring back how common they are.
     weight = np.where(y == 1, part / max(y.mean(), 1e-9), (1 - part) / max(1 - y.mean(), 1e-9))
@@ -223,7 +277,7 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
                 if weights is None:
                     scores.append(model["part"])
                 else:
-                    z = float(features(windows.gains(text.as_py())) @ weights)
+                    z = float(windows.features(text.as_py()) @ weights)
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, name])
 

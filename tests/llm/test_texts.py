@@ -1,5 +1,6 @@
 """Chat formatting, BPE, toxicity, pseudo-likelihood and personal data."""
 
+import math
 import random
 import re
 import zlib
@@ -181,6 +182,45 @@ def test_toxicity_of_held_out_rows(spark):
     assert sum(r.predicted for r in held if r.toxic) / sum(r.toxic for r in held) > 0.75
 
 
+def test_scores_come_from_both_dictionaries(spark):
+    """Every score again, a window at a time, by compressors of its own."""
+    folder = FOLDER.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = compression.fit(docs, labels)
+    assert model["toxic"].endswith(model["ordinary"]) and len(model["toxic"]) > len(model["ordinary"]) > 500
+    # zstandard writes this number before what it trained; a list of words has none.
+    assert model["toxic"].count(b"\x37\xa4\x30\xec") >= 2
+    sizes = {}
+
+    def size(content: bytes, window: str) -> int:
+        key = len(content), window
+        if key not in sizes:
+            packed = (compression.LEAD.decode() + f" {window} " + compression.TAIL.decode()).encode()
+            sizes[key] = len(compression._compressor(content).compress(packed))
+        return sizes[key]
+
+    some = docs.orderBy("n_chars").limit(60)
+    for r in compression.score(some, model).collect():
+        words, row = r.text.lower().split(), [1.0]
+        for width in (1, 3):
+            windows = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+            gained = [max(-32, min(32, size(model["ordinary"], w) - size(model["toxic"], w))) for w in windows] or [0]
+            best = sorted(gained)[-3:]
+            over = [sum(g >= k for g in gained) for k in (2, 3, 4)]
+            row += [best[-1] / 4, sum(best) / len(best) / 4, sum(gained) / len(gained), math.log1p(over[0]), math.log1p(over[1])]
+            row += [math.log(k / len(gained) + 0.005) for k in over]
+        z = sum(a * b for a, b in zip(row, model["weights"], strict=True))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_windows_of_a_long_text_by_blocks(monkeypatch):
+    windows = compression.Windows(*compression.train_dictionaries(["vile scoundrel"] * 9, ["mild person"] * 9))
+    text = " ".join(f"vile person number {k}" for k in range(50))
+    whole = windows.gains(text, 3)
+    monkeypatch.setattr(compression, "WINDOWS_AT_A_TIME", 7)
+    assert (windows.gains(text, 3) == whole).all() and whole.sum() == 67
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, documents):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(compression.is_held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
