@@ -226,10 +226,14 @@ def _at_ranks(found: DataFrame, parts: Sequence[_Part], fetch: bool) -> dict[tup
         inside = table.where("value IS NOT NULL")
         ranked = average_ranks(inside, distinct_sizes(inside))
         first = (F.col("rank") - (F.col("n") + 1) / F.lit(2.0)).cast("long")
-        # At most one row for each rank.
-        hits = [(F.col("idx") == k) & (first <= r - below[k]) & (first + F.col("n") > r - below[k]) for k, p in keys.items() for r in p.ranks]
-        for r in ranked.select("idx", "value", "n", first.alias("first")).where(reduce(lambda a, b: a | b, hits)).collect():
-            take(r["idx"], r["value"], below[r["idx"]] + r["first"], r["n"])
+        wanted = [(k, r, r - below[k]) for k, p in keys.items() for r in p.ranks]
+        # One row for each rank; a condition with a term for each would be too deep for Spark.
+        spots = found.sparkSession.createDataFrame(wanted, "idx int, wanted bigint, spot bigint")
+        cells = ranked.select("idx", "value", "n", first.alias("first"))
+        at = (F.col("first") <= F.col("spot")) & (F.col("spot") < F.col("first") + F.col("n"))
+        hits = cells.join(F.broadcast(spots), "idx").where(at)
+        for r in hits.select("idx", "wanted", "value").collect():
+            out[(keys[r["idx"]].column, r["wanted"])] = r["value"]
     return out
 
 

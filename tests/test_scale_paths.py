@@ -410,3 +410,11 @@ def test_many_repeated_hashes(spark):
         assert quality.repeated_hashes(df) is None
         assert quality.duplicate_count(df).first()[0] == 250_000
         assert cleaning.clean(df, [{"type": "remove_duplicates"}]).table.agg(F.count("*"), F.sum("a")).first()[:] == (250_000, 250_000 * 249_999 // 2)
+
+
+def test_hundreds_of_ranks_are_found_where_the_values_are(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FETCH_ROWS", 16)
+    df = spark.range(20_001).select(F.col("id").cast("double").alias("v"))
+    shares = [i / 1000 for i in range(1, 1000)]
+    got = quantiles.exact_quantiles(df, {"v": shares})["v"]
+    assert all(abs(got[q] - 20_000 * q) < 1e-6 for q in shares)
