@@ -9,6 +9,7 @@ beside the exact statistics, never in their place.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,13 +26,17 @@ PROBABILITIES = (0.25, 0.5, 0.75)
 _FILE = ["file", "modified"]
 
 
+def _plain_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if not is_nested(f)]
+
+
 def sketch_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(file, modified, column, n, nulls, low, high, distinct, quantiles)`` of each file behind ``df``.
 
     ``low``, ``high`` and ``quantiles`` are NULL for columns that are not numeric. One scan; a
     task sends one row of sketches for each file it has read a part of.
     """
-    names = [f.name for f in df.schema.fields if not is_nested(f)] if columns is None else list(columns)
+    names = _plain_columns(df) if columns is None else list(columns)
     figures: list[Column] = []
     for i, c in enumerate(names):
         value = present(df, c)
@@ -59,14 +64,22 @@ def update_store(spark: SparkSession, path: str, store: str, fmt: str = "parquet
     """Adds the sketches of those files below ``path`` that the store does not know, or knows
     in an older state; the number of files that were read."""
     df = spark.read.format(fmt).load(path)
-    files = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
+    # The files of the folder, those without rows among them; their content is not read.
+    names = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    files = spark.read.format("binaryFile").load(path).select(*names)
     known = stored(spark, store)
     new = files if known is None else files.join(known.select(*_FILE).distinct(), _FILE, "left_anti")
     # As many paths as a listing of the folder brings to the driver.
-    paths = [r["file"] for r in new.collect()]
-    if paths:
-        sketch_columns(spark.read.schema(df.schema).format(fmt).load(paths)).write.mode("append").parquet(store)
-    return len(paths)
+    listed = new.collect()
+    if listed:
+        # Names of files are given as URIs; a plus sign stands for itself there.
+        paths = [unquote(r["file"]) for r in listed]
+        found = sketch_columns(spark.read.schema(df.schema).format(fmt).load(paths))
+        kinds = spark.createDataFrame([(c,) for c in _plain_columns(df)], "column string")
+        every = spark.createDataFrame(listed, new.schema).crossJoin(F.broadcast(kinds))
+        # A file without rows is known by counts of 0 and no sketches.
+        every.join(found, [*_FILE, "column"], "left").fillna(0, ["n", "nulls"]).write.mode("append").parquet(store)
+    return len(listed)
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame | None:

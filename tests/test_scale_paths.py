@@ -418,3 +418,18 @@ def test_hundreds_of_ranks_are_found_where_the_values_are(spark, monkeypatch):
     shares = [i / 1000 for i in range(1, 1000)]
     got = quantiles.exact_quantiles(df, {"v": shares})["v"]
     assert all(abs(got[q] - 20_000 * q) < 1e-6 for q in shares)
+
+
+def test_files_without_rows_are_sketched_once(spark, tmp_path):
+    data, store = f"{tmp_path}/some data%1", f"{tmp_path}/store"
+    for n in (10, 0):
+        spark.range(n).withColumn("t", F.lit("a")).coalesce(1).write.mode("append").parquet(data)
+    assert sketches.update_store(spark, data, store) == 2
+    assert sketches.update_store(spark, data, store) == 0
+    got = {r["column"]: r for r in sketches.approx_profile(sketches.stored(spark, store)).collect()}
+    assert (got["id"]["n"], got["id"]["nulls"], got["id"]["distinct"], got["t"]["distinct"]) == (10, 0, 10, 1)
+    nothing = f"{tmp_path}/nothing"
+    spark.range(0).write.parquet(nothing)
+    assert sketches.update_store(spark, nothing, f"{tmp_path}/other") == 1
+    got = sketches.approx_profile(sketches.stored(spark, f"{tmp_path}/other")).first()
+    assert (got["n"], got["distinct"], got["median"]) == (0, 0, None)
