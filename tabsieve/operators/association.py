@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions.rounding import half_up
 from tabsieve.functions.student import correlation_p_value
 from tabsieve.functions.values import double, number
+from tabsieve.operators.batches import column_sums, rank_products, rank_sums_by_value, value_counts_by_partner
+from tabsieve.operators.batches import gram_matrix as _gram_matrix
 from tabsieve.operators.profile import moments
-from tabsieve.operators.ranks import average_ranks, count_values, distinct_sizes
+from tabsieve.operators.ranks import average_ranks, distinct_sizes
 from tabsieve.operators.schema import complete_rows, numeric_columns, require_numeric
+from tabsieve.plans.compiled import small_methods
 from tabsieve.plans.held import hold, released
 from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup
 from tabsieve.plans.tall import tall
@@ -29,6 +30,8 @@ METHODS = ("pearson", "spearman")
 PAIRS_PER_SCAN = 256
 # Plain sums that fit into one method small enough to be compiled, in one scan.
 PRODUCTS_PER_SCAN = 40
+# More columns are not turned into rows but added up by batches.
+COLUMNS_EXPANDED = 12
 # A spread that is a smaller part of its sum of squares is computed anew, pair by pair.
 CANCELLED = 1e-8
 # Columns of a side whose ranks within pairs are brought back to the rows together.
@@ -120,14 +123,7 @@ def _share(part: float, whole: float) -> float:
     return float(part / whole) if whole and math.isfinite(whole) else math.nan
 
 
-def _gram_matrix(df: DataFrame, values: Sequence[Column]) -> np.ndarray:
-    """Sums of products of all pairs of values, none of which is missing: one scan, in
-    which every task adds up the whole matrix, and only matrices move."""
-    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*values)).alias("v")), "v")
-    return RowMatrix(rows, 0, len(values)).computeGramianMatrix().toArray()
-
-
-def _gap_pairs(df: DataFrame, values: dict[str, Column], gaps: set[str], pairs: Sequence[Pair]) -> dict[Pair, tuple[int, float | None]]:
+def _gap_pairs(df: DataFrame, values: dict[str, Column], pairs: Sequence[Pair]) -> dict[Pair, tuple[int, float | None]]:
     """(n, r) of pairs of centred columns, over the rows where both are present.
 
     With x being 0 where it is missing and m telling where it is not, all sums of
@@ -137,14 +133,11 @@ def _gap_pairs(df: DataFrame, values: dict[str, Column], gaps: set[str], pairs:
     if not pairs:
         return {}
     used = list(dict.fromkeys(c for p in pairs for c in p))
-    x = [F.coalesce(values[c], F.lit(0.0)) for c in used]
-    marked = [c for c in used if c in gaps]
-    masks = [F.when(values[c].isNotNull(), 1.0).otherwise(0.0) for c in marked]
-    gram = _gram_matrix(df, [*x, *[v * v for v in x], *masks, F.lit(1.0)])
+    gram = _gram_matrix(df, [values[c] for c in used], True)
     cell = lambda i, j: float(gram[i, j])
     k = len(used)
     at = {c: i for i, c in enumerate(used)}
-    mask = {c: 2 * k + marked.index(c) if c in gaps else 2 * k + len(marked) for c in used}
+    mask = {c: 2 * k + i for c, i in at.items()}
     found: dict[Pair, tuple[int, float | None]] = {}
     again: list[Pair] = []
     for p in pairs:
@@ -162,9 +155,18 @@ def _gap_pairs(df: DataFrame, values: dict[str, Column], gaps: set[str], pairs:
     return found
 
 
+def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Rows, counts, means and ranges; those of many columns are added up by batches."""
+    if len(columns) <= COLUMNS_EXPANDED:
+        return moments(df, columns, ("mean",))
+    found = column_sums(df, [number(df, c) for c in columns])
+    none = {"rows": 0, "count": 0, "null_count": 0, "mean": None, "low": None, "high": None}
+    return {c: found.get(i, none) for i, c in enumerate(columns)}
+
+
 def _pearson(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> list[tuple[int, float | None]]:
     """Two scans for any number of columns: the means, then centred sums."""
-    seen = moments(df, columns, ("mean",))
+    seen = _means(df, columns)
     complete = {c for c in columns if seen[c]["count"] and not seen[c]["null_count"]}
     filled = [c for c in columns if seen[c]["count"]]
     easy = [p for p in pairs if complete.issuperset(p)]
@@ -174,7 +176,7 @@ def _pearson(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> li
     found, rest = together(
         df.sparkSession,
         lambda: _complete_pairs(df, centred, seen[columns[0]]["rows"], constant, easy),
-        lambda: _gap_pairs(df, centred, set(filled) - complete, hard),
+        lambda: _gap_pairs(df, centred, hard),
     )
     found.update(rest)
     return [found.get(p, (0, None)) for p in pairs]
@@ -185,10 +187,12 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
 
     One counting shuffle serves all columns. A column without missing values
     leaves its partners' ranks unchanged, so a value has one rank per
-    partner *with* missing values plus one for all others. Ranks that fit a broadcast,
-    by their counted size, are looked up where the rows are: no row is shuffled or
-    written. Beyond that, values meet their ranks as narrow (row, column, value) rows
-    in a skew-safe lookup, and one shuffle by row brings them back.
+    partner *with* missing values plus one for all others. Sizes and spreads follow from the
+    counts; only sums of products are taken over the rows. Rank tables that fit a broadcast, by
+    their counted size, the smallest first, are looked up where the rows are. A column beyond
+    that meets them by its values: one shuffle of sums for each. Pairs of two such columns meet
+    their ranks as narrow (row, column, value) rows in a skew-safe lookup, and one shuffle
+    by row brings them back.
     """
     numbers = [number(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
     with released(df.sparkSession):
@@ -197,54 +201,119 @@ def _spearman(df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair]) -> l
         counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
         rows = counts["rows"]
         partners = [c for c in names if counts[c] < rows]
-        table = hold(count_values(values, names, partners), "counts")
+        table = hold(value_counts_by_partner(values, partners), "counts")
         sizes = distinct_sizes(table)
         ranked = hold(average_ranks(table, sizes, len(partners)), "ranks")
         index = {p: j for j, p in enumerate(partners)}
         at = {c: i for i, c in enumerate(columns)}
-        complete = {c for c in columns if names[at[c]] not in index and at[c] in sizes}
-        easy = [p for p in pairs if complete.issuperset(p)]
-        hard = [p for p in pairs if not complete.issuperset(p)]
-        if sum(sizes.values()) * (24 + 8 * len(partners)) <= BROADCAST_BYTES:
-            blocks = [(_ranks_in_place(values, ranked, len(partners)), easy, hard)]
-        else:
-            held_values = hold(values.withColumn("row", F.monotonically_increasing_id()), "values")
-            blocks = _ranks_by_row(held_values, ranked, sizes, rows, index, at, easy, hard)
-
-        def rank(of: int, other: int) -> Column:
-            j = index.get(names[other])
-            # Where the partner is missing, it has no rank either.
-            return F.col(f"r{of}") if j is None else F.when(F.col(f"r{other}").isNotNull(), F.col(f"r{of}_{j}"))
-
-        centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
-        constant = {c for c in complete if sizes[at[c]] == 1}
+        # The place of a column's ranks among the rows where another one is present.
+        kind = {c: index.get(names[at[c]], -1) + 1 for c in columns}
+        totals = _rank_totals(ranked, len(partners))
+        small = _in_place(sizes, 24 + 8 * len(partners))
         found: dict[Pair, tuple[int, float | None]] = {}
-        for out, whole, gapped in blocks:
-            plain, rest = together(
-                df.sparkSession,
-                lambda out=out, whole=whole: _complete_pairs(out, centred, rows, constant, whole),
-                lambda out=out, gapped=gapped: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in gapped]),
-            )
-            found.update(plain)
-            found.update(zip(gapped, rest))
+        products: dict[Pair, float] = {}
+        near, far, apart = [], {}, []
+        for a, b in pairs:
+            if at[a] not in totals or at[b] not in totals or totals[at[a]][kind[b]][0] < 2:
+                found[(a, b)] = (totals[at[a]][kind[b]][0] if at[a] in totals else 0, None)
+            elif at[a] in small and at[b] in small:
+                near.append((a, b))
+            elif at[a] in small or at[b] in small:
+                far.setdefault(b if at[a] in small else a, []).append((a, b))
+            else:
+                apart.append((a, b))
+        tables = df.sparkSession.sparkContext.broadcast(_rank_arrays(ranked, small, totals))
+
+        def all_near() -> None:
+            wanted = [(at[a], kind[b], at[b], kind[a]) for a, b in near]
+            products.update(zip(near, rank_products(values, tables, wanted) if near else ()))
+
+        def one_far(c: str) -> None:
+            others = [b if a == c else a for a, b in far[c]]
+            sums = rank_sums_by_value(values, tables, at[c], [(at[o], kind[c]) for o in others])
+            mine = ranked.where(F.col("idx") == at[c])
+            own = [F.col("rank" if not kind[o] else f"rank{kind[o] - 1}") - F.lit((rows + 1) / 2.0) for o in others]
+            met = mine.join(sums, "value").agg(*[F.sum(r * F.col(f"s{k}")).alias(f"p{k}") for k, r in enumerate(own)])
+            products.update(zip(far[c], met.first()))
+
+        together(df.sparkSession, all_near, *[lambda c=c: one_far(c) for c in far])
+        tables.unpersist()
+        for (a, b), product in products.items():
+            (n, of_a), (_, of_b) = totals[at[a]][kind[b]], totals[at[b]][kind[a]]
+            r = _share(product or 0.0, math.sqrt(of_a) * math.sqrt(of_b))
+            found[(a, b)] = (n, None if math.isnan(r) else max(-1.0, min(1.0, r)))
+        found.update(_spearman_by_row(values, ranked, sizes, rows, index, at, apart))
         return [found[p] for p in pairs]
 
 
-def _rank_name(of: int, kind: str) -> str:
-    return f"r{of}{kind[4:] and '_' + kind[4:]}"
+def _rank_totals(ranked: DataFrame, partners: int) -> dict[int, list[tuple[int, float]]]:
+    """By column and kind of rank: how many rows have one, and the sum of squares around the mean."""
+    kinds = ["", *range(partners)]
+    sums = F.broadcast(ranked.groupBy(F.col("idx").alias("of")).agg(*[F.sum(f"n{k}").alias(f"t{k}") for k in kinds]))
+    gap = [F.col(f"rank{k}") - (F.col(f"t{k}") + 1) / F.lit(2.0) for k in kinds]
+    spread = [F.coalesce(F.sum(F.col(f"n{k}") * g * g), F.lit(0.0)).alias(f"s{k}") for k, g in zip(kinds, gap)]
+    found = ranked.join(sums, F.col("idx") == F.col("of")).groupBy("idx").agg(*[F.first(f"t{k}").alias(f"t{k}") for k in kinds], *spread)
+    return {r["idx"]: [(r[f"t{k}"], r[f"s{k}"]) for k in kinds] for r in found.collect()}
+
+
+def _in_place(sizes: dict[int, int], width: int) -> list[int]:
+    """The columns with the fewest values, whose rank tables together fit a broadcast."""
+    out, used = [], 0
+    for i, n in sorted(sizes.items(), key=lambda item: (item[1], item[0])):
+        used += n * width
+        if used > BROADCAST_BYTES:
+            break
+        out.append(i)
+    return out
 
 
-def _ranks_in_place(values: DataFrame, ranked: DataFrame, partners: int) -> DataFrame:
-    """The rows with r0, r0_0, ...: each column looks its ranks up in a broadcast table,
-    which holds those of a value as one array."""
-    out = values
-    for i, name in enumerate(values.columns):
-        own = F.array("rank", *[f"rank{j}" for j in range(partners)])
-        side = ranked.where(F.col("idx") == i).select(F.col("value").alias(f"k{i}"), own.alias(f"a{i}"))
-        out = out.join(F.broadcast(side), F.col(name) == F.col(f"k{i}"), "left").drop(f"k{i}", name)
-    return out.select(
-        *[F.get(f"a{i}", F.lit(j)).alias(_rank_name(i, k)) for i in range(len(values.columns)) for j, k in enumerate(["rank", *[f"rank{j}" for j in range(partners)]])]
-    )
+def _rank_arrays(ranked: DataFrame, small: Sequence[int], totals: dict[int, list[tuple[int, float]]]) -> dict[int, tuple]:
+    """(sorted values, centred ranks by kind) of columns whose tables fit a broadcast, by counted size."""
+    found = ranked.where(F.col("idx").isin(list(small))).toArrow() if small else None
+    out = {}
+    for i in small:
+        mine = found.filter(pc.equal(found["idx"], i)).sort_by("value")
+        ranks = []
+        for k, (n, _) in enumerate(totals[i]):
+            own = mine["rank" if not k else f"rank{k - 1}"].to_numpy() - (n + 1) / 2.0
+            # A value that no row of the partner has, and a missing one.
+            ranks.append(np.append(np.nan_to_num(own), 0.0))
+        out[i] = (mine["value"].to_numpy(), np.array(ranks))
+    return out
+
+
+def _spearman_by_row(values: DataFrame, ranked: DataFrame, sizes: dict[int, int], rows: int, index: dict[str, int], at: dict[str, int], pairs: Sequence[Pair]) -> dict[Pair, tuple[int, float | None]]:
+    """(n, r) of pairs of columns whose rank tables are too large to be looked up in place."""
+    if not pairs:
+        return {}
+    names = values.columns
+    complete = {c for c in at if names[at[c]] not in index and at[c] in sizes}
+    easy = [p for p in pairs if complete.issuperset(p)]
+    hard = [p for p in pairs if not complete.issuperset(p)]
+    used = sorted({at[c] for p in pairs for c in p})
+    held_values = hold(values.select(*[names[i] for i in used], F.monotonically_increasing_id().alias("row")), "values")
+
+    def rank(of: int, other: int) -> Column:
+        j = index.get(names[other])
+        # Where the partner is missing, it has no rank either.
+        return F.col(f"r{of}") if j is None else F.when(F.col(f"r{other}").isNotNull(), F.col(f"r{of}_{j}"))
+
+    centred = {c: F.col(f"r{at[c]}") - F.lit((rows + 1) / 2.0) for c in complete}
+    constant = {c for c in complete if sizes[at[c]] == 1}
+    found: dict[Pair, tuple[int, float | None]] = {}
+    for out, whole, gapped in _ranks_by_row(held_values, ranked, sizes, rows, index, at, easy, hard):
+        plain, rest = together(
+            values.sparkSession,
+            lambda out=out, whole=whole: _complete_pairs(out, centred, rows, constant, whole),
+            lambda out=out, gapped=gapped: _pair_moments(out, [(rank(at[a], at[b]), rank(at[b], at[a])) for a, b in gapped]),
+        )
+        found.update(plain)
+        found.update(zip(gapped, rest))
+    return found
+
+
+def _rank_name(of: int, kind: str) -> str:
+    return f"r{of}{kind[4:] and '_' + kind[4:]}"
 
 
 def _ranks_by_row(values: DataFrame, ranked: DataFrame, sizes: dict[int, int], rows: int, index: dict[str, int], at: dict[str, int], easy: list[Pair], hard: list[Pair]):
@@ -278,7 +347,8 @@ def _pairs(df: DataFrame, method: str, columns: Sequence[str], pairs: Sequence[P
         raise ValueError(f"Unknown correlation method {method!r}.")
     if not pairs:
         return []
-    return (_pearson if method == "pearson" else _spearman)(df, columns, pairs)
+    with small_methods(df.sparkSession):
+        return (_pearson if method == "pearson" else _spearman)(df, columns, pairs)
 
 
 def correlations(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:

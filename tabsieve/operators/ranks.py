@@ -56,15 +56,15 @@ def _splits(values: DataFrame, distinct: int, bucket_values: int) -> list[float]
 def average_ranks(
     counts: DataFrame, distinct: dict[int, int], n_partners: int = 0, bucket_values: int = BUCKET_VALUES
 ) -> DataFrame:
-    """(idx, value, n, rank, rank0, ...) from a held ``count_values`` table.
+    """(idx, value, n, n0, ..., rank, rank0, ...) from a held ``count_values`` table.
 
     ``rank`` is the average 1-based rank over all rows of the column, ``rankJ``
     the one among the rows where partner j is present. No values, no ranks.
     """
+    weights = ["n"] + [f"n{j}" for j in range(n_partners)]
     if not distinct:
         none = F.lit(None).cast("double")
-        return counts.select("idx", "value", "n", *[none.alias(f"rank{j}") for j in ("", *range(n_partners))])
-    weights = ["n"] + [f"n{j}" for j in range(n_partners)]
+        return counts.select("idx", "value", *weights, *[none.alias(f"rank{j}") for j in ("", *range(n_partners))])
     small = [i for i, d in distinct.items() if d <= bucket_values]
     pieces = []
     if small:
@@ -102,7 +102,7 @@ def average_ranks(
         return F.when(F.col(w) > 0, middle)
 
     return ranked.select(
-        "idx", "value", "n", *[rank(w).alias("rank" + w[1:]) for w in weights]
+        "idx", "value", *weights, *[rank(w).alias("rank" + w[1:]) for w in weights]
     )
 
 

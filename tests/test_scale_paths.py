@@ -433,3 +433,42 @@ def test_files_without_rows_are_sketched_once(spark, tmp_path):
     assert sketches.update_store(spark, nothing, f"{tmp_path}/other") == 1
     got = sketches.approx_profile(sketches.stored(spark, f"{tmp_path}/other")).first()
     assert (got["n"], got["distinct"], got["median"]) == (0, 0, None)
+
+
+def test_one_large_column_meets_the_others_by_its_values(spark, monkeypatch):
+    x = F.col("id")
+    df = spark.range(3000).select(
+        F.when(x % 5 != 0, x * 7919 % 2999).alias("large"), F.when(x % 3 != 0, x % 11).alias("a"), (x * x % 13).alias("b"), F.lit(None).cast("double").alias("none")
+    )
+    labels, real = [], association.hold
+    monkeypatch.setattr(association, "hold", lambda df, label: labels.append(label) or real(df, label))
+    monkeypatch.setattr(association, "BROADCAST_BYTES", 4000)
+    got = {(r["column_a"], r["column_b"]): (r["correlation"], r["n"]) for r in association.correlations(df, "spearman").collect()}
+    assert labels == ["counts", "ranks"] and len(got) == 3
+    wanted = df.toPandas()
+    for (a, b), (r, n) in got.items():
+        both = wanted[[a, b]].dropna()
+        assert n == len(both) and r == pytest.approx(both.rank().corr().iloc[0, 1], abs=5.1e-5)
+
+
+def test_means_of_many_columns(spark, monkeypatch):
+    df = holes(spark, 14).withColumn("none", F.lit(None).cast("double"))
+    wanted = df.toPandas()
+    got = {(r["column_a"], r["column_b"]): (r["correlation"], r["n"]) for r in association.correlations(df).collect()}
+    assert not any("none" in p for p in got)
+    for (a, b), (r, n) in got.items():
+        both = wanted[[a, b]].dropna()
+        assert n == len(both) and r == pytest.approx(both.corr().iloc[0, 1], abs=5.1e-5)
+    assert association.correlations(df.limit(0)).count() == 0
+
+
+def test_wide_stages_are_split_into_methods_that_are_compiled(spark, monkeypatch):
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(limit)
+    for module, name in ((association, "_gram_matrix"), (quantiles, "_sketched")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *a, real=real: seen.append(spark.conf.get(limit)) or real(df, *a))
+    df = holes(spark, 14, 6000)
+    association.correlations(df)
+    quantiles.exact_quantiles(df, {c: [0.1, 0.3, 0.7] for c in df.columns[:14]})
+    assert seen == ["8000", "8000"] and spark.conf.get(limit) == before
