@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tabsieve.functions.values import col, double, number
 from tabsieve.operators.ranks import average_ranks, distinct_sizes
 from tabsieve.operators.schema import require_numeric
+from tabsieve.plans.compiled import small_methods
 from tabsieve.plans.held import held
 from tabsieve.plans.tall import tall
 
@@ -306,13 +307,16 @@ def exact_quantiles(
     columns = list(probabilities)
     for c in columns:
         require_numeric(df, c)
-    known = known if known is not None else extents(df, columns)
+    if known is None:
+        with small_methods(df.sparkSession):
+            known = extents(df, columns)
     ranks: dict[str, set[int]] = {}
     for c in columns:
         n = known[c].n
         spots = [(n - 1) * q for q in probabilities[c]] if n else []
         ranks[c] = {math.floor(s) for s in spots} | {math.ceil(s) for s in spots}
-    values = order_statistics(df, ranks, known)
+    with small_methods(df.sparkSession):
+        values = order_statistics(df, ranks, known)
     out: dict[str, dict[float, float | None]] = {}
     for c in columns:
         out[c] = {}
