@@ -9,7 +9,8 @@ no result depends on the zone of the session.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ _SHORT = "|".join(m[:3] for m in MONTHS)
 _WEEKDAY = "|".join(f"{d}|{d[:3]}" for d in WEEKDAYS) + "|TUES|THUR|THURS"
 _CLOCK = r":[0-9]{1,2}(?:\.[0-9]+)?(?: ?[AP]M)?"
 
+# White space that is stripped: that of Unicode, and the separators of files to units.
+_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Longer texts are counted by their shapes, shorter ones by their skeletons.
+SKELETON_LENGTH = 64
+
 # Shapes: y year of four digits, d one or two digits, b eight, h six, q fourteen digits, l month
 # name, m short month name, f fraction, p half of the day, t the letter T, z offset.
 # The marks in a date are groups 2 to 5 of the whole pattern.
@@ -56,22 +62,66 @@ def prepared(text: Column) -> Column:
     """Upper case without weekday, ordinal endings and marks after short names; an offset
     is Z or +hh:mm right behind the time."""
     t = F.upper(strip_text(text))
-    for pattern, put in (
-        (rf"^(?:{_WEEKDAY})[.,]* +", ""),
-        (r"(?<=[0-9])(?:ST|ND|RD|TH)\b", ""),
-        (r"\bSEPT\b", "SEP"),
-        (rf"\b({_SHORT})\.", "$1"),
-        (r"(:[0-9]{1,2})[.,]([0-9]{1,9})[0-9]*", "$1.$2"),
-        (r"\b([AP])\.M\.", "$1M"),
-        (rf"({_CLOCK}) ?(?:UTC|GMT|Z)$", "$1Z"),
-        (rf"({_CLOCK}) ?(?:UTC|GMT)?([+-][0-9]{{2}})(?::?([0-9]{{2}}))?$", "$1$2:$3"),
-        (r"([+-][0-9]{2}):$", "$1:00"),
-        (r"\s+", " "),
-    ):
-        t = F.regexp_replace(t, pattern, put)
+    for part, _ in _preparations():
+        t = _replaced(t, part)
     return t
 
 
+def prepared_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """The rows with prepared texts by the names given, which no column has.
+
+    Replacements that a text has no sign of are left out: each stage is one projection,
+    in which finding the sign costs less than the expressions that replace.
+    """
+    out = df.withColumns({n: F.upper(F.btrim(t, F.lit(_SPACES))) for n, t in texts.items()})
+    for part, signs in _preparations():
+        out = out.withColumns({n: F.when(signs(F.col(n)), _replaced(F.col(n), part)).otherwise(F.col(n)) for n in texts})
+    return out
+
+
+def _replaced(text: Column, part: Sequence[tuple[str, str]]) -> Column:
+    for pattern, put in part:
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+def _any(text: Column, *marks: str) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+
+
+def _preparations() -> list[tuple[list[tuple[str, str]], Callable[[Column], Column]]]:
+    """Replacements in their order, some at a time, each with a condition that holds for
+    every text that they change."""
+    return [
+        (
+            [
+                (rf"^(?:{_WEEKDAY})[.,]* +", ""),
+                (r"(?<=[0-9])(?:ST|ND|RD|TH)\b", ""),
+                (r"\bSEPT\b", "SEP"),
+                (rf"\b({_SHORT})\.", "$1"),
+            ],
+            # Weekdays, endings and SEPT have three letters or two in a row from these.
+            lambda t: reduce(lambda a, b: a | b, [t.startswith(d[:3]) for d in WEEKDAYS])
+            | _any(t, "ST", "ND", "RD", "TH", "SEPT")
+            | (t.contains(".") & _any(t, *[m[:3] + "." for m in MONTHS])),
+        ),
+        (
+            [(r"(:[0-9]{1,2})[.,]([0-9]{1,9})[0-9]*", "$1.$2"), (r"\b([AP])\.M\.", "$1M")],
+            lambda t: _any(t, ".M.") | (t.contains(":") & _any(t, ".", ",")),
+        ),
+        (
+            [
+                (rf"({_CLOCK}) ?(?:UTC|GMT|Z)$", "$1Z"),
+                (rf"({_CLOCK}) ?(?:UTC|GMT)?([+-][0-9]{{2}})(?::?([0-9]{{2}}))?$", "$1$2:$3"),
+                (r"([+-][0-9]{2}):$", "$1:00"),
+            ],
+            # A line end may stand behind what is at the end of a text.
+            lambda t: t.contains(":") & (_any(F.right(t, F.lit(8)), "+", "-", "Z", "UTC", "GMT")),
+        ),
+        ([(r"\s+", " ")], lambda t: _any(t, "  ", "\t", "\n", "\x0b", "\f", "\r")),
+    ]
+
+
 def shape(text: Column) -> Column:
     """The shape of a prepared text; NULL for texts that are no date."""
     s = text
@@ -99,21 +149,25 @@ def shape_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
 
     All columns go through one aggregate. The result is bounded: there are a few hundred
     shapes of dates, and all other texts are counted as one.
+
+    No pattern tells one digit from another, so texts are counted by what is left when every
+    digit is 0, with what the numbers can be, and shapes are taken of those.
     """
-    numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("long"))
-    texts = tall(df, [[prepared(col(c))] for c in columns], ["text"]).where(F.col("text").isNotNull())
-    found = texts.select("idx", shape(F.col("text")).alias("shape"), *[F.get(numbers, F.lit(k)).alias(f"g{k}") for k in range(3)])
+    raw = tall(df, [[F.upper(F.btrim(col(c), F.lit(_SPACES)))] for c in columns], ["text"]).where(F.col("text").isNotNull())
+    short = F.char_length("text") <= SKELETON_LENGTH
+    skeleton = F.when(short, F.translate("text", "123456789", "000000000"))
+    # Before any offset is spelled otherwise; dates and times have three numbers in front of it.
+    three = r"^[^0-9]*([0-9]+)[^0-9]*([0-9]*)[^0-9]*([0-9]*)"
+    numbers = [F.regexp_extract("text", three, k + 1).try_cast("long").alias(f"g{k}") for k in range(3)]
+    found = raw.select("idx", skeleton.alias("skeleton"), F.when(~short, shape(prepared(F.col("text")))).alias("long_shape"), *numbers)
 
     def order(month: str, day: str) -> Column:
         return F.count_if(F.col(month).between(1, 12) & F.col(day).between(1, 31))
 
-    counted = found.groupBy("idx", "shape").agg(
-        F.count(F.lit(1)).alias("n"),
-        order("g0", "g1").alias("md"),
-        order("g1", "g0").alias("dm"),
-        order("g1", "g2").alias("ymd"),
-        order("g2", "g1").alias("ydm"),
-    )
+    orders = {"md": order("g0", "g1"), "dm": order("g1", "g0"), "ymd": order("g1", "g2"), "ydm": order("g2", "g1")}
+    by_skeleton = found.groupBy("idx", "skeleton", "long_shape").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in orders.items()])
+    shapes = F.when(F.col("skeleton").isNull(), F.col("long_shape")).otherwise(shape(prepared(F.col("skeleton"))))
+    counted = by_skeleton.withColumn("shape", shapes).groupBy("idx", "shape").agg(*[F.sum(k).alias(k) for k in ("n", *orders)])
     out: dict[str, list] = {c: [] for c in columns}
     for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["shape"] or "")):
         out[columns[r["idx"]]].append(r)
@@ -165,9 +219,32 @@ def has_zone(fmt: str) -> bool:
     return bool(_ZONE_FIELD.match(fmt))
 
 
+# What the letters of a format can stand for; all else stands for itself, in either case.
+_FIELDS = {"y": "[+-]?[0-9]+", "M": "[0-9]+", "MMM": "[A-Za-z]+", "MMMM": "[A-Za-z]+", "S": "[0-9]*", "a": "[A-Za-z]+", "XXX": "(?:[Zz]|[+-][0-9:]+)"}
+_FIELDS |= dict.fromkeys("dHhms", "[0-9]+")
+_PLAIN_FORMAT = re.compile(r"(?:y{2}|y{4}|M{1,4}|d{1,2}|H{1,2}|h{1,2}|m{1,2}|s{1,2}|S{9}|a|XXX|'T'|[-/.,: ])+")
+
+
+def _may_fit(text: Column, fmt: str) -> Column | None:
+    """A condition that holds for all texts that fit a format of the kinds found by shapes,
+    and is cheaper than a failure to parse; None for other formats."""
+    if not _PLAIN_FORMAT.fullmatch(fmt):
+        return None
+    parts = re.findall(r"y+|M+|d+|H+|h+|m+|s+|S+|a|XXX|'T'|.", fmt)
+    known = ["[Tt]" if p == "'T'" else _FIELDS.get(p) or _FIELDS.get(p[0]) or re.escape(p) for p in parts]
+    # Neighbouring numbers are one, so that a long text is not tried in all its divisions.
+    pattern = re.sub(r"(?:\[0-9\]\+)+", "[0-9]+", "".join(known))
+    return text.rlike(f"^{pattern}$")
+
+
 def parsed(text: Column, fmt: str) -> Column:
     """The text by one format as a time without zone: UTC where it names an offset, else
     as it is written. NULL where it does not fit."""
+    fits = _may_fit(text, fmt)
+    return _parsed(text, fmt) if fits is None else F.when(fits, _parsed(text, fmt))
+
+
+def _parsed(text: Column, fmt: str) -> Column:
     zoned = has_zone(fmt)
     instant = F.try_to_timestamp(text if zoned else F.concat(text, F.lit("Z")), F.lit(fmt if zoned else fmt + "XXX"))
     if "yy" in fmt.replace("yyyy", ""):

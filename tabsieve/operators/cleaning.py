@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.dates import format_of, has_zone, parse_timestamp, prepared, shape_counts
+from tabsieve.functions.dates import format_of, has_zone, parse_timestamp, prepared_columns, shape_counts
 from tabsieve.functions.values import col, finite_columns, lenient_number, number, present
 from tabsieve.operators.frequency import distinct_and_mode, value_counts
 from tabsieve.operators.quality import _no_maps, distinct_rows, repeated_hashes
 from tabsieve.operators.quantiles import Extent, exact_quantiles
 from tabsieve.operators.schema import CATEGORY, is_numeric, within
+from tabsieve.plans.compiled import small_methods
 from tabsieve.plans.held import drop_held, hold
 from tabsieve.plans.lookup import BROADCAST_BYTES, HOT_SHARE, lookup, measured_bytes
 
@@ -41,6 +42,8 @@ NOTHING_LEFT = "Cleaning would remove all rows. Relax your settings and try agai
 
 # Mappings up to this size are literals of the plan, larger ones are joined.
 LITERAL_MAPPING = 32
+# The prepared texts of a column while it is cast.
+_PREPARED = "__prepared"
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -218,13 +221,14 @@ def _date_figures(df: DataFrame, ops: Sequence[Mapping], columns: Sequence[str],
         out[c]["formats"] = named.get(c) or [f for f, _ in found]
         out[c]["inferred"] = c in counted and bool(found)
         out[c]["naive"] = sum(n for f, n in found if not has_zone(f)) if any(has_zone(f) for f, _ in found) else 0
-    read = [F.count(_date(col(c), out[c])).alias(f"r{i}") for i, c in enumerate(columns)]
-    for c, n in zip(columns, df.agg(*read).first()):
-        out[c]["read"] = n
-
-
-def _date(text: Column, found: Mapping) -> Column:
-    return parse_timestamp(prepared(text) if found.get("inferred") else text, found.get("formats"))
+    texts = [f"t{i}" for i in range(len(columns))]
+    plain = df.select(*[col(c).alias(t) for c, t in zip(columns, texts)])
+    ready = prepared_columns(plain, {t: F.col(t) for c, t in zip(columns, texts) if out[c]["inferred"]})
+    read = [F.count(parse_timestamp(F.col(t), out[c]["formats"])).alias(t) for c, t in zip(columns, texts)]
+    with small_methods(df.sparkSession):
+        counts = ready.agg(*read).first()
+    for c, t in zip(columns, texts):
+        out[c]["read"] = counts[t]
 
 
 def _fit(df: DataFrame, op: Mapping, figures: Mapping[str, dict], warnings: list[str]) -> Step | None:
@@ -306,7 +310,7 @@ def _to_number(df: DataFrame, name: str) -> Column | None:
 def _to_timestamp(df: DataFrame, name: str, found: Mapping) -> Column | None:
     field_ = df.schema[name]
     if isinstance(field_.dataType, T.StringType):
-        return _date(col(name), found)
+        return parse_timestamp(F.col(_PREPARED) if found.get("inferred") else col(name), found.get("formats"))
     if isinstance(field_.dataType, T.DateType):
         return col(name).cast("timestamp_ntz")
     if is_numeric(field_):  # nanoseconds since 1970
@@ -348,6 +352,9 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         return _replace_column(df, c, col(c).cast("string"), CATEGORY)
     if kind == "cast_text":
         return _replace_column(df, c, col(c).cast("string"), {})
+    if kind == "cast_datetime" and v.get("inferred") and isinstance(df.schema[c].dataType, T.StringType):
+        ready = prepared_columns(df.withColumn(_PREPARED, col(c)), {_PREPARED: F.col(_PREPARED)})
+        return _replace_column(ready, c, _to_timestamp(df, c, v), {}).drop(_PREPARED)
     new = _to_number(df, c) if kind == "cast_numeric" else _to_timestamp(df, c, v)
     return df if new is None else _replace_column(df, c, new, {})
 
