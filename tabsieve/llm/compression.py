@@ -7,6 +7,8 @@ Every window of a text, of each of ``WIDTHS`` words, is compressed with the ordi
 dictionary and with the toxic one, which the ordinary one follows. A window that gets
 shorter with the toxic dictionary resembles toxic text; how many windows gain
 how many bytes is turned into a probability by a calibrated logistic function.
+A window without any four or more bytes that the toxic dictionary has beyond the ordinary
+one has the same matches with both, so it gains nothing and need not be compressed.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ WIDTHS = (1, 3)
 #: last bytes of a block, where no match begins.
 LEAD, TAIL = b"~window of a text, with the words that follow~", b"~and so it ends~"
 LEVEL = 6
+#: No shorter match is made. Fixed value.
+SHORTEST = 4
+#: Bytes are looked for in the toxic dictionary up to this length, by hashes of so many bits.
+#: One 64-bit number holds them.
+LONGEST, HASH_BITS = 8, 18
 ORDINARY_BYTES = 1_024
 ORDINARY_WORDS = 200_000
 #: A toxic dictionary has this many bytes for each byte of its different windows.
@@ -151,7 +158,8 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> list[int]:
-    return [len(compressor.compress(LEAD + w + TAIL)) for w in windows]
+    compress = compressor.compress
+    return [len(compress(b"%b%b%b" % (LEAD, w, TAIL))) for w in windows]
 
 
 class Windows:
@@ -160,10 +168,13 @@ class Windows:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic)
         self.known: dict[str, int] = {}
+        self.beyond = _beyond(ordinary, toxic)
 
     def gains(self, text: str, width: int = 1) -> np.ndarray:
         """How many of the text's windows gain -LIMIT to LIMIT bytes."""
-        words = text.lower().split()
+        return self._gains_of(text.lower().split(), width)
+
+    def _gains_of(self, words: list[str], width: int) -> np.ndarray:
         if not words:
             return np.zeros(2 * LIMIT + 1, np.int64)
         if width > 1:
@@ -184,12 +195,63 @@ class Windows:
 
     def _gains(self, windows: list[str]) -> list[int]:
         data = [f" {w} ".encode("utf-8", "replace") for w in windows]
-        pairs = zip(_lengths(self.ordinary, data), _lengths(self.toxic, data))
-        return [max(0, min(2 * LIMIT, n - m + LIMIT)) for n, m in pairs]
+        gains = np.full(len(data), LIMIT)
+        at = self.may_gain(data)
+        data = [data[k] for k in at]
+        gains[at] += np.array(_lengths(self.ordinary, data), int) - np.array(_lengths(self.toxic, data), int)
+        return np.clip(gains, 0, 2 * LIMIT).tolist()
+
+    def may_gain(self, data: list[bytes]) -> list[int]:
+        """Which windows have bytes that may be a match with the toxic dictionary and none
+        with the ordinary one: those of equal hashes, so none is missed."""
+        if not data:
+            return []
+        # Each with the bytes beside it, which no match begins with or goes on to but in LEAD and TAIL.
+        lead, tail = LEAD[1 - SHORTEST :], TAIL[: LONGEST - 1]
+        sizes = np.array([len(lead) + len(w) for w in data])
+        begin = np.cumsum(sizes + len(tail)) - sizes - len(tail)
+        numbers = _numbers(lead + (tail + lead).join(data) + tail)
+        new, both = self.beyond[SHORTEST]
+        hashes = _hashes(numbers, SHORTEST)
+        found, doubtful = np.flatnonzero(new[hashes]), np.flatnonzero(both[hashes])
+        kept = [found]
+        for size in range(SHORTEST + 1, LONGEST + 1):
+            new, both = self.beyond[size]
+            hashes = _hashes(numbers[doubtful], size)
+            kept.append(doubtful[new[hashes]])
+            doubtful = doubtful[both[hashes]]
+        at = np.concatenate(kept)
+        window = np.searchsorted(begin, at, "right") - 1
+        return np.unique(window[at - begin[window] < sizes[window]]).tolist()
 
     def features(self, text: str) -> np.ndarray:
         """A one, then the features of the gains of each width."""
-        return np.concatenate([[1.0], *(features(self.gains(text, width))[1:] for width in WIDTHS)])
+        words = text.lower().split()
+        return np.concatenate([[1.0], *(features(self._gains_of(words, width))[1:] for width in WIDTHS)])
+
+
+def _beyond(ordinary: bytes, toxic: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length, marks by hash of the bytes that only the toxic dictionary has, and of those
+    that both have. The longest are told apart no further: they count as the toxic one's."""
+    cut, marks = len(toxic) - len(ordinary) if toxic.endswith(ordinary) else len(toxic), {}
+    for size in range(SHORTEST, LONGEST + 1):
+        # A match may begin before the place where the ordinary dictionary follows.
+        here = {toxic[k : k + size] for k in range(min(cut, len(toxic) - size + 1))}
+        there = set() if size == LONGEST else {ordinary[k : k + size] for k in range(len(ordinary) - size + 1)}
+        marks[size] = tuple(np.zeros(1 << HASH_BITS, bool) for _ in range(2))
+        for mark, own in zip(marks[size], (here - there, here & there), strict=True):
+            mark[[int(_hashes(_numbers(w), size)[0]) for w in own]] = True
+    return marks
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    """LONGEST bytes as one number, at every byte; zeros follow the last."""
+    return np.ndarray((len(data),), "<u8", data + bytes(LONGEST - 1), 0, (1,))
+
+
+def _hashes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Of the first bytes of each number."""
+    return (numbers << np.uint64(8 * (LONGEST - size))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -201,7 +263,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         chain_log=usual.chain_log,
         hash_log=usual.hash_log,
         search_log=usual.search_log,
-        min_match=4,
+        min_match=SHORTEST,
         target_length=usual.target_length,
         strategy=usual.strategy,
         write_content_size=False,
@@ -266,18 +328,21 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     text is read by the score.
     """
     kept = [c for c in docs.columns if c != name]
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text().alias("__whole"))
+    # A text that is a kept column travels once.
+    own = name != "text" and dict(docs.dtypes).get("text") == "string"
+    whole = "text" if own else "__whole"
+    taken = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if own else [whole_text().alias(whole)]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(model["ordinary"], model["toxic"])
         weights = None if model["weights"] is None else np.array(model["weights"])
         for batch in batches:
             scores = []
-            for text in batch.column("__whole"):
+            for text in batch.column(whole):
                 if weights is None:
                     scores.append(model["part"])
                 else:
-                    z = float(windows.features(text.as_py()) @ weights)
+                    z = float(windows.features(text.as_py() or "") @ weights)
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, name])
 

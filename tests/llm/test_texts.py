@@ -221,6 +221,30 @@ def test_windows_of_a_long_text_by_blocks(monkeypatch):
     assert (windows.gains(text, 3) == whole).all() and whole.sum() == 67
 
 
+def test_only_windows_that_may_gain_are_compressed(monkeypatch):
+    """The same gains as when all of them are, also beside a window that may."""
+    rng = random.Random(3)
+    made = ["".join(rng.choices("abcdeéß🙂~", k=rng.randint(1, 9))) for _ in range(4000)]
+    toxic, ordinary = compression.train_dictionaries(["vile scoundrel"] * 9, ["mild person"] * 9)[::-1]
+    texts = [" ".join(made[k : k + 40]) for k in range(0, 4000, 40)] + ["a scoundrels vilely", "x", "", "coun drel vil", "mild person"]
+    compressed, lengths = [], compression._lengths
+    monkeypatch.setattr(compression, "_lengths", lambda c, data: compressed.extend(data) or lengths(c, data))
+    windows = compression.Windows(ordinary, toxic)
+    got = [windows.gains(t, width) for t in texts for width in (1, 3)]
+    assert 0 < len(compressed) < 200
+    monkeypatch.setattr(compression.Windows, "may_gain", lambda self, data: list(range(len(data))))
+    windows = compression.Windows(ordinary, toxic)
+    assert all((a == windows.gains(t, width)).all() for a, (t, width) in zip(got, [(t, w) for t in texts for w in (1, 3)], strict=True))
+    assert len(compressed) > 5000
+
+
+def test_texts_to_score_travel_once(spark, documents):
+    scored = compression.score(documents, {"ordinary": b"", "toxic": b"", "weights": None, "part": 0.5})
+    assert "__whole" not in scored._jdf.queryExecution().toString()
+    numbers = documents.select("doc_id", F.col("n_chars").alias("text"))
+    assert compression.score(numbers, {"ordinary": b"", "toxic": b"", "weights": None, "part": 0.5}).schema["text"] == numbers.schema["text"]
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, documents):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(compression.is_held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
