@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tabsieve.llm.tables import most_frequent, publish, whole_text
+from tabsieve.llm.tables import giving_back, most_frequent, publish, whole_text
 from tabsieve.llm.transducer import Transducer, compile_words
 from tabsieve.plans.held import hold
 
@@ -234,7 +234,7 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
                     pieces = Counter()
         yield _counts(pieces, words)
 
-    counted = docs.select(whole_text().alias("text")).mapInArrow(count, "word binary, n long")
+    counted = docs.select(whole_text().alias("text")).mapInArrow(giving_back(count), "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     fields = [f for f in taken.schema.fields if f.name in kept]
     made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return taken.mapInArrow(run, T.StructType([*fields, *made]))
+    return taken.mapInArrow(giving_back(run), T.StructType([*fields, *made]))
 
 
 def _pieces(texts: pa.Array) -> Iterator[int]:

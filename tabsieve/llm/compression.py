@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.llm.tables import whole_text
+from tabsieve.llm.tables import giving_back, whole_text
 
 #: The classifier is fitted on at most this many labelled rows of each class,
 #: those with the smallest hashes of their ids, of texts up to this many bytes.
@@ -347,4 +347,4 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, name])
 
     fields = [f for f in taken.schema.fields if f.name in kept]
-    return taken.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return taken.mapInArrow(giving_back(run), T.StructType([*fields, T.StructField(name, T.DoubleType())]))

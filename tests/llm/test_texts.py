@@ -16,7 +16,7 @@ from conftest import FOLDER
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabsieve.llm import bpe, chat, compression, pseudo, queries, sanitise, sql
+from tabsieve.llm import bpe, chat, compression, pseudo, queries, sanitise, sql, tables
 from tabsieve.llm.transducer import Transducer, compile_words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -245,6 +245,17 @@ def test_texts_to_score_travel_once(spark, documents):
     assert compression.score(numbers, {"ordinary": b"", "toxic": b"", "weights": None, "part": 0.5}).schema["text"] == numbers.schema["text"]
 
 
+def test_tasks_give_their_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(tables, "give_back", lambda: given.append(1))
+    run = tables.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(run([1, 2])) == [2, 4] and len(given) == 1
+    ended_early = run([1, 2])
+    assert next(ended_early) == 2 and len(given) == 1
+    ended_early.close()
+    assert len(given) == 2
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, documents):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(compression.is_held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
