@@ -38,6 +38,8 @@ PLACES = (-2, -1, 1, 2)
 ROUNDS = 2
 BATCH = 16_384
 RATE = 0.1
+#: Exponents up to this size need no scaling. Fixed value: 32-bit numbers end at 88.
+REACH = 60.0
 #: Words scored at a time.
 CHUNK = 1 << 14
 #: Longer words stand for themselves by a hash.
@@ -127,6 +129,13 @@ class Ids:
         return found
 
 
+def _in_range(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether sums of exponentials over the last axis fit into 32 bits as they are, for any
+    state: its numbers are from -1 to 1."""
+    reach = np.abs(weights).sum(axis=-2)
+    return ((bias + reach).max(axis=-1) < REACH) & ((bias - reach).max(axis=-1) > -REACH)
+
+
 class Network:
     """Weights in one flat array, and views of their parts."""
 
@@ -173,12 +182,15 @@ class Network:
         h = self._state(around)
         scores = h @ self.to_class
         scores += self.class_bias
-        rows = np.arange(len(target))
-        scores -= scores.max(axis=1, keepdims=True)
+        rows, ones = np.arange(len(target)), np.ones(max(CLASS, scores.shape[1]), np.float32)
+        if not _in_range(self.to_class, self.class_bias).all():
+            scores -= scores.max(axis=1, keepdims=True)
         result = scores[rows, group]
         np.exp(scores, out=scores)
-        sums = scores.sum(axis=1)
+        # A product adds up faster than a sum along rows.
+        sums = scores @ ones[: scores.shape[1]]
         result -= np.log(sums)
+        plain = _in_range(self.to_word, self.word_bias).tolist()
         cuts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(self.class_bias)))))
         if learn is not None:
             scores /= sums[:, None]
@@ -193,10 +205,11 @@ class Network:
             inner, own, k = h[a:b], member[a:b], rows[: b - a]
             inside = inner @ self.to_word[c]
             inside += self.word_bias[c]
-            inside -= inside.max(axis=1, keepdims=True)
+            if not plain[c]:
+                inside -= inside.max(axis=1, keepdims=True)
             picked = inside[k, own]
             np.exp(inside, out=inside)
-            total = inside.sum(axis=1)
+            total = inside @ ones[:CLASS]
             result[a:b] += picked - np.log(total)
             if learn is not None:
                 inside /= total[:, None]
@@ -235,7 +248,8 @@ class Trainer:
             words = words[order]
             first = np.concatenate(([0], np.flatnonzero(words[1:] != words[:-1]) + 1))
             own = words[first]
-            slope = np.add.reduceat(learn["z"][order], first, axis=0)
+            # Pairs of numbers are added at once as complex ones.
+            slope = np.add.reduceat(learn["z"][order].view(np.complex64), first, axis=0).view(np.float32)
             self.rows[k][own] += (slope**2).mean(axis=1)
             self.network.enter[k][own] -= RATE * slope / np.sqrt(self.rows[k][own])[:, None]
 

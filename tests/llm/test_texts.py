@@ -281,6 +281,26 @@ def test_toxicity_odd_rows(spark, odd, none, documents):
 # Pseudo-likelihood
 
 
+def test_log_probabilities_are_scaled_only_where_they_must_be():
+    rng = np.random.default_rng(1)
+    net = pseudo.Network(rng.integers(1, 50, 256).astype(float))
+    around, target = [rng.integers(0, 257, 300) for _ in pseudo.PLACES], rng.integers(0, 256, 300)
+    net.to_class[:], net.to_word[:] = rng.normal(0, 0.1, net.to_class.shape), rng.normal(0, 0.1, net.to_word.shape)
+    # One class by one: moderate, far too large, far too small; and the classes' own scores.
+    for shift in (0.0, 300.0):
+        net.word_bias[1] += shift
+        net.word_bias[2] -= shift
+        net.class_bias += shift
+        inner = pseudo._in_range(net.to_word, net.word_bias).tolist()
+        assert inner == [True, not shift, not shift, True] and pseudo._in_range(net.to_class, net.class_bias).all() == (not shift)
+        h = np.tanh(net.bias + sum(net.enter[k][around[k]] for k in range(len(around)))).astype(np.float64)
+        outer = h @ net.to_class + net.class_bias
+        group, member, rows = target // pseudo.CLASS, target % pseudo.CLASS, np.arange(len(target))
+        own = np.einsum("nk,nkm->nm", h, net.to_word[group]) + net.word_bias[group]
+        expected = outer[rows, group] - np.logaddexp.reduce(outer, axis=1) + own[rows, member] - np.logaddexp.reduce(own, axis=1)
+        assert np.allclose(net.log_probabilities(around, target), expected, atol=1e-3)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = pseudo.Network(rng.integers(1, 50, 256).astype(float))
