@@ -393,6 +393,65 @@ def test_pseudo_averages_in_lots(spark, monkeypatch):
     assert pseudo.train(numbers, vocab["n"]) == pytest.approx(one, rel=1e-4, abs=1e-5)
 
 
+def test_words_split_in_lots_are_those_of_python(monkeypatch):
+    texts = ["", " ", " a  B\tc ", "a\x1cb\x1fc", "A\x85b\u2003C\xa0d", "ΑΣ ΣΑΣ. İI", "\x00 \x0b\x0c x", "é" * 70 + " x " + "y" * 65, "z" * 64] * 3
+    for part in (1, 20, 1 << 20):
+        monkeypatch.setattr(pseudo, "PART", part)
+        got = []
+        for piece in pseudo._pieces(pa.array(texts)):
+            words, sizes = pseudo._split(piece)
+            got += np.split(np.array(words.to_pylist(), object), np.cumsum(sizes)[:-1])
+        assert [list(w) for w in got] == [pseudo.words_of(t) for t in texts]
+        counted = Counter()
+        for batch in pseudo._count([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]):
+            counted.update(dict(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        assert counted == Counter(pseudo._short(w) for t in texts for w in pseudo.words_of(t))
+
+
+def test_listed_words_are_not_joined(spark, monkeypatch):
+    """The same scores whether the counts of rare words are listed or joined; only words that are not listed are sent to the join."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(200).cache()
+    monkeypatch.setattr(pseudo, "WORDS", 192)
+    monkeypatch.setattr(pseudo, "train", lambda numbers, n: pseudo.Network(n).flat)
+    sent, scores = [], []
+    for listed in (0, 1_000, 1 << 20):
+        monkeypatch.setattr(pseudo, "LISTED", listed)
+        vocab = pseudo.vocabulary(docs)
+        assert vocab["listed"].num_rows <= listed
+        sent.append(pseudo.number_words(docs, vocab).agg(F.sum(F.size("rare"))).first()[0])
+        scores.append({r.doc_id: r.log_likelihood for r in pseudo.score(docs).collect()})
+    assert sent[0] > sent[1] > sent[2] == 0
+    for other in scores[1:]:
+        assert other == pytest.approx(scores[0], rel=1e-9)
+
+
+def test_sums_of_stretches(monkeypatch):
+    rng = np.random.default_rng(0)
+    rows, order = rng.normal(size=(500, 32)).astype(np.float32), rng.permutation(500)
+    for piece in (2, 7, 32):
+        monkeypatch.setattr(pseudo, "PIECE", piece)
+        for first in ([0], [0, 1, 2, 300], np.arange(500), np.arange(60) * 8):
+            want = np.add.reduceat(rows[order].astype(float), first, axis=0)
+            assert np.allclose(pseudo._sums(rows, order, np.array(first), 500), want, atol=1e-4)
+
+
+def test_layers_in_blocks(monkeypatch):
+    """How the rows are cut changes neither probabilities nor gradients."""
+    rng = np.random.default_rng(0)
+    net = pseudo.Network(rng.integers(1, 50, 256).astype(float))
+    net.to_class[:], net.to_word[:] = rng.normal(0, 0.1, net.to_class.shape), rng.normal(0, 0.1, net.to_word.shape)
+    around, target = [rng.integers(0, 257, 900) for _ in pseudo.PLACES], rng.integers(0, 256, 900)
+    made = []
+    for block, few in ((2048, 256), (100, 16), (2048, 2048)):
+        monkeypatch.setattr(pseudo, "BLOCK", block)
+        monkeypatch.setattr(pseudo, "FEW", few)
+        learn = {}
+        net.log_probabilities(around, target, learn)
+        made.append([net.log_probabilities(around, target), *learn.values()])
+    for other in made[1:]:
+        assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(made[0], other, strict=True))
+
+
 def test_pseudo_odd_rows(odd, none):
     got = pseudo.score(odd).collect()
     assert len(got) == len(ODD)
