@@ -584,6 +584,20 @@ def test_every_word_is_trained_on(monkeypatch):
         assert sorted(seen) == list(range(size))
 
 
+def test_steps_are_full_whatever_the_batches(monkeypatch):
+    """Numbers of 16 bits in slices of several batches: every word once, and every step but the last has BATCH words."""
+    monkeypatch.setattr(pseudo, "BATCH", 8)
+    cuts = np.cumsum([5, 0, 3, 300, 1, 0, 7, 21])
+    texts = pa.array([x.astype(np.uint16).tobytes() for x in np.split(np.arange(400), cuts)])
+    seen, sizes = [], []
+    monkeypatch.setattr(pseudo.Trainer, "step", lambda self, around, target: (seen.extend(target.tolist()), sizes.append(len(target))))
+    for turn in range(pseudo.ROUNDS):
+        batches = [pa.RecordBatch.from_arrays([texts.slice(a, 2)], ["ids"]) for a in range(1, len(texts), 2)]
+        list(pseudo._trainer(np.ones(448), pseudo.Network(np.ones(448)).flat, turn)(batches))
+    assert sorted(seen) == list(range(5, 400))
+    assert sum(size != 8 for size in sizes) <= pseudo.ROUNDS
+
+
 def test_no_toxic_word_is_cut():
     words = [f"{a}{b}{c}{d}rk" for a in "bd" for b in "aeiou" for c in "gklmn" for d in "oi"]
     toxic, ordinary = [" ".join(words + [str(k)]) for k in range(40)], [f"a mild person went home on day {k}" for k in range(40)]
